@@ -27,11 +27,19 @@ def ranked_top_n(df: DataFrame, order: list[Column], n: int, rank: str = "rank")
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], n: int | None, rank: str = "rank"
 ) -> DataFrame:
-    """Rank inside each group; with ``n`` every task forwards at most n rows per group."""
+    """Rank inside each group.
+
+    With ``n`` every task forwards at most n rows per group.  Without a limit a
+    group may be larger than a task, so positions come from one distributed sort.
+    """
+    if n is None:
+        numbered = number_all(df, [*map(F.col, keys), *order], "_no")
+        starts = numbered.groupBy(*keys).agg(F.min("_no").alias("_start"))
+        return numbered.join(starts, keys).select(
+            *df.columns, (F.col("_no") - F.col("_start") + 1).alias(rank)
+        )
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    if n is not None:
-        ranked = ranked.filter(F.col(rank) <= n)
-    return ranked.withColumn(rank, F.col(rank).cast("bigint"))
+    return ranked.filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def number_all(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:

@@ -118,8 +118,8 @@ def month_spine(
         start = F.lit(dt.date(year, 1, 1))
         end = F.lit(dt.date(year, today.month if year >= today.year else 12, 1))
     months = F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))
-    grid = series.select(key).distinct().select(
-        key, F.date_format(F.explode(months), "yyyy-MM").alias("month")
+    grid = series.select(key).distinct().select(key, F.explode(months).alias("day")).select(
+        key, month_key("day").alias("month")
     )
     filled = grid.join(series.select(key, "month", "cnt"), [key, "month"], "left")
     if continuous:

@@ -177,12 +177,12 @@ def stats_scalars(t):
 
 
 @query("skills_per_type", with_roles("""
-    SELECT ty.id, ty.name, ty.description, count(s.id) AS cnt
-    FROM skill_types ty LEFT JOIN (SELECT * FROM skills WHERE name LIKE 'r%') s ON s.skill_type = ty.name
-    GROUP BY ALL""", "skill_types", "skills"))
+    SELECT ty.name, count(s.id) AS cnt
+    FROM (SELECT name FROM skill_types UNION ALL SELECT 'language') ty
+    LEFT JOIN skills s ON s.skill_type = ty.name GROUP BY ALL""", "skill_types", "skills"))
 def skills_per_type(t):
-    some = t.skills.filter(F.col("name").startswith("r"))
-    return rk.counts_with_zeros(t.skill_types, some, "name", "skill_type")
+    types = t.skill_types.select("name").union(t.spark.range(1).select(F.lit("language")))
+    return rk.counts_with_zeros(types, t.skills, "name", "skill_type")
 
 
 @query("jobs_per_company_outer", with_roles("""

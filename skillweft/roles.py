@@ -96,9 +96,9 @@ SQL = {
         WHERE extra = 0 OR id % 10 = 0""",
     "company_enrichment": """
         SELECT c_name AS company_name,
-               CASE WHEN c_custkey % 8 = 0 THEN '' ELSE '51-200' END AS employee_size,
+               CASE WHEN c_acctbal < 0 THEN '' ELSE '51-200' END AS employee_size,
                lower(replace(c_name, '#', '-')) AS linkedin_slug, 'seed' AS source
-        FROM customer WHERE c_custkey % 4 = 0""",
+        FROM customer WHERE c_mktsegment = 'MACHINERY'""",
 }
 
 _NEEDS = {
@@ -254,9 +254,9 @@ class Roles:
 
     @cached_property
     def company_enrichment(self) -> DataFrame:
-        return self.table("customer").filter(F.col("c_custkey") % 4 == 0).select(
+        return self.table("customer").filter(F.col("c_mktsegment") == "MACHINERY").select(
             F.col("c_name").alias("company_name"),
-            F.when(F.col("c_custkey") % 8 == 0, "").otherwise("51-200").alias("employee_size"),
+            F.when(F.col("c_acctbal") < 0, "").otherwise("51-200").alias("employee_size"),
             F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("-"))).alias("linkedin_slug"),
             F.lit("seed").alias("source"),
         )
