@@ -72,10 +72,12 @@ def synonym(skill: Column, loose: bool = True) -> Column:
 
 def dedup_keep_first(items: Column, key=light_key) -> Column:
     """Drop later items with the same key; blank keys go as well."""
-    keys = F.transform(items, key)
-    return F.filter(
-        items, lambda x, i: (key(x) != "") & (F.array_position(keys, key(x)) == i + 1)
-    )
+
+    def firsts(keys: Column) -> Column:
+        distinct = F.filter(F.array_distinct(keys), lambda k: k != "")
+        return F.transform(distinct, lambda k: F.element_at(items, F.array_position(keys, k).cast("int")))
+
+    return let(F.transform(items, key), firsts)
 
 
 def looks_soft(skill: Column) -> Column:

@@ -39,7 +39,7 @@ SQL = {
     "companies": """
         SELECT c_custkey AS company_id,
                CASE WHEN c_custkey % 50 = 0 THEN '' WHEN c_custkey % 50 = 1 THEN 'N/A'
-                    WHEN c_custkey % 50 = 2 THEN NULL ELSE c_name END AS company,
+                    WHEN c_custkey % 50 = 2 THEN NULL ELSE replace(c_name, '#', ' ') END AS company,
                CASE WHEN c_custkey % 31 = 0 THEN NULL
                     WHEN c_custkey % 29 = 0 THEN 'Remote'
                     WHEN c_custkey % 5 = 0 THEN 'Kota ' || n_name || ', ' || r_name
@@ -50,6 +50,7 @@ SQL = {
                n_name AS city,
                CASE WHEN c_custkey % 3 = 0 THEN NULL
                     WHEN c_custkey % 13 = 0 THEN ''
+                    WHEN c_custkey % 23 = 0 THEN 'https://www.linkedin.com/company/acme-group/'
                     ELSE 'https://www.linkedin.com/company/' || lower(replace(c_name, '#', '-')) || '/'
                     END AS company_url,
                CASE WHEN c_custkey % 7 = 0 THEN NULL
@@ -95,7 +96,7 @@ SQL = {
         FROM jobs CROSS JOIN (VALUES (0), (1)) AS v(extra)
         WHERE extra = 0 OR id % 10 = 0""",
     "company_enrichment": """
-        SELECT c_name AS company_name,
+        SELECT replace(c_name, '#', ' ') AS company_name,
                CASE WHEN c_acctbal < 0 THEN '' ELSE '51-200' END AS employee_size,
                lower(replace(c_name, '#', '-')) AS linkedin_slug, 'seed' AS source
         FROM customer WHERE c_mktsegment = 'MACHINERY'""",
@@ -174,13 +175,14 @@ class Roles:
         nation, region = F.col("n_name"), F.col("r_name")
         size = 2 * F.abs("c_acctbal")
         slug = F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("-")))
+        name = F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))
         customers = self.table("customer").join(
             self.table("nation"), F.col("n_nationkey") == F.col("c_nationkey")
         ).join(self.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
         return customers.select(
             key.alias("company_id"),
             F.when(key % 50 == 0, "").when(key % 50 == 1, "N/A").when(key % 50 == 2, None)
-            .otherwise(F.col("c_name")).alias("company"),
+            .otherwise(name).alias("company"),
             F.when(key % 31 == 0, None)
             .when(key % 29 == 0, "Remote")
             .when(key % 5 == 0, F.concat(F.lit("Kota "), nation, F.lit(", "), region))
@@ -190,6 +192,7 @@ class Roles:
             .otherwise(nation).alias("location"),
             nation.alias("city"),
             F.when(key % 3 == 0, None).when(key % 13 == 0, "")
+            .when(key % 23 == 0, "https://www.linkedin.com/company/acme-group/")
             .otherwise(F.concat(F.lit("https://www.linkedin.com/company/"), slug, F.lit("/")))
             .alias("company_url"),
             F.when(key % 7 == 0, None).when(key % 11 == 0, "unknown")
@@ -255,7 +258,7 @@ class Roles:
     @cached_property
     def company_enrichment(self) -> DataFrame:
         return self.table("customer").filter(F.col("c_mktsegment") == "MACHINERY").select(
-            F.col("c_name").alias("company_name"),
+            F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")).alias("company_name"),
             F.when(F.col("c_acctbal") < 0, "").otherwise("51-200").alias("employee_size"),
             F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("-"))).alias("linkedin_slug"),
             F.lit("seed").alias("source"),
