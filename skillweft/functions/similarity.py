@@ -18,18 +18,25 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def lcs_length(a: str, b: str) -> int:
+def letter_places(text: str) -> dict[str, int]:
+    """Positions of every letter as bits."""
+    where: dict[str, int] = {}
+    for i, ch in enumerate(text):
+        where[ch] = where.get(ch, 0) | (1 << i)
+    return where
+
+
+def lcs_length(a: str, b: str, where: dict[str, int] | None = None) -> int:
     """Longest common subsequence with one bit per character of ``a``."""
     if not a or not b:
         return 0
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
+    where = letter_places(a) if where is None else where
     full = (1 << len(a)) - 1
     row = full
     for ch in b:
         hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
@@ -63,13 +70,16 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def _best_window(short: str, long: str) -> float:
-    size, best = len(short), 0.0
+    size, best, where = len(short), 0.0, letter_places(short)
     spans = [long[i:i + size] for i in range(len(long) - size + 1)]
-    spans += [long[:n] for n in range(1, size)] + [long[-n:] for n in range(1, size)]
-    for span in dict.fromkeys(spans):
-        best = max(best, ratio(short, span))
-        if best == 100.0:
+    # shorter windows at both ends, longest first: a window of n letters scores at most 200n / (size + n)
+    for n in range(size - 1, 0, -1):
+        spans += [long[:n], long[-n:]]
+    for span in spans:
+        total = size + len(span)
+        if 200.0 * min(size, len(span)) / total <= best:
             break
+        best = max(best, 200.0 * lcs_length(short, span, where) / total)
     return best
 
 
@@ -91,6 +101,10 @@ def skill_score(a: str, b: str, threshold: float) -> float:
     score = token_set_ratio(a, b)
     if score >= threshold:
         return score
+    # no window shares more letters than the whole texts do
+    shared, size = lcs_length(a, b), min(len(a), len(b))
+    if 200.0 * shared < threshold * (size + shared):
+        return 0.0
     score = partial_ratio(a, b)
     return score if score >= threshold else 0.0
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from skillweft.dictionaries import (
     SIZE_LABELS_COMMA, SIZE_NUMBER, SIZE_RANGES, SIZE_TEXT_PATTERNS,
 )
-from skillweft.functions.text import let, strip
+from skillweft.functions.text import first_pair, let, strip
 
 VALID_SIZES = [label for _, _, label in SIZE_RANGES]
 _RANGE = rf"{SIZE_NUMBER}(?:\s*[-–]\s*{SIZE_NUMBER}|\+)"
@@ -68,9 +68,8 @@ def normalize_size(raw: Column) -> Column:
 
 
 def _label_of(text: Column) -> Column:
-    by_pattern = F.coalesce(*[
-        F.when(text.rlike(f"(?i)^(?:{p})"), F.lit(label)) for p, label in SIZE_TEXT_PATTERNS
-    ])
+    anchored = [(f"(?i)^(?:{p})", label) for p, label in SIZE_TEXT_PATTERNS]
+    by_pattern = first_pair(anchored, lambda p: F.rlike(text, p))
 
     def by_number(digits: Column) -> Column:
         number = digits.try_cast("decimal(38,0)")

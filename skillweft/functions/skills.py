@@ -8,7 +8,7 @@ from skillweft.dictionaries import (
     GENERIC_TERMS, INDONESIAN_SKILLS, SKILL_ALIASES, SOFT_SKILL_INDICATORS, SOFT_SKILL_PHRASES,
     SPECIFIC_FIXES, SYNONYMS,
 )
-from skillweft.functions.text import alternation, first_contained, let, one_of_pairs, strip
+from skillweft.functions.text import alternation, first_contained, first_pair, let, one_of_pairs, strip
 
 # longest phrase first; the whole text equal to a phrase is then the longest hit by itself
 _PHRASES = sorted(INDONESIAN_SKILLS, key=lambda pair: len(pair[0]), reverse=True)
@@ -19,8 +19,10 @@ def normalize_skill(skill: Column) -> Column:
 
     Hyphens and commas become spaces last, so runs of spaces can remain.
     """
-    text = strip(F.lower(F.coalesce(skill, F.lit(""))))
-    text = F.coalesce(first_contained(text, _PHRASES), text)
+    text = let(
+        strip(F.lower(F.coalesce(skill, F.lit("")))),
+        lambda x: F.coalesce(first_contained(x, _PHRASES), x),
+    )
     text = F.replace(text, F.lit("/"), F.lit(" "))
     text = F.regexp_replace(text, r"(?U)[^\w\s\-+#./]", "")
     text = F.regexp_replace(text, r"(?U)\s+", " ")
@@ -63,9 +65,7 @@ def synonym(skill: Column, loose: bool = True) -> Column:
         exact = one_of_pairs(text, SYNONYMS)
         if not loose:
             return exact
-        return F.coalesce(exact, *[
-            F.when(F.contains(text, F.lit(k)) | F.contains(F.lit(k), text), F.lit(v)) for k, v in SYNONYMS
-        ])
+        return F.coalesce(exact, first_pair(SYNONYMS, lambda k: F.contains(text, k) | F.contains(k, text)))
 
     return let(lower_key(skill), find)
 

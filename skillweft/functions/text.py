@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 
@@ -34,16 +36,27 @@ def alternation(words: list[str]) -> str:
     return "|".join(rf"\Q{w}\E" for w in words)
 
 
+def pair_table(pairs: list[tuple[str, str]]) -> Column:
+    """A small fixed table as one array literal of (k, v), in table order."""
+    rows = json.dumps([{"k": k, "v": v} for k, v in pairs])
+    return F.from_json(F.lit(rows), "array<struct<k: string, v: string>>")
+
+
+def first_pair(pairs: list[tuple[str, str]], test) -> Column:
+    """Value of the first entry whose key passes the test, else NULL."""
+    return F.get(F.filter(pair_table(pairs), lambda p: test(p["k"])), F.lit(0))["v"]
+
+
 def one_of_pairs(key: Column, pairs: list[tuple[str, str]]) -> Column:
     """Value for an exact key of a small fixed table, else NULL."""
-    flat = [F.lit(x) for pair in pairs for x in pair]
-    return F.try_element_at(F.create_map(*flat), key)
+    return F.try_element_at(F.from_json(F.lit(json.dumps(dict(pairs))), "map<string, string>"), key)
 
 
 def first_contained(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Value of the first key, in table order, that the text contains."""
-    chain = F.coalesce(*[F.when(F.contains(text, F.lit(k)), F.lit(v)) for k, v in pairs])
-    return F.when(text.rlike(alternation([k for k, _ in pairs])), chain)
+    return F.when(
+        text.rlike(alternation([k for k, _ in pairs])), first_pair(pairs, lambda k: F.contains(text, k))
+    )
 
 
 def strip_count(column: Column) -> Column:

@@ -22,7 +22,7 @@ def letter_mask(text: Column) -> Column:
     """Set of the letters in a text as bits of a long."""
     bits = F.transform(
         F.split(F.replace(text, F.lit(" "), F.lit("")), ""),
-        lambda c: F.expr("1L") * F.pow(F.lit(2), F.ascii(c) % 52).cast("bigint"),
+        lambda c: F.pow(F.lit(2), F.ascii(c) % 52).cast("bigint"),
     )
     return F.aggregate(F.array_distinct(bits), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
 
@@ -36,20 +36,22 @@ def _cut_word(word: Column, size: int) -> Column:
     )
 
 
+def _cut_words(words: Column, size: int) -> Column:
+    return F.flatten(F.transform(words, lambda w: _cut_word(w, size)))
+
+
 def cut_pieces(texts: DataFrame, threshold: int) -> DataFrame:
-    """(text, lost, piece): disjoint pieces as long as their number allows."""
+    """(text, lost, pieces, pairs): disjoint pieces as long as their number allows, and two-letter ones."""
     words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))
     rows = texts.select("text").distinct().withColumn("words", words).filter(F.size("words") > 0)
-    rows = rows.withColumn("lost", F.floor(F.length("text") * 2 * (100 - threshold) / 100).cast("int"))
-
-    def cut(size: int) -> Column:
-        return F.flatten(F.transform("words", lambda w: _cut_word(w, size)))
-
-    chosen = F.when(F.size(cut(3)) > F.col("lost"), cut(3)).when(F.size(cut(2)) > F.col("lost"), cut(2)) \
-        .otherwise(cut(1))
-    listed = rows.select("text", "lost", chosen.alias("pieces"))
-    # texts that repeat one word have too few pieces: then every letter is a key
-    return listed.select("text", "lost", F.explode("pieces").alias("piece"))
+    rows = rows.select(
+        "text", F.floor(F.length("text") * 2 * (100 - threshold) / 100).cast("int").alias("lost"),
+        *[_cut_words(F.col("words"), n).alias(f"cut{n}") for n in (1, 2, 3)],
+    )
+    chosen = F.when(F.size("cut3") > F.col("lost"), F.col("cut3")).when(
+        F.size("cut2") > F.col("lost"), F.col("cut2")
+    ).otherwise(F.col("cut1"))  # texts that repeat one word have too few pieces: then every letter is a key
+    return rows.select("text", "lost", chosen.alias("pieces"), F.col("cut2").alias("pairs"))
 
 
 def rare_pieces(cut: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def rare_pieces(cut: DataFrame, frequency: DataFrame) -> DataFrame:
     rows = cut.join(frequency, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = Window.partitionBy("text").orderBy("n", "piece")
     return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("lost") + 1) \
-        .select("text", "lost", "piece").distinct()
+        .select("text", "piece").distinct()
 
 
 def _one_direction(source: DataFrame, target: DataFrame, threshold: int) -> DataFrame:
@@ -66,11 +68,19 @@ def _one_direction(source: DataFrame, target: DataFrame, threshold: int) -> Data
         F.explode(pieces(F.col("text"))).alias("piece"),
     )
     cut = cut_pieces(source, threshold)
-    wanted = cut.select("piece").distinct()
+    exploded = cut.select("text", "lost", F.explode("pieces").alias("piece"))
+    wanted = exploded.select("piece").distinct()
     frequency = held.join(wanted, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    keys = rare_pieces(cut, frequency).withColumn("mask", letter_mask(F.col("text")))
+    keys = rare_pieces(exploded, frequency).join(
+        cut.select("text", "lost", "pairs", letter_mask(F.col("text")).alias("mask")), "text"
+    )
+    # cheap tests before any scoring: letters that are missing, two-letter pieces that survive
     missing = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("other_mask")))
-    return keys.join(held, "piece").filter(missing <= F.col("lost")).select("text", "other")
+    kept = F.size(F.filter("pairs", lambda p: F.contains(F.col("other"), p)))
+    near = keys.join(held, "piece").filter(missing <= F.col("lost")).filter(
+        kept >= F.size("pairs") - F.col("lost")
+    )
+    return near.select("text", "other")
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:

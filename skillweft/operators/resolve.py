@@ -17,6 +17,7 @@ from skillweft.functions.skills import (
 )
 from skillweft.operators.fuzzy import best_known
 from skillweft.operators.ordering import number_all
+from skillweft.session import cut_lineage
 
 # order in which the categories are searched
 CATEGORIES = ["tech_stack", "technical_skill", "soft_skill"]
@@ -28,8 +29,8 @@ def _category_rank() -> Column:
 
 def canonical_index(variants: DataFrame) -> DataFrame:
     """One row per normalised variant: first canonical name of every category."""
-    keyed = variants.withColumn("norm", normalize_skill(F.col("variant")))
-    return keyed.groupBy("norm").agg(*[
+    keyed = variants.withColumn("index_norm", normalize_skill(F.col("variant")))
+    return keyed.groupBy("index_norm").agg(*[
         F.min_by(F.when(F.col("category") == c, F.col("canonical")),
                  F.when(F.col("category") == c, F.col("seq"))).alias(f"in_{c}")
         for c in CATEGORIES
@@ -41,7 +42,7 @@ def with_canonical(df: DataFrame, variants: DataFrame, skill: str = "skill",
     """Add (canonical, found): spelling fix, else the given type's entry, else any type's first."""
     index = canonical_index(variants)
     rows = df.withColumn("_norm", normalize_skill(F.col(skill)))
-    joined = rows.join(index, F.col("_norm") == F.col("norm"), "left")
+    joined = rows.join(index, F.col("_norm") == F.col("index_norm"), "left")
     own = F.lit(None).cast("string")
     if skill_type:
         own = F.coalesce(*[F.when(F.col(skill_type) == c, F.col(f"in_{c}")) for c in CATEGORIES])
@@ -59,7 +60,7 @@ def with_detected_type(df: DataFrame, variants: DataFrame, skill: str = "skill")
     index = canonical_index(variants)
     rows = df.withColumn("_norm", normalize_skill(F.col(skill))).withColumn("_fix", specific_fix(F.col(skill)))
     joined = rows.join(names, F.col("_fix") == F.col("_canonical"), "left").join(
-        index, F.col("_norm") == F.col("norm"), "left"
+        index, F.col("_norm") == F.col("index_norm"), "left"
     )
     by_index = F.coalesce(*[F.when(F.col(f"in_{c}").isNotNull(), F.lit(c)) for c in CATEGORIES])
     kind = (
@@ -116,11 +117,14 @@ def match_skills(raw: DataFrame, known: DataFrame, variants: DataFrame,
     skill, skill_type, norm, matched_id, matched_skill, score, method, action,
     final_type.
     """
-    rows = raw.select("skill", "skill_type").distinct().withColumn("norm", normalize_skill(F.col("skill")))
+    # the distinct spellings and the known names feed several joins: compute each once
+    rows = cut_lineage(
+        raw.select("skill", "skill_type").distinct().withColumn("norm", normalize_skill(F.col("skill")))
+    )
     lookup = canonical_lookup(variants).select(
         F.col("norm").alias("_n"), F.col("canonical").alias("_c"), F.col("canonical_type").alias("_ct")
     )
-    names = known_by_norm(known)
+    names = cut_lineage(known_by_norm(known))
 
     def named(prefix: str) -> DataFrame:
         return names.select(*[F.col(c).alias(f"{prefix}_{c}") for c in names.columns])
@@ -133,6 +137,7 @@ def match_skills(raw: DataFrame, known: DataFrame, variants: DataFrame,
         .join(named("c"), F.when(F.col("_c").isNotNull(), F.col("_cn")) == F.col("c_known_norm"), "left")
         .join(named("s"), F.when(F.col("_sn") != "", F.col("_sn")) == F.col("s_known_norm"), "left")
     )
+    staged = cut_lineage(staged)
     settled = F.col("generic") | F.col("c_known_id").isNotNull() | F.col("s_known_id").isNotNull()
     open_texts = staged.filter(~settled).select(F.col("norm").alias("text"))
     fuzzy = best_known(
@@ -205,9 +210,9 @@ def reply_items(replies: DataFrame) -> DataFrame:
 
 def resolve_replies(replies: DataFrame, known: DataFrame, variants: DataFrame) -> dict[str, DataFrame]:
     """Parsed replies -> skills to append, (job, skill) links and canonical lists per job."""
-    items = with_canonical(reply_items(replies), variants)
+    items = cut_lineage(with_canonical(reply_items(replies), variants))
     asked = items.select(F.col("canonical").alias("skill"), "skill_type")
-    matches = match_skills(asked, known, variants)
+    matches = cut_lineage(match_skills(asked, known, variants))
     added = new_skills(matches, known, variants)
     final = with_canonical(matches, variants, "skill", "skill_type").withColumn(
         "_key", normalize_skill(F.when(F.col("found"), F.col("canonical")).otherwise(F.col("norm")))

@@ -12,8 +12,7 @@ from skillweft.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "skillweft-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-           "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
