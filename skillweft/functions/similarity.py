@@ -98,11 +98,14 @@ def skill_score(a: str, b: str, threshold: float) -> float:
     """Word-set score if it reaches the threshold, else the window score if that does, else 0."""
     if a == b:
         return 100.0
-    score = token_set_ratio(a, b)
+    shared, size = lcs_length(a, b), min(len(a), len(b))
+    if " " in a or " " in b:
+        score = token_set_ratio(a, b)
+    else:  # one word each: the word-set score is the plain ratio
+        score = 200.0 * shared / (len(a) + len(b)) if a and b else 0.0
     if score >= threshold:
         return score
     # no window shares more letters than the whole texts do
-    shared, size = lcs_length(a, b), min(len(a), len(b))
     if 200.0 * shared < threshold * (size + shared):
         return 0.0
     score = partial_ratio(a, b)

@@ -16,6 +16,7 @@ from skillweft.operators.facets import blank, present
 from skillweft.operators.lookups import companies_to_enrich, latest_url
 from skillweft.operators.ordering import percent
 from skillweft.operators.rewrite import update_by_key, upsert
+from skillweft.session import cut_lineage
 
 
 def url_work_list(jobs: DataFrame) -> DataFrame:
@@ -133,9 +134,9 @@ def size_by_name(names: DataFrame, jobs: DataFrame) -> DataFrame:
 
     Among several companies the one with the smallest job id decides.
     """
-    known = jobs.filter(present("company") & present("employee_size")).groupBy(
+    known = cut_lineage(jobs.filter(present("company") & present("employee_size")).groupBy(
         F.lower(F.trim("company")).alias("text")
-    ).agg(F.min_by("employee_size", "id").alias("size"), F.min("id").alias("first_id"))
+    ).agg(F.min_by("employee_size", "id").alias("size"), F.min("id").alias("first_id")))
     wanted = names.select("name", F.lower(F.trim("name")).alias("phrase")).distinct()
     exact = wanted.join(known, F.col("phrase") == F.col("text")).select("name", "size")
     rest = wanted.join(exact.select("name"), "name", "left_anti")

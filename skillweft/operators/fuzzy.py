@@ -2,15 +2,20 @@
 
 Why no match is lost.  Take a text of length n that is the longer one of a
 similar pair, or the one (almost) inside the other.  With a threshold of T
-percent at most ``lost = floor(2 * (100 - T) * n / 100)`` of its characters have
-no counterpart.  Cut its words into more than ``lost`` disjoint pieces: at least
-one piece is untouched, and so is one of any ``lost + 1`` pieces.  It is enough
-to join on the ``lost + 1`` rarest pieces, which keeps frequent pieces out of the
-join.  Either text of a pair can be the one that was cut, so both directions run.
+percent it differs from its counterpart, which has n, n - 1 or fewer letters, by
+at most (100 - T) / 100 of the letters of both, counted as insertions and
+deletions; their number is even for equal lengths and odd for a difference of
+one.  ``edit_limit`` is the largest such number.  Cut the words of the text into
+more pieces than that: at least one is untouched, and so is one of any
+``limit + 1`` pieces.  It is enough to join on the ``limit + 1`` rarest pieces,
+which keeps frequent pieces out of the join.  Either text of a pair can be the
+one that was cut, so both directions run.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skillweft.functions.similarity import skill_score_udf, token_sort_udf
@@ -18,13 +23,47 @@ from skillweft.functions.skills import synonym
 from skillweft.operators.containment import pieces
 
 
-def letter_mask(text: Column) -> Column:
-    """Set of the letters in a text as bits of a long."""
-    bits = F.transform(
-        F.split(F.replace(text, F.lit(" "), F.lit("")), ""),
-        lambda c: F.pow(F.lit(2), F.ascii(c) % 52).cast("bigint"),
-    )
-    return F.aggregate(F.array_distinct(bits), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+_BITS = 62
+
+
+def edit_limit(length: Column, threshold: int) -> Column:
+    """Most insertions and deletions that a text of this length survives."""
+    slack = 100 - threshold
+    equal = F.floor(length * 2 * slack / 100)
+    shorter = F.floor((2 * length - 1) * slack / 100)
+    return F.greatest(
+        equal - equal % 2, shorter - (shorter + 1) % 2, loss_limit(length, threshold), F.lit(0)
+    ).cast("int")
+
+
+def loss_limit(length: Column, threshold: int) -> Column:
+    """Most letters of the text that the other text may lack."""
+    return F.floor(length * (200 - 2 * threshold) / (200 - threshold)).cast("int")
+
+
+def piece_masks(found: Column) -> list[Column]:
+    """Set of text pieces as bits of two longs."""
+
+    def half(which: int) -> Column:
+        spots = F.transform(found, lambda p: F.pmod(F.hash(p), F.lit(2 * _BITS)) - which * _BITS)
+        mine = F.filter(spots, lambda i: (i >= 0) & (i < _BITS))
+        one = F.lit(1).cast("bigint")
+        return F.aggregate(
+            mine, F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", one, i))
+        )
+
+    return [half(0), half(1)]
+
+
+def _missing(mine: str, theirs: str) -> Column:
+    """Lower bound of the pieces of one mask that the other text lacks."""
+    return reduce(lambda a, b: a + b, [
+        F.bit_count(F.col(f"{mine}{i}").bitwiseAND(F.bitwise_not(f"{theirs}{i}"))) for i in (0, 1)
+    ])
+
+
+def _mask_columns(found: Column, name: str) -> list[Column]:
+    return [m.alias(f"{name}{i}") for i, m in enumerate(piece_masks(found))]
 
 
 def _cut_word(word: Column, size: int) -> Column:
@@ -41,17 +80,24 @@ def _cut_words(words: Column, size: int) -> Column:
 
 
 def cut_pieces(texts: DataFrame, threshold: int) -> DataFrame:
-    """(text, lost, pieces, pairs): disjoint pieces as long as their number allows, and two-letter ones."""
+    """(text, lost, pieces) with disjoint pieces as long as their number allows, and masks of the letters
+    and of two ways to cut the words into two-letter pieces."""
     words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))
     rows = texts.select("text").distinct().withColumn("words", words).filter(F.size("words") > 0)
+    tails = F.filter(F.transform("words", lambda w: F.substr(w, F.lit(2))), lambda w: w != "")
     rows = rows.select(
-        "text", F.floor(F.length("text") * 2 * (100 - threshold) / 100).cast("int").alias("lost"),
+        "text", edit_limit(F.length("text"), threshold).alias("lost"),
+        loss_limit(F.length("text"), threshold).alias("gone"),
         *[_cut_words(F.col("words"), n).alias(f"cut{n}") for n in (1, 2, 3)],
+        _cut_words(tails, 2).alias("shifted"),
     )
     chosen = F.when(F.size("cut3") > F.col("lost"), F.col("cut3")).when(
         F.size("cut2") > F.col("lost"), F.col("cut2")
     ).otherwise(F.col("cut1"))  # texts that repeat one word have too few pieces: then every letter is a key
-    return rows.select("text", "lost", chosen.alias("pieces"), F.col("cut2").alias("pairs"))
+    return rows.select(
+        "text", "lost", "gone", chosen.alias("pieces"), *_mask_columns(F.col("cut1"), "letters"),
+        *_mask_columns(F.col("cut2"), "pairs"), *_mask_columns(F.col("shifted"), "shifted"),
+    )
 
 
 def rare_pieces(cut: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -64,21 +110,21 @@ def rare_pieces(cut: DataFrame, frequency: DataFrame) -> DataFrame:
 
 def _one_direction(source: DataFrame, target: DataFrame, threshold: int) -> DataFrame:
     held = target.select("text").distinct().select(
-        F.col("text").alias("other"), letter_mask(F.col("text")).alias("other_mask"),
-        F.explode(pieces(F.col("text"))).alias("piece"),
+        F.col("text").alias("other"), *_mask_columns(pieces(F.col("text"), (1,)), "other_letters"),
+        *_mask_columns(pieces(F.col("text"), (1, 2)), "other_pairs"), F.explode(pieces(F.col("text"))).alias("piece"),
     )
     cut = cut_pieces(source, threshold)
     exploded = cut.select("text", "lost", F.explode("pieces").alias("piece"))
     wanted = exploded.select("piece").distinct()
-    frequency = held.join(wanted, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    keys = rare_pieces(exploded, frequency).join(
-        cut.select("text", "lost", "pairs", letter_mask(F.col("text")).alias("mask")), "text"
+    frequency = held.select("piece").join(wanted, "piece", "left_semi").groupBy("piece").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    # cheap tests before any scoring: letters that are missing, two-letter pieces that survive
-    missing = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("other_mask")))
-    kept = F.size(F.filter("pairs", lambda p: F.contains(F.col("other"), p)))
-    near = keys.join(held, "piece").filter(missing <= F.col("lost")).filter(
-        kept >= F.size("pairs") - F.col("lost")
+    keys = rare_pieces(exploded, frequency).join(cut.drop("pieces"), "text")
+    # bit counts before any scoring: no more pieces may be missing than edits are allowed
+    near = keys.join(held, "piece").filter(
+        (_missing("letters", "other_letters") <= F.col("gone"))
+        & (_missing("pairs", "other_pairs") <= F.col("lost"))
+        & (_missing("shifted", "other_pairs") <= F.col("lost"))
     )
     return near.select("text", "other")
 

@@ -10,6 +10,7 @@ from skillweft.functions.text import iso_date_or
 from skillweft.functions.titles import clean_title, is_target_role
 from skillweft.operators.rewrite import append_absent
 from skillweft.operators.titles import match_keyword
+from skillweft.session import cut_lineage
 
 
 def cards(pages: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def postings_from_cards(found: DataFrame, keywords: DataFrame, today: Column) ->
 
 def new_postings(pages: DataFrame, jobs: DataFrame, keywords: DataFrame, today: Column) -> DataFrame:
     """Rows to append: the first card per link that is not stored yet."""
-    rows = postings_from_cards(cards(pages), keywords, today)
+    # pages are parsed once: the cards are far smaller than the pages and feed several joins
+    rows = postings_from_cards(cut_lineage(cards(pages)), keywords, today)
     return append_absent(jobs, rows, "link", F.struct("page_id", "pos")).drop("page_id", "pos")
 
 

@@ -14,6 +14,7 @@ from skillweft.functions.titles import clean_title
 from skillweft.operators.containment import contained_phrases
 from skillweft.operators.ordering import percent, top_per_group
 from skillweft.operators.resolve import with_canonical
+from skillweft.session import cut_lineage
 
 
 def matching_titles(targets: DataFrame, jobs: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def matching_titles(targets: DataFrame, jobs: DataFrame, keywords: DataFrame) ->
     )
     sized = "employee_size" in targets.columns
     group_keys = ["keyword_id", "job_title", *(["employee_size"] if sized else [])]
-    groups = jobs.select(*group_keys).distinct().withColumnRenamed("job_title", "title")
+    # every search stage looks at the same few distinct titles: find them in one pass over the jobs
+    groups = cut_lineage(jobs.select(*group_keys).distinct().withColumnRenamed("job_title", "title"))
     if sized:
         groups = groups.withColumnRenamed("employee_size", "size")
     texts = groups.select(F.lower("title").alias("text")).distinct()
@@ -87,7 +89,7 @@ def demand(
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("size", F.coalesce("size", F.lit("\0"))) if sized else df
 
-    matched = keyed(matching_titles(targets, jobs, keywords))
+    matched = cut_lineage(keyed(matching_titles(targets, jobs, keywords)))
     job_counts = keyed(groups).groupBy(*keys).agg(F.count(F.lit(1)).alias("jobs"))
     totals = matched.join(job_counts, keys).groupBy("target_id").agg(F.sum("jobs").alias("total_jobs"))
     used = matched.select(*keys).distinct()
@@ -108,11 +110,12 @@ def demand(
         named, ["target_id", "skill_type"], [F.desc("demand"), F.asc("name"), F.asc("skill_id")], per_type
     )
     norm = F.coalesce(F.nullif("normalized_name", F.lit("")), normalize_skill(F.col("name")))
+    # at most three lists of ``per_type`` skills per target, used by scores and details
     merged = best.withColumn("norm", norm).filter(F.col("norm") != "").groupBy("target_id", "norm").agg(
         F.max("demand").alias("demand"),
         F.min_by("name", F.struct(F.length("name"), F.col("name"))).alias("name"),
     )
-    return merged.join(totals, "target_id")
+    return cut_lineage(merged.join(totals, "target_id"))
 
 
 def user_norms(user_skills: DataFrame, variants: DataFrame) -> DataFrame:

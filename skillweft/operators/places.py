@@ -10,6 +10,7 @@ from skillweft.dictionaries import (
 )
 from skillweft.functions.text import alternation, first_contained, one_of_pairs, squeeze, strip, title_case
 from skillweft.operators.containment import longest_phrase, whole_word_phrases
+from skillweft.session import cut_lineage
 
 
 def short_place(location: Column) -> Column:
@@ -42,7 +43,7 @@ def resolve_parts(parts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     cities = gazetteer.select(F.col("name").alias("phrase")).distinct()
     provinces = gazetteer.select(F.col("province").alias("phrase")).distinct()
     second = strip(F.regexp_replace("text", PLACE_SECOND_PREFIX_PATTERN, ""))
-    rows = parts.select("text").distinct().withColumn("second", second)
+    rows = cut_lineage(parts.select("text").distinct().withColumn("second", second))
     direct = (
         rows.join(cities.select(F.col("phrase").alias("c1")), F.col("text") == F.col("c1"), "left")
         .join(cities.select(F.col("phrase").alias("c2")), F.col("second") == F.col("c2"), "left")
@@ -68,7 +69,7 @@ def normalize_locations(df: DataFrame, gazetteer: DataFrame, column: str = "loca
     the first part, else 'other'.  Work is done once per distinct raw text.
     """
     raw = df.select(F.col(column).alias("raw")).filter(F.col("raw") != "").distinct()
-    listed = raw.select("raw", location_parts(F.col("raw")).alias("parts"))
+    listed = cut_lineage(raw.select("raw", location_parts(F.col("raw")).alias("parts")))
     part = F.col("part")
     exploded = listed.select("raw", F.posexplode("parts").alias("pos", "part")).filter(
         F.upper("part") != LOCATION_COUNTRY.upper()

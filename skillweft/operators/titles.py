@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from skillweft.dictionaries import TITLE_REASON_EXCLUDED, TITLE_REASON_REJECTED
 from skillweft.functions.titles import clean_title, is_excluded
 from skillweft.operators.containment import contained_words
+from skillweft.session import cut_lineage
 
 
 def match_keyword(titles: DataFrame, keywords: DataFrame, title: str = "job_title") -> DataFrame:
@@ -15,7 +16,7 @@ def match_keyword(titles: DataFrame, keywords: DataFrame, title: str = "job_titl
     The longest keyword wins, then the lowest id.  Matching runs on distinct
     lower-case titles.
     """
-    texts = titles.select(F.lower(title).alias("text"))
+    texts = cut_lineage(titles.select(F.lower(title).alias("text")).distinct())
     known = keywords.select("id", "keyword", F.lower("keyword").alias("phrase"))
     best = (
         contained_words(texts, known).join(known, "phrase")

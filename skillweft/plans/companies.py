@@ -12,6 +12,7 @@ from skillweft.operators.facets import present
 from skillweft.plans import sqltext as q
 from skillweft.plans.registry import query
 from skillweft.roles import with_roles
+from skillweft.sources.readers import spread
 
 VALID = ", ".join(map(q.lit, sz.VALID_SIZES))
 NAMES = """SELECT c_custkey, 'PT ' || replace(c_name, '#', ' ') || ' (' || c_mktsegment || ') | ' || c_mktsegment
@@ -288,7 +289,7 @@ def enrich_companies(t):
 def job_pages(t):
     """A posting page per job that shows the company address in one of several ways."""
     url, key = F.coalesce("company_url", F.lit("")), F.col("id") % 5
-    return t.jobs.select(F.col("id").alias("job_id"), F.concat(
+    return spread(t.jobs, t.table("orders")).select(F.col("id").alias("job_id"), F.concat(
         F.lit("<html><body><h1>Job</h1><a href='/jobs'>all</a>"),
         F.when(key == 0, F.concat(F.lit('<a class="x" href="'), url, F.lit('?lipi=1">c</a>')))
         .when(key == 1, F.concat(F.lit('<script type="application/ld+json">[{"a": 1}, {"hiringOrganization": {"url": "'),
@@ -337,7 +338,7 @@ def apply_links(t):
 @query("href_scan", r"""
     SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1)) AS href FROM pages""")
 def href_scan(t):
-    return t.table("pages").select("page_id", F.explode(ht.hrefs(F.col("html"))).alias("href"))
+    return t.texts("pages").select("page_id", F.explode(ht.hrefs(F.col("html"))).alias("href"))
 
 
 @query("page_text", r"""
@@ -347,7 +348,7 @@ def href_scan(t):
         '&quot;', '"'), '&#34;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'),
         '\s+', ' ', 'g')) AS text FROM pages""")
 def page_text(t):
-    return t.table("pages").select("page_id", ht.visible_text(F.col("html")).alias("text"))
+    return t.texts("pages").select("page_id", ht.visible_text(F.col("html")).alias("text"))
 
 
 @query("page_login_walls", r"""
@@ -355,14 +356,14 @@ def page_text(t):
     FROM (SELECT page_id, lower(trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS t FROM pages)""")
 def page_login_walls(t):
     text = F.regexp_replace("html", r"(?s)<[^>]*>", " ")
-    return t.table("pages").select("page_id", cf.is_login_wall(text).alias("blocked"))
+    return t.texts("pages").select("page_id", cf.is_login_wall(text).alias("blocked"))
 
 
 @query("page_descriptions")
 def page_descriptions(t):
     """Descriptions by selector, pages wrapped as posting pages."""
     wrapped = F.concat(F.lit('<div class="description">'), ht.visible_text(F.col("html")), F.lit("</div>"))
-    return t.table("pages").select("page_id", ht.posting_description(wrapped).alias("description"))
+    return t.texts("pages").select("page_id", ht.posting_description(wrapped).alias("description"))
 
 
 _STAFF = "CAST(floor(abs(c_acctbal)) AS BIGINT)"

@@ -97,7 +97,7 @@ def fuzzy_words(t):
     def words(df):
         return df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))).alias("text"))
 
-    raw = words(t.table("conversations")).distinct()
+    raw = words(t.texts("conversations")).distinct()
     known = words(t.table("benchmark")).groupBy("text").agg(F.min(F.length("text")).alias("n"))
     numbered = known.select(F.xxhash64("text").alias("id"), "text")
     return fz.best_known(raw, numbered).select("text", "known_text", "score")

@@ -24,7 +24,7 @@ LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documen
 
 def lines(t):
     """Every line of every document."""
-    return t.table("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return t.texts("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
 
 def keyword_table(t):
@@ -62,7 +62,7 @@ def light_keys(t):
                       ELSE 'unknown' END AS label, count(*) AS cnt
     FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY ALL""")
 def classify_words(t):
-    words = t.table("documents").select(
+    words = t.texts("documents").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")
     )
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
@@ -75,7 +75,7 @@ def classify_words(t):
     ) + """ END) AS synonym
     FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations)""")
 def synonym_words(t):
-    words = t.table("conversations").select(
+    words = t.texts("conversations").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")
     ).distinct()
     return words.select("word", sk.synonym(F.col("word")).alias("synonym"))
@@ -134,7 +134,7 @@ def normalize_titles_query(t):
     GROUP BY l.line""")
 def match_words_in_sentences(t):
     """Words of the benchmark texts as keywords, sentences as titles."""
-    sentences = t.table("conversations").select(
+    sentences = t.texts("conversations").select(
         F.explode(F.split("text", r"\. ")).alias("line")
     ).select(F.lower("line").alias("line")).distinct()
     words = t.table("benchmark").select(
@@ -151,7 +151,7 @@ def match_words_in_sentences(t):
           FROM benchmark) w ON w.word = c.word
     GROUP BY ALL""")
 def phrase_in_text(t):
-    texts = t.table("conversations").select("conv_id", "turn", F.lower("text").alias("text"))
+    texts = t.texts("conversations").select("conv_id", "turn", F.lower("text").alias("text"))
     words = t.table("benchmark").select(F.explode(ct.words_of(F.lower("text"))).alias("phrase"))
     best = ct.longest_phrase(ct.whole_word_phrases(texts, words))
     return texts.join(best, "text").select("conv_id", "turn", "phrase")
@@ -321,7 +321,7 @@ def tokens_delimited_one_type(t):
                  list_transform(string_split(text, ' '), lambda x: trim(replace(lower(x), '-', ' '))) AS k
           FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations))""")
 def keep_first_words(t):
-    rows = t.table("conversations").select(
+    rows = t.texts("conversations").select(
         "conv_id", "turn", F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ").alias("w")
     )
     return rows.select("conv_id", "turn", sk.dedup_keep_first(F.col("w")).alias("words"))
@@ -334,7 +334,7 @@ def turn_replies(t):
         F.filter(words, lambda w: F.length(w) > 6).alias("tech_stack"),
         F.filter(words, lambda w: F.length(w) <= 6).alias("technical_skill"),
     ))
-    rows = t.table("conversations").select(
+    rows = t.texts("conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("job_id"), "conv_id", "turn", "text",
         F.concat(F.lit("```json\nresult: "), body, F.lit("\n```")).alias("reply"),
     )

@@ -167,7 +167,7 @@ def list_pages(t):
               '<a href="/c">'), text("company"), F.lit('</a></h4><span class="job-search-card__location"> '), text("location"),
         F.lit(' </span><time datetime="'), F.date_format("posted_date", "yyyy-MM-dd"), F.lit('">new</time></div></li></ul></body></html>'),
     )
-    return t.jobs.select(F.col("id").alias("page_id"), "keyword_id", page.alias("html"))
+    return rd.spread(t.jobs, t.table("orders")).select(F.col("id").alias("page_id"), "keyword_id", page.alias("html"))
 
 
 _CARDS = """SELECT id, coalesce(company, '') AS company, coalesce(location, '') AS location, posted_date, keyword_id,

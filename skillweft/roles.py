@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillweft.dictionaries import SKILL_TYPES
-from skillweft.sources.readers import read_table
+from skillweft.sources.readers import read_table, spread
 
 SQL = {
     "skill_types": """
@@ -130,6 +130,10 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
 
+    def texts(self, name: str) -> DataFrame:
+        """A table whose rows are costly to work on, read with all cores."""
+        return spread(self.table(name))
+
     @cached_property
     def skill_types(self) -> DataFrame:
         rows = [(i, name, text) for i, (name, text) in enumerate(SKILL_TYPES, 1)]
