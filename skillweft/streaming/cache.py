@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skillweft.session import cut_lineage
-from skillweft.streaming.feeds import _read_or_empty, batch_writer, run_available
+from skillweft.streaming.feeds import batch_writer, read_before, run_available
 
 
 def _after(fetched: Column, days: int) -> Column:
@@ -70,8 +70,9 @@ def run_cache(requests: DataFrame, path: str, checkpoint: str, days: int = 30) -
 
     def each(df: DataFrame, batch: int) -> None:
         empty = spark.createDataFrame([], schema)
-        written = _read_or_empty(spark, f"{path}/stored", empty.schema)
-        stored = written.filter(F.col("batch") == batch - 1).select("key", "at", "size")
+        written = read_before(spark, f"{path}/stored", empty.schema, batch)
+        last = written.agg(F.max("batch").alias("b")).scalar()
+        stored = written.filter(F.col("batch") == last).select("key", "at", "size")
         answers, latest = answer(df, cut_lineage(stored), days)
         batch_writer(f"{path}/answers")(answers, batch)
         batch_writer(f"{path}/stored")(latest, batch)

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skillweft.operators.rewrite import append_absent
 
@@ -74,19 +75,20 @@ def ingest_feed(stream: DataFrame, path: str, checkpoint: str, key: str, order:
 
     def each(df: DataFrame, batch: int) -> None:
         # rows of an earlier, interrupted run of this batch must not count as known
-        stored = _read_or_empty(spark, path, df.schema).filter(F.col("batch") < batch)
+        stored = read_before(spark, path, df.schema, batch)
         batch_writer(path)(append_absent(stored, df, key, order), batch)
 
     return run_available(stream, checkpoint, each)
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
-    return spark.read.schema(schema.add("batch", "int") if "batch" not in schema.names else schema).option(
-        "basePath", path).parquet(path)
+def read_before(spark: SparkSession, path: str, schema: StructType, batch: int) -> DataFrame:
+    """Rows that earlier batches wrote, with their batch number; nothing when there is no table yet."""
+    numbered = StructType([f for f in schema.fields if f.name != "batch"] + [StructField("batch", IntegerType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], numbered)
+    rows = spark.read.schema(numbered).option("basePath", path).parquet(path)
+    return rows.filter(F.col("batch") < batch)
 
 
 def run_queue(

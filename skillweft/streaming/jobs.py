@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from skillweft.operators.companies import propagate_sizes
 from skillweft.operators.ingest import new_postings
 from skillweft.operators.resolve import resolve_replies
 from skillweft.session import cut_lineage
-from skillweft.streaming.feeds import _read_or_empty, batch_writer, chain, run_available
+from skillweft.streaming.feeds import batch_writer, chain, read_before, run_available
 
 
 def run_ingest_chain(
@@ -23,8 +24,8 @@ def run_ingest_chain(
     spark = pages.sparkSession
 
     def ingest(df: DataFrame, batch: int) -> DataFrame:
-        links = _read_or_empty(spark, f"{path}/jobs", spark.createDataFrame([], "link STRING").schema)
-        stored = links.filter(F.col("batch") < batch).select("link")
+        links = StructType([StructField("link", StringType())])
+        stored = read_before(spark, f"{path}/jobs", links, batch).select("link")
         return cut_lineage(new_postings(df, stored, keywords, today))
 
     def size(jobs: DataFrame, batch: int) -> DataFrame:
