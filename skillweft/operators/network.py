@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skillweft.operators.facets import Facets, select_links
 from skillweft.operators.lookups import exact_else_contains
 from skillweft.operators.ordering import top_n
+from skillweft.operators.rankings import jobs_for
 
 
 def seed_skill(skills: DataFrame, text: str) -> DataFrame:
@@ -24,7 +25,7 @@ def neighbours(t, text: str, facets: Facets, n: int = 20, exclude_by: str = "id"
     seed = seed_skill(t.skills, text)
     seed_id, seed_name = seed.select("id").scalar(), seed.select("name").scalar()
     holders = select_links(
-        t.job_skills.filter(F.col("skill_id") == seed_id), t.jobs, t.job_analysis, facets
+        t.job_skills.filter(F.col("skill_id") == seed_id), jobs_for(t, facets), t.job_analysis, facets
     ).select("job_id")
     weights = (
         t.job_skills.join(holders, "job_id", "left_semi")
@@ -53,7 +54,7 @@ def node_frequencies(t, text: str, links: DataFrame, facets: Facets) -> DataFram
     ids = t.skills.join(names, "name", "left_semi").select(F.col("id").alias("skill_id"), "name")
     wanted = t.job_skills.join(ids, "skill_id", "left_semi")
     counts = (
-        select_links(wanted, t.jobs, t.job_analysis, facets)
+        select_links(wanted, jobs_for(t, facets), t.job_analysis, facets)
         .groupBy("skill_id").agg(F.count(F.lit(1)).alias("cnt"))
         .join(ids, "skill_id").groupBy("name").agg(F.sum("cnt").alias("cnt"))
     )

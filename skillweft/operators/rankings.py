@@ -20,6 +20,12 @@ def total_of(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
+def jobs_for(t, facets: Facets) -> DataFrame:
+    """The narrowest job table the facets need: company columns are joined only for company facets."""
+    narrow = getattr(t, "postings", None)
+    return t.jobs if narrow is None or facets.companies or facets.sizes else narrow
+
+
 def of_types(skills: DataFrame, types: tuple[str, ...]) -> DataFrame:
     return skills.filter(F.col("skill_type").isin(*types)) if types else skills
 
@@ -44,14 +50,14 @@ def skill_counts(
 
 
 def top_skills(t, facets: Facets, n: int = 20) -> DataFrame:
-    counts = skill_counts(t.job_skills, t.jobs, t.job_analysis, t.skills, facets)
+    counts = skill_counts(t.job_skills, jobs_for(t, facets), t.job_analysis, t.skills, facets)
     order = [F.desc("cnt"), F.asc("skill_id")]
     return top_n(counts, order, n).select("skill_id", "name", "skill_type", "cnt")
 
 
 def top_skills_ranked(t, facets: Facets, n: int = 20) -> DataFrame:
     """Grouped by (name, type); percentages are shares of the rows shown."""
-    counts = skill_counts(t.job_skills, t.jobs, t.job_analysis, t.skills, facets)
+    counts = skill_counts(t.job_skills, jobs_for(t, facets), t.job_analysis, t.skills, facets)
     grouped = counts.groupBy("name", "skill_type").agg(F.sum("cnt").alias("cnt"))
     shown = ranked_top_n(grouped, [F.desc("cnt"), F.asc("name"), F.asc("skill_type")], n)
     return shown.withColumn(
@@ -61,7 +67,7 @@ def top_skills_ranked(t, facets: Facets, n: int = 20) -> DataFrame:
 
 def top_of_type_multi(t, facets: Facets, n: int = 10) -> DataFrame:
     """One skill type, several values per facet: ordered by distinct jobs, shows link counts."""
-    links = select_links(t.job_skills, t.jobs, t.job_analysis, facets)
+    links = select_links(t.job_skills, jobs_for(t, facets), t.job_analysis, facets)
     named = of_types(t.skills, facets.skill_types).select(F.col("id").alias("skill_id"), "name")
     counts = (
         # per (name, job) first: a name shared by many ids never meets its jobs in one task
@@ -69,7 +75,7 @@ def top_of_type_multi(t, facets: Facets, n: int = 10) -> DataFrame:
         .groupBy("name", "job_id").agg(F.count(F.lit(1)).alias("rows"))
         .groupBy("name").agg(F.sum("rows").alias("cnt"), F.count(F.lit(1)).alias("jobs"))
     )
-    total = total_of(select_jobs(t.jobs, t.job_analysis, facets))
+    total = total_of(select_jobs(jobs_for(t, facets), t.job_analysis, facets))
     shown = ranked_top_n(counts, [F.desc("jobs"), F.asc("name")], n)
     return shown.withColumn("total_jobs", total).withColumn(
         "percentage", percent(F.col("cnt"), F.col("total_jobs"))
@@ -78,8 +84,8 @@ def top_of_type_multi(t, facets: Facets, n: int = 10) -> DataFrame:
 
 def top_by_type(t, facets: Facets, n: int | None = 10) -> DataFrame:
     """Skills of one type with the share of the selected jobs; all of them when ``n`` is None."""
-    counts = skill_counts(t.job_skills, t.jobs, t.job_analysis, t.skills, facets)
-    total = total_of(select_jobs(t.jobs, t.job_analysis, facets))
+    counts = skill_counts(t.job_skills, jobs_for(t, facets), t.job_analysis, t.skills, facets)
+    total = total_of(select_jobs(jobs_for(t, facets), t.job_analysis, facets))
     order = [F.desc("job_count"), F.asc("skill_name"), F.asc("skill_id")]
     rows = counts.select(
         "skill_id", F.col("name").alias("skill_name"), "skill_type", F.col("cnt").alias("job_count")
@@ -91,14 +97,14 @@ def top_by_type(t, facets: Facets, n: int | None = 10) -> DataFrame:
 
 
 def by_category(t, facets: Facets) -> DataFrame:
-    counts = skill_counts(t.job_skills, t.jobs, t.job_analysis, t.skills, facets)
+    counts = skill_counts(t.job_skills, jobs_for(t, facets), t.job_analysis, t.skills, facets)
     return counts.groupBy("skill_type").agg(F.sum("cnt").alias("cnt"))
 
 
 def distribution(t, facets: Facets, types: tuple[str, ...], n: int = 5) -> DataFrame:
     """Per requested type: total, share of the requested types and its top-n names as a list."""
     chosen = Facets(**{**facets.__dict__, "skill_types": types})
-    counts = skill_counts(t.job_skills, t.jobs, t.job_analysis, t.skills, chosen)
+    counts = skill_counts(t.job_skills, jobs_for(t, chosen), t.job_analysis, t.skills, chosen)
     by_name = counts.groupBy("skill_type", "name").agg(F.sum("cnt").alias("cnt"))
     totals = counts.groupBy("skill_type").agg(F.sum("cnt").alias("total"))
     return nested_top(by_name, totals, t.skill_types, types, n)
@@ -153,7 +159,7 @@ def top_companies(
     """Companies that ask for one skill; share of all jobs with that skill."""
     seed = skill_by_normalized_name(t.skills, skill).scalar()
     holders = select_links(
-        t.job_skills.filter(F.col("skill_id") == seed), t.jobs, t.job_analysis, facets
+        t.job_skills.filter(F.col("skill_id") == seed), jobs_for(t, facets), t.job_analysis, facets
     ).select("job_id")
     rows = t.jobs.join(holders, F.col("id") == F.col("job_id"), "left_semi")
     counts = rows.filter(present("company")).groupBy(*by).agg(F.count(F.lit(1)).alias("job_count"))

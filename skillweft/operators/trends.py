@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skillweft.operators.facets import Facets, filter_rows, select_jobs
 from skillweft.operators.ordering import top_per_group
-from skillweft.operators.rankings import of_types
+from skillweft.operators.rankings import jobs_for, of_types
 
 
 def month_key(column: str = "posted_date") -> Column:
@@ -26,7 +26,7 @@ def monthly_skill_counts(t, facets: Facets, by: tuple[str, ...] = ("name", "skil
     The bridge meets the jobs on job_id and is reduced to one row per month and
     skill id before the skill dimension is joined.
     """
-    jobs = select_jobs(t.jobs, t.job_analysis, facets).filter(F.col("posted_date").isNotNull())
+    jobs = select_jobs(jobs_for(t, facets), t.job_analysis, facets).filter(F.col("posted_date").isNotNull())
     dated = jobs.select(F.col("id").alias("job_id"), month_key().alias("month"))
     per_id = t.job_skills.join(dated, "job_id").groupBy("month", "skill_id").agg(
         F.count(F.lit(1)).alias("cnt")
@@ -77,12 +77,12 @@ def top_per_month(t, facets: Facets, n: int | None = 5) -> DataFrame:
         counts, ["month"], [F.desc("cnt"), F.asc("name"), F.asc("skill_id")], n
     )
     typeless = Facets(**{**facets.__dict__, "skill_types": ()})
-    totals = job_totals_per_month(select_jobs(t.jobs, t.job_analysis, typeless))
+    totals = job_totals_per_month(select_jobs(jobs_for(t, typeless), t.job_analysis, typeless))
     return totals.join(ranked, "month", "left")
 
 
 def nest_months(ranked: DataFrame) -> DataFrame:
-    """One row per month with its ranked skills as a list."""
+    """One row per month with its skills as a list; for rankings with a limit."""
     entry = F.struct("rank", "name", "skill_type", "cnt")
     return ranked.groupBy("month", "total_jobs").agg(
         F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), entry))).alias("skills")
@@ -92,7 +92,7 @@ def nest_months(ranked: DataFrame) -> DataFrame:
 def skill_series(t, name: str, facets: Facets) -> DataFrame:
     """Months in which one skill (lowest id with that name) was asked for."""
     seed = t.skills.filter(F.col("name") == name).agg(F.min("id").alias("id")).scalar()
-    jobs = select_jobs(t.jobs, t.job_analysis, facets).filter(F.col("posted_date").isNotNull())
+    jobs = select_jobs(jobs_for(t, facets), t.job_analysis, facets).filter(F.col("posted_date").isNotNull())
     hits = t.job_skills.filter(F.col("skill_id") == seed)
     dated = jobs.select(F.col("id").alias("job_id"), month_key().alias("month"))
     return dated.join(hits, "job_id").groupBy("month").agg(F.count(F.lit(1)).alias("cnt"))

@@ -277,13 +277,14 @@ def source_priority(t):
 
 @query("enrich_companies", with_roles("""
     SELECT company_name, employee_size, linkedin_slug, source FROM company_enrichment
-    UNION ALL SELECT company, NULL, nullif(regexp_extract(url, '/company/([^/?#]+)', 1), ''), 'enriched'
+    UNION ALL SELECT company, (SELECT max(size) FROM v WHERE v.company = n.company),
+                     nullif(regexp_extract(url, '/company/([^/?#]+)', 1), ''), 'enriched'
     FROM (SELECT company, arg_max(company_url, id) FILTER (company_url <> '') AS url FROM jobs
           WHERE company NOT IN ('', 'N/A') AND company NOT IN (SELECT company_name FROM company_enrichment)
-          GROUP BY company)""", "jobs", "company_enrichment"))
+          GROUP BY company) n""", "jobs", "company_enrichment", v=_VERIFIED))
 def enrich_companies(t):
-    none = t.jobs.select("company", F.lit(None).cast("string").alias("employee_size")).limit(0)
-    return co.enrich(t.jobs, t.company_enrichment, none)
+    sizes = verified(t).select("company", F.col("size").alias("employee_size"))
+    return co.enrich(t.jobs, t.company_enrichment, sizes)
 
 
 def job_pages(t):

@@ -178,11 +178,11 @@ def months_and_years(t):
 
 
 @query("skill_type_list", with_roles("""
-    SELECT id, name, coalesce(nullif(description, ''), name) AS description FROM skill_types""", "skill_types"))
+    SELECT ty.id, ty.name, coalesce(nullif(ty.description, ''), ty.name) AS description, count(s.id) AS skill_count
+    FROM skill_types ty LEFT JOIN skills s ON s.skill_type = ty.name GROUP BY ALL""", "skill_types", "skills"))
 def skill_type_list(t):
-    return t.skill_types.select(
-        "id", "name", F.coalesce(F.nullif("description", F.lit("")), "name").alias("description")
-    )
+    listed = rk.counts_with_zeros(t.skill_types, t.skills, "name", "skill_type", "skill_count")
+    return listed.withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "name"))
 
 
 @query("job_list", with_roles("""

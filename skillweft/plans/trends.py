@@ -21,7 +21,7 @@ MODEL = ("postings", "skills", "job_skills")
     FROM used WHERE keyword_id = 3 GROUP BY ALL ORDER BY month DESC LIMIT 12""", *MODEL, used=USED))
 def timeline_pivot(t):
     types = ("tech_stack", "technical_skill", "soft_skill")
-    return tr.timeline(_core(t), Facets.of(keyword_id=3), types, 12)
+    return tr.timeline(t, Facets.of(keyword_id=3), types, 12)
 
 
 @query("trend_monthly", with_roles("""
@@ -29,14 +29,14 @@ def timeline_pivot(t):
            month, name, skill_type, count(*) AS cnt
     FROM used WHERE skill_type = 'soft_skill' GROUP BY ALL""", *MODEL, used=USED))
 def trend_monthly(t):
-    return tr.year_and_month(tr.monthly_skill_counts(_core(t), Facets.of(skill_type="soft_skill")))
+    return tr.year_and_month(tr.monthly_skill_counts(t, Facets.of(skill_type="soft_skill")))
 
 
 @query("trend_named_skills", with_roles("""
     SELECT month, name, skill_type, count(*) AS cnt
     FROM used WHERE name IN ('red widget', 'BLUE BOLT') GROUP BY ALL""", *MODEL, used=USED))
 def trend_named_skills(t):
-    counts = tr.monthly_skill_counts(_core(t), Facets())
+    counts = tr.monthly_skill_counts(t, Facets())
     return counts.filter(F.col("name").isin("red widget", "BLUE BOLT"))
 
 
@@ -45,7 +45,7 @@ def trend_named_skills(t):
     WHERE skill_id = (SELECT min(id) FROM skills WHERE name = 'red widget') GROUP BY ALL""",
     *MODEL, used=USED))
 def skill_series(t):
-    return tr.skill_series(_core(t), "red widget", Facets())
+    return tr.skill_series(t, "red widget", Facets())
 
 
 @query("month_totals", with_roles("""
@@ -63,7 +63,7 @@ def month_totals(t):
                FROM (SELECT month, skill_id, name, skill_type, count(*) AS cnt FROM used GROUP BY ALL)
                QUALIFY rank <= 5) r USING (month)""", *MODEL, used=USED))
 def top_per_month(t):
-    return tr.top_per_month(_core(t), Facets.of(year=1998), 5)
+    return tr.top_per_month(t, Facets.of(year=1998), 5)
 
 
 @query("all_per_month_one_type", with_roles("""
@@ -76,7 +76,7 @@ def top_per_month(t):
     *MODEL, used=USED))
 def all_per_month_one_type(t):
     facets = Facets.of(year=1998, month="2,3", skill_type="tech_stack")
-    return tr.top_per_month(_core(t), facets, None)
+    return tr.top_per_month(t, facets, None)
 
 
 @query("month_spine", with_roles("""
@@ -90,7 +90,7 @@ def all_per_month_one_type(t):
               AND skill_type = 'tech_stack' GROUP BY ALL"""))
 def month_spine(t):
     facets = Facets.of(keyword_id=1, skill_type="tech_stack")
-    return tr.month_spine(tr.monthly_skill_counts(_core(t), facets, ("name",)), "name")
+    return tr.month_spine(tr.monthly_skill_counts(t, facets, ("name",)), "name")
 
 
 @query("month_spine_year_gaps", with_roles("""
@@ -104,7 +104,7 @@ def month_spine(t):
               AND skill_type = 'soft_skill' GROUP BY ALL"""))
 def month_spine_year_gaps(t):
     facets = Facets.of(keyword_id=1, skill_type="soft_skill")
-    counts = tr.monthly_skill_counts(_core(t), facets, ("name",))
+    counts = tr.monthly_skill_counts(t, facets, ("name",))
     return tr.month_spine(counts, "name", continuous=False, year=1996)
 
 
@@ -113,7 +113,7 @@ def month_spine_year_gaps(t):
     WHERE month IN (SELECT DISTINCT month FROM used ORDER BY month DESC LIMIT 6) GROUP BY ALL""",
     *MODEL, used=USED))
 def last_periods(t):
-    return tr.last_periods(tr.monthly_skill_counts(_core(t), Facets(), ("skill_type",)), "month", 6)
+    return tr.last_periods(tr.monthly_skill_counts(t, Facets(), ("skill_type",)), "month", 6)
 
 
 _CARD = "SELECT month, name, count(*) AS cnt FROM used WHERE skill_type = 'tech_stack' GROUP BY ALL"
@@ -130,7 +130,7 @@ _CARD = "SELECT month, name, count(*) AS cnt FROM used WHERE skill_type = 'tech_
           FROM counts GROUP BY name)""", *MODEL, used=USED, counts=_CARD))
 def trend_card(t):
     facets = Facets.of(skill_type="tech_stack")
-    return tr.trend_card(tr.monthly_skill_counts(_core(t), facets, ("name",)), "name")
+    return tr.trend_card(tr.monthly_skill_counts(t, facets, ("name",)), "name")
 
 
 @query("first_last_window", with_roles("""
@@ -141,7 +141,7 @@ def trend_card(t):
     *MODEL, used=USED, counts=_CARD))
 def first_last_window(t):
     facets = Facets.of(skill_type="tech_stack")
-    counts = tr.monthly_skill_counts(_core(t), facets, ("name",))
+    counts = tr.monthly_skill_counts(t, facets, ("name",))
     return tr.with_first_last(counts, "name").select("name", "month", "cnt", "first_cnt", "last_cnt")
 
 
@@ -169,16 +169,3 @@ def period_compare(t):
 def month_labels(t):
     months = t.postings.groupBy(tr.month_key().alias("month")).agg(F.count(F.lit(1)).alias("cnt"))
     return months.select("month", tr.month_label(F.col("month")).alias("label"), "cnt")
-
-
-class _core:
-    """The model with jobs limited to fact-table columns: trends need no company join."""
-
-    def __init__(self, t):
-        self.spark, self.jobs, self.job_skills = t.spark, t.postings, t.job_skills
-        self.skills, self.skill_types = t.skills, t.skill_types
-        self._roles = t
-
-    @property
-    def job_analysis(self):
-        return self._roles.job_analysis
