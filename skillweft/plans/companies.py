@@ -66,7 +66,12 @@ def slug_candidates(t):
     return names(t).select("c_custkey", F.explode(cf.slug_candidates(F.col("name"))).alias("slug"))
 
 
-@query("guessed_slugs")
+@query("guessed_slugs", rf"""
+    SELECT DISTINCT c_custkey, unnest([replace(clean, ' ', '-'), replace(short, ' ', '-'), split_part(short, ' ', 1),
+                                       split_part(short, ' ', 1) || '-' || split_part(short, ' ', 2)]) AS slug
+    FROM (SELECT c_custkey, clean, trim(regexp_replace(regexp_replace(clean, '\b(pt|tbk)\b', '', 'g'), '\s+', ' ', 'g')) AS short
+          FROM (SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS clean
+                FROM ({NAMES})))""")
 def guessed_slugs(t):
     return names(t).select("c_custkey", F.explode(cf.guessed_slugs(F.col("name"))).alias("slug"))
 
@@ -85,6 +90,24 @@ def slug_checks(t):
     )
 
 
+@query("name_checks", with_roles("""
+    SELECT id, company IN ('', 'N/A') OR id % 2 = 0 AS in_text, company NOT IN ('', 'N/A') AND id % 2 = 0 AS in_title,
+           company NOT IN ('', 'N/A') AND id % 2 = 0 AND company_url <> ''
+             AND NOT contains(company, '404') AS fits_page
+    FROM jobs WHERE company IS NOT NULL AND company_url IS NOT NULL""", "jobs"))
+def name_checks(t):
+    """Page texts that name the company for every second job and its city for the others."""
+    rows = t.jobs.filter(F.col("company").isNotNull() & F.col("company_url").isNotNull())
+    text = F.concat(F.lit("Welcome to "), F.when(F.col("id") % 2 == 0, F.col("company")).otherwise(F.lower("city")))
+    url = F.replace(F.col("company_url"), F.lit("customer-"), F.lit("x-"))
+    fits = cf.page_fits_name(F.regexp_replace(url, r"x-\d+", "x"), F.col("company"), text)
+    return rows.select(
+        "id", cf.name_in_text(F.col("company"), text).alias("in_text"),
+        cf.title_names_company(text, F.col("company")).alias("in_title"),
+        (fits & present("company", "N/A")).alias("fits_page"),
+    )
+
+
 @query("company_slugs", with_roles("""
     SELECT DISTINCT company_url, nullif(regexp_extract(company_url, '/company/([^/?#]+)', 1), '') AS slug,
            CASE WHEN company_url <> '' THEN company_url END AS canonical
@@ -336,18 +359,21 @@ def apply_links(t):
     return co.apply_links(rows, co.extract_links(rows, pages)).select("id", "company_url")
 
 
+PAGE_TEXT = r"""
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+        '(?s)<[^>]*>', ' ', 'g'),
+        '&quot;', '"'), '&#34;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'),
+        '\s+', ' ', 'g')) AS text FROM pages"""
+
+
 @query("href_scan", r"""
     SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1)) AS href FROM pages""")
 def href_scan(t):
     return t.texts("pages").select("page_id", F.explode(ht.hrefs(F.col("html"))).alias("href"))
 
 
-@query("page_text", r"""
-    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
-        regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
-        '(?s)<[^>]*>', ' ', 'g'),
-        '&quot;', '"'), '&#34;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'),
-        '\s+', ' ', 'g')) AS text FROM pages""")
+@query("page_text", PAGE_TEXT)
 def page_text(t):
     return t.texts("pages").select("page_id", ht.visible_text(F.col("html")).alias("text"))
 
@@ -360,10 +386,13 @@ def page_login_walls(t):
     return t.texts("pages").select("page_id", cf.is_login_wall(text).alias("blocked"))
 
 
-@query("page_descriptions")
+@query("page_descriptions", f"""
+    SELECT page_id, text AS description FROM ({PAGE_TEXT})""")
 def page_descriptions(t):
-    """Descriptions by selector, pages wrapped as posting pages."""
-    wrapped = F.concat(F.lit('<div class="description">'), ht.visible_text(F.col("html")), F.lit("</div>"))
+    """Descriptions by selector, else of the main part; pages wrapped as posting pages."""
+    text = F.replace(ht.visible_text(F.col("html")), F.lit("&"), F.lit("&amp;"))
+    text = F.replace(text, F.lit("<"), F.lit("&lt;"))
+    wrapped = F.concat(F.lit('<main><div class="description">'), text, F.lit("</div></main>"))
     return t.texts("pages").select("page_id", ht.posting_description(wrapped).alias("description"))
 
 

@@ -184,7 +184,7 @@ def _replies(t):
     return turn_replies(t).select("job_id", "job_description", rp.parse_reply(F.col("reply")).alias("skills"))
 
 
-@query("reply_items", r"""
+REPLY_ITEMS = (r"""
     WITH w AS (SELECT conv_id, turn, conv_id * 1000 + turn AS job_id, text,
                       list_filter(string_split_regex(lower(text), '[\s,.]+'), lambda x: x <> '') AS words FROM conversations),
          items AS (SELECT job_id, conv_id, turn, unnest(list_distinct(words)) AS x FROM w),
@@ -195,6 +195,9 @@ def _replies(t):
     WHERE length(x) >= 2 AND (soft OR regexp_matches(' ' || replace(lower(coalesce(b.text, '')), '-', ' ') || ' ',
           '[^a-z0-9]' || regexp_replace(trim(replace(x, '-', ' ')), '([^\p{L}\p{Nd} ])', '\\\1', 'g') || '[^a-z0-9]'))
     QUALIFY row_number() OVER (PARTITION BY i.job_id, 2, """ + q.normalize_skill("x") + r""" ORDER BY x) >= 1""")
+
+
+@query("reply_items", REPLY_ITEMS)
 def reply_items(t):
     return rs.reply_items(_replies(t)).select("job_id", "skill_type", "skill")
 
@@ -216,7 +219,12 @@ def resolve_links(t):
     return _resolved(t)["links"]
 
 
-@query("resolve_lists")
+@query("resolve_lists", f"""
+    WITH items AS ({REPLY_ITEMS}), fixes AS ({_FIXES}),
+    named AS (SELECT job_id, skill_type, coalesce((SELECT v FROM fixes WHERE k = i.skill), skill) AS name FROM items i)
+    SELECT job_id, """ + ", ".join(
+    f"string_agg(DISTINCT name, ', ' ORDER BY name) FILTER (skill_type = '{c}') AS {c}" for c in rs.CATEGORIES
+) + " FROM named GROUP BY job_id")
 def resolve_lists(t):
     return _resolved(t)["lists"]
 
