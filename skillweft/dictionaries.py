@@ -143,6 +143,32 @@ SIZE_TEXT_PATTERNS = [
     (r"^1[,.]?000[-–]5[,.]?000$", "1,001-5,000"),
 ]
 SIZE_NUMBER = r"(?:\d{1,3}(?:[,\.]\d{3})*|\d+)"
+_SIZE_RANGE = rf"{SIZE_NUMBER}(?:\s*[-–]\s*{SIZE_NUMBER}|\+)"
+_SIZE_SPAN = rf"{SIZE_NUMBER}\s+to\s+{SIZE_NUMBER}"
+# wordings of a head count, tried in this order; the size is the first group
+SIZE_WORDINGS = [
+    rf"(?i)({_SIZE_RANGE}|{_SIZE_SPAN})\s*(?:employees?|karyawan|staff)\b",
+    r"(?i)(?:company\s*size|ukuran\s*perusahaan|number\s+of\s+employees?|employees?)[:\s]+"
+    rf"({_SIZE_RANGE}|{_SIZE_SPAN}|{SIZE_NUMBER})",
+    rf"(?i)({SIZE_NUMBER})\s+total\s+employees?",
+    rf"(?i)(?:has|employs|with|approximately|~|about)\s+({SIZE_NUMBER}[kKmM]?)\s+"
+    r"(?:total\s+)?(?:employees?|staff|karyawan)",
+    rf'(?i)"(?:numberOfEmployees|employeeCount)"\s*[:"]+\s*({_SIZE_RANGE}|{SIZE_NUMBER})',
+]
+SIZE_PAGE_PATTERNS = [
+    r"(?i)\d{1,3}(?:[,.]\d{3})*\s*[-–]\s*\d{1,3}(?:[,.]\d{3})*\s*(?:karyawan|employees?|人)",
+    r"(?i)\d+(?:rb)?\s*[-–]\s*\d+(?:rb)?\s*(?:karyawan|employees?)",
+    r"规模[：:]\s*\d{1,3}(?:[,.]\d{3})*\s*[-–]\s*\d{1,3}(?:[,.]\d{3})*",
+]
+_STAFF_NUMBER = r"(?:\d{1,3}(?:[.,]\d{3})+|\d+(?:[.,]\d+)?[kKmM]?)"
+_STAFF_RANGE = rf"{_STAFF_NUMBER}(?:\s*[-–]\s*{_STAFF_NUMBER})?\+?"
+STAFF_WORDINGS = [
+    r"(?i)(?:ukuran perusahaan|company size|jumlah karyawan|number of employees|employee count|headcount)"
+    rf"\s*[:\-]?\s*({_STAFF_RANGE})\s*(?:karyawan|employees?)?",
+    rf"(?i)({_STAFF_RANGE})\s*(?:karyawan|employees?)",
+    r"(?i)company\s*size[:\s]+([^\n\r<]{2,100})",
+]
+STAFF_KEYS = ["numberOfEmployees", "employees", "member", "memberCount"]
 SIZE_PAGE_LABELS = ["ukuran perusahaan", "company size", "规模", "公司规模"]
 LARGE_COMPANY_WORDS = [
     "bank", "insurance", "telkom", "pertamina", "pln", "shopee", "tokopedia", "gojek", "grab",
@@ -181,6 +207,21 @@ COMPANY_URL_PATTERN = r"(?i)https?://(?:[a-z]{2,3}\.)?linkedin\.com/company/"
 COMPANY_URL_PREFIX = "https://www.linkedin.com/company/"
 JOB_URL_PREFIX = "https://www.linkedin.com/jobs/view/"
 
+# --- fixed values: page elements and keys that are read ---------------------------
+LINK_KEYS = ["url", "hiringOrganization", "organizer"]
+CARD_LINK = ("a", "base-card__full-link")
+CARD_TITLE = ("h3", "base-search-card__title")
+CARD_COMPANY = ("h4", "base-search-card__subtitle")
+CARD_LOCATION = ("span", "job-search-card__location")
+# (tag, class, id) in the order they are tried
+DESCRIPTION_ELEMENTS = [
+    ("div", "show-more-less-html__markup", None),
+    ("div", "description", None),
+    ("section", None, "description"),
+    ("div", "job-details-jobs-unified-top-card__job-insight", None),
+]
+DESCRIPTION_MINIMUM = 100
+
 # --- fixed values: skill classification -------------------------------------------
 GENERIC_TERMS = [
     "databases", "database", "cloud", "data", "analytics", "ai", "ml", "programming", "coding",

@@ -16,7 +16,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from skillweft.dictionaries import COMPANY_URL_PATTERN, SIZE_PAGE_LABELS
+from skillweft.dictionaries import (
+    CARD_COMPANY, CARD_LINK, CARD_LOCATION, CARD_TITLE, COMPANY_URL_PATTERN, DESCRIPTION_ELEMENTS,
+    DESCRIPTION_MINIMUM, LINK_KEYS, SIZE_PAGE_LABELS, SIZE_PAGE_PATTERNS, STAFF_KEYS, STAFF_WORDINGS,
+)
 from skillweft.functions.companies import canonical_url, company_url, is_login_wall
 from skillweft.functions.sizes import (
     largest_number_label, normalize_size, plain_size_text, range_label, size_from_text, size_label,
@@ -66,7 +69,7 @@ def _linked(data):
     if not isinstance(data, dict):
         return []
     found = []
-    for key in ("url", "hiringOrganization", "organizer"):
+    for key in LINK_KEYS:
         value = data.get(key)
         found += [value] if isinstance(value, str) else _linked(value) if isinstance(value, dict) else []
     return found
@@ -132,13 +135,8 @@ def labelled_size(html: Column) -> Column:
     named = F.zip_with(terms, values, lambda k, v: F.when(
         F.lower(visible_text(k)).rlike(alternation(SIZE_PAGE_LABELS)), largest_number_label(visible_text(v))
     ))
-    patterns = [
-        r"(?i)\d{1,3}(?:[,.]\d{3})*\s*[-–]\s*\d{1,3}(?:[,.]\d{3})*\s*(?:karyawan|employees?|人)",
-        r"(?i)\d+(?:rb)?\s*[-–]\s*\d+(?:rb)?\s*(?:karyawan|employees?)",
-        r"规模[：:]\s*\d{1,3}(?:[,.]\d{3})*\s*[-–]\s*\d{1,3}(?:[,.]\d{3})*",
-    ]
     in_text = let(visible_text(html), lambda text: _FIRST(F.array(*[
-        largest_number_label(F.nullif(F.regexp_extract(text, p, 0), F.lit(""))) for p in patterns
+        largest_number_label(F.nullif(F.regexp_extract(text, p, 0), F.lit(""))) for p in SIZE_PAGE_PATTERNS
     ])))
     return F.coalesce(_FIRST(named), in_text)
 
@@ -155,9 +153,6 @@ def short_element_size(html: Column) -> Column:
     return _FIRST(F.transform(telling, size_from_text))
 
 
-_STAFF_KEYS = ("numberOfEmployees", "employees", "member", "memberCount")
-
-
 def json_ld_size(html: Column) -> Column:
     """Head count text of embedded organisation data; nested values are skipped."""
 
@@ -166,7 +161,7 @@ def json_ld_size(html: Column) -> Column:
         return F.when(listed, F.from_json(script, "array<string>")).otherwise(F.array(script))
 
     def values(item: Column) -> Column:
-        found = F.array(*[F.get_json_object(item, f"$.{key}") for key in _STAFF_KEYS])
+        found = F.array(*[F.get_json_object(item, f"$.{key}") for key in STAFF_KEYS])
         plain = F.filter(found, lambda v: ~v.rlike(r"^\s*[{\[]"))
         return F.transform(plain, lambda v: F.regexp_replace(plain_size_text(v), r"^(\d+)\.0$", "$1"))
 
@@ -174,21 +169,11 @@ def json_ld_size(html: Column) -> Column:
     return _FIRST(every)
 
 
-_TOKEN = r"(?:\d{1,3}(?:[.,]\d{3})+|\d+(?:[.,]\d+)?[kKmM]?)"
-_TOKEN_RANGE = rf"{_TOKEN}(?:\s*[-–]\s*{_TOKEN})?\+?"
-_STAFF_TEXT = [
-    r"(?i)(?:ukuran perusahaan|company size|jumlah karyawan|number of employees|employee count|headcount)"
-    rf"\s*[:\-]?\s*({_TOKEN_RANGE})\s*(?:karyawan|employees?)?",
-    rf"(?i)({_TOKEN_RANGE})\s*(?:karyawan|employees?)",
-    r"(?i)company\s*size[:\s]+([^\n\r<]{2,100})",
-]
-
-
 def staff_text(text: Column) -> Column:
     """Head count wording of a page text as written; NULL for blocked pages."""
 
     def read(clean: Column) -> Column:
-        found = F.array(*[plain_size_text(F.regexp_extract(clean, p, 1)) for p in _STAFF_TEXT])
+        found = F.array(*[plain_size_text(F.regexp_extract(clean, p, 1)) for p in STAFF_WORDINGS])
         return F.when(~is_login_wall(clean, strict=False), _FIRST(found))
 
     return let(squeeze(F.translate(text, "\u2013\u2014\u00a0", "-- ")), read)
@@ -294,15 +279,15 @@ def _cards(html: str) -> list[dict]:
     nodes = _Page().nodes(html)
     found = []
     for card in (n for n in nodes if n["tag"] == "li"):
-        link = _first_node(nodes, "a", "base-card__full-link", inside=card)
+        link = _first_node(nodes, *CARD_LINK, inside=card)
         if link is None:
             continue
         date = _first_node(nodes, "time", inside=card)
         found.append({
             "href": link["attrs"].get("href", ""),
-            "title": _text(_first_node(nodes, "h3", "base-search-card__title", inside=card)),
-            "company": _text(_first_node(nodes, "h4", "base-search-card__subtitle", inside=card)),
-            "location": _text(_first_node(nodes, "span", "job-search-card__location", inside=card)),
+            "title": _text(_first_node(nodes, *CARD_TITLE, inside=card)),
+            "company": _text(_first_node(nodes, *CARD_COMPANY, inside=card)),
+            "location": _text(_first_node(nodes, *CARD_LOCATION, inside=card)),
             "date": None if date is None else date["attrs"].get("datetime", ""),
         })
     return found
@@ -314,13 +299,10 @@ def _description(html: str) -> str:
     nodes = _Page().nodes(html)
     lines = lambda node: "\n".join(s for s in (t.strip() for t in node["texts"]) if s)
     options = [
-        _first_node(nodes, "div", "show-more-less-html__markup"),
-        _first_node(nodes, "div", "description"),
-        _first_node(nodes, "section", id="description"),
-        _first_node(nodes, "div", "job-details-jobs-unified-top-card__job-insight"),
+        _first_node(nodes, tag, css, **({"id": name} if name else {})) for tag, css, name in DESCRIPTION_ELEMENTS
     ]
     for node in options:
-        if node is not None and len(lines(node)) > 100:
+        if node is not None and len(lines(node)) > DESCRIPTION_MINIMUM:
             return lines(node)
     main = _first_node(nodes, "main")
     return lines(main) if main is not None else ""

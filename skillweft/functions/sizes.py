@@ -5,23 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skillweft.dictionaries import (
-    SIZE_LABELS_COMMA, SIZE_NUMBER, SIZE_RANGES, SIZE_TEXT_PATTERNS,
+    SIZE_LABELS_COMMA, SIZE_RANGES, SIZE_TEXT_PATTERNS, SIZE_WORDINGS,
 )
 from skillweft.functions.text import first_pair, let, strip
 
 VALID_SIZES = [label for _, _, label in SIZE_RANGES]
-_RANGE = rf"{SIZE_NUMBER}(?:\s*[-–]\s*{SIZE_NUMBER}|\+)"
-_SPAN = rf"{SIZE_NUMBER}\s+to\s+{SIZE_NUMBER}"
-# tried in this order; the size is the first group
-TEXT_SOURCES = [
-    rf"(?i)({_RANGE}|{_SPAN})\s*(?:employees?|karyawan|staff)\b",
-    r"(?i)(?:company\s*size|ukuran\s*perusahaan|number\s+of\s+employees?|employees?)[:\s]+"
-    rf"({_RANGE}|{_SPAN}|{SIZE_NUMBER})",
-    rf"(?i)({SIZE_NUMBER})\s+total\s+employees?",
-    rf"(?i)(?:has|employs|with|approximately|~|about)\s+({SIZE_NUMBER}[kKmM]?)\s+"
-    r"(?:total\s+)?(?:employees?|staff|karyawan)",
-    rf'(?i)"(?:numberOfEmployees|employeeCount)"\s*[:"]+\s*({_RANGE}|{SIZE_NUMBER})',
-]
 
 
 def size_dimension(spark: SparkSession) -> DataFrame:
@@ -83,7 +71,7 @@ def _label_of(text: Column) -> Column:
 
 def size_from_text(text: Column) -> Column:
     """First wording that yields a label, else the whole text as a size."""
-    found = F.array(*[_nonzero(F.regexp_extract(text, p, 1)) for p in TEXT_SOURCES], strip(text))
+    found = F.array(*[_nonzero(F.regexp_extract(text, p, 1)) for p in SIZE_WORDINGS], strip(text))
     labels = F.transform(found, _label_of)
     return F.get(F.filter(labels, lambda label: label.isNotNull()), F.lit(0))
 

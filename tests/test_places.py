@@ -14,6 +14,7 @@ GAZETTEER = [
     ("PURBALINGGA", "JAWA TENGAH"), ("LANDAK", "KALIMANTAN BARAT"), ("DENPASAR", "BALI"), ("SABANG", "ACEH"),
     ("TOLI-TOLI", "SULAWESI TENGAH"),
 ]
+# fixed values: known pairs of raw and normalised places
 PAIRS = [
     ("Jakarta", "Jakarta"), ("Jakarta Selatan", "Jakarta Selatan"), ("DKI Jakarta", "Jakarta"),
     ("Jakarta, Indonesia", "Jakarta"), ("Jakarta Selatan, DKI Jakarta", "Jakarta Selatan"),
