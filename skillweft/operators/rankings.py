@@ -21,9 +21,13 @@ def total_of(df: DataFrame) -> Column:
 
 
 def jobs_for(t, facets: Facets) -> DataFrame:
-    """The narrowest job table the facets need: company columns are joined only for company facets."""
+    """The narrowest job table the facets need: ``postings`` if it has their columns, else ``jobs``."""
     narrow = getattr(t, "postings", None)
-    return t.jobs if narrow is None or facets.companies or facets.sizes else narrow
+    needed = {
+        "company": facets.companies, "employee_size": facets.sizes, "keyword": facets.keywords,
+    }
+    fits = narrow is not None and all(c in narrow.columns for c, values in needed.items() if values)
+    return narrow if fits else t.jobs
 
 
 def of_types(skills: DataFrame, types: tuple[str, ...]) -> DataFrame:
