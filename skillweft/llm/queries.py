@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillweft.llm import chat, decontamination, packing, sqltext, toxicity
+from skillweft.llm import (
+    chat, decontamination, fingerprints, licenses, ngram_join, packing, secret_scans, sqltext, substring_dedup,
+    toxicity, url_filters,
+)
 from skillweft.llm.registry import query
 
 
@@ -16,6 +19,46 @@ def toxic_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.col("toxic").alias("label"))
 
 
+#: (host, path, blocks)
+URL_RULES = [
+    ("com", "/", False), ("example.com", "/en/", True), ("www.example.com", "/en/", False),
+    ("net", "/es/", True), ("net", "/fr/", True),
+]
+
+
+@query("op1_fingerprints")
+def op1(spark, folder):
+    return fingerprints.compare_with_edits(table(spark, folder, "documents"))
+
+
+@query("op2_url_filters")
+def op2(spark, folder):
+    return url_filters.filter_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op3_secret_scans")
+def op3(spark, folder):
+    return secret_scans.scan_secrets(table(spark, folder, "documents")).drop("text_key")
+
+
+@query("op4_ngram_jaccard_join", sqltext.NGRAM_JOIN)
+def op4(spark, folder):
+    found = ngram_join.similarity_classes(table(spark, folder, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_license_scans", sqltext.LICENSES)
+def op5(spark, folder):
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+@query("op7_substring_dedup", sqltext.SUBSTRINGS)
+def op7(spark, folder):
+    found = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_toxicity")
 def op6(spark, folder):
     docs = table(spark, folder, "documents")

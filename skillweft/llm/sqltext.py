@@ -1,5 +1,7 @@
 """SQL counterparts, for DuckDB over the same tables."""
 
+from skillweft.llm.licenses import template_bigrams
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,3 +61,90 @@ SELECT conv_id, count(*) AS n_turns,
     ELSE length('<|im_start|>') + length(head) + 1 + length('<|im_end|>') + 1 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+NGRAM_JOIN = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({ascii_lower('text')}, '{_SPACED}') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+  FROM d
+), g AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM s
+), pair AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS shared
+  FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+    AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
+  GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pair WHERE 100 * shared >= 90 * (na + nb - shared)
+), edge AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT a AS node, a AS seen FROM edge
+  UNION SELECT r.node, e.b FROM reach r JOIN edge e ON r.seen = e.a
+), root AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM s LEFT JOIN root ON root.node = s.doc_id
+"""
+
+SUBSTRINGS = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), first AS (
+  SELECT h, min(doc_id) AS owner FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (h) WHERE owner < doc_id
+), word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _license_rows() -> str:
+    return ", ".join(
+        f"('{name}', {len(own)}, '{bigram}')" for name, own in sorted(template_bigrams().items()) for bigram in sorted(own)
+    )
+
+
+LICENSES = rf"""
+WITH t(license, size, bigram) AS (VALUES {_license_rows()}
+), c AS (
+  SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS clean FROM documents WHERE text IS NOT NULL
+), b AS (
+  SELECT doc_id, clean, CASE WHEN instr(clean, chr(10)) > 0 THEN regexp_split_to_array(clean, '\n ?\n[ \n]*')
+    ELSE []::VARCHAR[] END AS blocks FROM c
+), u AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS unit, trim(replace(unnest(x), chr(10), ' ')) AS words
+  FROM (SELECT doc_id, list_concat(string_split(clean, chr(10)),
+    list_filter(blocks, lambda b: instr(trim(b, ' '), chr(10)) > 0),
+    CASE WHEN len(blocks) > 1 THEN [clean] ELSE []::VARCHAR[] END) AS x FROM b)
+), l AS (
+  SELECT doc_id, unit, regexp_split_to_array(words, ' +') AS l FROM u WHERE words <> ''
+), n AS (
+  SELECT doc_id, unit, list_distinct(CASE WHEN len(l) > 1
+    THEN list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]) ELSE l END) AS g FROM l
+), m AS (
+  SELECT doc_id, unit, license, 2.0::DOUBLE * count(*) / (n + size) AS dice
+  FROM (SELECT doc_id, unit, len(g) AS n, unnest(g) AS bigram FROM n) JOIN t USING (bigram)
+  GROUP BY doc_id, unit, license, n, size
+), f AS (
+  SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice,
+    string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+  FROM m WHERE dice >= 0.8 GROUP BY doc_id
+)
+SELECT doc_id, license, dice, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN f USING (doc_id)
+"""

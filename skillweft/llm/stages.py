@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillweft.llm import decontamination, packing, toxicity
+from skillweft.llm import decontamination, ngram_join, packing, secret_scans, toxicity
 from skillweft.llm.queries import table, toxic_labels
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
     return toxicity.drop_toxic(docs, toxic_labels(table(spark, sf_dir, "labels")))
 
 
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 0.8 of their five-word shingles, directly or through others, one stays."""
+    return ngram_join.keep_one_per_group(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; all documents stay."""
+    return secret_scans.redact_secrets(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as token pieces in sequences."""
     import public_tokenizers
 
     return packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
@@ -24,6 +37,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", remove_toxic),
-    ("decontamination", decontaminate),
+    ("ngram_jaccard_join", remove_near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("secret_scans", redact_secrets),
     ("packing", pack),
 ]
