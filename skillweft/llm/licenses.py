@@ -13,7 +13,7 @@ looked up in an inverted index of the templates (a fixed, small table), so a uni
 compared with templates it shares a bigram with, and no pair of unit and template is
 formed otherwise.
 
-Texts without any of the words that a match must hold are not split into units.
+Texts without any of the words or bigrams that a match must hold are not split into units.
 
 All steps are DataFrame expressions; rows are keyed by document and unit, so no group
 is larger than one unit's matching bigrams.
@@ -76,22 +76,26 @@ def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> dict[str,
     return found
 
 
-def needed_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
-    """Words of which every text that reaches the threshold with some template holds one.
+def needed_parts(templates: list[tuple[str, str]], threshold: float) -> tuple[list[str], list[str]]:
+    """Words and bigrams of which every text that reaches the threshold with some template holds one.
 
     Such a text shares at least ``threshold / (2 - threshold)`` of the template's bigrams.
-    Long words are taken until fewer bigrams than that are left without one of them.
+    Long words are taken, then bigrams, until fewer bigrams than that are left without.
     """
-    chosen: set[str] = set()
+    words: set[str] = set()
+    bigrams: set[str] = set()
     for own in template_bigrams(templates).values():
         shared = threshold / (2 - threshold) * len(own) - 1e-9
-        for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), w)):
-            left = [b for b in own if not chosen & set(b.split())]
+        long_words = sorted({w for b in own for w in b.split() if len(w) >= 5}, key=lambda w: (-len(w), w))
+        for part in [*long_words, *sorted(own, key=lambda b: (-len(b), b))]:
+            left = [b for b in own if b not in bigrams and not words & set(b.split())]
             if len(left) < shared:
                 break
-            if any(word in b.split() for b in left):
-                chosen.add(word)
-    return sorted(chosen)
+            if any(part in b.split() for b in left):
+                words.add(part)
+            elif part in left:
+                bigrams.add(part)
+    return sorted(words), sorted(bigrams)
 
 
 def _index(spark: SparkSession, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -124,11 +128,11 @@ def match_units(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
     sizes = [len(own) for own in template_bigrams(templates).values()]
     least, most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
     # one look at each text: an array of one element names the lower-cased text once
+    alone, together = needed_parts(templates, threshold)
+    beside = "|".join(b.replace(" ", r"[^\p{L}\p{N}]+") for b in together) or "(?!)"
     holds_one = F.exists(
         F.array(F.lower(F.coalesce("text", F.lit("")))),
-        lambda low: functools.reduce(
-            operator.or_, [F.contains(low, F.lit(w)) for w in needed_words(templates, threshold)]
-        ),
+        lambda low: functools.reduce(operator.or_, [*(F.contains(low, F.lit(w)) for w in alone), low.rlike(beside)]),
     )
     words = units(docs.filter(holds_one)).withColumn("list", F.split("words", " +"))
     pairs = F.when(F.size("list") > 1, F.transform(

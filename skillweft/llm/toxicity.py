@@ -131,12 +131,14 @@ def score(terms: np.ndarray, names: np.ndarray, theta: np.ndarray, bias: float)
         known = theta[_places(names, terms)]
         v = known[:, 1:]
         value += known[:, 0].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
+    if np.isinf(value):  # a model of one class
+        return float(value > 0)
     return float(1 / (1 + np.exp(-np.clip(value, -700, 700))))
 
 
 def train(
     docs: DataFrame, labelled: DataFrame, sample_rows: int = 12_000, max_terms: int = 1_024,
-    min_docs: int = 10, factors: int = 4, steps: int = 100,
+    min_docs: int = 5, factors: int = 4, steps: int = 100,
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Model from ``docs(doc_id, text)`` and ``labelled(doc_id, label)``."""
     chosen = (
