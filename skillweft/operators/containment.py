@@ -25,19 +25,24 @@ def words_of(text: Column) -> Column:
 
 
 def _anchored(texts: DataFrame, text_keys: Column, phrases: DataFrame, phrase_keys: Column) -> DataFrame:
-    """Pairs (text, phrase) that share the phrase's rarest key."""
-    keyed_texts = texts.select("text", F.explode(text_keys).alias("key"))
+    """Pairs (text, phrase) that share the phrase's rarest key.
+
+    Two hashes stand for a text while its keys are shuffled; keys that no phrase has go
+    first, and the text comes back for the pairs that are left.
+    """
+    named = texts.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.reverse("text"), F.length("text"))})
     options = phrases.select("phrase", F.explode(phrase_keys).alias("key"))
     wanted = options.select("key").distinct()
-    counts = keyed_texts.join(wanted, "key", "left_semi").groupBy("key").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    keyed_texts = named.select("t1", "t2", F.explode(text_keys).alias("key")).join(wanted, "key", "left_semi")
+    counts = keyed_texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     # an inner join: a key that no text has rules the phrase out only if it is required,
     # and every key of a phrase is required
     anchors = options.join(counts, "key", "left").groupBy("phrase").agg(
         F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key")
     )
-    return keyed_texts.join(anchors, "key").select("text", "phrase")
+    return keyed_texts.join(anchors, "key").select("t1", "t2", "phrase").join(named, ["t1", "t2"]).select(
+        "text", "phrase"
+    )
 
 
 def contained_words(texts: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ percent it differs from its counterpart, which has n, n - 1 or fewer letters, by
 at most (100 - T) / 100 of the letters of both, counted as insertions and
 deletions; their number is even for equal lengths and odd for a difference of
 one.  ``edit_limit`` is the largest such number.  Cut the words of the text into
-more pieces than that: at least one is untouched, and so is one of any
-``limit + 1`` pieces.  It is enough to join on the ``limit + 1`` rarest pieces,
-which keeps frequent pieces out of the join.  Either text of a pair can be the
-one that was cut, so both directions run.
+more pieces than that: at least one is untouched, and of any ``limit + r`` pieces at
+least r are.  It is enough to join on the ``limit + r`` rarest pieces, which keeps
+frequent pieces out of the join, and to score only pairs that agree on r of them
+(r is ``AGREE``, or what the number of pieces allows).  Either text of a pair can
+be the one that was cut, so both directions run.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from skillweft.operators.containment import pieces
 
 
 _BITS = 62
+AGREE = 3  # pieces that a pair must share before it is scored
 
 
 def edit_limit(length: Column, threshold: int) -> Column:
@@ -101,14 +103,16 @@ def cut_pieces(texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def rare_pieces(cut: DataFrame, frequency: DataFrame) -> DataFrame:
-    """The ``lost + 1`` rarest pieces of every text."""
+    """The ``lost + AGREE`` rarest pieces of every text: how often each was cut, and the number to ``agree`` on."""
     rows = cut.join(frequency, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    order = Window.partitionBy("text").orderBy("n", "piece")
-    return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("lost") + 1) \
-        .select("text", "piece").distinct()
+    order = Window.partitionBy("text").orderBy("n", "piece")  # the pieces of one text
+    taken = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("lost") + AGREE)
+    each = taken.groupBy("text", "piece").agg(F.count(F.lit(1)).alias("times"), F.max("lost").alias("lost"))
+    whole = F.sum("times").over(Window.partitionBy("text"))
+    return each.select("text", "piece", "times", F.greatest(whole - F.col("lost"), F.lit(1)).alias("agree"))
 
 
-def _one_direction(source: DataFrame, target: DataFrame, threshold: int) -> DataFrame:
+def _one_direction(source: DataFrame, target: DataFrame, threshold: int, plain: bool = False) -> DataFrame:
     held = target.select("text").distinct().select(
         F.col("text").alias("other"), *_mask_columns(pieces(F.col("text"), (1,)), "other_letters"),
         *_mask_columns(pieces(F.col("text"), (1, 2)), "other_pairs"), F.explode(pieces(F.col("text"))).alias("piece"),
@@ -126,13 +130,20 @@ def _one_direction(source: DataFrame, target: DataFrame, threshold: int) -> Data
         & (_missing("pairs", "other_pairs") <= F.col("lost"))
         & (_missing("shifted", "other_pairs") <= F.col("lost"))
     )
-    return near.select("text", "other")
+    if plain:  # the shorter text bounds the shared letters
+        short = F.least(F.length("text"), F.length("other"))
+        near = near.filter(200 * short >= threshold * (F.length("text") + F.length("other")))
+    shared = near.groupBy("text", "other").agg(F.sum("times").alias("times"), F.max("agree").alias("agree"))
+    return shared.filter("times >= agree").select("text", "other")
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
-    """Distinct (a, b) with ``a`` from left and ``b`` from right that may reach the threshold."""
-    forward = _one_direction(left, right, threshold).select(F.col("text").alias("a"), F.col("other").alias("b"))
-    backward = _one_direction(right, left, threshold).select(F.col("other").alias("a"), F.col("text").alias("b"))
+def candidates(left: DataFrame, right: DataFrame, threshold: int, plain: bool = False) -> DataFrame:
+    """Distinct (a, b) with ``a`` from left and ``b`` from right that may reach the threshold.
+
+    ``plain``: only the ratio of the whole texts counts, not words or windows.
+    """
+    forward = _one_direction(left, right, threshold, plain).select(F.col("text").alias("a"), F.col("other").alias("b"))
+    backward = _one_direction(right, left, threshold, plain).select(F.col("other").alias("a"), F.col("text").alias("b"))
     return forward.union(backward).distinct()
 
 
@@ -183,7 +194,7 @@ def best_vocabulary(names: DataFrame, vocabulary: DataFrame, threshold: int = 80
     left = names.select(F.col("text").alias("name"), sorted_words(F.col("text")).alias("text")).distinct()
     right = vocabulary.select(F.col("text").alias("entry"), sorted_words(F.col("text")).alias("text")).distinct()
     # candidates are found on the sorted form, once per distinct form
-    pairs = candidates(left, right, threshold).withColumn("score", token_sort_udf("a", "b")).filter(
+    pairs = candidates(left, right, threshold, plain=True).withColumn("score", token_sort_udf("a", "b")).filter(
         F.col("score") >= threshold
     )
     named = (

@@ -25,6 +25,14 @@ def seed(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(append_absent(table, rows, key), allowMissingColumns=True)
 
 
+def one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: the largest by its other columns in their order, NULL being the smallest."""
+    others = [c for c in rows.columns if c != key]
+    if not others:
+        return rows.distinct()
+    return rows.groupBy(key).agg(F.max(F.struct(*others)).alias("_r")).select(key, "_r.*").select(*rows.columns)
+
+
 def upsert(
     table: DataFrame, incoming: DataFrame, key: str, always: list[str], if_present: list[str] = (),
 ) -> DataFrame:
@@ -32,9 +40,9 @@ def upsert(
 
     Columns in ``always`` take the incoming value even when NULL, columns in
     ``if_present`` only a non-blank one; other columns keep the stored value and
-    are inserted for new keys.
+    are inserted for new keys.  Of incoming rows with one key the largest counts.
     """
-    renamed = incoming.select(*[F.col(c).alias(f"_new_{c}") for c in incoming.columns])
+    renamed = one_per_key(incoming, key).select(*[F.col(c).alias(f"_new_{c}") for c in incoming.columns])
     both = table.withColumn("_old", F.lit(True)).join(
         renamed.withColumn("_hit", F.lit(True)), F.col(key) == F.col(f"_new_{key}"), "full_outer"
     )
@@ -87,8 +95,10 @@ def count_updates(table: DataFrame, values: DataFrame, key: str) -> DataFrame:
 
 
 def patch(table: DataFrame, patches: DataFrame, key: str) -> DataFrame:
-    """Partial update: only the non-NULL cells of a patch are applied."""
-    renamed = patches.select(*[F.col(c).alias(f"_p_{c}") for c in patches.columns])
+    """Partial update: only the non-NULL cells of a patch are applied, of several patches the largest cell."""
+    cells = [F.max(c).alias(f"_p_{c}") for c in patches.columns if c != key]
+    renamed = patches.groupBy(F.col(key).alias(f"_p_{key}")).agg(*cells) if cells else patches.select(
+        F.col(key).alias(f"_p_{key}")).distinct()
     joined = table.join(renamed, F.col(key) == F.col(f"_p_{key}"), "left")
     given = set(patches.columns) - {key}
     return joined.select(*[

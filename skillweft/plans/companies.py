@@ -313,7 +313,7 @@ def enrich_companies(t):
 def job_pages(t):
     """A posting page per job that shows the company address in one of several ways."""
     url, key = F.coalesce("company_url", F.lit("")), F.col("id") % 5
-    return spread(t.jobs, t.table("orders")).select(F.col("id").alias("job_id"), F.concat(
+    return spread(t.jobs, "id").select(F.col("id").alias("job_id"), F.concat(
         F.lit("<html><body><h1>Job</h1><a href='/jobs'>all</a>"),
         F.when(key == 0, F.concat(F.lit('<a class="x" href="'), url, F.lit('?lipi=1">c</a>')))
         .when(key == 1, F.concat(F.lit('<script type="application/ld+json">[{"a": 1}, {"hiringOrganization": {"url": "'),

@@ -15,19 +15,19 @@ from skillweft.roles import with_roles
 
 TYPE = """CASE WHEN p_type IN ('STANDARD', 'ECONOMY') THEN 'tech_stack'
                WHEN p_type IN ('MEDIUM', 'PROMO') THEN 'technical_skill' ELSE 'soft_skill' END"""
-# canonical form "Widget (red)" for three spellings of small part names
+# canonical form "Widget (red)" for three spellings of part names
 VARIANTS = f"""SELECT category, canonical, variant, min(seq) AS seq FROM (
     SELECT {TYPE} AS category, p_partkey AS seq,
            upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)
            || ' (' || split_part(p_name, ' ', 1) || ')' AS canonical,
            unnest([p_name, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), replace(p_name, ' ', '')]) AS variant
-    FROM part WHERE p_size <= 3) GROUP BY ALL"""
+    FROM part) GROUP BY ALL"""
 
 
 def variants(t):
     first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
     kind = F.col("p_type")
-    rows = t.table("part").filter(F.col("p_size") <= 3).select(
+    rows = t.table("part").select(
         F.when(kind.isin("STANDARD", "ECONOMY"), "tech_stack").when(kind.isin("MEDIUM", "PROMO"), "technical_skill")
         .otherwise("soft_skill").alias("category"),
         F.col("p_partkey").alias("seq"),
@@ -54,16 +54,19 @@ def canonicalize(t):
 
 
 @query("canonical_lookup", f"""
-    WITH variants AS ({VARIANTS})
-    SELECT {q.normalize_skill('variant')} AS norm,
-           arg_max(canonical, (CASE category WHEN 'tech_stack' THEN 1 WHEN 'technical_skill' THEN 2 ELSE 3 END, seq)) AS canonical,
-           arg_max(category, (CASE category WHEN 'tech_stack' THEN 1 WHEN 'technical_skill' THEN 2 ELSE 3 END, seq)) AS canonical_type
-    FROM variants GROUP BY 1""")
+    WITH variants AS ({VARIANTS}), idx AS ({_INDEX}), fixes AS ({_FIXES}),
+    entries AS (
+        SELECT {q.normalize_skill('variant')} AS norm, canonical, category AS canonical_type,
+               CASE category WHEN 'tech_stack' THEN 1 WHEN 'technical_skill' THEN 2 ELSE 3 END AS rank, seq FROM variants
+        UNION ALL SELECT {q.normalize_skill('k')}, v, kind, 0, 0 FROM (
+            SELECT k, v, CASE WHEN lower(trim(v)) IN ({", ".join(map(q.lit, d.GENERIC_TERMS))}) THEN NULL
+                WHEN {q.any_in('lower(trim(v))', d.SOFT_SKILL_INDICATORS)} THEN 'soft_skill'
+                ELSE (SELECT arg_min(category, r) FROM idx WHERE norm = {q.normalize_skill('v')}) END AS kind FROM fixes)
+        WHERE kind IS NOT NULL)
+    SELECT norm, arg_max(canonical, (rank, seq)) AS canonical, arg_max(canonical_type, (rank, seq)) AS canonical_type
+    FROM entries GROUP BY norm""")
 def canonical_lookup(t):
-    """Entries of the given dictionary only: the fixed spelling table is a constant."""
-    lookup = rs.canonical_lookup(variants(t))
-    norms = variants(t).select(normalize_skill(F.col("variant")).alias("norm")).distinct()
-    return lookup.join(norms, "norm", "left_semi")
+    return rs.canonical_lookup(variants(t))
 
 
 @query("detect_types", with_roles(f"""
@@ -86,40 +89,95 @@ def raw_skills(t):
     return parts.select(F.explode(forms).alias("skill"), F.lit("tech_stack").alias("skill_type")).distinct()
 
 
+def _lcs(a: str, b: str) -> str:
+    """Longest common subsequence of two lists of letters (at most 62), one bit per letter of ``a``."""
+    masks = (f"list_transform({b}, lambda c: CAST(list_sum(list_transform(range(len({a})), lambda i: "
+             f"CASE WHEN {a}[i + 1] = c THEN 1::BIGINT << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT))")
+    full = f"((1::BIGINT << CAST(len({a}) AS INTEGER)) - 1)"
+    rows = f"list_reduce(list_prepend({full}, {masks}), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})"
+    return f"(len({a}) - bit_count({rows}))"
+
+
+def _window(a: str, b: str) -> str:
+    """Best ratio of the shorter list ``a`` with a window of ``b``; shorter windows stand at both ends."""
+    spans = (f"list_concat(list_transform(range(len({b}) - len({a}) + 1), lambda i: {b}[i + 1:i + len({a})]), "
+             f"list_transform(range(1, len({a})), lambda n: {b}[1:n]), "
+             f"list_transform(range(1, len({a})), lambda n: {b}[len({b}) - n + 1:len({b})]))")
+    return f"list_max(list_transform({spans}, lambda w: 200.0::DOUBLE * {_lcs(a, 'w')} / (len({a}) + len(w))))"
+
+
+# every pair of a raw word and a known word, scored as one word each: (text, id, known_text, score >= 85)
+_WORD_PAIRS = f"""
+    SELECT text, id, known_text, CASE WHEN text = known_text THEN 100.0 WHEN plain >= 85 THEN plain
+        WHEN len(x) < len(y) THEN {_window('x', 'y')} WHEN len(x) > len(y) THEN {_window('y', 'x')}
+        ELSE greatest({_window('x', 'y')}, {_window('y', 'x')}) END AS score
+    FROM (SELECT *, 200.0::DOUBLE * shared / (len(x) + len(y)) AS plain
+          FROM (SELECT *, {_lcs('x', 'y')} AS shared
+                FROM (SELECT r.text, k.id, k.text AS known_text, string_split(r.text, '') AS x, string_split(k.text, '') AS y
+                      FROM raw r, known k))
+          WHERE 200 * shared >= 85 * (least(len(x), len(y)) + shared))"""
+
+
 @query("match_skills")
 def match_skills(t):
     return rs.match_skills(raw_skills(t), t.skills, variants(t))
 
 
-@query("fuzzy_words")
+@query("fuzzy_words", rf"""
+    WITH raw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{q.WORD}+')) AS text FROM conversations),
+    known AS (SELECT text, min(item_id * 100000 + place) AS id
+              FROM (SELECT item_id, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS place
+                    FROM (SELECT item_id, regexp_extract_all(lower(text), '{q.WORD}+') AS w FROM benchmark)) GROUP BY text),
+    pairs AS ({_WORD_PAIRS})
+    SELECT text, arg_max(known_text, (known_text = text, score, -id)) AS known_text, max(score) AS score
+    FROM pairs WHERE score >= 85 GROUP BY text""")
 def fuzzy_words(t):
     """Best benchmark word for every word of the conversations."""
-    def words(df):
-        return df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))).alias("text"))
-
-    raw = words(t.texts("conversations")).distinct()
-    known = words(t.table("benchmark")).groupBy("text").agg(F.min(F.length("text")).alias("n"))
-    numbered = known.select(F.xxhash64("text").alias("id"), "text")
-    return fz.best_known(raw, numbered).select("text", "known_text", "score")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))
+    raw = t.texts("conversations").select(F.explode(words).alias("text")).distinct()
+    known = t.table("benchmark").select("item_id", F.posexplode(words).alias("at", "text")).groupBy("text").agg(
+        F.min(F.col("item_id") * 100000 + F.col("at")).alias("id")  # where a word stands first
+    )
+    return fz.best_known(raw, known).select("text", "known_text", "score")
 
 
 def _vocabulary(t):
     """Brands with two-word names as skills, names in the other order as the vocabulary."""
     names = t.table("part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text")).distinct()
     first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
-    entries = t.table("part").filter(F.col("p_type").isin("SMALL", "LARGE")).select(
+    entries = t.table("part").select(
         F.concat_ws(" ", F.lower("p_type"), second, first).alias("text")
     ).distinct()
     return names, entries
 
 
-@query("vocabulary_matches")
+_SORTED = "list_sort(list_filter(string_split(text, ' '), lambda w: w <> ''))"
+_VOCABULARY = f"""
+    names AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS text FROM part),
+    entries AS (SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS text
+                FROM part),
+    matches AS (
+        SELECT text, arg_max(entry, (score, entry_rank)) AS entry, max(score) AS score
+        FROM (SELECT text, entry, entry_rank, 200.0::DOUBLE * {_lcs('x', 'y')} / (len(x) + len(y)) AS score
+              FROM (SELECT text, string_split(array_to_string({_SORTED}, ' '), '') AS x FROM names),
+                   (SELECT text AS entry, string_split(array_to_string({_SORTED}, ' '), '') AS y,
+                           -row_number() OVER (ORDER BY text) AS entry_rank FROM entries))
+        WHERE score >= {d.VOCABULARY_THRESHOLD} GROUP BY text)"""
+
+
+@query("vocabulary_matches", f"WITH {_VOCABULARY} SELECT * FROM matches")
 def vocabulary_matches(t):
     names, entries = _vocabulary(t)
     return fz.best_vocabulary(names, entries, d.VOCABULARY_THRESHOLD)
 
 
-@query("vocabulary_scores")
+@query("vocabulary_scores", f"""
+    WITH {_VOCABULARY},
+    counts AS (SELECT (SELECT count(*) FROM matches) AS tp,
+        (SELECT count(*) FROM names WHERE text NOT IN (SELECT text FROM matches)) AS fp,
+        (SELECT count(*) FROM entries WHERE text NOT IN (SELECT entry FROM matches)) AS fn)
+    SELECT tp, fp, fn, tp / (tp + fp) AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+           2 * tp / (2 * tp + fp + fn) AS f1 FROM counts""")
 def vocabulary_scores(t):
     names, entries = _vocabulary(t)
     return fz.evaluate_vocabulary(fz.best_vocabulary(names, entries, d.VOCABULARY_THRESHOLD), names, entries)
@@ -187,14 +245,15 @@ def _replies(t):
 REPLY_ITEMS = (r"""
     WITH w AS (SELECT conv_id, turn, conv_id * 1000 + turn AS job_id, text,
                       list_filter(string_split_regex(lower(text), '[\s,.]+'), lambda x: x <> '') AS words FROM conversations),
-         items AS (SELECT job_id, conv_id, turn, unnest(list_distinct(words)) AS x FROM w),
+         items AS (SELECT job_id, conv_id, turn, x, min(at_) AS place FROM (
+             SELECT job_id, conv_id, turn, unnest(words) AS x, generate_subscripts(words, 1) AS at_ FROM w) GROUP BY ALL),
          typed AS (SELECT *, length(x) > 6 AS tool, NOT length(x) > 6 AND """ + q.any_in(
     "replace(x, '-', ' ')", d.SOFT_SKILL_PHRASES) + r""" AS soft FROM items)
     SELECT i.job_id, CASE WHEN tool THEN 'tech_stack' WHEN soft THEN 'soft_skill' ELSE 'technical_skill' END AS skill_type, x AS skill
     FROM typed i LEFT JOIN w b ON b.conv_id = i.conv_id AND b.turn = i.turn - 1
     WHERE length(x) >= 2 AND (soft OR regexp_matches(' ' || replace(lower(coalesce(b.text, '')), '-', ' ') || ' ',
           '[^a-z0-9]' || regexp_replace(trim(replace(x, '-', ' ')), '([^\p{L}\p{Nd} ])', '\\\1', 'g') || '[^a-z0-9]'))
-    QUALIFY row_number() OVER (PARTITION BY i.job_id, 2, """ + q.normalize_skill("x") + r""" ORDER BY x) >= 1""")
+    QUALIFY row_number() OVER (PARTITION BY i.job_id, 2, """ + q.normalize_skill("x") + r""" ORDER BY place) = 1""")
 
 
 @query("reply_items", REPLY_ITEMS)
@@ -204,7 +263,7 @@ def reply_items(t):
 
 def _resolved(t):
     known = t.table("benchmark").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w{6,})"), F.lit(1))).alias("name"), "item_id"
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))).alias("name"), "item_id"
     ).groupBy("name").agg(F.min("item_id").alias("first"))
     skills = known.select(
         F.abs(F.xxhash64("name") % 1000000007).alias("id"), "name", normalize_skill(F.col("name")).alias("normalized_name"),

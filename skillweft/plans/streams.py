@@ -32,6 +32,23 @@ def stream_ingest_feed(t):
     return t.spark.read.parquet(path).select("link", "event_id")
 
 
+@query("stream_resume", """
+    SELECT link, arg_min(event_id, (part, ts, event_id)) AS event_id
+    FROM (SELECT user_id || '-' || event_type AS link, ts, event_id, event_id % 2 AS part FROM events) GROUP BY link""")
+def stream_resume(t):
+    """A feed that arrives in two parts; the job ends after the first and goes on at the second."""
+    path, checkpoint = _folders(t, "resume")
+    feed = f"{path}-feed"
+    rows = t.table("events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("link"), "ts", "event_id"
+    )
+    for part in (0, 1):
+        rows.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(feed)
+        arrived = feeds.read_feed(t.spark, feed)
+        feeds.ingest_feed(arrived, path, checkpoint, "link", F.struct("ts", "event_id"))
+    return t.spark.read.parquet(path).select("link", "event_id")
+
+
 @query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(t):
     path, checkpoint = _folders(t, "first-seen")

@@ -359,16 +359,21 @@ def reply_parsed(t):
 
 
 @query("grounded_items", with_roles(r"""
-    SELECT w.job_id, x AS skill FROM (SELECT job_id, conv_id, turn, unnest(list_distinct(words)) AS x FROM w) w
+    SELECT w.job_id, CASE WHEN length(x) > 6 THEN 'tech_stack' ELSE 'technical_skill' END AS skill_type, x AS skill
+    FROM (SELECT job_id, conv_id, turn, unnest(list_distinct(words)) AS x FROM w) w
     JOIN w b ON b.conv_id = w.conv_id AND b.turn = w.turn - 1
     WHERE regexp_matches(' ' || replace(lower(b.text), '-', ' ') || ' ',
-          '[^a-z0-9]' || regexp_replace(trim(replace(x, '-', ' ')), '([^\p{L}\p{Nd} ])', '\\\1', 'g') || '[^a-z0-9]')
-      AND length(x) > 6""", w=_WORDS))
+          '[^a-z0-9]' || regexp_replace(trim(replace(x, '-', ' ')), '([^\p{L}\p{Nd} ])', '\\\1', 'g') || '[^a-z0-9]')""",
+    w=_WORDS))
 def grounded_items(t):
     replies = turn_replies(t).filter(F.col("job_description").isNotNull())
     parsed = replies.select("job_id", "job_description", rp.parse_reply(F.col("reply")).alias("s"))
     kept = parsed.select("job_id", sk.keep_grounded(F.col("s"), F.col("job_description")).alias("s"))
-    return kept.select("job_id", F.explode("s.tech_stack").alias("skill"))
+    lists = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("skill_type"), F.col("s")[c].alias("items"))
+        for c in ("tech_stack", "technical_skill", "soft_skill")
+    ]))
+    return kept.select("job_id", lists.alias("l")).select("job_id", "l.skill_type", F.explode("l.items").alias("skill"))
 
 
 @query("batch_replies", """

@@ -44,10 +44,13 @@ def seed_keywords(t):
 
 
 def _incoming(t):
+    """Fetched companies; those of one nation were fetched twice with different slugs."""
+    slug = F.when(F.col("c_nationkey") > 3, F.lower("c_mktsegment"))
+    again = F.when(F.col("c_nationkey") % 3 == 0, F.array(slug, F.lit("later"), F.lit(None).cast("string")))
     return t.table("customer").filter(F.col("c_acctbal") > 0).select(
         F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")).alias("company_name"),
         F.when(F.col("c_acctbal") > 5000, "501-1000").otherwise("").alias("employee_size"),
-        F.when(F.col("c_nationkey") > 3, F.lower("c_mktsegment")).alias("linkedin_slug"), F.lit("fetched").alias("source"),
+        F.explode(F.coalesce(again, F.array(slug))).alias("linkedin_slug"), F.lit("fetched").alias("source"),
     )
 
 
@@ -59,7 +62,8 @@ def _incoming(t):
            CASE WHEN n.company_name IS NOT NULL THEN n.source ELSE o.source END AS source
     FROM company_enrichment o FULL JOIN (SELECT replace(c_name, '#', ' ') AS company_name,
         CASE WHEN c_acctbal > 5000 THEN '501-1000' ELSE '' END AS employee_size,
-        CASE WHEN c_nationkey > 3 THEN lower(c_mktsegment) END AS linkedin_slug, 'fetched' AS source
+        CASE WHEN c_nationkey % 3 = 0 AND NOT coalesce(c_nationkey > 3 AND lower(c_mktsegment) > 'later', false) THEN 'later'
+             WHEN c_nationkey > 3 THEN lower(c_mktsegment) END AS linkedin_slug, 'fetched' AS source
         FROM customer WHERE c_acctbal > 0) n ON n.company_name = o.company_name""", "company_enrichment"))
 def upsert(t):
     return rw.upsert(t.company_enrichment, _incoming(t), "company_name", ["linkedin_slug", "source"], ["employee_size"])
@@ -85,12 +89,13 @@ def upsert_analysis(t):
 @query("partial_update", with_roles("""
     SELECT j.id, j.job_title, coalesce(x.company, j.company) AS company, coalesce(x.location, j.location) AS location
     FROM jobs j LEFT JOIN (SELECT s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN s_name END AS company,
-        CASE WHEN s_nationkey > 9 THEN 'Bogor' END AS location FROM supplier) x ON x.id = j.id""", "jobs"))
+        CASE WHEN s_nationkey > 9 THEN 'Cimahi' ELSE 'Bogor' END AS location FROM supplier) x ON x.id = j.id""", "jobs"))
 def partial_update(t):
-    patches = t.table("supplier").select(
-        F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("company"),
-        F.when(F.col("s_nationkey") > 9, "Bogor").alias("location"),
-    )
+    """Two patches per job: one with the company, both with a place."""
+    rows = t.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name"), "s_acctbal", "s_nationkey")
+    patches = rows.select(
+        "id", F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("company"), F.lit("Bogor").alias("location")
+    ).union(rows.select("id", F.lit(None).cast("string"), F.when(F.col("s_nationkey") > 9, "Cimahi")))
     return rw.patch(t.jobs.select("id", "job_title", "company", "location"), patches, "id")
 
 
@@ -167,7 +172,7 @@ def list_pages(t):
               '<a href="/c">'), text("company"), F.lit('</a></h4><span class="job-search-card__location"> '), text("location"),
         F.lit(' </span><time datetime="'), F.date_format("posted_date", "yyyy-MM-dd"), F.lit('">new</time></div></li></ul></body></html>'),
     )
-    return rd.spread(t.jobs, t.table("orders")).select(F.col("id").alias("page_id"), "keyword_id", page.alias("html"))
+    return rd.spread(t.jobs, "id").select(F.col("id").alias("page_id"), "keyword_id", page.alias("html"))
 
 
 _CARDS = """SELECT id, coalesce(company, '') AS company, coalesce(location, '') AS location, posted_date, keyword_id,

@@ -131,8 +131,10 @@ class Roles:
         return read_table(self.spark, self.folder, name)
 
     def texts(self, name: str) -> DataFrame:
-        """A table whose rows are costly to work on, read with all cores."""
-        return spread(self.table(name))
+        """A table whose rows are costly to work on, dealt out by its first column."""
+        df = self.table(name)
+        keys = ["conv_id", "turn"] if name == "conversations" else df.columns[:1]
+        return spread(df, *keys)
 
     @cached_property
     def skill_types(self) -> DataFrame:

@@ -18,7 +18,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    # a batch may hold whole pages
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # checkpoints go with the DataFrame that they belong to
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -36,10 +39,16 @@ def build_session(app: str = "skillweft", master: str | None = None, **extra: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Executors on other machines do not see the driver's folders, so a cluster without
+    that setting is an error; only a local master gets a folder of its own.
+    """
     context = spark.sparkContext
     configured = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="skillweft-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)

@@ -10,16 +10,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
-    """Deal the rows out to all cores when the scan they come from has fewer splits than cores.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows out by a key.
 
-    For work that costs far more per row than reading it (parsing pages, scoring
-    texts).  A large table has more splits than cores and is left alone.  ``scan``
-    is the plain table behind ``df`` when that already joins or groups.
+    For work that costs far more per row than moving it (parsing pages, scoring texts),
+    where files may have any number of rows per split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = (df if scan is None else scan)._jdf.toJavaRDD().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
+    return df.repartition(*keys)
 
 
 def read_jdbc_table(

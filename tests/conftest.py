@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -9,10 +10,11 @@ from skillweft.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "skillweft-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"},
+        "skillweft-tests", os.environ.get("TEST_MASTER", "local[8]"),
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
