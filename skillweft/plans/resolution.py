@@ -106,6 +106,14 @@ def _window(a: str, b: str) -> str:
     return f"list_max(list_transform({spans}, lambda w: 200.0::DOUBLE * {_lcs(a, 'w')} / (len({a}) + len(w))))"
 
 
+# equal words and words with one synonym: (text, known_text)
+_WORD_KEYS = f"unnest(list_distinct(list_filter([text, {q.synonym('text')}], lambda x: x IS NOT NULL))) AS key"
+_DIRECT = f"""
+    SELECT text, arg_min(known_text, (CAST(known_text <> text AS INTEGER), id)) AS known_text
+    FROM (SELECT text, {_WORD_KEYS} FROM raw)
+    JOIN (SELECT key, min((CAST(key <> text AS INTEGER), id, text)) AS hit, hit[2] AS id, hit[3] AS known_text
+          FROM (SELECT id, text, {_WORD_KEYS} FROM known) GROUP BY key) USING (key)
+    GROUP BY text"""
 # every pair of a raw word and a known word, scored as one word each: (text, id, known_text, score >= 85)
 _WORD_PAIRS = f"""
     SELECT text, id, known_text, CASE WHEN text = known_text THEN 100.0 WHEN plain >= 85 THEN plain
@@ -114,7 +122,7 @@ _WORD_PAIRS = f"""
     FROM (SELECT *, 200.0::DOUBLE * shared / (len(x) + len(y)) AS plain
           FROM (SELECT *, {_lcs('x', 'y')} AS shared
                 FROM (SELECT r.text, k.id, k.text AS known_text, string_split(r.text, '') AS x, string_split(k.text, '') AS y
-                      FROM raw r, known k))
+                      FROM raw r, known k WHERE r.text NOT IN (SELECT text FROM direct)))
           WHERE 200 * shared >= 85 * (least(len(x), len(y)) + shared))"""
 
 
@@ -128,9 +136,9 @@ def match_skills(t):
     known AS (SELECT text, min(item_id * 100000 + place) AS id
               FROM (SELECT item_id, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS place
                     FROM (SELECT item_id, regexp_extract_all(lower(text), '{q.WORD}+') AS w FROM benchmark)) GROUP BY text),
-    pairs AS ({_WORD_PAIRS})
-    SELECT text, arg_max(known_text, (known_text = text, score, -id)) AS known_text, max(score) AS score
-    FROM pairs WHERE score >= 85 GROUP BY text""")
+    direct AS ({_DIRECT}), pairs AS ({_WORD_PAIRS})
+    SELECT text, known_text, 100.0::DOUBLE AS score FROM direct
+    UNION ALL SELECT text, arg_max(known_text, (score, -id)), max(score) FROM pairs WHERE score >= 85 GROUP BY text""")
 def fuzzy_words(t):
     """Best benchmark word for every word of the conversations."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))

@@ -25,6 +25,12 @@ def pick(text: str, pairs, test: str = "contains") -> str:
     return f"(CASE {arms} END)"
 
 
+def synonym(x: str) -> str:
+    """English synonym of a lower-case word: equal key, else the first key contained either way."""
+    loose = " ".join(f"WHEN contains({x}, {lit(k)}) OR contains({lit(k)}, {x}) THEN {lit(v)}" for k, v in d.SYNONYMS)
+    return f"coalesce({pick(x, d.SYNONYMS, 'equal')}, CASE {loose} END)"
+
+
 def normalize_skill(x: str) -> str:
     text = strip(f"lower(coalesce({x}, ''))")
     phrases = sorted(d.INDONESIAN_SKILLS, key=lambda p: len(p[0]), reverse=True)

@@ -70,9 +70,7 @@ def classify_words(t):
 
 
 @query("synonym_words", """
-    SELECT word, """ + f"""coalesce({q.pick('word', d.SYNONYMS, 'equal')}, CASE """ + " ".join(
-        f"WHEN contains(word, {q.lit(k)}) OR contains({q.lit(k)}, word) THEN {q.lit(v)}" for k, v in d.SYNONYMS
-    ) + """ END) AS synonym
+    SELECT word, """ + q.synonym("word") + """ AS synonym
     FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations)""")
 def synonym_words(t):
     words = t.texts("conversations").select(
