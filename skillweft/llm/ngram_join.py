@@ -52,6 +52,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _BLOCKS = 16  # the counters travel in so many rows
 _RANGES = 8  # of the suffix filter
 _CENTRE_ROWS = 2_000  # rows compared with one copy of a centre
+_SENT_ROWS = 1_000_000  # at most so many rows of four numbers are broadcast
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -206,8 +207,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("salt"),
         F.lit(0).alias("kind"), F.col("a").alias("id"),
     )
+    wanted = partners.unionByName(centres)
+    if wanted.count() <= _SENT_ROWS:  # else the texts are shuffled to their rows
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = partners.unionByName(centres).join(texts, "id").select("a", "salt", "kind", "id", "text")
+    rows = texts.join(wanted, "id").select("a", "salt", "kind", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre = None, []
@@ -261,7 +265,8 @@ def similarity_classes(
         "token", F.col("centre.pos").alias("c_pos"), F.col("centre.n").alias("c_n"),
         F.col("centre.doc").alias("c_doc"),
     )
-    shared = stored(entries.join(centre, "token"), "ngram-entries")
+    # stored before it is joined back: a join of two plain tables can split hot n-grams
+    shared = stored(entries.join(stored(centre, "ngram-centres"), "token"), "ngram-entries")
     near = shared.withColumnsRenamed({"pos": "e_pos", "n": "e_n", "doc": "e_doc"})
     first = near.filter("e_doc <> c_doc").filter(_passes("e_", "c_", percent))
     first = first.select(F.col("c_doc").alias("a"), F.col("e_doc").alias("b"))
