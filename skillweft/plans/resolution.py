@@ -8,6 +8,7 @@ from skillweft.functions.skills import normalize_skill
 from skillweft.operators import fuzzy as fz
 from skillweft.operators import matcher as mt
 from skillweft.operators import resolve as rs
+from skillweft.plans import matchsql as ms
 from skillweft.plans import sqltext as q
 from skillweft.plans.registry import query
 from skillweft.plans.texts import turn_replies
@@ -53,18 +54,20 @@ def canonicalize(t):
     return rs.with_canonical(t.skills.select("id", "name", "skill_type"), variants(t), "name", "skill_type")
 
 
-@query("canonical_lookup", f"""
-    WITH variants AS ({VARIANTS}), idx AS ({_INDEX}), fixes AS ({_FIXES}),
-    entries AS (
+_LOOKUP = f"""
+    SELECT norm, arg_max(canonical, (rank, seq)) AS canonical, arg_max(canonical_type, (rank, seq)) AS canonical_type
+    FROM (
         SELECT {q.normalize_skill('variant')} AS norm, canonical, category AS canonical_type,
                CASE category WHEN 'tech_stack' THEN 1 WHEN 'technical_skill' THEN 2 ELSE 3 END AS rank, seq FROM variants
         UNION ALL SELECT {q.normalize_skill('k')}, v, kind, 0, 0 FROM (
             SELECT k, v, CASE WHEN lower(trim(v)) IN ({", ".join(map(q.lit, d.GENERIC_TERMS))}) THEN NULL
                 WHEN {q.any_in('lower(trim(v))', d.SOFT_SKILL_INDICATORS)} THEN 'soft_skill'
                 ELSE (SELECT arg_min(category, r) FROM idx WHERE norm = {q.normalize_skill('v')}) END AS kind FROM fixes)
-        WHERE kind IS NOT NULL)
-    SELECT norm, arg_max(canonical, (rank, seq)) AS canonical, arg_max(canonical_type, (rank, seq)) AS canonical_type
-    FROM entries GROUP BY norm""")
+        WHERE kind IS NOT NULL) GROUP BY norm"""
+_STEPS = dict(variants=VARIANTS, idx=_INDEX, fixes=_FIXES, lookup=_LOOKUP)
+
+
+@query("canonical_lookup", with_roles("SELECT * FROM lookup", **_STEPS))
 def canonical_lookup(t):
     return rs.canonical_lookup(variants(t))
 
@@ -89,44 +92,12 @@ def raw_skills(t):
     return parts.select(F.explode(forms).alias("skill"), F.lit("tech_stack").alias("skill_type")).distinct()
 
 
-def _lcs(a: str, b: str) -> str:
-    """Longest common subsequence of two lists of letters (at most 62), one bit per letter of ``a``."""
-    masks = (f"list_transform({b}, lambda c: CAST(list_sum(list_transform(range(len({a})), lambda i: "
-             f"CASE WHEN {a}[i + 1] = c THEN 1::BIGINT << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT))")
-    full = f"((1::BIGINT << CAST(len({a}) AS INTEGER)) - 1)"
-    rows = f"list_reduce(list_prepend({full}, {masks}), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})"
-    return f"(len({a}) - bit_count({rows}))"
-
-
-def _window(a: str, b: str) -> str:
-    """Best ratio of the shorter list ``a`` with a window of ``b``; shorter windows stand at both ends."""
-    spans = (f"list_concat(list_transform(range(len({b}) - len({a}) + 1), lambda i: {b}[i + 1:i + len({a})]), "
-             f"list_transform(range(1, len({a})), lambda n: {b}[1:n]), "
-             f"list_transform(range(1, len({a})), lambda n: {b}[len({b}) - n + 1:len({b})]))")
-    return f"list_max(list_transform({spans}, lambda w: 200.0::DOUBLE * {_lcs(a, 'w')} / (len({a}) + len(w))))"
-
-
-# equal words and words with one synonym: (text, known_text)
-_WORD_KEYS = f"unnest(list_distinct(list_filter([text, {q.synonym('text')}], lambda x: x IS NOT NULL))) AS key"
-_DIRECT = f"""
-    SELECT text, arg_min(known_text, (CAST(known_text <> text AS INTEGER), id)) AS known_text
-    FROM (SELECT text, {_WORD_KEYS} FROM raw)
-    JOIN (SELECT key, min((CAST(key <> text AS INTEGER), id, text)) AS hit, hit[2] AS id, hit[3] AS known_text
-          FROM (SELECT id, text, {_WORD_KEYS} FROM known) GROUP BY key) USING (key)
-    GROUP BY text"""
-# every pair of a raw word and a known word, scored as one word each: (text, id, known_text, score >= 85)
-_WORD_PAIRS = f"""
-    SELECT text, id, known_text, CASE WHEN text = known_text THEN 100.0 WHEN plain >= 85 THEN plain
-        WHEN len(x) < len(y) THEN {_window('x', 'y')} WHEN len(x) > len(y) THEN {_window('y', 'x')}
-        ELSE greatest({_window('x', 'y')}, {_window('y', 'x')}) END AS score
-    FROM (SELECT *, 200.0::DOUBLE * shared / (len(x) + len(y)) AS plain
-          FROM (SELECT *, {_lcs('x', 'y')} AS shared
-                FROM (SELECT r.text, k.id, k.text AS known_text, string_split(r.text, '') AS x, string_split(k.text, '') AS y
-                      FROM raw r, known k WHERE r.text NOT IN (SELECT text FROM direct)))
-          WHERE 200 * shared >= 85 * (least(len(x), len(y)) + shared))"""
-
-
-@query("match_skills")
+_ASKED = """SELECT DISTINCT unnest([p_name, p_name || ' ' || lower(p_brand), replace(p_name, 'i', ''), p_name || 's',
+    lower(p_type), 'cloud']) AS skill, 'tech_stack' AS skill_type FROM part"""
+
+
+@query("match_skills", with_roles("SELECT * FROM matched", "skills", **_STEPS, asked=_ASKED,
+                                  known="SELECT id, name, normalized_name FROM skills", **ms.CASCADE))
 def match_skills(t):
     return rs.match_skills(raw_skills(t), t.skills, variants(t))
 
@@ -136,7 +107,7 @@ def match_skills(t):
     known AS (SELECT text, min(item_id * 100000 + place) AS id
               FROM (SELECT item_id, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS place
                     FROM (SELECT item_id, regexp_extract_all(lower(text), '{q.WORD}+') AS w FROM benchmark)) GROUP BY text),
-    direct AS ({_DIRECT}), pairs AS ({_WORD_PAIRS})
+    direct AS ({ms.direct('raw', 'known')}), pairs AS ({ms.pairs('raw', 'known')})
     SELECT text, known_text, 100.0::DOUBLE AS score FROM direct
     UNION ALL SELECT text, arg_max(known_text, (score, -id)), max(score) FROM pairs WHERE score >= 85 GROUP BY text""")
 def fuzzy_words(t):
@@ -166,7 +137,7 @@ _VOCABULARY = f"""
                 FROM part),
     matches AS (
         SELECT text, arg_max(entry, (score, entry_rank)) AS entry, max(score) AS score
-        FROM (SELECT text, entry, entry_rank, 200.0::DOUBLE * {_lcs('x', 'y')} / (len(x) + len(y)) AS score
+        FROM (SELECT text, entry, entry_rank, 200.0::DOUBLE * {ms.lcs('x', 'y')} / (len(x) + len(y)) AS score
               FROM (SELECT text, string_split(array_to_string({_SORTED}, ' '), '') AS x FROM names),
                    (SELECT text AS entry, string_split(array_to_string({_SORTED}, ' '), '') AS y,
                            -row_number() OVER (ORDER BY text) AS entry_rank FROM entries))
@@ -270,20 +241,52 @@ def reply_items(t):
 
 
 def _resolved(t):
-    known = t.table("benchmark").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))).alias("name"), "item_id"
-    ).groupBy("name").agg(F.min("item_id").alias("first"))
+    """Resolution of every reply against the benchmark's words: (known skills, results)."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))
+    known = t.table("benchmark").select("item_id", F.posexplode(words).alias("at", "name")).groupBy("name").agg(
+        F.min(F.col("item_id") * 100000 + F.col("at")).alias("id")
+    )
     skills = known.select(
-        F.abs(F.xxhash64("name") % 1000000007).alias("id"), "name", normalize_skill(F.col("name")).alias("normalized_name"),
-        F.lit("tech_stack").alias("skill_type"),
+        "id", "name", normalize_skill(F.col("name")).alias("normalized_name"), F.lit("tech_stack").alias("skill_type")
     )
-    return rs.resolve_replies(_replies(t), skills, variants(t))
+    return skills, rs.resolve_replies(_replies(t), skills, variants(t))
+
+
+_REPLY_STEPS = dict(
+    **_STEPS,
+    known=rf"""SELECT name, min(item_id * 100000 + place) AS id, {q.normalize_skill('name')} AS normalized_name
+        FROM (SELECT item_id, unnest(w) AS name, generate_subscripts(w, 1) - 1 AS place
+              FROM (SELECT item_id, regexp_extract_all(lower(text), '{q.WORD}+') AS w FROM benchmark)) GROUP BY name""",
+    items=REPLY_ITEMS,
+    asked_items=f"""SELECT job_id, skill_type, coalesce((SELECT v FROM fixes WHERE k = lower(trim(i.skill))),
+            (SELECT canonical FROM idx WHERE norm = i.norm AND category = i.skill_type),
+            (SELECT arg_min(canonical, r) FROM idx WHERE norm = i.norm), i.skill) AS skill
+        FROM (SELECT *, {q.normalize_skill('skill')} AS norm FROM items) i""",
+    asked="SELECT DISTINCT skill, skill_type FROM asked_items",
+    **ms.CASCADE,
+    # new skills are stored once per key and type, under the shortest name
+    keyed=f"""SELECT *, {q.normalize_skill('own')} AS key FROM (SELECT *, coalesce(
+            (SELECT v FROM fixes WHERE k = lower(trim(m.skill))),
+            (SELECT canonical FROM idx WHERE idx.norm = m.norm AND category = m.skill_type),
+            (SELECT arg_min(canonical, r) FROM idx WHERE idx.norm = m.norm), m.norm) AS own FROM matched m)""",
+    added="""SELECT key, final_type, arg_min(own, (length(own), own)) AS name FROM keyed
+        WHERE action = 'insert_new' AND final_type IS NOT NULL GROUP BY key, final_type""",
+    same="SELECT normalized_name AS key, arg_min(name, id) AS name FROM known GROUP BY normalized_name",
+)
 
 
-@query("resolve_links")
+@query("resolve_links", with_roles("""
+    SELECT DISTINCT i.job_id, coalesce(k.matched_skill, s.name, a.name) AS name,
+           CASE WHEN k.matched_skill IS NOT NULL THEN 'tech_stack' ELSE k.final_type END AS skill_type
+    FROM asked_items i JOIN keyed k ON k.skill = i.skill AND k.skill_type = i.skill_type
+    LEFT JOIN added a ON k.action = 'insert_new' AND a.key = k.key AND a.final_type = k.final_type
+    LEFT JOIN same s ON k.action = 'insert_new' AND k.final_type = 'tech_stack' AND s.key = k.key
+    WHERE coalesce(k.matched_skill, s.name, a.name) IS NOT NULL""", **_REPLY_STEPS))
 def resolve_links(t):
-    """(job, skill) links after resolving every reply against the known words."""
-    return _resolved(t)["links"]
+    """The skills each job is linked to, by name, after resolving every reply against the known words."""
+    known, found = _resolved(t)
+    stored = known.select("id", "name", "skill_type").union(found["new_skills"].select("id", "name", "skill_type"))
+    return found["links"].join(stored, F.col("skill_id") == F.col("id")).select("job_id", "name", "skill_type").distinct()
 
 
 @query("resolve_lists", f"""
@@ -293,7 +296,7 @@ def resolve_links(t):
     f"string_agg(DISTINCT name, ', ' ORDER BY name) FILTER (skill_type = '{c}') AS {c}" for c in rs.CATEGORIES
 ) + " FROM named GROUP BY job_id")
 def resolve_lists(t):
-    return _resolved(t)["lists"]
+    return _resolved(t)[1]["lists"]
 
 
 _TITLES = ["Data Engineer", "Senior Machine Learning Engineer - Contract", "high", "Backend wizard", "nothing at all"]

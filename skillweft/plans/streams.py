@@ -117,17 +117,14 @@ def stream_cache(t):
     return t.spark.read.parquet(f"{path}/answers").select("key", "ts", "size", "hit")
 
 
-@query("stream_ingest_chain")
-def stream_ingest_chain(t):
-    """Postings, sizes and skill links of orders that arrive as a stream."""
+def run_chain(t, arrived, known, path, checkpoint):
+    """The chained ingest over a stream of order keys (``page_id``)."""
     from skillweft.functions.replies import SKILL_LISTS
     from skillweft.plans.resolution import variants
     from skillweft.plans.texts import keyword_table
     from skillweft.plans.writes import list_pages
     from skillweft.streaming.jobs import run_ingest_chain
 
-    path, checkpoint = _folders(t, "chain")
-    arrived = feeds.read_feed(t.spark, t.folder, "orders.parquet").select(F.col("o_orderkey").alias("page_id"))
     pages = arrived.join(list_pages(t), "page_id")
     # a job's reply names its first part, which the description mentions
     named = t.job_skills.groupBy("job_id").agg(F.min("skill_id").alias("id")).join(t.skills.select("id", "name"), "id")
@@ -138,8 +135,19 @@ def stream_ingest_chain(t):
     sizes = t.companies.filter(F.col("employee_size").isNotNull()).select(
         F.coalesce("company", F.lit("")).alias("company"), F.lit(None).cast("string").alias("company_url"), "employee_size"
     )
-    run_ingest_chain(pages, keyword_table(t), sizes, replies, t.skills, variants(t), path, checkpoint,
+    run_ingest_chain(pages, keyword_table(t), sizes, replies, known, variants(t), path, checkpoint,
                      F.lit("2000-01-01").cast("date"))
-    links = t.spark.read.parquet(f"{path}/links").select(F.col("job_id").alias("link"), "skill_id")
+
+
+@query("stream_ingest_chain")
+def stream_ingest_chain(t):
+    """Postings, sizes and skill links of orders that arrive as a stream; skills by name."""
+    path, checkpoint = _folders(t, "chain")
+    arrived = feeds.read_feed(t.spark, t.folder, "orders.parquet").select(F.col("o_orderkey").alias("page_id"))
+    run_chain(t, arrived, t.skills, path, checkpoint)
+    stored = t.skills.select("id", "name").union(t.spark.read.parquet(f"{path}/skills").select("id", "name"))
+    links = t.spark.read.parquet(f"{path}/links").join(stored, F.col("skill_id") == F.col("id")).select(
+        F.col("job_id").alias("link"), F.col("name").alias("skill")
+    )
     jobs = t.spark.read.parquet(f"{path}/jobs").select("link", "job_title", "company", "keyword_id", "employee_size")
     return jobs.join(links, "link", "left")

@@ -71,3 +71,35 @@ def test_cache_over_batches(spark, tmp_path):
     assert got == {("k", 0): ("s0", False), ("k", 1): ("s0", True), ("k", 29): ("s0", True), ("k", 30): ("s30", False),
                    ("k", 31): ("s30", True), ("k", 59): ("s30", True), ("k", 60): ("s60", False), ("k", 61): ("s60", True),
                    ("other", 0): ("x", False)}
+
+
+def test_chain_keeps_skill_ids_over_batches(spark, tmp_path):
+    """Three micro-batches, the last one repeated: every link's id stands once in the stored skills."""
+    from skillweft.plans.streams import run_chain
+    from skillweft.roles import Roles
+
+    t = Roles(spark, "/root/testdata/sf0.001")
+    feed, path, checkpoint = (str(tmp_path / n) for n in ("feed", "table", "checkpoint"))
+    orders = t.table("orders").select(F.col("o_orderkey").alias("page_id"))
+    orders.repartitionByRange(3, "page_id").write.parquet(feed)
+    known = t.skills.limit(0)
+
+    def run():
+        arrived = feeds.read_feed(spark, feed, files_per_batch=1)
+        run_chain(t, arrived, known, path, checkpoint)
+        skills = spark.read.parquet(f"{path}/skills")
+        links = spark.read.parquet(f"{path}/links")
+        ids = [r.id for r in skills.collect()]
+        assert len(ids) == len(set(ids)) and {r.skill_id for r in links.collect()} <= set(ids)
+        names = [(r.normalized_name, r.skill_type) for r in skills.collect()]
+        assert len(names) == len(set(names))
+        analysed = {r.link for r in spark.read.parquet(f"{path}/analysis").collect()}
+        assert analysed == {r.job_id for r in links.collect()}
+        by_name = links.join(skills, links["skill_id"] == skills["id"])
+        return sorted((r.job_id, r.name) for r in by_name.collect()), {r.batch for r in links.collect()}
+
+    first, batches = run()
+    assert first and batches == {0, 1, 2}
+    for file in (tmp_path / "checkpoint" / "commits").glob("*2*"):
+        file.unlink()  # as if the driver was lost before the batch was committed
+    assert run() == (first, batches)
