@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -223,71 +224,85 @@ def field_size(html: Column) -> Column:
 
 
 class _Page(HTMLParser):
-    """Open elements with their texts; closed ones are handed to ``done``."""
+    """Elements in the order of their start tags, read in one pass.
+
+    Visible texts stand once in ``texts``; an element knows which of them, and which of
+    the elements behind it, lie inside.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.elements: list[dict] = []
+        self.texts: list[str] = []
         self.open: list[dict] = []
-        self.closed: list[dict] = []
+        self.depth: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in attrs}
-        node = {"tag": tag, "attrs": values, "class": values.get("class", "").split(), "texts": [],
-                "order": len(self.open) + len(self.closed), "inside": [n["order"] for n in self.open]}
+        node = {"tag": tag, "attrs": values, "class": values.get("class", "").split(),
+                "first": len(self.texts), "place": len(self.elements)}
+        self.elements.append(node)
         if tag in _VOID:
-            self.closed.append(node)
+            self._end(node)
         else:
             self.open.append(node)
+            self.depth[tag] += 1
+
+    def _end(self, node):
+        node["last"], node["inside"] = len(self.texts), len(self.elements)
 
     def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self.open):
-            while self.open:
-                node = self.open.pop()
-                self.closed.append(node)
-                if node["tag"] == tag:
-                    break
+        while self.depth[tag]:
+            node = self.open.pop()
+            self.depth[node["tag"]] -= 1
+            self._end(node)
+            if node["tag"] == tag:
+                break
 
     def handle_data(self, data):
-        if not any(n["tag"] in ("script", "style") for n in self.open):
-            for node in self.open:
-                node["texts"].append(data)
+        if not self.depth["script"] and not self.depth["style"]:
+            self.texts.append(data)
 
-    def nodes(self, html: str) -> list[dict]:
+    def read(self, html: str) -> "_Page":
         self.feed(html)
         self.close()
-        return sorted(self.closed + self.open, key=lambda n: n["order"])
+        for node in self.open:
+            self._end(node)
+        return self
+
+    def parts(self, node) -> list[str]:
+        return self.texts[node["first"]:node["last"]]
+
+    def text(self, node) -> str | None:
+        return None if node is None else "".join(self.parts(node)).strip()
+
+    def inside(self, node) -> list[dict]:
+        return self.elements[node["place"] + 1:node["inside"]]
 
 
-def _first_node(nodes, tag, css=None, inside=None, **attrs):
+def _first_node(nodes, tag, css=None, **attrs):
     for node in nodes:
-        if node["tag"] != tag or (css and css not in node["class"]):
-            continue
-        if inside is not None and inside["order"] not in node["inside"]:
-            continue
-        if all(node["attrs"].get(k) == v for k, v in attrs.items()):
+        if node["tag"] == tag and not (css and css not in node["class"]) \
+                and all(node["attrs"].get(k) == v for k, v in attrs.items()):
             return node
     return None
 
 
-def _text(node) -> str | None:
-    return None if node is None else "".join(node["texts"]).strip()
-
-
 def _cards(html: str) -> list[dict]:
     if not html:
         return []
-    nodes = _Page().nodes(html)
-    found = []
-    for card in (n for n in nodes if n["tag"] == "li"):
-        link = _first_node(nodes, *CARD_LINK, inside=card)
+    page, found = _Page().read(html), []
+    for card in (n for n in page.elements if n["tag"] == "li"):
+        own = page.inside(card)
+        link = _first_node(own, *CARD_LINK)
         if link is None:
             continue
-        date = _first_node(nodes, "time", inside=card)
+        date = _first_node(own, "time")
         found.append({
             "href": link["attrs"].get("href", ""),
-            "title": _text(_first_node(nodes, *CARD_TITLE, inside=card)),
-            "company": _text(_first_node(nodes, *CARD_COMPANY, inside=card)),
-            "location": _text(_first_node(nodes, *CARD_LOCATION, inside=card)),
+            "title": page.text(_first_node(own, *CARD_TITLE)),
+            "company": page.text(_first_node(own, *CARD_COMPANY)),
+            "location": page.text(_first_node(own, *CARD_LOCATION)),
             "date": None if date is None else date["attrs"].get("datetime", ""),
         })
     return found
@@ -296,15 +311,16 @@ def _cards(html: str) -> list[dict]:
 def _description(html: str) -> str:
     if not html:
         return ""
-    nodes = _Page().nodes(html)
-    lines = lambda node: "\n".join(s for s in (t.strip() for t in node["texts"]) if s)
+    page = _Page().read(html)
+    lines = lambda node: "\n".join(s for s in (t.strip() for t in page.parts(node)) if s)
     options = [
-        _first_node(nodes, tag, css, **({"id": name} if name else {})) for tag, css, name in DESCRIPTION_ELEMENTS
+        _first_node(page.elements, tag, css, **({"id": name} if name else {}))
+        for tag, css, name in DESCRIPTION_ELEMENTS
     ]
     for node in options:
         if node is not None and len(lines(node)) > DESCRIPTION_MINIMUM:
             return lines(node)
-    main = _first_node(nodes, "main")
+    main = _first_node(page.elements, "main")
     return lines(main) if main is not None else ""
 
 
