@@ -56,19 +56,26 @@ def matching_titles(targets: DataFrame, jobs: DataFrame, keywords: DataFrame) ->
         .groupBy("target_id").agg(F.min("id").alias("keyword_id"))
     )
     lowered = groups.withColumn("text", F.lower("title"))
-    staged = (
-        lowered.join(by_phrase(whole), "text").withColumn("stage", F.lit(1))
-        .unionByName(lowered.join(first_keyword, "keyword_id").withColumn("stage", F.lit(2)))
-        .unionByName(lowered.join(by_phrase(words), "text").withColumn("stage", F.lit(3)))
-    )
-    if sized:
-        sizes = wanted.select("target_id", F.col("employee_size").alias("asked_size"))
-        staged = staged.join(sizes, "target_id").filter(
-            F.coalesce("asked_size", F.lit("")).isin("") | (F.col("asked_size") == F.col("size"))
-        ).drop("asked_size")
-    first = staged.groupBy("target_id").agg(F.min("stage").alias("stage"))
     columns = ["target_id", "keyword_id", "title", *(["size"] if sized else [])]
-    return staged.join(first, ["target_id", "stage"]).select(*columns).distinct()
+    sizes = wanted.select("target_id", F.col("employee_size").alias("asked_size")) if sized else None
+
+    def of_size(hits: DataFrame) -> DataFrame:
+        if sized:
+            hits = hits.join(sizes, "target_id").filter(
+                F.coalesce("asked_size", F.lit("")).isin("") | (F.col("asked_size") == F.col("size"))
+            )
+        return hits.select(*columns).distinct()
+
+    def still_open(rows: DataFrame, *hits: DataFrame) -> DataFrame:
+        for found in hits:
+            rows = rows.join(found.select("target_id").distinct(), "target_id", "left_anti")
+        return rows
+
+    # a target that an earlier stage has settled takes no part in the next one
+    in_title = cut_lineage(of_size(lowered.join(by_phrase(whole), "text")))
+    in_keyword = of_size(lowered.join(still_open(first_keyword, in_title), "keyword_id"))
+    by_word = of_size(lowered.join(by_phrase(still_open(words, in_title, in_keyword)), "text"))
+    return in_title.unionByName(in_keyword).unionByName(by_word)
 
 
 def demand(

@@ -299,24 +299,38 @@ def resolve_lists(t):
     return _resolved(t)[1]["lists"]
 
 
-_TITLES = ["Data Engineer", "Senior Machine Learning Engineer - Contract", "high", "Backend wizard", "nothing at all"]
+# every nation asks for one of five titles, some for a kind of skill and a company size
+_TITLES = [("Data Engineer", "data engineer"), ("Senior Machine Learning Engineer - Contract", "machine learning engineer"),
+           ("high", "high"), ("Backend wizard", "backend wizard"), ("nothing at all", "nothing at all")]
+_SIZES = ["", "51-200", "1-10"]
+_KINDS = ["all", "tech_stack", "soft_skill", ""]
 
 
 def targets(t):
-    rows = [(i, title) for i, title in enumerate(_TITLES)]
-    return t.spark.createDataFrame(rows, "target_id INT, title STRING")
+    def one_of(values, number):
+        return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+
+    key = F.col("n_nationkey")
+    return t.table("nation").select(
+        key.alias("target_id"), one_of([title for title, _ in _TITLES], key).alias("title"),
+        one_of(_SIZES, F.floor(key / 5)).alias("employee_size"), one_of(_KINDS, F.col("n_regionkey")).alias("skill_type"),
+    )
+
+
+def _list(values):
+    return "[" + ", ".join(map(q.lit, values)) + "]"
 
 
 _MATCH = dict(
-    asked="SELECT * FROM (VALUES (0, 'data engineer', 'data engineer'), (1, 'senior machine learning engineer - contract', "
-          "'machine learning engineer'), (2, 'high', 'high'), (3, 'backend wizard', 'backend wizard'), "
-          "(4, 'nothing at all', 'nothing at all')) AS a(target_id, asked, clean)",
+    asked=f"""SELECT n_nationkey AS target_id, lower({_list([a for a, _ in _TITLES])}[n_nationkey % 5 + 1]) AS asked,
+            {_list([c for _, c in _TITLES])}[n_nationkey % 5 + 1] AS clean,
+            {_list(_SIZES)}[n_nationkey // 5 % 3 + 1] AS size, {_list(_KINDS)}[n_regionkey % 4 + 1] AS kind FROM nation""",
     staged="""SELECT a.target_id, p.id AS job_id, CASE
             WHEN contains(lower(p.job_title), asked) OR contains(lower(p.job_title), clean) THEN 1
             WHEN p.keyword_id = (SELECT min(id) FROM keywords WHERE contains(lower(keyword), asked)) THEN 2
             WHEN len(list_filter(string_split(clean, ' '), lambda w: length(w) > 2 AND contains(lower(p.job_title), w))) > 0
             THEN 3 END AS stage
-        FROM asked a JOIN postings p ON true""",
+        FROM asked a JOIN jobs p ON a.size = '' OR a.size = p.employee_size""",
     picked="SELECT * FROM (SELECT *, min(stage) OVER (PARTITION BY target_id) AS m FROM staged) WHERE stage = m",
     demand="""SELECT target_id, coalesce(nullif(normalized_name, ''), '?') AS norm, max(n) AS demand,
             arg_min(name, (length(name), name)) AS name,
@@ -324,9 +338,10 @@ _MATCH = dict(
         FROM (SELECT p.target_id, s.id, s.name, s.normalized_name, s.skill_type, count(*) AS n,
                      row_number() OVER (PARTITION BY p.target_id, s.skill_type ORDER BY count(*) DESC, s.name, s.id) AS r
               FROM picked p JOIN job_skills js ON js.job_id = p.job_id JOIN skills s ON s.id = js.skill_id
+              JOIN asked a ON a.target_id = p.target_id AND (a.kind IN ('all', '') OR a.kind = s.skill_type)
               GROUP BY p.target_id, s.id, s.name, s.normalized_name, s.skill_type) y
         WHERE r <= 100 GROUP BY target_id, norm""",
-    requests="SELECT c_custkey AS request_id, CAST(c_nationkey % 5 AS INT) AS target_id FROM customer",
+    requests="SELECT c_custkey AS request_id, c_nationkey AS target_id FROM customer",
     have="""SELECT DISTINCT o.o_custkey AS request_id, lower(s.name) AS norm FROM orders o
             JOIN job_skills js ON js.job_id = o.o_orderkey JOIN skills s ON s.id = js.skill_id
             WHERE s.skill_type = 'tech_stack'""",
@@ -334,13 +349,13 @@ _MATCH = dict(
 
 
 def _demand(t):
-    return mt.demand(targets(t), t.postings, t.keywords, t.job_skills, t.skills)
+    return mt.demand(targets(t), t.jobs, t.keywords, t.job_skills, t.skills)
 
 
 def _requests(t):
     """Every customer asks for one of the targets; their orders' parts are their skills."""
     requests = t.table("customer").select(
-        F.col("c_custkey").alias("request_id"), (F.col("c_nationkey") % 5).cast("int").alias("target_id")
+        F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("target_id")
     )
     tools = t.skills.filter(F.col("skill_type") == "tech_stack").select(F.col("id").alias("skill_id"), "name")
     owned = t.postings.select(F.col("id").alias("job_id"), F.col("company_id").alias("request_id"))
@@ -348,7 +363,7 @@ def _requests(t):
     return requests, have
 
 
-_MODEL = ("postings", "keywords", "skills", "job_skills")
+_MODEL = ("postings", "jobs", "keywords", "skills", "job_skills")
 
 
 @query("match_demand", with_roles("SELECT * FROM demand", *_MODEL, **_MATCH))
