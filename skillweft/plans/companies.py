@@ -311,8 +311,15 @@ def enrich_companies(t):
 
 
 def job_pages(t):
-    """A posting page per job that shows the company address in one of several ways."""
-    url, key = F.coalesce("company_url", F.lit("")), F.col("id") % 5
+    """A posting page per job that shows the company address in one of several ways.
+
+    Some pages show another address than the stored one: a renamed or a foreign company.
+    """
+    stored = F.coalesce("company_url", F.lit(""))
+    url = F.when((stored == "") | (F.col("id") % 7 != 3), stored).when(
+        F.col("id") % 14 == 3, F.lit("https://www.linkedin.com/company/other-firm/")
+    ).otherwise(F.replace(stored, F.lit("/company/"), F.lit("/company/new-")))
+    key = F.col("id") % 5
     return spread(t.jobs, "id").select(F.col("id").alias("job_id"), F.concat(
         F.lit("<html><body><h1>Job</h1><a href='/jobs'>all</a>"),
         F.when(key == 0, F.concat(F.lit('<a class="x" href="'), url, F.lit('?lipi=1">c</a>')))
@@ -329,9 +336,10 @@ _LINKS = """SELECT id, company, company_url, found_url,
         CASE WHEN found_url IS NULL THEN 'none' WHEN id % 5 = 0 THEN 'direct_link' WHEN id % 5 = 1 THEN 'structured_data'
              WHEN id % 5 = 2 THEN 'og_meta' ELSE 'text_parse' END AS strategy,
         CASE WHEN found_url IS NULL THEN 0.0 WHEN id % 5 = 0 THEN 0.95 WHEN id % 5 = 1 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence,
-        CASE WHEN found_url IS NOT NULL THEN coalesce(company LIKE 'Customer%' AND contains(found_url, '/customer-'), false) END AS valid,
-        CAST(NULL AS BOOLEAN) AS improvement
-    FROM (SELECT *, CASE WHEN id % 5 <> 4 AND company_url <> '' THEN company_url END AS found_url FROM jobs)"""
+        CASE WHEN found_url IS NOT NULL THEN coalesce(company LIKE 'Customer%' AND contains(found_url, 'customer-'), false) END AS valid,
+        CASE WHEN found_url <> company_url THEN coalesce(company LIKE 'Customer%' AND contains(found_url, 'customer-'), false) END AS improvement
+    FROM (SELECT *, CASE WHEN id % 5 = 4 OR coalesce(company_url, '') = '' THEN NULL WHEN id % 14 = 3 THEN 'https://www.linkedin.com/company/other-firm/'
+              WHEN id % 7 = 3 THEN replace(company_url, '/company/', '/company/new-') ELSE company_url END AS found_url FROM jobs)"""
 
 
 @query("extract_links", with_roles("SELECT * FROM l", "jobs", l=_LINKS))
@@ -341,7 +349,7 @@ def extract_links(t):
 
 @query("link_statistics", with_roles("""
     SELECT strategy, count(*) AS total, count(*) FILTER (valid) AS validated,
-           CAST(0 AS BIGINT) AS improved,
+           count(*) FILTER (improvement) AS improved,
            round(100.0::DOUBLE * count(*) FILTER (valid) / count(*), 1) AS success_rate
     FROM l WHERE found_url IS NOT NULL GROUP BY strategy""", "jobs", l=_LINKS))
 def link_statistics(t):
