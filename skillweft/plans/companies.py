@@ -367,6 +367,14 @@ def apply_links(t):
     return co.apply_links(rows, co.extract_links(rows, pages)).select("id", "company_url")
 
 
+_SIZE_LABELS = ["1-10", "11-50", "51-200"]
+_list_pick = "[" + ", ".join(f"'{x}'" for x in _SIZE_LABELS) + "][c_nationkey % 3 + 1]"
+
+
+def _listed_size():
+    return F.element_at(F.array(*map(F.lit, _SIZE_LABELS)), (F.col("c_nationkey") % 3 + 1).cast("int"))
+
+
 PAGE_TEXT = r"""
     SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
         regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
@@ -395,13 +403,55 @@ def page_login_walls(t):
 
 
 @query("page_descriptions", f"""
-    SELECT page_id, text AS description FROM ({PAGE_TEXT})""")
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN text WHEN 1 THEN CASE WHEN length(text) > 100 THEN text ELSE 'Short' || chr(10) || text END
+        WHEN 2 THEN CASE WHEN length(text) > 100 THEN text ELSE repeat('b', 101) END ELSE 'Nothing marked' || chr(10) || text END AS description
+    FROM ({PAGE_TEXT})""")
 def page_descriptions(t):
-    """Descriptions by selector, else of the main part; pages wrapped as posting pages."""
+    """Descriptions by selector, in their order and of more than 100 letters, else the main part."""
     text = F.replace(ht.visible_text(F.col("html")), F.lit("&"), F.lit("&amp;"))
     text = F.replace(text, F.lit("<"), F.lit("&lt;"))
-    wrapped = F.concat(F.lit('<main><div class="description">'), text, F.lit("</div></main>"))
-    return t.texts("pages").select("page_id", ht.posting_description(wrapped).alias("description"))
+    kind, filler = F.col("page_id") % 4, F.lit("b" * 101)
+    body = (
+        F.when(kind == 0, F.concat(F.lit('<main><div class="description">'), text, F.lit("</div></main>")))
+        # the first selector holds too little
+        .when(kind == 1, F.concat(F.lit('<main><div class="show-more-less-html__markup">Short</div><div class="x description">'),
+                                  text, F.lit("</div></main>")))
+        # an earlier selector stands later in the page
+        .when(kind == 2, F.concat(F.lit('<section id="description">'), filler,
+                                  F.lit('</section><div class="show-more-less-html__markup">'), text, F.lit("</div>")))
+        .otherwise(F.concat(F.lit("<p>Menu</p><main><h1>Nothing marked</h1>"), text, F.lit("</main>")))
+    )
+    return t.texts("pages").select("page_id", ht.posting_description(body).alias("description"))
+
+
+@query("company_page_sizes", f"""
+    SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN '1-' || n WHEN 2 THEN n || '+' END AS size
+    FROM (SELECT c_custkey, CAST(floor(abs(c_acctbal)) AS BIGINT) + 20 AS n FROM customer)""")
+def company_page_sizes(t):
+    """Head count in embedded data, else in one of the wordings of the page, else none."""
+    n, kind = (F.floor(F.abs("c_acctbal")) + 20).cast("string"), F.col("c_custkey") % 4
+    page = F.concat(
+        F.lit("<html><body><h1>About us</h1>"),
+        F.when(kind == 0, F.concat(F.lit('<script type="application/ld+json">{"@type":"Organization","numberOfEmployees": '),
+                                   n, F.lit("}</script><p>Company size: 5 employees</p>")))
+        .when(kind == 1, F.concat(F.lit("<p>Company size: 1-"), n, F.lit(" employees</p>")))
+        .when(kind == 2, F.concat(F.lit("<div>Jumlah karyawan - "), n, F.lit("+ karyawan</div>")))
+        .otherwise(F.lit("<p>We like tools</p>")),
+        F.lit("<p>" + "Plain words fill the page. " * 8 + "</p></body></html>"),
+    )
+    return t.table("customer").select("c_custkey", ht.company_page_size(page).alias("size"))
+
+
+@query("short_element_sizes", f"""
+    SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE {_list_pick} END AS label FROM customer""")
+def short_element_sizes(t):
+    """Size labels in meta contents and short elements; long elements do not count."""
+    label, kind = _listed_size(), F.col("c_custkey") % 3
+    long_text = F.lit("this is a long line of words that goes on and on about ")
+    page = F.when(kind == 0, F.concat(F.lit('<meta name="d" content="'), label, F.lit(' employees">'))).when(
+        kind == 1, F.concat(F.lit("<ul><li>"), long_text, F.lit("1-10 employees</li><li><b>"), label, F.lit("</b> employees</li></ul>"))
+    ).otherwise(F.concat(F.lit("<ul><li>"), long_text, label, F.lit(" employees</li></ul>")))
+    return t.table("customer").select("c_custkey", ht.short_element_size(page).alias("label"))
 
 
 _STAFF = "CAST(floor(abs(c_acctbal)) AS BIGINT)"

@@ -96,7 +96,9 @@ def stream_month_counts(t):
     rows = feeds.read_feed(t.spark, t.folder, "orders.parquet").select(
         F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderpriority").alias("keyword")
     )
-    feeds.keep_current(feeds.month_counts(rows, "at", ["keyword"], "7300 days"), path, checkpoint)
+    feeds.keep_current(
+        feeds.month_counts(rows, "at", ["keyword"], "7300 days"), path, checkpoint, ["month_start", "keyword"], fold_after=1
+    )
     return feeds.latest_rows(t.spark, path, ["month_start", "keyword"]).withColumn(
         "month_start", F.to_date("month_start")
     )

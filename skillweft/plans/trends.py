@@ -66,6 +66,20 @@ def top_per_month(t):
     return tr.top_per_month(t, Facets.of(year=1998), 5)
 
 
+@query("months_nested", with_roles("""
+    SELECT m.month, m.total_jobs, coalesce(string_agg(r.rank || ' ' || r.name || ' ' || r.cnt, '; ' ORDER BY r.rank), '') AS skills
+    FROM (SELECT strftime(posted_date, '%Y-%m') AS month, count(*) AS total_jobs FROM postings
+          WHERE year(posted_date) = 1998 GROUP BY 1) m
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY month ORDER BY cnt DESC, name, skill_id) AS rank
+               FROM (SELECT month, skill_id, name, skill_type, count(*) AS cnt FROM used GROUP BY ALL)
+               QUALIFY rank <= 5) r USING (month) GROUP BY ALL""", *MODEL, used=USED))
+def months_nested(t):
+    """One row per month with its first five skills as a list."""
+    nested = tr.nest_months(tr.top_per_month(t, Facets.of(year=1998), 5))
+    entries = F.transform("skills", lambda s: F.concat_ws(" ", s["rank"].cast("string"), s["name"], s["cnt"].cast("string")))
+    return nested.select("month", "total_jobs", F.array_join(entries, "; ").alias("skills"))
+
+
 @query("all_per_month_one_type", with_roles("""
     SELECT m.month, m.total_jobs, r.skill_id, r.name, r.skill_type, r.cnt, r.rank
     FROM (SELECT strftime(posted_date, '%Y-%m') AS month, count(*) AS total_jobs FROM postings

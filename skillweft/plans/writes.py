@@ -199,6 +199,20 @@ def ingest_postings(t):
     return ig.new_postings(list_pages(t), finished_links(t), keyword_table(t), F.lit("2000-01-01").cast("date"))
 
 
+@query("posting_details", with_roles("""
+    SELECT link, CASE WHEN id % 3 = 0 THEN '' ELSE repeat(job_title || ' at work. ', 12) || 'End' END AS job_description,
+           CASE WHEN id % 3 = 1 AND company_url <> '' THEN company_url END AS company_url FROM jobs""", "jobs"))
+def posting_details(t):
+    """Description and company address from detail pages; a third of the jobs has none."""
+    text = F.concat(F.repeat(F.concat("job_title", F.lit(" at work. ")), F.lit(12)), F.lit("End"))
+    link = F.when((F.col("id") % 3 == 1) & (F.coalesce("company_url", F.lit("")) != ""),
+                  F.concat(F.lit('<a href="'), "company_url", F.lit('?trk=x">c</a>'))).otherwise(F.lit(""))
+    pages = rd.spread(t.jobs.filter(F.col("id") % 3 != 0), "id").select("link", F.concat(
+        F.lit("<html><body>"), link, F.lit('<main><div class="description">'), text, F.lit("</div></main></body></html>")
+    ).alias("html"))
+    return ig.with_details(t.jobs.select("link"), pages).select("link", "job_description", "company_url")
+
+
 def run_events(t):
     """Events as items of monitored runs: one run per user."""
     kind = F.element_at(F.create_map(*[F.lit(x) for x in (

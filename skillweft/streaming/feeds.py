@@ -51,14 +51,41 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``<name>=<number>`` below a path, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [str(f.getPath().getName()).partition("=") for f in files.listStatus(folder)]
+    return sorted(int(number) for label, _, number in found if label == name and number.isdigit())
+
+
 def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current value per key of a table written batch by batch."""
+    """Current value per key of a table written batch by batch.
+
+    Batches up to the last ``fold_batches`` are read from its result.
+    """
+    folded = max(_numbers(spark, f"{path}_folded", "upto"), default=None)
     rows = spark.read.option("basePath", path).parquet(path)
+    if folded is not None:
+        before = spark.read.parquet(f"{path}_folded/upto={folded}").withColumn("batch", F.lit(folded))
+        rows = rows.filter(F.col("batch") > folded).unionByName(before)
     values = [c for c in rows.columns if c not in (*keys, "batch")]
     newest = F.max_by(F.struct(*values), "batch").alias("v")
     return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
+def fold_batches(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Write the current rows once, so that later reads need no older batches.
+
+    To be called while no query writes the table: all its batches are then committed.
+    """
+    batches = _numbers(spark, path, "batch")
+    if batches and batches[-1] not in _numbers(spark, f"{path}_folded", "upto"):
+        latest_rows(spark, path, keys).write.mode("overwrite").parquet(f"{path}_folded/upto={batches[-1]}")
+
+
 def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Rows whose key was not seen within the watermark delay."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
@@ -134,9 +161,20 @@ def month_counts(stream: DataFrame, time: str, keys: list[str], delay: str) -> D
     ).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def keep_current(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed rows of a running aggregate; read them with ``latest_rows``."""
-    return run_available(stream, checkpoint, batch_writer(path), mode="update")
+def keep_current(
+    stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, fold_after: int = 20
+) -> StreamingQuery:
+    """Write the changed rows of a running aggregate; read them with ``latest_rows``.
+
+    With ``keys``, the batches are folded when ``fold_after`` of them have come since the last time.
+    """
+    spark = stream.sparkSession
+    query = run_available(stream, checkpoint, batch_writer(path), mode="update")
+    if keys:
+        folded = max(_numbers(spark, f"{path}_folded", "upto"), default=-1)
+        if sum(b > folded for b in _numbers(spark, path, "batch")) >= fold_after:
+            fold_batches(spark, path, keys)
+    return query
 
 
 def chain(steps: list[Callable[[DataFrame, int], DataFrame]]) -> Callable[[DataFrame, int], None]:

@@ -32,6 +32,20 @@ def test_month_counts_equal_the_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).select("batch").distinct().count() == 4
 
 
+def test_folded_counts_equal_the_batch(spark, tmp_path):
+    df = events(spark)
+    folder, table = str(tmp_path / "in"), str(tmp_path / "t")
+    for part in range(3):  # a run of its own for each part; folded after the first and the second
+        df.filter(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(folder)
+        stream = feeds.read_feed(spark, folder)
+        feeds.keep_current(feeds.month_counts(stream, "at", ["kind"], "900 days"), table, str(tmp_path / "c"),
+                           ["month_start", "kind"], fold_after=1 if part < 2 else 50)
+    assert [p.name for p in sorted((tmp_path / "t_folded").glob("upto=*"))]
+    got = {(r.month_start, r.kind): r.cnt for r in feeds.latest_rows(spark, table, ["month_start", "kind"]).collect()}
+    want = df.groupBy(F.date_trunc("month", "at").alias("m"), "kind").count().collect()
+    assert got == {(r.m, r.kind): r["count"] for r in want}
+
+
 def test_feed_is_deduplicated_and_resumes(spark, tmp_path):
     df = events(spark)
     source, table, checkpoint = (str(tmp_path / n) for n in ("in", "t", "c"))
