@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from skillweft.llm.worker import process_cache, text_bytes
+from skillweft.llm.worker import bound_batches, process_cache, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -103,10 +103,11 @@ def scan(built, text: str | None) -> tuple[int, list[int], list[int], list[dict]
 
 
 def _scan_with(docs: DataFrame, items: list[tuple[int, str | None]], window: int) -> DataFrame:
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache()
+        cache = process_cache("decontamination")
         if cache.get("benchmark") != (window, sent.value):
             cache["benchmark"] = (window, sent.value)
             cache["automaton"] = automaton(sent.value, window)

@@ -45,7 +45,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skillweft.llm.components import components, stored
-from skillweft.llm.worker import text_bytes
+from skillweft.llm.worker import bound_batches, process_cache, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -91,6 +91,7 @@ def _count_ngrams(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     schema = "block int, salt int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("ngrams")
         counts = np.zeros(1 << bits, np.int64)
         waiting, held = [], 0
 
@@ -248,6 +249,7 @@ def similarity_classes(
     Two documents link when ``100 * intersection >= percent * union``.
     """
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
+    bound_batches(docs.sparkSession)
     frequency = _count_ngrams(docs, words, counter_bits)
     prefixes = stored(_prefixes(docs, words, percent, frequency, counter_bits), "ngram-prefixes")
     named = prefixes.filter("doc_id is not null and n > 0")

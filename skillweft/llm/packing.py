@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 
-from skillweft.llm.worker import process_cache
+from skillweft.llm.worker import bound_batches, process_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,8 +83,8 @@ class ChunkEncoder:
 
 
 def _encoder(path: str, remember: int) -> ChunkEncoder:
-    cache = process_cache()
-    key = ("packing", path, remember)
+    cache = process_cache("packing")
+    key = (path, remember)
     if key not in cache:
         cache[key] = ChunkEncoder(path, remember)
     return cache[key]
@@ -150,6 +150,7 @@ def pack(
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     end = int(end_id).to_bytes(4, "little")
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os

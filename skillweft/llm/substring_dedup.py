@@ -36,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from skillweft.llm.components import stored
-from skillweft.llm.worker import process_cache, text_bytes
+from skillweft.llm.worker import bound_batches, process_cache, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -57,7 +57,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _powers(base: int, count: int) -> np.ndarray:
-    cache = process_cache()
+    cache = process_cache("substrings")
     known = cache.get(("powers", base))
     if known is None or len(known) < count:
         size = max(count, 4096)
@@ -183,6 +183,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 10) -> DataFra
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
+    bound_batches(docs.sparkSession)
     found = repeats(docs.filter("doc_id is not null"), window, gram)
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     rows = docs.join(per_doc.withColumnRenamed("doc_id", "range_doc"), F.col("doc_id") == F.col("range_doc"), "left")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from skillweft.llm.worker import bound_batches, process_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -141,6 +142,7 @@ def train(
     min_docs: int = 5, factors: int = 4, steps: int = 100,
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Model from ``docs(doc_id, text)`` and ``labelled(doc_id, label)``."""
+    bound_batches(docs.sparkSession)
     chosen = (
         labelled.selectExpr("cast(doc_id as bigint) as sample_id", "cast(label as int) as label")
         .filter("sample_id is not null and label in (0, 1)")
@@ -153,6 +155,7 @@ def train(
     )
 
     def to_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("toxicity")
         for batch in batches:
             found = [terms_of(t.as_py()).astype("<u4").tobytes() for t in batch.column(1)]
             arrays = [batch.column(0), batch.column(2), pa.array(found, pa.binary())]
@@ -178,6 +181,7 @@ def train(
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """``docs`` with a further column ``score``; the columns stay as they are."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     name = "score"
     while name in docs.columns:
@@ -186,6 +190,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
     schema = ordered.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache("toxicity")
         names, theta, bias = sent.value
         for batch in batches:
             scores = [score(terms_of(t.as_py()), names, theta, bias) for t in batch.column(0)]
