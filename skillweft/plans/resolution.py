@@ -64,10 +64,10 @@ _LOOKUP = f"""
                 WHEN {q.any_in('lower(trim(v))', d.SOFT_SKILL_INDICATORS)} THEN 'soft_skill'
                 ELSE (SELECT arg_min(category, r) FROM idx WHERE norm = {q.normalize_skill('v')}) END AS kind FROM fixes)
         WHERE kind IS NOT NULL) GROUP BY norm"""
-_STEPS = dict(variants=VARIANTS, idx=_INDEX, fixes=_FIXES, lookup=_LOOKUP)
+STEPS = dict(variants=VARIANTS, idx=_INDEX, fixes=_FIXES, lookup=_LOOKUP)
 
 
-@query("canonical_lookup", with_roles("SELECT * FROM lookup", **_STEPS))
+@query("canonical_lookup", with_roles("SELECT * FROM lookup", **STEPS))
 def canonical_lookup(t):
     return rs.canonical_lookup(variants(t))
 
@@ -96,7 +96,7 @@ _ASKED = """SELECT DISTINCT unnest([p_name, p_name || ' ' || lower(p_brand), rep
     lower(p_type), 'cloud']) AS skill, 'tech_stack' AS skill_type FROM part"""
 
 
-@query("match_skills", with_roles("SELECT * FROM matched", "skills", **_STEPS, asked=_ASKED,
+@query("match_skills", with_roles("SELECT * FROM matched", "skills", **STEPS, asked=_ASKED,
                                   known="SELECT id, name, normalized_name FROM skills", **ms.CASCADE))
 def match_skills(t):
     return rs.match_skills(raw_skills(t), t.skills, variants(t))
@@ -252,8 +252,15 @@ def _resolved(t):
     return skills, rs.resolve_replies(_replies(t), skills, variants(t))
 
 
+# new skills are stored once per key and type, under the shortest name
+RESOLVED = f"""SELECT *, {q.normalize_skill('own')} AS key FROM (SELECT *, coalesce(
+            (SELECT v FROM fixes WHERE k = lower(trim(m.skill))),
+            (SELECT canonical FROM idx WHERE idx.norm = m.norm AND category = m.skill_type),
+            (SELECT arg_min(canonical, r) FROM idx WHERE idx.norm = m.norm), m.norm) AS own FROM matched m)"""
+ADDED = """SELECT key, final_type, arg_min(own, (length(own), own)) AS name FROM keyed
+        WHERE action = 'insert_new' AND final_type IS NOT NULL GROUP BY key, final_type"""
 _REPLY_STEPS = dict(
-    **_STEPS,
+    **STEPS,
     known=rf"""SELECT name, min(item_id * 100000 + place) AS id, {q.normalize_skill('name')} AS normalized_name
         FROM (SELECT item_id, unnest(w) AS name, generate_subscripts(w, 1) - 1 AS place
               FROM (SELECT item_id, regexp_extract_all(lower(text), '{q.WORD}+') AS w FROM benchmark)) GROUP BY name""",
@@ -264,13 +271,7 @@ _REPLY_STEPS = dict(
         FROM (SELECT *, {q.normalize_skill('skill')} AS norm FROM items) i""",
     asked="SELECT DISTINCT skill, skill_type FROM asked_items",
     **ms.CASCADE,
-    # new skills are stored once per key and type, under the shortest name
-    keyed=f"""SELECT *, {q.normalize_skill('own')} AS key FROM (SELECT *, coalesce(
-            (SELECT v FROM fixes WHERE k = lower(trim(m.skill))),
-            (SELECT canonical FROM idx WHERE idx.norm = m.norm AND category = m.skill_type),
-            (SELECT arg_min(canonical, r) FROM idx WHERE idx.norm = m.norm), m.norm) AS own FROM matched m)""",
-    added="""SELECT key, final_type, arg_min(own, (length(own), own)) AS name FROM keyed
-        WHERE action = 'insert_new' AND final_type IS NOT NULL GROUP BY key, final_type""",
+    keyed=RESOLVED, added=ADDED,
     same="SELECT normalized_name AS key, arg_min(name, id) AS name FROM known GROUP BY normalized_name",
 )
 

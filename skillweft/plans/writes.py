@@ -175,13 +175,13 @@ def list_pages(t):
     return rd.spread(t.jobs, "id").select(F.col("id").alias("page_id"), "keyword_id", page.alias("html"))
 
 
-_CARDS = """SELECT id, coalesce(company, '') AS company, coalesce(location, '') AS location, posted_date, keyword_id,
+CARDS = """SELECT id, coalesce(company, '') AS company, coalesce(location, '') AS location, posted_date, keyword_id,
     job_title, link, status FROM jobs"""
 
 
 @query("html_cards", with_roles("""
     SELECT id AS page_id, trim(job_title) AS title, company, location, strftime(posted_date, '%Y-%m-%d') AS date FROM c""",
-    "jobs", c=_CARDS))
+    "jobs", c=CARDS))
 def html_cards(t):
     return ig.cards(list_pages(t)).select("page_id", "title", "company", "location", "date")
 
@@ -194,7 +194,7 @@ def html_cards(t):
            CAST(posted_date AS DATE) AS posted_date
     FROM (SELECT *, {q.clean_title('job_title')} AS title_clean FROM c)
     WHERE status <> 'completed' AND {q.any_in('lower(title_clean)', d.ROLE_TERMS)}
-      AND NOT {q.any_in('lower(title_clean)', d.ROLE_EXCLUSIONS)}""", "jobs", c=_CARDS, kw=KEYWORDS))
+      AND NOT {q.any_in('lower(title_clean)', d.ROLE_EXCLUSIONS)}""", "jobs", c=CARDS, kw=KEYWORDS))
 def ingest_postings(t):
     return ig.new_postings(list_pages(t), finished_links(t), keyword_table(t), F.lit("2000-01-01").cast("date"))
 
