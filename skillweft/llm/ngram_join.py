@@ -51,7 +51,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BLOCKS = 16  # the counters travel in so many rows
 _RANGES = 8  # of the suffix filter
-_CENTRE_ROWS = 2_000  # rows compared with one copy of a centre
+_CENTRE_ROWS = 200  # rows compared with one copy of a centre
 _SENT_ROWS = 1_000_000  # at most so many rows of four numbers are broadcast
 
 
