@@ -160,8 +160,9 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10) -> DataFrame:
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
         F.min("context").alias("one"), F.max("context").alias("other"),
     ).filter("least < most").select("anchor", (F.col("one") != F.col("other")).alias("several"))
-    seeds = stored(runs.join(met, "anchor"), "seeds")
-    owner = seeds.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner"))
+    # minima are stored before they are joined back: a join of two plain tables can split hot anchors
+    seeds = stored(runs.join(stored(met, "shared-anchors"), "anchor"), "seeds")
+    owner = stored(seeds.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner")), "contexts")
     placed = seeds.join(owner, ["anchor", "context"])
     whole = placed.filter("owner < doc_id").select(
         "doc_id", F.col("first").alias("low"), (F.col("last") + window).alias("high")
