@@ -30,6 +30,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skillweft.llm.components import stored
+
 REST = "**"
 ANY = "*"
 
@@ -101,6 +103,7 @@ def templates(
             lambda x: x["s"],
         ).alias("template")  # as many entries as a path has levels
     )
+    general = stored(general, "url-templates")  # a join of two plain tables can split hot hosts
     return rows.join(general, ["host", "shape"], "left").withColumn(
         "template", F.coalesce("template", "shape")
     ).drop("shape")
@@ -160,7 +163,7 @@ def filter_urls(
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, blocks = rule_of(F.col("host"), F.col("path"), rules)
     rows = templates(rows.withColumns({"rule": rule, "blocks": blocks}), depth)
-    judged = judge_templates(rows).select("host", "template", "branch", "blocked_share", "rejected")
+    judged = stored(judge_templates(rows), "url-verdicts")
     blocked = F.coalesce("blocks", "rejected")
     return rows.join(judged, ["host", "template"], "left").select(
         "page_id", "host", "path", "rule", F.concat(F.lit("/"), F.array_join("branch", "/")).alias("template"),
