@@ -98,9 +98,17 @@ def needed_parts(templates: list[tuple[str, str]], threshold: float) -> tuple[li
     return sorted(words), sorted(bigrams)
 
 
+def size_bounds(size: int, threshold: float) -> tuple[float, float]:
+    """Sizes of units that can reach the threshold with a template of ``size`` bigrams.
+
+    Widened, since the quotients of whole numbers may be rounded past the whole number they stand for.
+    """
+    return size * threshold / (2 - threshold) - 1e-9, size * (2 - threshold) / threshold + 1e-9
+
+
 def _index(spark: SparkSession, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     rows = [
-        (bigram, name, len(own), len(own) * threshold / (2 - threshold), len(own) * (2 - threshold) / threshold)
+        (bigram, name, len(own), *size_bounds(len(own), threshold))
         for name, own in sorted(template_bigrams(templates).items()) for bigram in sorted(own)
     ]
     return spark.createDataFrame(rows, "bigram string, license string, size int, least double, most double")
@@ -126,7 +134,7 @@ def match_units(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
     """Units at or above the threshold: ``doc_id``, ``unit``, ``license``, ``dice``."""
     index = _index(docs.sparkSession, templates, threshold)
     sizes = [len(own) for own in template_bigrams(templates).values()]
-    least, most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+    least, most = size_bounds(min(sizes), threshold)[0], size_bounds(max(sizes), threshold)[1]
     # one look at each text: an array of one element names the lower-cased text once
     alone, together = needed_parts(templates, threshold)
     beside = "|".join(b.replace(" ", r"[^\p{L}\p{N}]+") for b in together) or "(?!)"

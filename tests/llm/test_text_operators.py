@@ -358,6 +358,27 @@ def test_license_words_lose_nothing():
         assert len(left) < 0.8 / 1.2 * len(own)
 
 
+def test_license_bounds_keep_the_threshold_itself(spark):
+    lines = [
+        "2024 All rights reserved", "All rights reserved 2024", "Released under the MIT License by Bob",
+        "Licensed under CC BY-NC", "All rights", "rights reserved by all rights reserved",
+        *(" ".join(text.split()[:k]) for _, text in licenses.TEMPLATES for k in range(1, len(text.split()) + 1)),
+        *(text + " and" * k for _, text in licenses.TEMPLATES for k in (1, 2)),
+        *(" ".join(f"x{i}" for i in range(k)) + " " + text for _, text in licenses.TEMPLATES for k in range(1, 60)),
+    ]
+    want = {}
+    for i, line in enumerate(lines):
+        words = re.sub("[^a-z0-9]+", " ", line.lower()).split()
+        own = {f"{a} {b}" for a, b in zip(words, words[1:])} or set(words)
+        found = {name: 2.0 * len(own & t) / (len(own) + len(t)) for name, t in licenses.template_bigrams().items()}
+        want[i] = sorted((name, dice) for name, dice in found.items() if dice >= 0.8)
+    got = {i: [] for i in want}
+    for r in licenses.match_units(docs_of(spark, list(enumerate(lines)))).collect():
+        got[r["doc_id"]].append((r["license"], r["dice"]))
+    assert all(want[i] for i in range(4))
+    assert {i: sorted(found) for i, found in got.items()} == want
+
+
 @pytest.mark.parametrize("build", [
     ngram_join.similarity_classes, ngram_join.keep_one_per_group, substring_dedup.remove_repeats,
     fingerprints.compare_with_edits, licenses.scan_licenses, lambda d: packing.pack(d, tokenizer()[0]),
