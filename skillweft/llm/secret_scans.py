@@ -1,11 +1,14 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are found by one regular expression: values assigned to words such as
-``password`` or ``token``, provider formats, private key headers, and tokens of twelve
-or more characters that hold a digit.  Each candidate is described by its length, its
+``password`` or ``token``, provider formats, private keys, and tokens of twelve
+or more characters that hold a digit.  A private key runs from its BEGIN to its END line
+or, without one, to the end of the base64 block.  Each candidate is described by its length, its
 character classes and transitions between them, how common its letter pairs are, how
 much of it dictionary words cover, the path (source) of its document and the words
-beside it.  A random forest trained on labelled findings decides which are secrets.
+beside it.  A random forest trained on labelled findings decides which are secrets; a
+private key with its body always is one.  Labels come from a table of findings, where
+one is given, and for all others from formats that tell what they are.
 
 Everything is column expressions and the forest of ``pyspark.ml``.  Training takes a
 bounded sample of labelled candidates: the ``train_rows`` with the smallest hash.
@@ -39,8 +42,19 @@ COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st t
 
 _TOKEN = r"A-Za-z0-9+/_.@\-"
 _ASSIGNED = r"(?i:" + "|".join(SECRET_WORDS) + r")[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
+# a value goes on past symbols, but not into the next name or the punctuation around it
+_VALUE_END = r"[,;&|]\w*[=:]|[,;:)\]}>]++(?:[\s\"']|$)|<|\\[\"'nrt]"
+_KEY_NAME = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_GAP = r"(?:[\s\"'+>#|,]|\\[nrt])"  # between the lines of a key, which may stand in a string or a comment
+# groups are possessive: those are matched without recursion, however long the key is
+_TO_END = rf"(?:[^-]++|-(?!----))*+-----END {_KEY_NAME}"
+_KEY_BLOCK = (
+    rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset): [^\n\\]*+)*+"
+    rf"(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_GAP}*+[A-Za-z0-9+/]++={{0,2}}(?=[ ]*(?:\n|\r|$|[\"']|\\[nr])))?"
+)
 PATTERN = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"-----BEGIN {_KEY_NAME}(?:{_TO_END}|{_KEY_BLOCK})?"
+    rf"|(?<=[:=\"' ])(?<=[ \"']?{_ASSIGNED})(?=[A-Za-z+/_.@\-]*+[0-9])(?=[{_TOKEN}]{{12}})(?:(?!{_VALUE_END})[^\s\"'])++"
     rf"|(?<![{_TOKEN}])(?:(?=[A-Za-z+/_.@\-]*+[0-9])[{_TOKEN}]{{12,}}+={{0,2}}|AKIA[A-Z]{{16}}(?![{_TOKEN}]))"
     rf"|(?<=[:=\"' ])(?<=[ \"']?{_ASSIGNED})[^\s\"']{{6,}}+"
 )
@@ -88,19 +102,26 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         ),
         "example_beside": _flag(near.rlike("|".join(EXAMPLE_WORDS))),
         "example_path": _flag(F.lower(path).rlike("test|example|sample|fixture|doc")),
-        "provider": _flag(value.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_\w{36,}|xox[abprs]-.{10,}|-----BEGIN .*)$")),
+        "provider": _flag(value.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_\w{36,}|xox[abprs]-.{10,}|-----BEGIN [\s\S]*)$")),
     }
 
 
 def rule_label() -> Column:
     """Findings whose format alone tells what they are: 1 secret, 0 something else, else null.
 
-    Secrets: provider formats, private keys, and hexadecimal values assigned to a secret
-    word.  Not secrets: plain numbers, network and mail addresses, versions and links.
+    Secrets: provider formats, private keys, and values assigned to a secret word that are
+    hexadecimal or, without an example word or path beside them, mix three of upper case,
+    lower case, digits and symbols and are mostly not made of common words.  Not secrets:
+    plain numbers, network and mail addresses, versions and links.
     """
     value = F.col("value")
-    secret = (F.col("provider") == 1) | ((F.col("hex") == 1) & (F.col("digits") < 1) & (F.col("assigned") == 1)
-                                         & (F.col("secret_word_before") == 1))
+    kinds = sum((F.col(c) > 0).cast("int") for c in ("uppers", "lowers", "digits", "symbols"))
+    mixed = (kinds >= 3) & (F.col("length") >= 8) & (F.col("coverage") < 0.5) & (F.col("example_beside") == 0) \
+        & (F.col("example_path") == 0) & ~value.rlike(r"^[^@]+@[^@]+\.[a-z]+$") & ~value.rlike(r"://|^www\.")
+    secret = (F.col("provider") == 1) | (
+        (F.col("assigned") == 1) & (F.col("secret_word_before") == 1)
+        & (((F.col("hex") == 1) & (F.col("digits") < 1)) | mixed)
+    )
     other = value.rlike(r"^[0-9.+/\-]+$") | value.rlike(r"^[^@]+@[^@]+\.[a-z]+$") | value.rlike(r"^(www\.|https?)")
     return F.when(secret, 1).when(other, 0)
 
@@ -157,19 +178,43 @@ def score(found: DataFrame, model) -> DataFrame:
     return rows.drop("vector", "rawPrediction", "prediction")
 
 
-def scan_secrets(docs: DataFrame, path: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """All candidates: ``doc_id``, ``text_key``, ``start``, ``length``, ``value``, ``probability``, ``secret``."""
+def _labels(found: DataFrame, labelled: DataFrame | None) -> DataFrame:
+    """Candidates with ``given``, the label of the table (null without one), and ``label`` to learn from."""
+    if labelled is None:
+        return found.withColumns({"given": F.lit(None).cast("int"), "label": rule_label()})
+    known = labelled.filter("label is not null").groupBy(
+        F.col("doc_id").alias("known_doc"), F.col("value").alias("known_value")
+    ).agg(F.max(F.col("label").cast("int")).alias("given"))
+    same = found["doc_id"].eqNullSafe(known["known_doc"]) & (found["value"] == known["known_value"])
+    return found.join(known, same, "left").drop("known_doc", "known_value").withColumn(
+        "label", F.coalesce("given", rule_label())
+    )
+
+
+def scan_secrets(
+    docs: DataFrame, path: str | None = "source", threshold: float = 0.5, labelled: DataFrame | None = None
+) -> DataFrame:
+    """All candidates: ``doc_id``, ``text_key``, ``start``, ``length``, ``value``, ``probability``, ``secret``.
+
+    ``labelled`` holds findings judged before: ``doc_id``, ``value`` and ``label`` (1 secret,
+    0 something else; 1 where both are given).  They go before the labels of ``rule_label``
+    in training and keep their label.
+    """
     found = stored(candidates(docs, path).distinct(), "secret-candidates")
-    scored = score(found, train(found.withColumn("label", rule_label())))
+    found = _labels(found, labelled)
+    scored = score(found, train(found))
+    whole_key = F.when(F.col("value").rlike(r"^-----BEGIN [^-]*-----[\s\S]"), True)
     return scored.select(
         "doc_id", "text_key", "start", F.col("length").cast("bigint").alias("length"), "value", "probability",
-        (F.col("probability") >= threshold).alias("secret"),
+        F.coalesce(F.col("given") == 1, whole_key, F.col("probability") >= threshold).alias("secret"),
     )
 
 
-def redact_secrets(docs: DataFrame, path: str | None = "source", replacement: str = "[SECRET]") -> DataFrame:
+def redact_secrets(
+    docs: DataFrame, path: str | None = "source", replacement: str = "[SECRET]", labelled: DataFrame | None = None
+) -> DataFrame:
     """``docs`` with every secret replaced; ``n_chars``, where there is one, follows the text."""
-    spans = scan_secrets(docs, path).filter("secret").groupBy("doc_id", "text_key").agg(
+    spans = scan_secrets(docs, path, labelled=labelled).filter("secret").groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans")  # of one text
     ).select(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_key"), "spans")
     names = docs.columns
