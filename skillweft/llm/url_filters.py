@@ -3,8 +3,10 @@
 A url's path is a list of segments.  Segments that look variable (numbers, long codes)
 become wildcards, and so does a segment where its parent has so many different children
 that none of them is typical.  What remains is a tree of templates per host, whose
-leaves count labelled urls (allowed and blocked).  Sibling branches that differ in one
-segment are merged when a two-proportion test finds their blocked shares alike.  A
+leaves count labelled urls (allowed and blocked).  Of sibling branches that differ in one
+segment, those with labels are taken in the order of their blocked share and merged with
+the ones before as long as a two-proportion test, corrected for the number of siblings,
+finds them alike; a branch without labels is left to its prior.  A
 template is rejected when its smoothed share of blocked labels,
 
     (blocked + strength * prior) / (labelled + strength),
@@ -19,6 +21,7 @@ others by their template.
 
 Every step is a grouping of (host, template) or (host, parent, segment) rows with
 partial sums, so a host with a third of all urls is one row per task in the shuffles.
+Siblings meet in one row; they are few, since rare children of a parent are a wildcard.
 Paths deeper than ``depth`` segments end in one wildcard for the rest.
 
 Cases: a null url, or one without ``://``, has an empty host and path and the template
@@ -125,20 +128,53 @@ def judge_templates(
     seen = seen.filter("segment is not null and segment <> ''").withColumn(
         "branch", F.transform("template", lambda s, i: F.when(i == F.col("at"), ANY).otherwise(s))
     )
-    merged = seen.groupBy("host", "branch", "at").agg(
-        F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"), F.count(F.lit(1)).alias("siblings")
-    ).filter(f"siblings > 1 and all_labelled >= {min_labels}")
-    pooled = F.col("all_bad") / F.col("all_labelled")
-    rest = F.col("all_labelled") - F.col("labelled")
-    gap = F.abs(F.try_divide("bad", "labelled") - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest)))
-    # every sibling must be like the others; one without labels cannot differ
-    differs = F.coalesce(gap > alike * spread, F.lit(False))
-    tested = seen.join(merged, ["host", "branch", "at"])
-    fine = tested.groupBy("host", "branch", "at").agg(F.max(differs.cast("int")).alias("differs")).filter("differs = 0")
-    choice = tested.join(fine.select("host", "branch", "at"), ["host", "branch", "at"]).groupBy("host", "template").agg(
-        F.max(F.struct("all_labelled", F.negative("at").alias("order"), "all_bad", "branch")).alias("best")
+    one = F.struct((F.col("bad") / F.col("labelled")).alias("share"), "segment", "bad", "labelled", "template")
+    sets = seen.groupBy("host", "branch", "at").agg(
+        F.array_sort(F.collect_list(F.when(F.col("labelled") > 0, one))).alias("known"), F.count(F.lit(1)).alias("siblings")
+    ).filter("size(known) > 1")
+    # by the bound on normal tails, this many tests together err as rarely as one at ``alike``
+    sets = sets.withColumn("limit", F.sqrt(F.lit(alike**2) + 2 * F.log(F.size("known") - 1)))
+
+    def differs(group: Column, sibling: Column) -> Column:
+        both = group["labelled"] + sibling["labelled"]
+        pooled = (group["bad"] + sibling["bad"]) / both
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / group["labelled"] + 1 / sibling["labelled"]))
+        return F.abs(group["bad"] / group["labelled"] - sibling["bad"] / sibling["labelled"]) > F.col("limit") * spread
+
+    def add(groups: Column, sibling: Column) -> Column:
+        last = F.element_at(groups, -1)
+        own = F.struct(sibling["segment"].alias("segment"), sibling["template"].alias("template"))
+        joined = F.struct(
+            (last["bad"] + sibling["bad"]).alias("bad"), (last["labelled"] + sibling["labelled"]).alias("labelled"),
+            F.array_append(last["members"], own).alias("members"),
+        )
+        alone = F.struct(sibling["bad"].alias("bad"), sibling["labelled"].alias("labelled"), F.array(own).alias("members"))
+        return F.when(differs(last, sibling), F.array_append(groups, alone)).otherwise(
+            F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(joined))
+        )
+
+    first = F.get("known", F.lit(0))
+    start = F.array(F.struct(
+        first["bad"].alias("bad"), first["labelled"].alias("labelled"),
+        F.array(F.struct(first["segment"].alias("segment"), first["template"].alias("template"))).alias("members"),
+    ))
+    groups = sets.select(
+        "host", "branch", "at", "siblings",
+        F.explode(F.aggregate(F.slice("known", F.lit(2), F.size("known")), start, add)).alias("g"),
+    ).filter((F.size("g.members") > 1) & (F.col("g.labelled") >= min_labels))
+    # a group that is not all of the siblings is named by its own
+    named = F.when(F.size("g.members") == F.col("siblings"), F.lit(ANY)).otherwise(
+        F.concat(F.lit("{"), F.array_join(F.array_sort("g.members.segment"), ","), F.lit("}"))
     )
+    groups = groups.withColumn("name", named).withColumn(
+        "branch", F.transform("branch", lambda s, i: F.when(i == F.col("at"), F.col("name")).otherwise(s))
+    )
+    choice = groups.select(
+        "host", F.explode("g.members.template").alias("template"),
+        F.struct(
+            F.col("g.labelled").alias("all_labelled"), F.negative("at").alias("order"), F.col("g.bad").alias("all_bad"), "branch"
+        ).alias("one"),
+    ).groupBy("host", "template").agg(F.max("one").alias("best"))
     branches = leaves.join(choice, ["host", "template"], "left").select(
         "host", "template",
         F.coalesce("best.branch", "template").alias("branch"),

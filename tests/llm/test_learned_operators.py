@@ -117,6 +117,39 @@ def test_url_templates_follow_labels(spark):
     assert judged[template[501]] in (True, False)
 
 
+def branch_pages(spark, counts):
+    """Pages of one host: per first segment, how many are blocked, allowed and without a label."""
+    rows = [
+        (i, "h", f"/{name}/page.html", blocks)
+        for i, (name, numbers) in enumerate(counts.items())
+        for n, blocks in zip(numbers, (True, False, None)) for _ in range(n)
+    ]
+    # as many allowed pages elsewhere, so that the prior is below one half
+    rows += [(-1, "other", "/fine/", False)] * (2 * sum(n[0] for n in counts.values()))
+    df = spark.createDataFrame(rows, "page_id bigint, host string, path string, blocks boolean")
+    judged = url_filters.judge_templates(url_filters.templates(df)).filter("host = 'h'").collect()
+    return {r["template"][0]: (r["branch"][0], r["rejected"]) for r in judged}
+
+
+def test_branches_without_labels_keep_their_prior(spark):
+    judged = branch_pages(spark, {"es": (30, 0, 0), "fr": (20, 0, 0), "de": (0, 0, 25)})
+    assert judged == {"es": ("{es,fr}", True), "fr": ("{es,fr}", True), "de": ("de", False)}
+    assert branch_pages(spark, {"es": (30, 0, 5), "fr": (2, 0, 0)}) == {"es": ("*", True), "fr": ("*", True)}
+
+
+def test_alike_branches_merge_beside_a_different_one(spark):
+    counts = {f"ad{i}": (10, 0, 3) for i in range(6)} | {"news": (0, 40, 3), "blog": (1, 30, 0)}
+    judged = branch_pages(spark, counts)
+    ads = "{" + ",".join(sorted(k for k in counts if k.startswith("ad"))) + "}"
+    assert judged == {k: (ads, True) if k.startswith("ad") else ("{blog,news}", False) for k in counts}
+
+
+def test_chance_among_many_alike_branches_stops_no_merge(spark):
+    rng = random.Random(9)
+    counts = {f"b{i}": (bad := sum(rng.random() < 0.3 for _ in range(40)), 40 - bad, 0) for i in range(20)}
+    assert {b for b, _ in branch_pages(spark, counts).values()} == {"*"}
+
+
 def test_url_filters_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filters.filter_urls(pages, queries.URL_RULES).collect() == []
