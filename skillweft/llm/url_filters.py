@@ -22,7 +22,8 @@ others by their template.
 Every step is a grouping of (host, template) or (host, parent, segment) rows with
 partial sums, so a host with a third of all urls is one row per task in the shuffles.
 Siblings meet in one row; they are few, since rare children of a parent are a wildcard.
-Paths deeper than ``depth`` segments end in one wildcard for the rest.
+All segments of a path enter the tree; where ``depth`` is given, paths deeper than that
+end in one wildcard for the rest.
 
 Cases: a null url, or one without ``://``, has an empty host and path and the template
 of the empty path; without labels the prior is one half and nothing is rejected;
@@ -79,7 +80,7 @@ def _smoothed(blocked: Column, labelled: Column, prior: Column, strength: float)
 
 
 def templates(
-    urls: DataFrame, depth: int = 8, rare_children: int = 20, typical: float = 0.01
+    urls: DataFrame, depth: int | None = None, rare_children: int = 20, typical: float = 0.01
 ) -> DataFrame:
     """``urls`` with a column ``template`` (array of segments).
 
@@ -87,9 +88,10 @@ def templates(
     different children and it makes up less than ``typical`` of them.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    shaped = F.transform(F.slice(parts, 1, depth), segment_shape)
-    tail = F.when(F.size(parts) > depth, F.array(F.lit(REST))).otherwise(F.array().cast("array<string>"))
-    slash = F.when(F.endswith("path", F.lit("/")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    shaped = F.transform(parts if depth is None else F.slice(parts, 1, depth), segment_shape)
+    tail = none if depth is None else F.when(F.size(parts) > depth, F.array(F.lit(REST))).otherwise(none)
+    slash = F.when(F.endswith("path", F.lit("/")), F.array(F.lit(""))).otherwise(none)
     rows = urls.withColumn("shape", F.concat(shaped, tail, slash))
     shapes = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
     nodes = shapes.select("host", "shape", "n", F.posexplode("shape").alias("level", "segment")).withColumn(
@@ -192,7 +194,7 @@ def judge_templates(
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[tuple[str, str, bool]], depth: int = 8
+    pages: DataFrame, rules: list[tuple[str, str, bool]], depth: int | None = None
 ) -> DataFrame:
     """Per row: ``page_id``, ``host``, ``path``, ``rule``, ``template``, ``blocked_share``, ``verdict``."""
     host, path = url_parts(F.col("url"))

@@ -150,6 +150,14 @@ def test_chance_among_many_alike_branches_stops_no_merge(spark):
     assert {b for b, _ in branch_pages(spark, counts).values()} == {"*"}
 
 
+def test_deep_paths_keep_their_distinctions(spark):
+    deep = "/a/b/c/d/e/f/g/h/"
+    rows = [(i, "h", deep + ("ads" if i % 2 else "news") + "/page.html", None if i < 4 else i % 2 == 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, host string, path string, blocks boolean")
+    judged = {r["template"][8]: r["rejected"] for r in url_filters.judge_templates(url_filters.templates(df)).collect()}
+    assert judged == {"ads": True, "news": False}
+
+
 def test_url_filters_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filters.filter_urls(pages, queries.URL_RULES).collect() == []
