@@ -14,8 +14,11 @@ Steps:
    class in which the n-gram stands first.  A group of m alike texts costs m - 1
    comparisons there, not m^2.
 3. Links found connect classes to components.  Pairs that share a prefix n-gram but lie
-   in different components are joined as well; pairs inside a component need no
-   comparison, since a further link cannot change anything.
+   in different components are joined as well.  Pairs inside a component cannot change
+   the components; they are joined where links are counted, and left out with
+   ``all_links=False``, where only components are asked for.  A block of such pairs is one
+   n-gram and two of the salts that the texts holding it are dealt to, so that no task
+   gets all pairs of a frequent n-gram.
 4. Length, positional and suffix filters act before a pair is verified.  The suffix
    filter compares how many n-grams the two sets have in each of eight hash ranges: the
    differences add up to a lower bound of the symmetric difference.
@@ -52,6 +55,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _BLOCKS = 16  # the counters travel in so many rows
 _RANGES = 8  # of the suffix filter
 _CENTRE_ROWS = 200  # rows compared with one copy of a centre
+_BLOCK_ROWS = 500  # rows of an n-gram in a block of pairs inside components
 _SENT_ROWS = 1_000_000  # at most so many rows of four numbers are broadcast
 
 
@@ -240,11 +244,35 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return sorted_rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _inside_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one component that share a prefix n-gram and pass the filters."""
+    held = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
+        "token", "component", F.ceil(F.col("rows") / F.lit(_BLOCK_ROWS)).alias("salts")
+    )
+    rows = placed.join(stored(held, "ngram-centres"), ["token", "component"]).select(
+        "token", "component", "doc", "n", "pos", "salts", F.pmod(F.xxhash64("doc"), F.col("salts")).alias("salt")
+    )
+    # a row meets every salt: as the lower one on the left, as the higher one on the right
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)
+    left = rows.select(
+        "token", "component", F.col("salt").alias("low"), F.explode(F.filter(others, lambda o: o >= F.col("salt"))).alias("high"),
+        *[F.col(c).alias(f"l_{c}") for c in ("doc", "n", "pos")],
+    )
+    right = rows.select(
+        "token", "component", F.explode(F.filter(others, lambda o: o <= F.col("salt"))).alias("low"), F.col("salt").alias("high"),
+        *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "pos")],
+    )
+    met = left.join(right, ["token", "component", "low", "high"])
+    met = met.filter((F.col("low") < F.col("high")) | (F.col("l_doc") < F.col("r_doc"))).filter(_passes("l_", "r_", percent))
+    return met.select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
+
+
 def similarity_classes(
-    docs: DataFrame, words: int = 5, percent: int = 80, counter_bits: int = 22
+    docs: DataFrame, words: int = 5, percent: int = 80, counter_bits: int = 22, all_links: bool = True
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``class_id`` (smallest ``doc_id`` of its
-    equal sets), ``n_links`` of its class (verified links) and ``component_id``.
+    equal sets), ``n_links`` of its class (links with other classes) and ``component_id``.
+    ``n_links`` is left out without ``all_links``; the rest is the same.
 
     Two documents link when ``100 * intersection >= percent * union``.
     """
@@ -305,7 +333,21 @@ def similarity_classes(
         final = components(
             more.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "ngram-components"
         )
-    degree = links.union(more).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(
+    if not all_links:
+        about = classes.select("digest", "rep").join(
+            final.select(F.col("node").alias("rep"), "component"), "rep", "left"
+        )
+        rows = prefixes.select("doc_id", F.col("n").alias("n_shingles"), "digest")
+        return rows.join(about, "digest", "left").select(
+            "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
+            F.coalesce("component", "rep", "doc_id").alias("component_id"),
+        )
+    # pairs inside the components of the first links; the others are in ``rest``
+    compared = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    inside = _inside_pairs(placed, percent).join(compared, ["a", "b"], "left_anti")
+    inside = stored(_suffix_filter(inside, classes, percent), "ngram-pairs")
+    within = stored(_verify(inside, docs, words, percent).distinct(), "ngram-links")
+    degree = links.union(more).union(within).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(
         F.count(F.lit(1)).alias("n_links")
     )
     about = (
@@ -327,7 +369,7 @@ def keep_one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Of rows that share a ``doc_id`` one stays.  Rows without a ``doc_id`` stay, one of
     each text, unless a document with an id has an equal set of n-grams.
     """
-    found = similarity_classes(docs, words, percent)
+    found = similarity_classes(docs, words, percent, all_links=False)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     kept = kept.join(gone, kept["doc_id"] == gone["gone_id"], "left_anti")

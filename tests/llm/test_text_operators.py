@@ -93,6 +93,29 @@ def test_ngram_join_chain_and_rows_without_centre(spark):
     assert set(got.values()) == {0}
 
 
+@pytest.mark.parametrize("block_rows", [500, 7])
+def test_ngram_links_are_all_counted(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(ngram_join, "_BLOCK_ROWS", block_rows)
+    rng = random.Random(8)
+    words = [f"t{i}" for i in range(120)]
+    rows = [(i, " ".join(words[:k] + [f"own{i}"] + words[k + 1 :])) for i, k in enumerate(rng.choices(range(120), k=40))]
+    rows += [(100 + i, t) for i, t in random_texts(4, 80)] + [(300, rows[0][1])]
+    sets = {}
+    for i, t in rows:
+        own = frozenset(ngram_join.ngram_set(t, 3))
+        if own:
+            sets[own] = min(i, sets.get(own, i))
+    want = {
+        rep: sum(100 * len(own & o) >= 80 * len(own | o) for o in sets if o != own) for own, rep in sets.items()
+    }
+    found = ngram_join.similarity_classes(docs_of(spark, rows), 3, 80).collect()
+    assert {r["class_id"]: r["n_links"] for r in found if r["n_shingles"]} == want
+    assert min(want[i] for i in range(40)) >= 30
+    fewer = ngram_join.similarity_classes(docs_of(spark, rows), 3, 80, all_links=False).collect()
+    key = lambda r: (r["doc_id"], r["n_shingles"], r["class_id"], r["component_id"])
+    assert sorted(map(key, found)) == sorted(map(key, fewer))
+
+
 def test_keep_one_per_group(spark):
     rows = random_texts(5, 120)
     docs = docs_of(spark, [*rows, (0, rows[0][1]), (None, "only here"), (None, rows[0][1])])
