@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillweft.llm import (
-    chat, decontamination, fingerprints, licenses, ngram_join, packing, secret_scans, sqltext, substring_dedup,
-    toxicity, url_filters,
+    chat, decontamination, fingerprints, licenses, ngram_join, packing, personal_data, secret_scans, sqltext,
+    substring_dedup, toxicity, url_filters,
 )
 from skillweft.llm.registry import query
 
@@ -114,3 +114,16 @@ def op10(spark, folder):
         F.char_length("loss").cast("bigint").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.col("chars").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query("op12_pii")
+def op12(spark, folder):
+    found = personal_data.find_personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [
+        personal_data.count_kind(base, kind).alias(f"n_{kind}") for kind in personal_data.BASE_KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(personal_data.span_list(base), 256).alias("base_sha256"),
+        personal_data.span_list(F.col("spans")).alias("spans"),
+    )
