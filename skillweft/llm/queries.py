@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillweft.llm import (
-    chat, decontamination, fingerprints, licenses, ngram_join, packing, personal_data, secret_scans, sqltext,
-    substring_dedup, toxicity, url_filters,
+    chat, components, conversation_repair, decontamination, fingerprints, licenses, ngram_join, packing, personal_data,
+    repairsql, secret_scans, sqltext, substring_dedup, toxicity, url_filters,
 )
 from skillweft.llm.registry import query
 
@@ -127,3 +127,34 @@ def op12(spark, folder):
         "doc_id", *counts, F.sha2(personal_data.span_list(base), 256).alias("base_sha256"),
         personal_data.span_list(F.col("spans")).alias("spans"),
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut off, repeated or renamed by the check sum of ``conv_id:turn``; nulls are one space."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = turns.select(
+        "conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")),
+        (F.crc32(key) % 20).alias("damage"),
+    )
+    damage = F.col("damage")
+    return rows.filter(damage != 0).select(
+        "conv_id", "turn", F.when(damage == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(damage == 1, "").when(damage == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(damage == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+@query("op11_conversation_repair", repairsql.CONVERSATION_REPAIR)
+def op11(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    broken = damaged(turns)
+    repairs = components.stored(conversation_repair.find_repairs(broken), "repairs")
+    digests = conversation_repair.conversation_digests(conversation_repair.apply_repairs(broken, repairs))
+    left, found, told = turns.select("conv_id").distinct().alias("l"), repairs.alias("r"), digests.alias("d")
+    joined = left.join(found, F.expr("l.conv_id <=> r.conv_id"), "left").join(told, F.expr("l.conv_id <=> d.conv_id"), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        "l.conv_id", *(F.coalesce(F.col(f"r.{c}"), F.lit(0)).cast("bigint").alias(c) for c in counts),
+        F.coalesce("r.audit", F.lit("")).alias("audit"),
+        F.coalesce("d.sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
