@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillweft.llm import (
-    chat, components, conversation_repair, decontamination, fingerprints, licenses, ngram_join, packing, personal_data,
-    repairsql, secret_scans, sqltext, substring_dedup, toxicity, url_filters,
+    chat, components, conversation_repair, decontamination, fingerprints, hard_negatives, licenses, ngram_join, packing,
+    personal_data, repairsql, secret_scans, sqltext, substring_dedup, toxicity, url_filters,
 )
 from skillweft.llm.registry import query
 
@@ -158,3 +158,9 @@ def op11(spark, folder):
         F.coalesce("r.audit", F.lit("")).alias("audit"),
         F.coalesce("d.sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query("op13_hard_negatives", sqltext.HARD_NEGATIVES)
+def op13(spark, folder):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, moved)
