@@ -251,9 +251,8 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    found.encode_special_tokens = True
-    return str(public_tokenizers.path("byte_bpe_50k.json")), found
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return path, Tokenizer.from_file(path)
 
 
 def test_packing_round_trip(spark):
@@ -287,13 +286,27 @@ def test_packing_round_trip(spark):
     assert rebuilt == ids
 
 
-def test_packing_memory_bound_gives_the_same_ids(spark):
+def test_encoder_gives_the_stated_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     path, plain = tokenizer()
-    small = packing.ChunkEncoder(path, remember=20)
-    for _, text in random_texts(19, 40):
-        if text:
-            want = np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            assert small.encode(text) == want
+    fast = packing.Encoder(path)
+    assert fast.ranked is not None
+    texts = [t for _, t in random_texts(19, 40) if t]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>", "<|endoftext", "x" * 100_000, " \n" * 50_000,
+              "\u0085\u2028\u00a0 \u3000x", "'s'S 'll \u2019s", "1²½Ⅷ", "👩‍👩‍👧 e\u0301"]
+    step = 97
+    texts += ["".join(f"a{c}b {c}1{c}{c} {c} !{c}'{c}" for c in map(chr, range(low, 0xD800, step))) for low in range(step)]
+    for text in texts:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert fast.encode(text) == np.array(ids, "<u4").tobytes()
+    assert 50256 in np.frombuffer(fast.encode("a <|endoftext|> b"), "<u4")
+    other = str(public_tokenizers.path("word_bpe_49k.json"))
+    slow = packing.Encoder(other)
+    assert slow.ranked is None
+    ids = Tokenizer.from_file(other).encode("Some Words here", add_special_tokens=False).ids
+    assert slow.encode("Some Words here") == np.array(ids, "<u4").tobytes()
 
 
 def brute_fingerprint(text):
