@@ -349,7 +349,7 @@ def find_positives(indexed: DataFrame, search: _Search, count: int) -> DataFrame
 
 def mine_hard_negatives(
     vectors: DataFrame, anchors: Column, label: Column | None = None, positives: int = 5, negatives: int = 10,
-    low: int = 30, high: int = 90, sample: int = 8192, fanout: int = 8, leaf_rows: int = 512,
+    low: int = 30, high: int = 90, sample: int = 8192, fanout: int = 8, leaf_rows: int = 2048,
 ) -> DataFrame:
     """For each anchor and each of its positives the best rows of other labels inside the positive's window.
 
