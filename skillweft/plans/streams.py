@@ -11,7 +11,9 @@ from skillweft.plans.texts import KEYWORDS
 from skillweft.plans.writes import CARDS, run_events
 from skillweft.roles import with_roles
 from skillweft.session import fresh_folder
-from skillweft.streaming import cache, feeds
+from skillweft.streaming import cache, feeds, skill_counts, workqueue
+
+ROUNDS, PARTS = 4, 4
 
 
 def _folders(t, label):
@@ -64,14 +66,23 @@ def stream_first_seen(t):
     return t.spark.read.parquet(path).select("user_id", "event_type")
 
 
-@query("stream_queue", """
-    SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'pending' ELSE 'completed' END AS status FROM events""")
+@query("stream_queue", f"""
+    SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'pending' ELSE 'completed' END AS status,
+           CAST(CASE WHEN event_type = 'error' THEN {ROUNDS} WHEN event_id % 50 = 7 THEN greatest(2, event_id % 3 + 1)
+                ELSE event_id % 3 + 1 END AS INT) AS attempts
+    FROM events""")
 def stream_queue(t):
-    """Events as queued jobs; errors fail and go back to pending."""
+    """Events as queued jobs over several rounds: errors never succeed, others fail up to twice, some claims die."""
     path, checkpoint = _folders(t, "queue")
     jobs = event_feed(t).select(F.col("event_id").alias("id"), "event_type")
-    feeds.run_queue(jobs, lambda df: df.select("id", (F.col("event_type") != "error").alias("ok")), path, checkpoint)
-    return feeds.queue_state(t.spark, t.table("events").select(F.col("event_id").alias("id")), path)
+
+    def work(handed):
+        answered = handed.filter((F.col("attempt") > 1) | (F.col("id") % 50 != 7))
+        return answered.select("id", ((F.col("event_type") != "error") & (F.col("attempt") > F.col("id") % 3)).alias("ok"))
+
+    for _ in range(ROUNDS):
+        workqueue.run_queue(jobs, work, path, checkpoint, lease_seconds=0, fold_after=3)
+    return workqueue.queue_state(t.spark, t.table("events").select(F.col("event_id").alias("id")), path)
 
 
 @query("stream_run_counts", """
@@ -89,7 +100,7 @@ def stream_run_counts(t):
             return event_feed(t)
 
     outcomes = {"complete": "completed", "skip": "skipped", "error": "errors"}
-    feeds.keep_current(feeds.run_counts(run_events(Feed()), outcomes), path, checkpoint)
+    feeds.keep_current(feeds.run_counts(run_events(Feed()), outcomes), path, checkpoint, ["run_id"], fold_after=1)
     return feeds.latest_rows(t.spark, path, ["run_id"])
 
 
@@ -110,19 +121,65 @@ def stream_month_counts(t):
     )
 
 
-@query("stream_cache", """
-    WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_type AS size FROM events),
-    f(key, got) AS (SELECT key, min(ts) FROM r GROUP BY key
-        UNION ALL SELECT key, nxt FROM (SELECT f.key, (SELECT min(ts) FROM r WHERE r.key = f.key AND r.ts >= f.got + INTERVAL 5 DAY) AS nxt FROM f)
-        WHERE nxt IS NOT NULL),
-    s AS (SELECT f.key, f.got, min(r.size) AS size FROM f JOIN r ON r.key = f.key AND r.ts = f.got GROUP BY ALL)
-    SELECT r.key, r.ts, s.size, s.got < r.ts OR s.size <> r.size AS hit
-    FROM r ASOF JOIN s ON s.key = r.key AND s.got <= r.ts""")
+_FOUND = "list_extract([" + ", ".join(f"'{label}'" for _, _, label in d.SIZE_RANGES) + "], 1 + CAST(floor(value) AS BIGINT) % 9)"
+
+
+@query("stream_cache", f"""
+    WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, ts, {_FOUND} AS size FROM events),
+    ok AS (SELECT * FROM r WHERE size IS NOT NULL),
+    f(key, got) AS (SELECT key, min({{'ts': ts, 'id': id}}) FROM ok GROUP BY key
+        UNION ALL SELECT key, nxt FROM (SELECT f.key, (SELECT min({{'ts': ok.ts, 'id': ok.id}}) FROM ok
+            WHERE ok.key = f.key AND ok.ts >= f.got.ts + INTERVAL 5 DAY) AS nxt FROM f) WHERE nxt IS NOT NULL),
+    m AS (SELECT r.*, f.got.ts AS fetched FROM r LEFT JOIN f ON f.key = r.key AND f.got.id = r.id),
+    w AS (SELECT *, last_value(fetched IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, id) AS since,
+            last_value(CASE WHEN fetched IS NOT NULL THEN size END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, id) AS kept
+          FROM m)
+    SELECT key, id, ts, CASE WHEN coalesce(ts < since + INTERVAL 5 DAY, false) THEN kept ELSE size END AS size,
+           fetched IS NULL AND coalesce(ts < since + INTERVAL 5 DAY, false) AS hit
+    FROM w""")
 def stream_cache(t):
+    """Requests in four parts by time; a ninth of the fetches finds nothing useful and is not kept."""
     path, checkpoint = _folders(t, "cache")
-    requests = event_feed(t).select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").alias("size"))
-    cache.run_cache(requests, path, checkpoint, days=5)
-    return t.spark.read.parquet(f"{path}/answers").select("key", "ts", "size", "hit")
+    labels = [label for _, _, label in d.SIZE_RANGES]
+    found = F.get(F.array(*map(F.lit, labels)), (F.floor("value").cast("bigint") % 9).cast("int"))
+    rows = t.table("events").select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts", found.alias("size"))
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    for part in range(PARTS):
+        low, high = (first + (last - first) * k / PARTS for k in (part, part + 1))
+        slot = (F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | F.lit(part + 1 == PARTS))
+        rows.filter(slot).write.mode("append").parquet(f"{path}-feed")
+        cache.run_cache(feeds.read_feed(t.spark, f"{path}-feed"), path, checkpoint, labels, days=5)
+    return t.spark.read.parquet(f"{path}/answers").select("key", "id", "ts", "size", "hit")
+
+
+@query("stream_skill_counts", with_roles("""
+    SELECT CAST(date_trunc('month', posted_date) AS DATE) AS month_start, skill_type, count(*) AS cnt
+    FROM job_skills l JOIN postings p ON p.id = l.job_id JOIN skills s ON s.id = l.skill_id
+    WHERE p.id % 11 <> 0 AND (p.id % 13 <> 0 OR s.id % 2 = 0) GROUP BY ALL""", "postings", "skills", "job_skills"))
+def stream_skill_counts(t):
+    """Links before and after their jobs, then jobs that go and jobs that are analysed again."""
+    path, checkpoint = _folders(t, "skill-counts")
+    none = {"posted_date": F.lit(None).cast("date"), "skill_id": F.lit(None).cast("bigint"), "skill_type": F.lit(None).cast("string")}
+    typed = t.job_skills.join(t.skills.select(F.col("id").alias("skill_id"), "skill_type"), "skill_id")
+
+    def change(rows, name, version=0, **columns):
+        return rows.select("job_id", F.lit(version).alias("version"), F.lit(name).alias("change"),
+                           *[F.col(c).alias(c) if c in columns else empty.alias(c) for c, empty in none.items()])
+
+    jobs = t.postings.select(F.col("id").alias("job_id"), "posted_date")
+    links = change(typed, "link", skill_id=True, skill_type=True)
+    early = (F.col("job_id") + F.col("skill_id")) % 2 == 0
+    again = jobs.filter(F.col("job_id") % 13 == 0)
+    arrivals = [
+        links.filter(early), change(jobs, "job", posted_date=True), links.filter(~early),
+        change(jobs.filter(F.col("job_id") % 11 == 0), "delete", 2).unionByName(change(again, "clear")).unionByName(
+            links.filter((F.col("job_id") % 13 == 0) & (F.col("skill_id") % 2 == 0)).withColumn("version", F.lit(1))),
+    ]
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{path}-feed")
+        skill_counts.run_skill_counts(feeds.read_feed(t.spark, f"{path}-feed"), path, checkpoint, fold_after=3)
+    return skill_counts.skill_totals(t.spark, path)
 
 
 def run_chain(t, arrived, known, path, checkpoint):

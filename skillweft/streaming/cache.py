@@ -1,80 +1,99 @@
 """Per-key cache with a time to live.
 
-A request is a hit while the key's last fetch is younger than the limit; else
-it is a fetch itself.  Fetches of a key lie at least one life apart, so they are
-found by a few grouped minima per micro-batch, whatever the number of requests
-of a key, and are few enough to travel with the key.
+A request is a hit while the key's last useful fetch is younger than the limit; else it is
+a fetch itself.  Only valid values are kept, so a key whose fetch gave nothing useful is
+asked again at its next request.
+
+The cache is keyed state with a timer per entry: a micro-batch touches the entries of its
+own keys only, is one job whatever the number of lives in it, and an entry goes when the
+watermark has passed its life.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import sys
+from collections.abc import Collection
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skillweft.session import cut_lineage
-from skillweft.streaming.feeds import batch_writer, read_before, run_available
+from skillweft.streaming.feeds import batch_writer, run_available
+from skillweft.streaming.keyed import keep_state, set_timer
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def _after(fetched: Column, days: int) -> Column:
-    return fetched + F.expr(f"INTERVAL {int(days)} DAYS")
+DAY = 86_400_000_000  # microseconds
 
 
-def find_fetches(requests: DataFrame, stored: DataFrame, days: int) -> DataFrame:
-    """(key, at, size): the requests that have to be fetched, given the last stored fetch per key."""
-    last = stored.select("key", F.col("at").alias("last_at"))
-    rounds = []
-    open_rows = requests.join(last, "key", "left").filter(
-        F.col("last_at").isNull() | (F.col("ts") >= _after(F.col("last_at"), days))
-    ).select("key", "ts", "size")
-    while True:
-        found = cut_lineage(
-            open_rows.groupBy("key").agg(F.min(F.struct("ts", "size")).alias("f"))
-            .select("key", F.col("f.ts").alias("at"), F.col("f.size").alias("size"))
-        )
-        if found.isEmpty():
-            break
-        rounds.append(found)
-        open_rows = open_rows.join(found.select("key", "at"), "key").filter(
-            F.col("ts") >= _after(F.col("at"), days)
-        ).select("key", "ts", "size")
-    fetched = stored.limit(0).select("key", "at", "size")
-    for found in rounds:
-        fetched = fetched.unionByName(found)
-    return fetched
-
-
-def answer(requests: DataFrame, stored: DataFrame, days: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Answers (key, ts, size, hit) and the last fetch per key after these requests."""
-    fetched = find_fetches(requests, stored, days)
-    every = stored.select("key", "at", "size").unionByName(fetched)
-    # at most one fetch per life and key
-    history = every.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("fetches"))
-    past = F.filter("fetches", lambda f: f["at"] <= F.col("ts"))
-    used = requests.withColumnRenamed("size", "asked").join(history, "key").withColumn(
-        "f", F.element_at(past, -1)
-    )
-    answers = used.select(
-        "key", "ts", F.col("f.size").alias("size"),
-        ((F.col("f.at") < F.col("ts")) | (F.col("f.size") != F.col("asked"))).alias("hit"),
-    )
-    latest = every.groupBy("key").agg(F.max(F.struct("at", "size")).alias("f")).select(
-        "key", F.col("f.at").alias("at"), F.col("f.size").alias("size")
-    )
-    return answers, latest
+def answer_in_order(
+    at: np.ndarray, sizes: np.ndarray, useful: np.ndarray, entry: tuple | None, life: int
+) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+    """(sizes, hits, entry afterwards) of one key's requests in time order.
 
+    ``entry`` is (time of the fetch, size).  The steps are fetches, not requests.
+    """
+    sizes, hits = sizes.copy(), np.zeros(len(at), bool)
+    fetches = np.flatnonzero(useful)
+    place = 0
+    while place < len(at):
+        if entry is not None and at[place] < entry[0] + life:
+            end = int(np.searchsorted(at, entry[0] + life))
+            sizes[place:end], hits[place:end] = entry[1], True
+            place = end
+            continue
+        k = int(np.searchsorted(fetches, place))
+        if k == len(fetches):
+            break  # nothing useful any more: all misses
+        place = int(fetches[k])
+        entry = (int(at[place]), sizes[place])
+        place += 1
+    return sizes, hits, entry
 
-def run_cache(requests: DataFrame, path: str, checkpoint: str, days: int = 30) -> StreamingQuery:
-    """Answer a stream of (key, ts, size) requests; the cache is a table written batch by batch."""
-    spark = requests.sparkSession
-    schema = "key STRING, at TIMESTAMP_NTZ, size STRING"
 
-    def each(df: DataFrame, batch: int) -> None:
-        empty = spark.createDataFrame([], schema)
-        written = read_before(spark, f"{path}/stored", empty.schema, batch)
-        last = written.agg(F.max("batch").alias("b")).scalar()
-        stored = written.filter(F.col("batch") == last).select("key", "at", "size")
-        answers, latest = answer(df, cut_lineage(stored), days)
-        batch_writer(f"{path}/answers")(answers, batch)
-        batch_writer(f"{path}/stored")(latest, batch)
+def answer_requests(requests: DataFrame, days: int, valid: Collection[str], lateness: str) -> DataFrame:
+    """Stream of (key, id, ts, size, hit) for a stream of (key, id, ts, size).
+
+    ``size`` of a request is what a fetch would give now.  Requests of a key are taken by
+    (ts, id) within a micro-batch; one that lies before the stored fetch is a hit.
+    Requests without a time, or later than ``lateness``, are not answered.
+    """
+    life, valid = days * DAY, frozenset(valid)
+    kind = requests.schema["ts"].dataType.simpleString()
+    rows = requests.filter(F.col("ts").isNotNull()).select(
+        "key", F.col("id").cast("bigint").alias("id"), F.col("ts").cast("timestamp").alias("seen"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "size",
+    ).withWatermark("seen", lateness)
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        asked = pd.concat(list(frames)).sort_values(["at", "id"], kind="stable")  # of one key and micro-batch
+        at = asked["at"].to_numpy()
+        sizes, hits, entry = answer_in_order(
+            at, asked["size"].to_numpy(object), asked["size"].isin(valid).to_numpy(),
+            tuple(state.get) if state.exists else None, life,
+        )
+        if entry is not None:
+            if set_timer(state, (entry[0] + life) // 1000 + 1):
+                state.update(entry)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame({"key": key[0], "id": asked["id"].to_numpy(), "at": at, "size": sizes, "hit": hits})
+
+    answered = keep_state(
+        rows, ["key"], step, "key string, id bigint, at bigint, size string, hit boolean",
+        "fetched bigint, size string", "EventTimeTimeout",
+    )
+    return answered.select("key", "id", F.timestamp_micros("at").cast(kind).alias("ts"), "size", "hit")
+
 
-    return run_available(requests, checkpoint, each)
+def run_cache(
+    requests: DataFrame, path: str, checkpoint: str, valid: Collection[str], days: int = 30, lateness: str = "1 day"
+) -> StreamingQuery:
+    """Answer a stream of (key, id, ts, size) requests into the table ``path/answers``."""
+    answers = answer_requests(requests, days, valid, lateness)
+    return run_available(answers, checkpoint, batch_writer(f"{path}/answers"))

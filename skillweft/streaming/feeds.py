@@ -6,14 +6,18 @@ so a batch that is run again after a failure replaces its own rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from skillweft.operators.rewrite import append_absent
+from skillweft.streaming.keyed import keep_state
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def read_feed(spark: SparkSession, folder: str, name: str | None = None, schema=None,
@@ -61,29 +65,49 @@ def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(int(number) for label, _, number in found if label == name and number.isdigit())
 
 
-def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current value per key of a table written batch by batch.
+def _unfolded(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The last folded batch and the numbers of those after it."""
+    folded = max(_numbers(spark, f"{path}_folded", "upto"), default=None)
+    return folded, [b for b in _numbers(spark, path, "batch") if folded is None or b > folded]
+
 
-    Batches up to the last ``fold_batches`` are read from its result.
+def unfolded_batches(spark: SparkSession, path: str) -> int:
+    return len(_unfolded(spark, path)[1])
+
+
+def current_rows(spark: SparkSession, path: str, keys: list[str], combine: str = "newest") -> DataFrame:
+    """One row per key of a table written batch by batch.
+
+    ``combine`` says what becomes of a key's values: those of the newest batch, or of
+    every column the sum or the greatest.  Batches up to the last ``fold_batches`` are
+    read from its result.
     """
-    folded = max(_numbers(spark, f"{path}_folded", "upto"), default=None)
     rows = spark.read.option("basePath", path).parquet(path)
+    folded, _ = _unfolded(spark, path)
     if folded is not None:
         before = spark.read.parquet(f"{path}_folded/upto={folded}").withColumn("batch", F.lit(folded))
         rows = rows.filter(F.col("batch") > folded).unionByName(before)
     values = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*values), "batch").alias("v")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
+    if combine == "newest":
+        newest = F.max_by(F.struct(*values), "batch").alias("v")
+        return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
+    one = {"sum": F.sum, "greatest": F.max}[combine]
+    return rows.groupBy(*keys).agg(*[one(c).alias(c) for c in values])
 
 
-def fold_batches(spark: SparkSession, path: str, keys: list[str]) -> None:
+def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Newest value per key of a table written batch by batch."""
+    return current_rows(spark, path, keys)
+
+
+def fold_batches(spark: SparkSession, path: str, keys: list[str], combine: str = "newest") -> None:
     """Write the current rows once, so that later reads need no older batches.
 
     To be called while no query writes the table: all its batches are then committed.
     """
     batches = _numbers(spark, path, "batch")
     if batches and batches[-1] not in _numbers(spark, f"{path}_folded", "upto"):
-        latest_rows(spark, path, keys).write.mode("overwrite").parquet(f"{path}_folded/upto={batches[-1]}")
+        current_rows(spark, path, keys, combine).write.mode("overwrite").parquet(f"{path}_folded/upto={batches[-1]}")
 
 
 def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -96,16 +120,30 @@ def unseen(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return stream.join(known.select(key).distinct(), key, "left_anti")
 
 
+def rows_of_new_keys(stream: DataFrame, key: str) -> DataFrame:
+    """The rows of keys that no earlier micro-batch had; of a new key all rows of its first one."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
+
+    def step(_, frames, state):
+        if not state.exists:
+            state.update((True,))
+            yield from frames
+
+    return keep_state(stream, [key], step, kinds, "seen boolean")
+
+
 def ingest_feed(stream: DataFrame, path: str, checkpoint: str, key: str, order: Column) -> StreamingQuery:
-    """Append rows with a new key to a table; the first row by ``order`` of a batch wins."""
-    spark = stream.sparkSession
+    """Append rows with a new key to a table; the first row by ``order`` of a batch wins.
+
+    Which keys the table has is keyed state: a micro-batch looks up its own keys and
+    does not read the table.
+    """
+    whole = F.min_by(F.struct(*stream.columns), order).alias("r")
 
     def each(df: DataFrame, batch: int) -> None:
-        # rows of an earlier, interrupted run of this batch must not count as known
-        stored = read_before(spark, path, df.schema, batch)
-        batch_writer(path)(append_absent(stored, df, key, order), batch)
+        batch_writer(path)(df.groupBy(F.col(key).alias("_k")).agg(whole).select("r.*"), batch)
 
-    return run_available(stream, checkpoint, each)
+    return run_available(rows_of_new_keys(stream, key), checkpoint, each)
 
 
 def read_before(spark: SparkSession, path: str, schema: StructType, batch: int) -> DataFrame:
@@ -118,34 +156,6 @@ def read_before(spark: SparkSession, path: str, schema: StructType, batch: int)
     return rows.filter(F.col("batch") < batch)
 
 
-def run_queue(
-    jobs: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
-) -> StreamingQuery:
-    """Take waiting jobs batch by batch and record how each ended.
-
-    ``work`` maps a batch with an ``id`` column to (id, ok).  Status rows go
-    pending -> in_progress -> completed; a failed job goes back to pending.
-    """
-
-    def each(df: DataFrame, batch: int) -> None:
-        taken = df.select("id")
-        batch_writer(f"{path}/taken")(taken.withColumn("status", F.lit("in_progress")), batch)
-        result = work(df)
-        status = F.when(F.col("ok"), "completed").otherwise("pending")
-        batch_writer(f"{path}/done")(result.select("id", status.alias("status")), batch)
-
-    return run_available(jobs, checkpoint, each)
-
-
-def queue_state(spark: SparkSession, jobs: DataFrame, path: str) -> DataFrame:
-    """(id, status) of every job: last finished status, else in progress, else pending."""
-    taken = latest_rows(spark, f"{path}/taken", ["id"]).withColumnRenamed("status", "taken")
-    done = latest_rows(spark, f"{path}/done", ["id"]).withColumnRenamed("status", "done")
-    return jobs.select("id").join(taken, "id", "left").join(done, "id", "left").select(
-        "id", F.coalesce("done", "taken", F.lit("pending")).alias("status")
-    )
-
-
 def run_counts(events: DataFrame, outcomes: dict[str, str]) -> DataFrame:
     """Running counts per run: processed events by outcome, duplicates and share."""
     counted = [F.count_if(F.col("event") == e).alias(name) for e, name in outcomes.items()]
@@ -170,10 +180,8 @@ def keep_current(
     """
     spark = stream.sparkSession
     query = run_available(stream, checkpoint, batch_writer(path), mode="update")
-    if keys:
-        folded = max(_numbers(spark, f"{path}_folded", "upto"), default=-1)
-        if sum(b > folded for b in _numbers(spark, path, "batch")) >= fold_after:
-            fold_batches(spark, path, keys)
+    if keys and unfolded_batches(spark, path) >= fold_after:
+        fold_batches(spark, path, keys)
     return query
 
 

@@ -1,10 +1,12 @@
 """Streams in several micro-batches give the batch result and continue where they ended."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from skillweft.streaming import cache, feeds
+from skillweft.streaming import cache, feeds, skill_counts, workqueue
 
 START = dt.datetime(2024, 1, 1)
 
@@ -62,29 +64,150 @@ def test_feed_is_deduplicated_and_resumes(spark, tmp_path):
     assert spark.read.parquet(table).count() == 8
 
 
-def test_queue_puts_failures_back(spark, tmp_path):
-    df = events(spark, 10)
+def test_ingest_reads_nothing_of_the_table(spark, tmp_path):
+    """Known keys are state: with the written table gone, later batches still know them."""
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "t", "c"))
+    write_files(events(spark), source, 4)
+    run = lambda: feeds.ingest_feed(
+        feeds.read_feed(spark, source, files_per_batch=1), table, checkpoint, "link", F.struct("at", "id"))
+    run()
+    kept = tmp_path / "elsewhere"
+    (tmp_path / "t").rename(kept)
+    spark.createDataFrame([(99, START, "new", "a"), (98, START, "link3", "a")], events(spark, 1).schema).write.mode(
+        "append").parquet(source)
+    run()
+    assert [(r.link, r.id) for r in spark.read.parquet(table).collect()] == [("new", 99)]
+    assert spark.read.parquet(str(kept)).count() == 7
+
+
+def queue_case(spark, tmp_path, n=12):
+    df = events(spark, n)
     df.write.parquet(str(tmp_path / "in"))
-    work = lambda rows: rows.select("id", (F.col("kind") == "a").alias("ok"))
-    feeds.run_queue(feeds.read_feed(spark, str(tmp_path / "in")), work, str(tmp_path / "t"), str(tmp_path / "c"))
+    stream = lambda: feeds.read_feed(spark, str(tmp_path / "in")).select("id", "kind")
     extra = df.select("id").union(spark.createDataFrame([(77,)], "id int"))
-    got = {r.id: r.status for r in feeds.queue_state(spark, extra, str(tmp_path / "t")).collect()}
-    assert got == {**{i: "completed" if i % 2 == 0 else "pending" for i in range(10)}, 77: "pending"}
+    state = lambda: {
+        r.id: (r.status, r.attempts) for r in workqueue.queue_state(spark, extra, str(tmp_path / "t")).collect()}
+    return stream, state, str(tmp_path / "t"), str(tmp_path / "c")
+
+
+def test_queue_hands_failures_out_again(spark, tmp_path):
+    """Even ids succeed at once, odd ones at the third attempt; nothing is handed out after that."""
+    stream, state, table, checkpoint = queue_case(spark, tmp_path)
+    handed = []
+
+    def work(rows):
+        handed.append({(r.id, r.attempt) for r in rows.collect()})
+        return rows.select("id", ((F.col("kind") == "a") | (F.col("attempt") == 3)).alias("ok"))
+
+    run = lambda: workqueue.run_queue(stream(), work, table, checkpoint, fold_after=2)
+    run()
+    assert state() == {**{i: ("completed" if i % 2 == 0 else "pending", 1) for i in range(12)}, 77: ("pending", 0)}
+    for _ in range(4):
+        run()
+    assert state() == {**{i: ("completed", 3 if i % 2 else 1) for i in range(12)}, 77: ("pending", 0)}
+    assert sorted(x for seen in handed for x in seen) == sorted(
+        {(i, 1) for i in range(12)} | {(i, a) for i in range(1, 12, 2) for a in (2, 3)})
+
+
+def test_dead_claims_return_after_their_lease(spark, tmp_path):
+    stream, state, table, checkpoint = queue_case(spark, tmp_path, 4)
+    nobody = lambda rows: rows.select("id", F.lit(True).alias("ok")).limit(0)
+    all_well = lambda rows: rows.select("id", F.lit(True).alias("ok"))
+    workqueue.run_queue(stream(), nobody, table, checkpoint, lease_seconds=3600)
+    assert state() == {**{i: ("in_progress", 1) for i in range(4)}, 77: ("pending", 0)}
+    more = events(spark, 6).filter("id >= 4")
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    workqueue.run_queue(stream(), all_well, table, checkpoint, lease_seconds=3600)
+    assert {i: s for i, (s, _) in state().items() if i < 4} == dict.fromkeys(range(4), "in_progress")  # the lease holds
+    later = F.current_timestamp() + F.expr("INTERVAL 2 HOURS")
+    events(spark, 8).filter("id >= 6").write.mode("append").parquet(str(tmp_path / "in"))
+    workqueue.run_queue(stream(), all_well, table, checkpoint, lease_seconds=3600, clock=later)
+    assert {i: s for i, s in state().items() if i < 4} == dict.fromkeys(range(4), ("completed", 2))
+
+
+def test_a_repeated_queue_batch_hands_out_the_same(spark, tmp_path):
+    stream, state, table, checkpoint = queue_case(spark, tmp_path)
+    work = lambda rows: rows.select("id", (F.col("kind") == "a").alias("ok"))
+    workqueue.run_queue(stream(), work, table, checkpoint)
+    first = state()
+    last = max(int(f.name) for f in (tmp_path / "c" / "commits").iterdir() if f.name.isdigit())
+    for file in (tmp_path / "c" / "commits").glob(f"*{last}*"):
+        file.unlink()
+    workqueue.run_queue(stream(), work, table, checkpoint)
+    assert {i: s for i, s in state().items() if i % 2 == 0} == {i: s for i, s in first.items() if i % 2 == 0}
+    taken = spark.read.parquet(f"{table}/taken")
+    assert taken.groupBy("id", "attempt").count().filter("count > 1").isEmpty()
 
 
 def test_cache_over_batches(spark, tmp_path):
-    days = [0, 1, 29, 30, 31, 59, 60, 61]
-    rows = [(i, "k", START + dt.timedelta(days=d), f"s{d}") for i, d in enumerate(days)]
-    rows += [(8, "other", START, "x")]
+    """Hits for 30 days after a useful fetch; what is not valid is answered but not kept."""
+    asked = [("k", 0, "a"), ("k", 1, "b"), ("k", 29, "a"), ("k", 30, "b"), ("k", 31, "a"), ("k", 59, "a"), ("k", 60, "?"),
+             ("k", 61, "a"), ("k", 62, "b"), ("other", 62, None), ("other", 62, "b"), ("other", 63, "a")]
+    rows = [(i, k, START + dt.timedelta(days=day), size) for i, (k, day, size) in enumerate(asked)]
     df = spark.createDataFrame(rows, "id int, key string, ts timestamp_ntz, size string")
-    for low in (0, 3, 6):
+    for low in (0, 3, 6, 9):
         df.filter(F.col("id").between(low, low + 2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = feeds.read_feed(spark, str(tmp_path / "in"), files_per_batch=1).select("key", "ts", "size")
-    cache.run_cache(stream, str(tmp_path / "t"), str(tmp_path / "c"), days=30)
-    got = {(r.key, (r.ts - START).days): (r.size, r.hit) for r in spark.read.parquet(str(tmp_path / "t/answers")).collect()}
-    assert got == {("k", 0): ("s0", False), ("k", 1): ("s0", True), ("k", 29): ("s0", True), ("k", 30): ("s30", False),
-                   ("k", 31): ("s30", True), ("k", 59): ("s30", True), ("k", 60): ("s60", False), ("k", 61): ("s60", True),
-                   ("other", 0): ("x", False)}
+    for _ in range(2):  # the second run finds nothing new
+        stream = feeds.read_feed(spark, str(tmp_path / "in"), files_per_batch=1)
+        cache.run_cache(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["a", "b"], days=30)
+    got = {r.id: (r.size, r.hit) for r in spark.read.parquet(str(tmp_path / "t/answers")).collect()}
+    assert got == {0: ("a", False), 1: ("a", True), 2: ("a", True), 3: ("b", False), 4: ("b", True), 5: ("b", True),
+                   6: ("?", False), 7: ("a", False), 8: ("a", True), 9: (None, False), 10: ("b", False), 11: ("b", True)}
+
+
+def test_cache_jobs_do_not_grow_with_lives(spark, tmp_path):
+    """One job a batch, whether its keys are fetched once or fifty times."""
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for days in (1, 400):
+        rows = [(i, "k", START + dt.timedelta(days=i), "a") for i in range(50)]
+        df = spark.createDataFrame(rows, "id int, key string, ts timestamp_ntz, size string")
+        folder = tmp_path / str(days)
+        df.coalesce(1).write.parquet(str(folder / "in"))
+        query = cache.run_cache(feeds.read_feed(spark, str(folder / "in")), str(folder / "t"), str(folder / "c"), ["a"], days=days)
+        counts.append(len(tracker.getJobIdsForGroup(str(query.runId))))
+        assert spark.read.parquet(str(folder / "t/answers")).filter("not hit").count() == (50 if days == 1 else 1)
+    assert counts[0] == counts[1]
+
+
+def test_expired_entries_leave_the_state(spark, tmp_path):
+    schema = "id int, key string, ts timestamp_ntz, size string"
+    for i in range(4):
+        rows = [(i, f"k{i}", START + dt.timedelta(days=100 * i), "a")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = cache.run_cache(feeds.read_feed(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), ["a"])
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 1
+
+
+def test_skill_totals_equal_a_recount(spark, tmp_path):
+    """Late links, moved and deleted jobs, repeated links, analysing again, over random batches."""
+    rng = random.Random(3)
+    changes, table, links = [], {}, {}
+    for version in range(600):
+        job, skill = rng.randrange(25), rng.randrange(12)
+        kind = ("tech_stack", "soft_skill")[skill % 2]
+        name = rng.choices(["job", "link", "unlink", "clear", "delete"], [3, 9, 2, 1, 1])[0]
+        day = None
+        if name == "job":
+            day = None if rng.random() < 0.1 else dt.date(2024, rng.randrange(1, 13), rng.randrange(1, 28))
+            table[job] = day
+        elif name == "link":
+            links[job, skill] = kind
+        elif name == "unlink":
+            links.pop((job, skill), None)
+        else:
+            links = {k: v for k, v in links.items() if k[0] != job}
+            if name == "delete":
+                table.pop(job, None)
+        changes.append((job, version, name, day, skill, kind))
+    schema = "job_id bigint, version int, change string, posted_date date, skill_id bigint, skill_type string"
+    for low in range(0, 600, 150):
+        spark.createDataFrame(changes[low : low + 150], schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = feeds.read_feed(spark, str(tmp_path / "in"))
+        skill_counts.run_skill_counts(stream, str(tmp_path / "t"), str(tmp_path / "c"), fold_after=2)
+    got = {(r.month_start, r.skill_type): r.cnt for r in skill_counts.skill_totals(spark, str(tmp_path / "t")).collect()}
+    want = Counter(
+        (table[job].replace(day=1), kind) for (job, _), kind in links.items() if table.get(job) is not None)
+    assert got == dict(want) and len(want) > 5
 
 
 def test_chain_keeps_skill_ids_over_batches(spark, tmp_path):
