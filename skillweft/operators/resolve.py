@@ -15,7 +15,9 @@ from skillweft.functions.skills import (
     is_generic, is_soft_skill, keep_grounded, normalize_skill, reclassify, specific_fix,
     synonym,
 )
-from skillweft.operators.fuzzy import best_known
+from skillweft.functions.similarity import skill_score_udf
+from skillweft.operators.fuzzy import best_known, candidates
+from skillweft.operators.leaders import lead
 from skillweft.operators.ordering import number_all
 from skillweft.session import cut_lineage
 
@@ -171,19 +173,52 @@ def match_skills(raw: DataFrame, known: DataFrame, variants: DataFrame,
     )
 
 
-def new_skills(matches: DataFrame, known: DataFrame, variants: DataFrame) -> DataFrame:
-    """Rows to append for unmatched skills: merged among themselves by key and type, ids continued."""
+def fresh_names(matches: DataFrame, variants: DataFrame) -> DataFrame:
+    """Unmatched skills under the name they would be stored by: one row per key, with its first occurrence.
+
+    ``matches`` may have a column ``seq`` that orders the spellings.
+    """
+    seq = F.col("seq") if "seq" in matches.columns else F.lit(0)
     fresh = with_canonical(
-        matches.filter(F.col("action") == "insert_new").filter(F.col("final_type").isNotNull()),
+        matches.withColumn("seq", seq).filter(F.col("action") == "insert_new").filter(F.col("final_type").isNotNull()),
         variants, "skill", "skill_type",
     ).withColumn("name", F.when(F.col("found"), F.col("canonical")).otherwise(F.col("norm")))
-    merged = (
-        fresh.withColumn("normalized_name", normalize_skill(F.col("name")))
-        .groupBy("normalized_name", F.col("final_type").alias("skill_type"))
-        .agg(F.min_by("name", F.struct(F.length("name"), F.col("name"))).alias("name"))
-    )
-    existing = known.select("normalized_name", "skill_type")
-    merged = merged.join(existing, ["normalized_name", "skill_type"], "left_anti")
+    first = F.min(F.struct("seq", F.col("final_type").alias("skill_type"), F.length("name").alias("n"), "name")).alias("f")
+    keyed = fresh.groupBy(normalize_skill(F.col("name")).alias("key")).agg(first)
+    return keyed.select("key", "f.seq", "f.skill_type", "f.name")
+
+
+def merge_spellings(fresh: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
+    """Near spellings of one batch, resolved as if one after another.
+
+    Takes the rows of :func:`fresh_names`; a name joins the earlier new skill it resembles
+    most (``threshold`` at least, equal texts and shared synonyms fully) or becomes one.
+    Columns: ``key``, and of the skill it belongs to ``leader``, ``name``, ``skill_type``.
+    """
+    rows = cut_lineage(number_all(fresh, [F.col("seq").asc_nulls_first(), F.asc("key")], "rank"))
+    nodes = rows.select(F.col("key").alias("node"), "rank")
+    texts = rows.filter(F.col("key") != "").select(F.col("key").alias("text"))
+    near = candidates(texts, texts, threshold).filter(F.col("a") != F.col("b")).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    placed = near.join(nodes.select(F.col("node").alias("a"), F.col("rank").alias("_a")), "a").join(
+        nodes.select(F.col("node").alias("b"), F.col("rank").alias("_b")), "b")
+    later = F.col("_a") > F.col("_b")
+    pairs = placed.select(
+        F.when(later, F.col("a")).otherwise(F.col("b")).alias("later"),
+        F.when(later, F.col("b")).otherwise(F.col("a")).alias("earlier"),
+    ).withColumn("score", skill_score_udf(float(threshold))("later", "earlier")).filter(F.col("score") >= threshold)
+    groups = texts.select(F.col("text").alias("node"), F.explode(F.array_distinct(F.array_compact(
+        F.array("text", synonym(F.col("text")))))).alias("key"))
+    joined = lead(nodes, cut_lineage(pairs), groups)
+    stored = rows.select(F.col("key").alias("leader"), "name", "skill_type")
+    return joined.join(stored, "leader").select(F.col("node").alias("key"), "leader", "name", "skill_type")
+
+
+def new_skills(spellings: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows to append for unmatched skills, one per leader of :func:`merge_spellings`: ids continued."""
+    led = spellings.filter(F.col("key") == F.col("leader")).select(
+        "name", F.col("leader").alias("normalized_name"), "skill_type")
+    merged = led.join(known.select("normalized_name", "skill_type"), ["normalized_name", "skill_type"], "left_anti")
     last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
     numbered = number_all(merged, [F.asc("normalized_name"), F.asc("skill_type")], "_no")
     return numbered.select((last + F.col("_no")).alias("id"), "name", "normalized_name", "skill_type")
@@ -209,21 +244,28 @@ def reply_items(replies: DataFrame) -> DataFrame:
 
 
 def resolve_replies(replies: DataFrame, known: DataFrame, variants: DataFrame) -> dict[str, DataFrame]:
-    """Parsed replies -> skills to append, (job, skill) links and canonical lists per job."""
+    """Parsed replies -> skills to append, (job, skill) links and canonical lists per job.
+
+    New spellings count in the order of the jobs, the categories and the lists.
+    """
     items = cut_lineage(with_canonical(reply_items(replies), variants))
-    asked = items.select(F.col("canonical").alias("skill"), "skill_type")
-    matches = cut_lineage(match_skills(asked, known, variants))
-    added = new_skills(matches, known, variants)
+    place = F.struct("job_id", F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("skill_type")), "pos")
+    asked = items.groupBy(F.col("canonical").alias("skill"), "skill_type").agg(F.min(place).alias("seq"))
+    asked = cut_lineage(asked)
+    matches = cut_lineage(match_skills(asked, known, variants).join(asked, ["skill", "skill_type"]))
+    spellings = cut_lineage(merge_spellings(fresh_names(matches, variants)))
+    added = cut_lineage(new_skills(spellings, known))
     final = with_canonical(matches, variants, "skill", "skill_type").withColumn(
         "_key", normalize_skill(F.when(F.col("found"), F.col("canonical")).otherwise(F.col("norm")))
     )
     every = known.select("id", "normalized_name", "skill_type").union(
         added.select("id", "normalized_name", "skill_type")
-    ).groupBy("normalized_name", F.col("skill_type").alias("_type")).agg(F.min("id").alias("new_id"))
-    ids = final.join(
-        every, (F.col("action") == "insert_new") & (F.col("_key") == F.col("normalized_name"))
-        & (F.col("final_type") == F.col("_type")), "left"
-    ).select("skill", "skill_type", F.coalesce("matched_id", "new_id").alias("skill_id"))
+    ).groupBy(F.col("normalized_name").alias("leader"), F.col("skill_type").alias("_type")).agg(F.min("id").alias("new_id"))
+    stored = spellings.select(F.col("key").alias("_key"), "leader", F.col("skill_type").alias("_type")).join(
+        every, ["leader", "_type"])
+    open_one = F.when((F.col("action") == "insert_new") & F.col("final_type").isNotNull(), F.col("_key"))
+    ids = final.withColumn("_key", open_one).join(stored, "_key", "left").select(
+        "skill", "skill_type", F.coalesce("matched_id", "new_id").alias("skill_id"))
     links = items.select("job_id", F.col("canonical").alias("skill"), "skill_type").join(
         ids.filter(F.col("skill_id").isNotNull()), ["skill", "skill_type"]
     ).select("job_id", "skill_id").distinct()
@@ -233,7 +275,7 @@ def resolve_replies(replies: DataFrame, known: DataFrame, variants: DataFrame) -
             F.when(F.col("skill_type") == c, F.col("canonical")))), ", "), F.lit("")).alias(c)
         for c in CATEGORIES
     ])
-    return {"matches": matches, "new_skills": added, "links": links, "lists": lists}
+    return {"matches": matches.drop("seq"), "new_skills": added, "links": links, "lists": lists}
 
 
 def merge_vocabulary(skills: DataFrame, links: DataFrame, variants: DataFrame) -> dict[str, DataFrame]:

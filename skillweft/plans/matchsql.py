@@ -35,7 +35,7 @@ def direct(raw: str, known: str) -> str:
     GROUP BY text"""
 
 
-def pairs(raw: str, known: str) -> str:
+def pairs(raw: str, known: str, rest_of: str = "r.text NOT IN (SELECT text FROM direct)") -> str:
     """Every pair of texts without a direct hit that can reach 85: (text, id, known_text, score)."""
     words = lambda c: f"list_sort(list_distinct(list_filter(string_split({c}, ' '), lambda w: w <> '')))"
     rest = lambda a, b: (
@@ -59,7 +59,7 @@ def pairs(raw: str, known: str) -> str:
                        CASE WHEN len(list_filter(wx, lambda w: list_contains(wy, w))) > 0 THEN 1 ELSE 0 END AS gap
                 FROM (SELECT r.text, k.id, k.text AS known_text, string_split(r.text, '') AS x, string_split(k.text, '') AS y,
                              {words('r.text')} AS wx, {words('k.text')} AS wy
-                      FROM {raw} r, {known} k WHERE r.text NOT IN (SELECT text FROM direct)))
+                      FROM {raw} r, {known} k WHERE {rest_of}))
           WHERE contains(text, ' ') OR contains(known_text, ' ') OR 200 * shared >= 85 * (least(len(x), len(y)) + shared))"""
 
 
@@ -101,3 +101,24 @@ CASCADE = {
                      ELSE (SELECT arg_min(category, r) FROM idx WHERE idx.norm = s.norm) END AS detected
               FROM staged s LEFT JOIN fuzzy f ON f.text = s.norm)""",
 }
+
+#: After ``keyed`` (matched spellings with ``own`` name, ``key`` and ``ord``): new skills taken one after another.
+LEADERS = {
+    "unmatched": """SELECT key, arg_min({'t': final_type, 'n': own}, (ord, final_type, length(own), own)) AS f,
+            row_number() OVER (ORDER BY min(ord), key) AS r
+        FROM keyed WHERE action = 'insert_new' AND final_type IS NOT NULL GROUP BY key""",
+    "fresh_texts": "SELECT key AS text, r AS id FROM unmatched WHERE key <> ''",
+    "fresh_keys": f"SELECT id, {_KEYS} FROM fresh_texts",
+    "near": f"""SELECT x.id AS later, y.id AS earlier, 100.0::DOUBLE AS score
+        FROM fresh_keys x JOIN fresh_keys y ON x.key = y.key AND x.id > y.id
+        UNION SELECT t.id, p.id, p.score FROM ({pairs('fresh_texts', 'fresh_texts', 'k.id < r.id')}) p
+        JOIN fresh_texts t ON t.text = p.text WHERE p.score >= 85""",
+    "chosen": """SELECT list_reduce(list({'r': r, 'near': near} ORDER BY r), lambda acc, x:
+            CASE WHEN list_has_any(acc, x.near) THEN acc ELSE list_append(acc, x.r) END, []::BIGINT[]) AS leaders
+        FROM (SELECT r, list(earlier) FILTER (earlier IS NOT NULL) AS near FROM unmatched LEFT JOIN near ON later = r GROUP BY r)""",
+    "member": """SELECT key, coalesce(arg_max(earlier, (score, -earlier)), r) AS leader_r
+        FROM unmatched CROSS JOIN chosen LEFT JOIN near ON later = r AND list_contains(leaders, earlier)
+            AND NOT list_contains(leaders, r) GROUP BY key, r""",
+    "added": """SELECT m.key, l.key AS leader, l.f.t AS skill_type, l.f.n AS name
+        FROM member m JOIN unmatched l ON l.r = m.leader_r""",
+}

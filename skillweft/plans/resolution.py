@@ -228,14 +228,15 @@ REPLY_ITEMS = (r"""
              SELECT job_id, conv_id, turn, unnest(words) AS x, generate_subscripts(words, 1) AS at_ FROM w) GROUP BY ALL),
          typed AS (SELECT *, length(x) > 6 AS tool, NOT length(x) > 6 AND """ + q.any_in(
     "replace(x, '-', ' ')", d.SOFT_SKILL_PHRASES) + r""" AS soft FROM items)
-    SELECT i.job_id, CASE WHEN tool THEN 'tech_stack' WHEN soft THEN 'soft_skill' ELSE 'technical_skill' END AS skill_type, x AS skill
+    SELECT i.job_id, CASE WHEN tool THEN 'tech_stack' WHEN soft THEN 'soft_skill' ELSE 'technical_skill' END AS skill_type,
+        x AS skill, place
     FROM typed i LEFT JOIN w b ON b.conv_id = i.conv_id AND b.turn = i.turn - 1
     WHERE length(x) >= 2 AND (soft OR regexp_matches(' ' || replace(lower(coalesce(b.text, '')), '-', ' ') || ' ',
           '[^a-z0-9]' || regexp_replace(trim(replace(x, '-', ' ')), '([^\p{L}\p{Nd} ])', '\\\1', 'g') || '[^a-z0-9]'))
     QUALIFY row_number() OVER (PARTITION BY i.job_id, 2, """ + q.normalize_skill("x") + r""" ORDER BY place) = 1""")
 
 
-@query("reply_items", REPLY_ITEMS)
+@query("reply_items", f"SELECT job_id, skill_type, skill FROM ({REPLY_ITEMS})")
 def reply_items(t):
     return rs.reply_items(_replies(t)).select("job_id", "skill_type", "skill")
 
@@ -252,36 +253,37 @@ def _resolved(t):
     return skills, rs.resolve_replies(_replies(t), skills, variants(t))
 
 
-# new skills are stored once per key and type, under the shortest name
+# the name that a spelling would be stored by, in the order of the jobs, categories and lists
 RESOLVED = f"""SELECT *, {q.normalize_skill('own')} AS key FROM (SELECT *, coalesce(
             (SELECT v FROM fixes WHERE k = lower(trim(m.skill))),
             (SELECT canonical FROM idx WHERE idx.norm = m.norm AND category = m.skill_type),
-            (SELECT arg_min(canonical, r) FROM idx WHERE idx.norm = m.norm), m.norm) AS own FROM matched m)"""
-ADDED = """SELECT key, final_type, arg_min(own, (length(own), own)) AS name FROM keyed
-        WHERE action = 'insert_new' AND final_type IS NOT NULL GROUP BY key, final_type"""
+            (SELECT arg_min(canonical, r) FROM idx WHERE idx.norm = m.norm), m.norm) AS own,
+            (SELECT a.ord FROM asked a WHERE a.skill = m.skill AND a.skill_type = m.skill_type) AS ord FROM matched m)"""
+ASKED = f"""SELECT skill, skill_type, min({{'j': job_id, 'c': list_position({list(rs.CATEGORIES)}, skill_type), 'p': place}}) AS ord
+        FROM asked_items GROUP BY skill, skill_type"""
 _REPLY_STEPS = dict(
     **STEPS,
     known=rf"""SELECT name, min(item_id * 100000 + place) AS id, {q.normalize_skill('name')} AS normalized_name
         FROM (SELECT item_id, unnest(w) AS name, generate_subscripts(w, 1) - 1 AS place
               FROM (SELECT item_id, regexp_extract_all(lower(text), '{q.WORD}+') AS w FROM benchmark)) GROUP BY name""",
     items=REPLY_ITEMS,
-    asked_items=f"""SELECT job_id, skill_type, coalesce((SELECT v FROM fixes WHERE k = lower(trim(i.skill))),
+    asked_items=f"""SELECT job_id, skill_type, place, coalesce((SELECT v FROM fixes WHERE k = lower(trim(i.skill))),
             (SELECT canonical FROM idx WHERE norm = i.norm AND category = i.skill_type),
             (SELECT arg_min(canonical, r) FROM idx WHERE norm = i.norm), i.skill) AS skill
         FROM (SELECT *, {q.normalize_skill('skill')} AS norm FROM items) i""",
-    asked="SELECT DISTINCT skill, skill_type FROM asked_items",
+    asked=ASKED,
     **ms.CASCADE,
-    keyed=RESOLVED, added=ADDED,
+    keyed=RESOLVED, **ms.LEADERS,
     same="SELECT normalized_name AS key, arg_min(name, id) AS name FROM known GROUP BY normalized_name",
 )
 
 
 @query("resolve_links", with_roles("""
     SELECT DISTINCT i.job_id, coalesce(k.matched_skill, s.name, a.name) AS name,
-           CASE WHEN k.matched_skill IS NOT NULL THEN 'tech_stack' ELSE k.final_type END AS skill_type
+           CASE WHEN k.matched_skill IS NOT NULL THEN 'tech_stack' ELSE a.skill_type END AS skill_type
     FROM asked_items i JOIN keyed k ON k.skill = i.skill AND k.skill_type = i.skill_type
-    LEFT JOIN added a ON k.action = 'insert_new' AND a.key = k.key AND a.final_type = k.final_type
-    LEFT JOIN same s ON k.action = 'insert_new' AND k.final_type = 'tech_stack' AND s.key = k.key
+    LEFT JOIN added a ON k.action = 'insert_new' AND k.final_type IS NOT NULL AND a.key = k.key
+    LEFT JOIN same s ON a.skill_type = 'tech_stack' AND s.key = a.leader
     WHERE coalesce(k.matched_skill, s.name, a.name) IS NOT NULL""", **_REPLY_STEPS))
 def resolve_links(t):
     """The skills each job is linked to, by name, after resolving every reply against the known words."""

@@ -6,7 +6,7 @@ from skillweft import dictionaries as d
 from skillweft.plans import matchsql as ms
 from skillweft.plans import sqltext as q
 from skillweft.plans.registry import query
-from skillweft.plans.resolution import ADDED, RESOLVED, STEPS
+from skillweft.plans.resolution import ASKED, RESOLVED, STEPS
 from skillweft.plans.texts import KEYWORDS
 from skillweft.plans.writes import CARDS, run_events
 from skillweft.roles import with_roles
@@ -213,16 +213,16 @@ _CHAIN = dict(
             (SELECT max(employee_size) FROM companies x WHERE coalesce(x.company, '') = c.company) AS employee_size
         FROM (SELECT *, {q.clean_title('job_title')} AS title_clean FROM c) c
         WHERE {q.any_in('lower(title_clean)', d.ROLE_TERMS)} AND NOT {q.any_in('lower(title_clean)', d.ROLE_EXCLUSIONS)}""",
-    items=f"""SELECT f.link AS job_id, 'tech_stack' AS skill_type, s.name AS skill, {q.normalize_skill('s.name')} AS norm
+    items=f"""SELECT f.link AS job_id, 'tech_stack' AS skill_type, 0 AS place, s.name AS skill, {q.normalize_skill('s.name')} AS norm
         FROM fresh f JOIN (SELECT job_id, min(skill_id) AS skill_id FROM job_skills GROUP BY job_id) n ON n.job_id = f.id
         JOIN skills s ON s.id = n.skill_id""",
-    asked_items="""SELECT job_id, skill_type, coalesce((SELECT v FROM fixes WHERE k = lower(trim(i.skill))),
+    asked_items="""SELECT job_id, skill_type, place, coalesce((SELECT v FROM fixes WHERE k = lower(trim(i.skill))),
             (SELECT canonical FROM idx WHERE idx.norm = i.norm AND category = i.skill_type),
             (SELECT arg_min(canonical, r) FROM idx WHERE idx.norm = i.norm), i.skill) AS skill FROM items i""",
-    asked="SELECT DISTINCT skill, skill_type FROM asked_items",
+    asked=ASKED,
     known="SELECT id, name, normalized_name, skill_type FROM skills",
     **ms.CASCADE,
-    keyed=RESOLVED, added=ADDED,
+    keyed=RESOLVED, **ms.LEADERS,
     same="SELECT normalized_name AS key, skill_type, arg_min(name, id) AS name FROM known GROUP BY ALL",
 )
 
@@ -232,8 +232,8 @@ _CHAIN = dict(
     FROM fresh f LEFT JOIN (
         SELECT DISTINCT i.job_id AS link, coalesce(k.matched_skill, s.name, a.name) AS skill
         FROM asked_items i JOIN keyed k ON k.skill = i.skill AND k.skill_type = i.skill_type
-        LEFT JOIN added a ON k.action = 'insert_new' AND a.key = k.key AND a.final_type = k.final_type
-        LEFT JOIN same s ON k.action = 'insert_new' AND s.key = k.key AND s.skill_type = k.final_type
+        LEFT JOIN added a ON k.action = 'insert_new' AND k.final_type IS NOT NULL AND a.key = k.key
+        LEFT JOIN same s ON s.key = a.leader AND s.skill_type = a.skill_type
         WHERE coalesce(k.matched_skill, s.name, a.name) IS NOT NULL) l USING (link)""",
     "jobs", "companies", "skills", "job_skills", **_CHAIN))
 def stream_ingest_chain(t):
