@@ -245,14 +245,20 @@ def propagate_sizes(t):
     return co.propagate_sizes(t.jobs, found).select("id", "employee_size")
 
 
-@query("fill_urls", with_roles("""
+FILL_URLS = with_roles("""
     SELECT id, CASE WHEN company_url IS NULL AND company NOT IN ('', 'N/A')
         THEN 'https://www.linkedin.com/company/' || lower(replace(company, ' ', '-')) || '/' ELSE company_url END AS company_url
-    FROM jobs""", "jobs"))
-def fill_urls(t):
-    todo = co.url_work_list(t.jobs).select("company", F.concat(
+    FROM jobs""", "jobs")
+
+
+def found_urls(t):
+    return co.url_work_list(t.jobs).select("company", F.concat(
         F.lit(d.COMPANY_URL_PREFIX), cf.slugify(F.col("company")), F.lit("/")).alias("company_url"))
-    return co.fill_urls(t.jobs, todo).select("id", "company_url")
+
+
+@query("fill_urls", FILL_URLS)
+def fill_urls(t):
+    return co.fill_urls(t.jobs, found_urls(t)).select("id", "company_url")
 
 
 _HIT = """SELECT arg_min(company, id) AS c, arg_min(coalesce(company_url, '?'), id) AS u FROM jobs

@@ -3,17 +3,20 @@
 from pyspark.sql import functions as F
 
 from skillweft import dictionaries as d
+from skillweft.operators import companies as co
 from skillweft.operators import ingest as ig
 from skillweft.operators import quality as ql
 from skillweft.operators import rewrite as rw
 from skillweft.operators.lookups import unprocessed_jobs
 from skillweft.plans import sqltext as q
+from skillweft.plans.companies import FILL_URLS, found_urls
 from skillweft.plans.registry import query
 from skillweft.plans.texts import KEYWORDS, keyword_table
 from skillweft.roles import with_roles
 from skillweft.session import fresh_folder
 from skillweft.sources import readers as rd
 from skillweft.sources import writers as wr
+from skillweft.sources.folders import KeyedFolders
 
 
 def finished_links(t):
@@ -54,7 +57,7 @@ def _incoming(t):
     )
 
 
-@query("upsert", with_roles("""
+_UPSERT = with_roles("""
     SELECT coalesce(o.company_name, n.company_name) AS company_name,
            CASE WHEN o.company_name IS NULL THEN n.employee_size
                 WHEN coalesce(n.employee_size, '') <> '' THEN n.employee_size ELSE o.employee_size END AS employee_size,
@@ -64,18 +67,40 @@ def _incoming(t):
         CASE WHEN c_acctbal > 5000 THEN '501-1000' ELSE '' END AS employee_size,
         CASE WHEN c_nationkey % 3 = 0 AND NOT coalesce(c_nationkey > 3 AND lower(c_mktsegment) > 'later', false) THEN 'later'
              WHEN c_nationkey > 3 THEN lower(c_mktsegment) END AS linkedin_slug, 'fetched' AS source
-        FROM customer WHERE c_acctbal > 0) n ON n.company_name = o.company_name""", "company_enrichment"))
+        FROM customer WHERE c_acctbal > 0) n ON n.company_name = o.company_name""", "company_enrichment")
+
+
+def _upsert(table, incoming):
+    return rw.upsert(table, incoming, "company_name", ["linkedin_slug", "source"], ["employee_size"])
+
+
+@query("upsert", _UPSERT)
 def upsert(t):
-    return rw.upsert(t.company_enrichment, _incoming(t), "company_name", ["linkedin_slug", "source"], ["employee_size"])
+    return _upsert(t.company_enrichment, _incoming(t))
+
+
+def in_place(t, table, key, incoming, rewrite):
+    """The table dealt into folders, changed there, and read again."""
+    stored = KeyedFolders.create(table, fresh_folder(t.spark, "keyed"), key, folders=16)
+    stored.change(incoming, rewrite)
+    return stored.read()
+
 
+@query("keyed_upsert", _UPSERT)
+def keyed_upsert(t):
+    return in_place(t, t.company_enrichment, "company_name", _incoming(t), _upsert)
 
-@query("upsert_analysis", with_roles("""
+
+_UPSERT_ANALYSIS = with_roles("""
     SELECT p.id AS job_id, p.job_title, CASE WHEN p.status = 'pending' THEN 'Bandung' ELSE a.location END AS location,
            CASE WHEN p.status = 'pending' THEN p.keyword ELSE a.tech_stack END AS tech_stack
     FROM postings p LEFT JOIN (SELECT job_id, arg_min(location, id) AS location, arg_min(tech_stack, id) AS tech_stack
                                FROM job_analysis WHERE year(posted_date) < 1998 GROUP BY job_id) a ON a.job_id = p.id
-    WHERE p.status = 'pending' OR a.job_id IS NOT NULL""", "postings", "job_analysis"))
-def upsert_analysis(t):
+    WHERE p.status = 'pending' OR a.job_id IS NOT NULL""", "postings", "job_analysis")
+
+
+def _analysis(t):
+    """Stored and fresh rows."""
     stored = t.job_analysis.filter(F.year("posted_date") < 1998).groupBy("job_id").agg(
         F.first("job_title").alias("job_title"), F.min_by("location", "id").alias("location"),
         F.min_by("tech_stack", "id").alias("tech_stack"),
@@ -83,20 +108,50 @@ def upsert_analysis(t):
     fresh = t.postings.filter(F.col("status") == "pending").select(
         F.col("id").alias("job_id"), "job_title", F.lit("Bandung").alias("location"), F.col("keyword").alias("tech_stack")
     )
-    return rw.upsert_analysis(stored, fresh)
+    return stored, fresh
+
+
+@query("upsert_analysis", _UPSERT_ANALYSIS)
+def upsert_analysis(t):
+    return rw.upsert_analysis(*_analysis(t))
+
 
+@query("keyed_upsert_analysis", _UPSERT_ANALYSIS)
+def keyed_upsert_analysis(t):
+    stored, fresh = _analysis(t)
+    return in_place(t, stored, "job_id", fresh, rw.upsert_analysis)
 
-@query("partial_update", with_roles("""
+
+_PARTIAL_UPDATE = with_roles("""
     SELECT j.id, j.job_title, coalesce(x.company, j.company) AS company, coalesce(x.location, j.location) AS location
     FROM jobs j LEFT JOIN (SELECT s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN s_name END AS company,
-        CASE WHEN s_nationkey > 9 THEN 'Cimahi' ELSE 'Bogor' END AS location FROM supplier) x ON x.id = j.id""", "jobs"))
-def partial_update(t):
+        CASE WHEN s_nationkey > 9 THEN 'Cimahi' ELSE 'Bogor' END AS location FROM supplier) x ON x.id = j.id""", "jobs")
+
+
+def _patches(t):
     """Two patches per job: one with the company, both with a place."""
     rows = t.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name"), "s_acctbal", "s_nationkey")
     patches = rows.select(
         "id", F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("company"), F.lit("Bogor").alias("location")
     ).union(rows.select("id", F.lit(None).cast("string"), F.when(F.col("s_nationkey") > 9, "Cimahi")))
-    return rw.patch(t.jobs.select("id", "job_title", "company", "location"), patches, "id")
+    return t.jobs.select("id", "job_title", "company", "location"), patches
+
+
+@query("partial_update", _PARTIAL_UPDATE)
+def partial_update(t):
+    return rw.patch(*_patches(t), "id")
+
+
+@query("keyed_partial_update", _PARTIAL_UPDATE)
+def keyed_partial_update(t):
+    stored, patches = _patches(t)
+    return in_place(t, stored, "id", patches, lambda rows, incoming: rw.patch(rows, incoming, "id"))
+
+
+@query("keyed_fill_urls", FILL_URLS)
+def keyed_fill_urls(t):
+    stored = t.jobs.select("id", "company", "company_url")
+    return in_place(t, stored, "company", found_urls(t), co.fill_urls).select("id", "company_url")
 
 
 _CASCADE = {
