@@ -221,18 +221,56 @@ def contamination_case():
     return rows, items
 
 
-@pytest.mark.parametrize("shard_bytes", [32_000_000, 150])
-def test_decontamination_equals_brute_force(spark, shard_bytes):
+@pytest.mark.parametrize("shard_nodes", [2_000_000, 120])
+def test_decontamination_equals_brute_force(spark, shard_nodes):
     rows, items = contamination_case()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    found = decontamination.find_contamination(docs_of(spark, rows), bench, 10, shard_bytes).collect()
+    found = decontamination.find_contamination(docs_of(spark, rows), bench, 10, shard_nodes).collect()
     assert {r["doc_id"]: (r["n_words"], r["hit_words"], r["items"]) for r in found} == brute_hits(rows, items, 10)
     texts = dict(rows)
-    if shard_bytes > 1000:
-        for r in found:
-            marked = [w for s in r["spans"] for w in decontamination.words_of(texts[r["doc_id"]][s["start"] : s["end"]])]
-            words = decontamination.words_of(texts[r["doc_id"]])
-            assert marked == [words[i] for i in r["hit_words"]]
+    for r in found:
+        marked = [w for s in r["spans"] for w in decontamination.words_of(texts[r["doc_id"]][s["start"] : s["end"]])]
+        words = decontamination.words_of(texts[r["doc_id"]])
+        assert marked == [words[i] for i in r["hit_words"]]
+        assert all(a["end"] < b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
+
+
+def test_decontamination_rows_do_not_depend_on_shards(spark):
+    rows = [(1, "w1 w2 and more"), (1, "nothing"), (None, "w1, w2"), (None, None), (2, "w1 w2 w3 w4")]
+    items = [(1, "w1 w2"), (2, "w2 w3"), (3, "w3 w4 w5"), (4, "w2 w3 w4")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = [
+        sorted(map(repr, decontamination.find_contamination(docs_of(spark, rows), bench, 10, nodes).collect()))
+        for nodes in (2_000_000, 7, 1)
+    ]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 5
+
+
+def test_long_items_are_cut_without_losing_a_window(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(3000)}" for _ in range(2600)]
+    items = [(1, " ".join(words)), (2, "w1"), (3, "")]
+    pieces = decontamination.item_pieces(spark.createDataFrame(items, "item_id bigint, text string"), 10, 100)
+    got = [(r["item_id"], r["words"].split()) for r in pieces.collect()]
+    windows = sorted(tuple(w[i : i + 10]) for item, w in got if item == 1 for i in range(len(w) - 9))
+    assert windows == sorted(tuple(words[i : i + 10]) for i in range(2591)) and (2, ["w1"]) in got
+    assert max(r["nodes"] for r in pieces.collect()) <= 1000
+    rows = [(i, " ".join(words[k : k + 10])) for i, k in enumerate((0, 95, 1289, 2590))]
+    found = decontamination.find_contamination(docs_of(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert all(1 in r["items"] and r["hit_words"] == list(range(10)) for r in found.collect())
+
+
+def test_an_automaton_near_the_bound_stays_small():
+    """Two million nodes of random words stay far below an executor's memory."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    rng = random.Random(7)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    built = decontamination.WindowAutomaton([(1, text)], 10)
+    assert len(built.sizes) == 199_991
+    assert built.scan("x " + text[: 100 * 8])[1] == [1]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000  # KB
 
 
 def test_drop_contaminated(spark):
