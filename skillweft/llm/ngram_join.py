@@ -244,26 +244,31 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return sorted_rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _inside_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one component that share a prefix n-gram and pass the filters."""
-    held = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
-        "token", "component", F.ceil(F.col("rows") / F.lit(_BLOCK_ROWS)).alias("salts")
-    )
-    rows = placed.join(stored(held, "ngram-centres"), ["token", "component"]).select(
-        "token", "component", "doc", "n", "pos", "salts", F.pmod(F.xxhash64("doc"), F.col("salts")).alias("salt")
+def _met_pairs(rows: DataFrame, keys: list[str], percent: int, within: bool) -> DataFrame:
+    """Pairs (a, b) that share the keys and pass the filters; of one component only, or of different ones.
+
+    ``rows`` has the keys, ``doc``, ``n``, ``pos`` and ``component``.  A key with many rows is dealt
+    into blocks that meet two by two.
+    """
+    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
+        *keys, F.ceil(F.col("rows") / F.lit(_BLOCK_ROWS)).alias("salts")
     )
+    rows = rows.join(stored(held, "ngram-held"), keys).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")))
     # a row meets every salt: as the lower one on the left, as the higher one on the right
     others = F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)
+    columns = ("doc", "n", "pos", "component")
     left = rows.select(
-        "token", "component", F.col("salt").alias("low"), F.explode(F.filter(others, lambda o: o >= F.col("salt"))).alias("high"),
-        *[F.col(c).alias(f"l_{c}") for c in ("doc", "n", "pos")],
+        *keys, F.col("salt").alias("low"), F.explode(F.filter(others, lambda o: o >= F.col("salt"))).alias("high"),
+        *[F.col(c).alias(f"l_{c}") for c in columns],
     )
     right = rows.select(
-        "token", "component", F.explode(F.filter(others, lambda o: o <= F.col("salt"))).alias("low"), F.col("salt").alias("high"),
-        *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "pos")],
+        *keys, F.explode(F.filter(others, lambda o: o <= F.col("salt"))).alias("low"), F.col("salt").alias("high"),
+        *[F.col(c).alias(f"r_{c}") for c in columns],
     )
-    met = left.join(right, ["token", "component", "low", "high"])
-    met = met.filter((F.col("low") < F.col("high")) | (F.col("l_doc") < F.col("r_doc"))).filter(_passes("l_", "r_", percent))
+    met = left.join(right, [*keys, "low", "high"])
+    alike = F.col("l_component") == F.col("r_component")
+    met = met.filter((F.col("low") < F.col("high")) | (F.col("l_doc") < F.col("r_doc"))).filter(
+        (alike if within else ~alike) & _passes("l_", "r_", percent))
     return met.select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
 
 
@@ -316,12 +321,7 @@ def similarity_classes(
     open_rows = placed.join(split, "token", "left_semi").filter("doc <> c_doc").select(
         "token", "doc", "n", "pos", "component"
     )
-    left = open_rows.select("token", *[F.col(c).alias(f"l_{c}") for c in ("doc", "n", "pos", "component")])
-    right = open_rows.select("token", *[F.col(c).alias(f"r_{c}") for c in ("doc", "n", "pos", "component")])
-    rest = left.join(
-        right,
-        (left["token"] == right["token"]) & (F.col("l_component") < F.col("r_component")) & _passes("l_", "r_", percent),
-    ).select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
+    rest = _met_pairs(open_rows, ["token"], percent, within=False)
     rest = rest.join(  # verified already
         first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
     )
@@ -344,7 +344,8 @@ def similarity_classes(
         )
     # pairs inside the components of the first links; the others are in ``rest``
     compared = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    inside = _inside_pairs(placed, percent).join(compared, ["a", "b"], "left_anti")
+    own = placed.withColumn("group", F.col("component"))
+    inside = _met_pairs(own, ["token", "group"], percent, within=True).join(compared, ["a", "b"], "left_anti")
     inside = stored(_suffix_filter(inside, classes, percent), "ngram-pairs")
     within = stored(_verify(inside, docs, words, percent).distinct(), "ngram-links")
     degree = links.union(more).union(within).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(

@@ -43,9 +43,7 @@ def op3(spark, folder):
 
 @query("op4_ngram_jaccard_join", sqltext.NGRAM_JOIN)
 def op4(spark, folder):
-    # the SQL has no number of links, so they are not all verified for it
-    found = ngram_join.similarity_classes(table(spark, folder, "documents"), words=3, percent=90, all_links=False)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return ngram_join.similarity_classes(table(spark, folder, "documents"), words=3, percent=90)
 
 
 @query("op5_license_scans", sqltext.LICENSES)

@@ -87,9 +87,15 @@ WITH RECURSIVE d AS (
   UNION SELECT r.node, e.b FROM reach r JOIN edge e ON r.seen = e.a
 ), root AS (
   SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+), class AS (
+  SELECT doc_id, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(g)) END AS class_id FROM s
+), degree AS (
+  SELECT x.class_id, count(DISTINCT y.class_id) AS n_links FROM edge
+  JOIN class x ON x.doc_id = edge.a JOIN class y ON y.doc_id = edge.b WHERE x.class_id <> y.class_id GROUP BY x.class_id
 )
-SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
-FROM s LEFT JOIN root ON root.node = s.doc_id
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links,
+  coalesce(component_id, doc_id) AS component_id
+FROM s JOIN class USING (doc_id) LEFT JOIN degree USING (class_id) LEFT JOIN root ON root.node = s.doc_id
 """
 
 SUBSTRINGS = rf"""

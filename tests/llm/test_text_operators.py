@@ -93,9 +93,10 @@ def test_ngram_join_chain_and_rows_without_centre(spark):
     assert set(got.values()) == {0}
 
 
-@pytest.mark.parametrize("block_rows", [500, 7])
-def test_ngram_links_are_all_counted(spark, monkeypatch, block_rows):
+@pytest.mark.parametrize("block_rows,sent_rows", [(500, 1_000_000), (7, 0)])
+def test_ngram_links_are_all_counted(spark, monkeypatch, block_rows, sent_rows):
     monkeypatch.setattr(ngram_join, "_BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngram_join, "_SENT_ROWS", sent_rows)
     rng = random.Random(8)
     words = [f"t{i}" for i in range(120)]
     rows = [(i, " ".join(words[:k] + [f"own{i}"] + words[k + 1 :])) for i, k in enumerate(rng.choices(range(120), k=40))]
