@@ -1,7 +1,8 @@
 """Joins on 'the text contains the phrase' without comparing every pair.
 
-Every phrase is joined on one anchor that the text must contain: a three-letter
-piece for plain containment, a word for whole-word phrases.  The anchor is the
+Whole-word phrases are joined on the stretch of words itself.  Otherwise every phrase is
+joined on one anchor that the text must contain: a three-letter piece for plain
+containment, a word for phrases with other characters at an end.  The anchor is the
 one that the fewest texts have, so frequent words do not create hot keys as long
 as a phrase has any rarer part.  The full condition is then tested on the
 surviving pairs only.
@@ -65,12 +66,48 @@ def contained_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return pairs.filter(F.contains(F.col("text"), F.col("phrase")))
 
 
+_WORD = r"(?U)\w+"
+
+
+def word_runs(text: Column, length: int) -> Column:
+    """Distinct stretches of ``length`` consecutive words with what stands between them."""
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    if length == 1:
+        return F.array_distinct(words)
+    gaps = F.split(text, _WORD)
+
+    def run(at: Column) -> Column:
+        parts = [F.get(words, at)]
+        for k in range(1, length):
+            parts += [F.get(gaps, at + k), F.get(words, at + k)]
+        return F.concat(*parts)
+
+    starts = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length))
+    return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")), run))
+
+
 def whole_word_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(text, phrase): the phrase occurs in the text between word boundaries."""
+    """(text, phrase): the phrase occurs in the text between word boundaries.
+
+    A phrase that begins and ends with a word is a stretch of as many words of the text, so
+    both meet on the stretch itself; only lengths that phrases have are cut out.  Phrases
+    with other characters at an end are anchored on a word and tested.
+    """
     texts, phrases = texts.select("text").distinct(), phrases.select("phrase").distinct()
-    pairs = _anchored(texts, words_of(F.col("text")), phrases, words_of(F.col("phrase")))
-    pattern = F.concat(F.lit(r"(?U)\b\Q"), "phrase", F.lit(r"\E\b"))
-    return pairs.filter(F.contains(F.col("text"), F.col("phrase")) & F.rlike(F.col("text"), pattern))
+    plain = F.rlike("phrase", F.lit(r"(?Us)\A\w(.*\w)?\z"))
+    counted = phrases.filter(plain).withColumn("words", F.regexp_count("phrase", F.lit(_WORD)))
+    lengths = sorted(r[0] for r in counted.select("words").distinct().collect())  # a handful of numbers
+    found = _anchored(texts, words_of(F.col("text")), phrases.filter(~plain), words_of(F.col("phrase"))).filter(
+        F.contains(F.col("text"), F.col("phrase"))
+        & F.rlike(F.col("text"), F.concat(F.lit(r"(?U)\b\Q"), "phrase", F.lit(r"\E\b")))
+    )
+    if not lengths:
+        return found
+    # two hashes stand for a text while its stretches are shuffled
+    named = texts.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.reverse("text"), F.length("text"))})
+    runs = F.concat(*[word_runs(F.col("text"), n) for n in lengths])
+    met = named.select("t1", "t2", F.explode(runs).alias("phrase")).join(counted.select("phrase"), "phrase")
+    return met.join(named, ["t1", "t2"]).select("text", "phrase").union(found)
 
 
 def longest_phrase(pairs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillweft.dictionaries import SKILL_TYPES
-from skillweft.sources.readers import read_table, spread
+from skillweft.sources.readers import read_table, spread_scan
 
 SQL = {
     "skill_types": """
@@ -131,10 +131,10 @@ class Roles:
         return read_table(self.spark, self.folder, name)
 
     def texts(self, name: str) -> DataFrame:
-        """A table whose rows are costly to work on, dealt out by its first column."""
+        """A table whose rows are costly to work on, in as many parts as there are cores at least."""
         df = self.table(name)
         keys = ["conv_id", "turn"] if name == "conversations" else df.columns[:1]
-        return spread(df, *keys)
+        return spread_scan(df, *keys)
 
     @cached_property
     def skill_types(self) -> DataFrame:

@@ -20,6 +20,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a batch may hold whole pages
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
     # checkpoints go with the DataFrame that they belong to
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass": (

@@ -13,12 +13,22 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows out by a key.
 
-    For work that costs far more per row than moving it (parsing pages, scoring texts),
-    where files may have any number of rows per split.
+    For narrow rows that costly work starts from (building or scoring texts), where files may
+    have any number of rows per split.
     """
     return df.repartition(*keys)
 
 
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan of wide rows, dealt out only if it has fewer splits than the cluster has cores.
+
+    ``spark.sql.files.maxPartitionBytes`` sets the size of splits; a table of any size is read
+    in place, and only files of one or two row groups are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else spread(df, *keys)
+
+
 def read_jdbc_table(
     spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options
 ) -> DataFrame:

@@ -1,5 +1,8 @@
 """Title, skill, reply and size expressions on small inputs."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from skillweft.functions import sizes as sz
 from skillweft.functions import skills as sk
 from skillweft.functions import text as tx
 from skillweft.functions import titles as ti
+from skillweft.operators.containment import whole_word_phrases
 
 
 def apply(spark, values, expression, kind="string"):
@@ -118,3 +122,38 @@ def test_small_texts(spark):
     assert apply(spark, ["toli-toli utara", "DKI JAKARTA"], tx.title_case) == ["Toli-Toli Utara", "Dki Jakarta"]
     assert apply(spark, ["Bogor (12)", "Bogor (x)"], tx.strip_count) == ["Bogor", "Bogor (x)"]
     assert apply(spark, [45.0, 200.0, 7500.0], tx.format_duration, "double") == ["45s", "3m 20s", "2h 5m"]
+
+
+def test_whole_word_phrases_equal_a_regex_per_pair(spark):
+    """Every pair tested with the boundaries as written: inner gaps, odd ends, letters of other scripts, repeats."""
+    rng = random.Random(9)
+    words = ["data", "big", "c", "é", "Kota", "x1", "日本", "data_x", "a"]
+    gaps = [" ", "  ", "-", ", ", "\n", "+", "."]
+    text = lambda n: "".join(rng.choice(words) + rng.choice(gaps) for _ in range(n))
+    texts = [text(rng.randrange(12)) for _ in range(80)] + ["", " ", "c++", "c++ and c", "...", None]
+    phrases = [text(rng.randrange(1, 4))[: rng.choice([None, -1])] for _ in range(150)] + ["c++", "data", "big data", "", "+", "kota"]
+    got = whole_word_phrases(
+        spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    want = {
+        (t, p) for t in texts if t is not None for p in phrases
+        if re.search(rf"\b{re.escape(p)}\b", t) and re.search(r"\w", p)
+    }
+    rows = [(r.text, r.phrase) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 100
+
+
+def test_wide_rows_are_read_in_place_where_there_are_splits_enough(spark, tmp_path):
+    from skillweft.sources.readers import spread_scan
+
+    cores = spark.sparkContext.defaultParallelism
+    for files, moved in ((cores, False), (1, True)):
+        path = str(tmp_path / str(files))
+        spark.range(100).withColumn("html", F.lit("x")).repartition(files).write.parquet(path)
+        key = "spark.sql.files.openCostInBytes"
+        before = spark.conf.get(key)
+        spark.conf.set(key, spark.conf.get("spark.sql.files.maxPartitionBytes"))  # a split for every file
+        try:
+            plan = spread_scan(spark.read.parquet(path), "id")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set(key, before)
+        assert ("Exchange" in plan) == moved
