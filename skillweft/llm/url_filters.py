@@ -3,9 +3,12 @@
 A url's path is a list of segments.  Segments that look variable (numbers, long codes)
 become wildcards, and so does a segment where its parent has so many different children
 that none of them is typical.  What remains is a tree of templates per host, whose
-leaves count labelled urls (allowed and blocked).  Of sibling branches that differ in one
-segment, those with labels are taken in the order of their blocked share and merged with
-the ones before as long as a two-proportion test, corrected for the number of siblings,
+leaves count labelled urls (allowed and blocked).  The tree is generalised from the top
+down: what a level has joined under a wildcard is one parent for the next.
+
+Of sibling branches that differ in one segment, those with labels are put into
+``SHARES`` groups by their blocked share; the groups are taken in order and merged with the
+ones before as long as a two-proportion test, corrected for the number of groups,
 finds them alike; a branch without labels is left to its prior.  A
 template is rejected when its smoothed share of blocked labels,
 
@@ -19,11 +22,11 @@ every path that starts with its path; the rule with the longest host and path wi
 equally long ones the one with the longer host.  Urls with a rule are judged by it, all
 others by their template.
 
-Every step is a grouping of (host, template) or (host, parent, segment) rows with
-partial sums, so a host with a third of all urls is one row per task in the shuffles.
-Siblings meet in one row; they are few, since rare children of a parent are a wildcard.
+Every step is a grouping of (host, template), (host, parent, segment) or (host, branch,
+share group) rows with partial sums, so a host with a third of all urls is one row per
+task in the shuffles, and siblings meet as ``SHARES`` sums at most, however many there are.
 All segments of a path enter the tree; where ``depth`` is given, paths deeper than that
-end in one wildcard for the rest.
+end in one wildcard for the rest.  Levels at which no host has many segments need no step.
 
 Cases: a null url, or one without ``://``, has an empty host and path and the template
 of the empty path; without labels the prior is one half and nothing is rejected;
@@ -38,6 +41,7 @@ from skillweft.llm.components import stored
 
 REST = "**"
 ANY = "*"
+SHARES = 64
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -93,27 +97,32 @@ def templates(
     tail = none if depth is None else F.when(F.size(parts) > depth, F.array(F.lit(REST))).otherwise(none)
     slash = F.when(F.endswith("path", F.lit("/")), F.array(F.lit(""))).otherwise(none)
     rows = urls.withColumn("shape", F.concat(shaped, tail, slash))
-    shapes = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
-    nodes = shapes.select("host", "shape", "n", F.posexplode("shape").alias("level", "segment")).withColumn(
-        "parent", F.slice("shape", F.lit(1), F.col("level"))
-    )
-    children = nodes.groupBy("host", "parent", "segment").agg(F.sum("n").alias("n"))
-    parents = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
-    rare = children.join(parents, ["host", "parent"]).filter(
-        (F.col("kinds") > rare_children) & (F.col("n") < typical * F.col("total")) & (~F.startswith("segment", F.lit(ANY)))
-    ).select("host", "parent", "segment", F.lit(True).alias("rare"))
-    general = nodes.join(rare, ["host", "parent", "segment"], "left").groupBy("host", "shape").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("level", F.when(F.col("rare"), ANY).otherwise(F.col("segment")).alias("s")))),
-            lambda x: x["s"],
-        ).alias("template")  # as many entries as a path has levels
-    )
-    general = stored(general, "url-templates")  # a join of two plain tables can split hot hosts
+    shapes = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")).withColumn("template", F.col("shape"))
+    shapes = stored(shapes, "url-shapes")
+    kinds = shapes.select("host", F.posexplode("shape").alias("level", "segment")).distinct().groupBy("host", "level").count()
+    busy = kinds.filter(F.col("count") > rare_children).select("level").distinct().orderBy("level")
+    for level in [r[0] for r in busy.collect()]:  # as many as paths have levels
+        shapes = stored(_generalised(shapes, level, rare_children, typical), "url-shapes")
+    general = shapes.select("host", "shape", "template")  # a join of two plain tables can split hot hosts
     return rows.join(general, ["host", "shape"], "left").withColumn(
         "template", F.coalesce("template", "shape")
     ).drop("shape")
 
 
+def _generalised(shapes: DataFrame, level: int, rare_children: int, typical: float) -> DataFrame:
+    """``shapes`` with wildcards at one level, under the parents as they are generalised so far."""
+    at = F.get("template", F.lit(level))
+    nodes = shapes.withColumn("parent", F.slice("template", F.lit(1), F.lit(level))).withColumn("segment", at)
+    children = nodes.filter("segment is not null").groupBy("host", "parent", "segment").agg(F.sum("n").alias("count"))
+    parents = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("total"))
+    rare = children.join(parents.filter(F.col("kinds") > rare_children), ["host", "parent"]).filter(
+        (F.col("count") < typical * F.col("total")) & ~F.startswith("segment", F.lit(ANY)) & (F.col("segment") != "")
+    ).select("host", "parent", "segment", F.lit(True).alias("rare"))
+    template = F.transform(
+        "template", lambda s, i: F.when((i == level) & F.coalesce("rare", F.lit(False)), ANY).otherwise(s))
+    return nodes.join(rare, ["host", "parent", "segment"], "left").select("host", "shape", "n", template.alias("template"))
+
+
 def judge_templates(
     rows: DataFrame, strength: float = 2.0, alike: float = 1.96, min_labels: int = 5
 ) -> DataFrame:
@@ -130,12 +139,20 @@ def judge_templates(
     seen = seen.filter("segment is not null and segment <> ''").withColumn(
         "branch", F.transform("template", lambda s, i: F.when(i == F.col("at"), ANY).otherwise(s))
     )
-    one = F.struct((F.col("bad") / F.col("labelled")).alias("share"), "segment", "bad", "labelled", "template")
-    sets = seen.groupBy("host", "branch", "at").agg(
-        F.array_sort(F.collect_list(F.when(F.col("labelled") > 0, one))).alias("known"), F.count(F.lit(1)).alias("siblings")
-    ).filter("size(known) > 1")
+    share = F.col("bad") / F.col("labelled")
+    place = ["host", "branch", "at"]
+    siblings = seen.groupBy(*place).agg(F.count(F.lit(1)).alias("siblings"))
+    known = seen.filter("labelled > 0").withColumn("low", F.floor(share * (SHARES - 1)))
+    sums = known.groupBy(*place, "low").agg(
+        F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.count(F.lit(1)).alias("members"),
+        F.min("segment").alias("first"), F.max("segment").alias("last"),
+    ).withColumn("high", F.col("low"))
+    parts = ("low", "high", "bad", "labelled", "members", "first", "last")
+    sets = sums.groupBy(*place).agg(
+        F.array_sort(F.collect_list(F.struct(*parts))).alias("known"), F.sum("members").alias("members")  # SHARES at most
+    ).filter("members > 1")
     # by the bound on normal tails, this many tests together err as rarely as one at ``alike``
-    sets = sets.withColumn("limit", F.sqrt(F.lit(alike**2) + 2 * F.log(F.size("known") - 1)))
+    sets = sets.withColumn("limit", F.sqrt(F.lit(alike**2) + 2 * F.log(F.greatest(F.size("known") - 1, F.lit(1)))))
 
     def differs(group: Column, sibling: Column) -> Column:
         both = group["labelled"] + sibling["labelled"]
@@ -145,38 +162,31 @@ def judge_templates(
 
     def add(groups: Column, sibling: Column) -> Column:
         last = F.element_at(groups, -1)
-        own = F.struct(sibling["segment"].alias("segment"), sibling["template"].alias("template"))
         joined = F.struct(
-            (last["bad"] + sibling["bad"]).alias("bad"), (last["labelled"] + sibling["labelled"]).alias("labelled"),
-            F.array_append(last["members"], own).alias("members"),
+            last["low"].alias("low"), sibling["high"].alias("high"), (last["bad"] + sibling["bad"]).alias("bad"),
+            (last["labelled"] + sibling["labelled"]).alias("labelled"), (last["members"] + sibling["members"]).alias("members"),
+            F.least(last["first"], sibling["first"]).alias("first"), F.greatest(last["last"], sibling["last"]).alias("last"),
         )
-        alone = F.struct(sibling["bad"].alias("bad"), sibling["labelled"].alias("labelled"), F.array(own).alias("members"))
-        return F.when(differs(last, sibling), F.array_append(groups, alone)).otherwise(
+        return F.when(differs(last, sibling), F.array_append(groups, sibling)).otherwise(
             F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(joined))
         )
 
-    first = F.get("known", F.lit(0))
-    start = F.array(F.struct(
-        first["bad"].alias("bad"), first["labelled"].alias("labelled"),
-        F.array(F.struct(first["segment"].alias("segment"), first["template"].alias("template"))).alias("members"),
-    ))
     groups = sets.select(
-        "host", "branch", "at", "siblings",
-        F.explode(F.aggregate(F.slice("known", F.lit(2), F.size("known")), start, add)).alias("g"),
-    ).filter((F.size("g.members") > 1) & (F.col("g.labelled") >= min_labels))
-    # a group that is not all of the siblings is named by its own
-    named = F.when(F.size("g.members") == F.col("siblings"), F.lit(ANY)).otherwise(
-        F.concat(F.lit("{"), F.array_join(F.array_sort("g.members.segment"), ","), F.lit("}"))
-    )
-    groups = groups.withColumn("name", named).withColumn(
-        "branch", F.transform("branch", lambda s, i: F.when(i == F.col("at"), F.col("name")).otherwise(s))
-    )
-    choice = groups.select(
-        "host", F.explode("g.members.template").alias("template"),
+        *place, F.explode(F.aggregate(F.slice("known", F.lit(2), F.size("known")), F.slice("known", F.lit(1), F.lit(1)), add)).alias("g"),
+    ).filter((F.col("g.members") > 1) & (F.col("g.labelled") >= min_labels)).join(siblings, place)
+    # a group that is not all of the siblings is named by its first and last
+    named = F.when(F.col("g.members") == F.col("siblings"), F.lit(ANY)).otherwise(F.concat(
+        F.lit("{"), F.col("g.first"), F.when(F.col("g.members") == 2, ",").otherwise(".."), F.col("g.last"), F.lit("}")))
+    groups = groups.withColumn("name", named).select(
+        *place, F.explode(F.sequence("g.low", "g.high")).alias("low"),
         F.struct(
-            F.col("g.labelled").alias("all_labelled"), F.negative("at").alias("order"), F.col("g.bad").alias("all_bad"), "branch"
+            F.col("g.labelled").alias("all_labelled"), F.negative("at").alias("order"), F.col("g.bad").alias("all_bad"),
+            F.transform("branch", lambda s, i: F.when(i == F.col("at"), F.col("name")).otherwise(s)).alias("branch"),
         ).alias("one"),
-    ).groupBy("host", "template").agg(F.max("one").alias("best"))
+    )
+    # joined on the share group as well and as plain tables, so that a hot place is dealt out
+    choice = stored(known.select(*place, "low", "template"), "url-siblings").join(
+        stored(groups, "url-groups"), [*place, "low"]).groupBy("host", "template").agg(F.max("one").alias("best"))
     branches = leaves.join(choice, ["host", "template"], "left").select(
         "host", "template",
         F.coalesce("best.branch", "template").alias("branch"),

@@ -1,10 +1,14 @@
 """Toxicity, URL filters, secret scans, chat formatting and the pipeline."""
 
 import random
+import re
+import time
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("skillweft.llm")
 
@@ -140,7 +144,7 @@ def test_branches_without_labels_keep_their_prior(spark):
 def test_alike_branches_merge_beside_a_different_one(spark):
     counts = {f"ad{i}": (10, 0, 3) for i in range(6)} | {"news": (0, 40, 3), "blog": (1, 30, 0)}
     judged = branch_pages(spark, counts)
-    ads = "{" + ",".join(sorted(k for k in counts if k.startswith("ad"))) + "}"
+    ads = "{ad0..ad5}"
     assert judged == {k: (ads, True) if k.startswith("ad") else ("{blog,news}", False) for k in counts}
 
 
@@ -150,6 +154,62 @@ def test_chance_among_many_alike_branches_stops_no_merge(spark):
     assert {b for b, _ in branch_pages(spark, counts).values()} == {"*"}
 
 
+def brute_templates(urls, rare_children=20, typical=0.01):
+    """(host, path) -> template, one level after another over the generalised parents."""
+    found = {}
+    for host, path in urls:
+        parts = [x for x in path.split("/") if x]
+        found.setdefault((host, path), [brute_shape(x) for x in parts] + [""] * path.endswith("/"))
+    for level in range(max(map(len, found.values()), default=0)):
+        children = Counter()
+        for url in urls:
+            t = found[url]
+            if len(t) > level:
+                children[url[0], tuple(t[:level]), t[level]] += 1
+        total, kinds = Counter(), Counter()
+        for (host, parent, _), n in children.items():
+            total[host, parent] += n
+            kinds[host, parent] += 1
+        for url, t in found.items():
+            if len(t) > level and t[level] and not t[level].startswith("*"):
+                parent = (url[0], tuple(t[:level]))
+                if kinds[parent] > rare_children and children[(*parent, t[level])] < typical * total[parent]:
+                    t[level] = "*"
+    return {k: tuple(t) for k, t in found.items()}
+
+
+def brute_shape(segment):
+    name, end = re.fullmatch(r"(?s)(.*?)(\.[A-Za-z]{1,5})?", segment).groups()
+    variable = (
+        re.fullmatch("[0-9]+", name) or (re.fullmatch("[0-9A-Fa-f-]{8,}", name) and re.search("[0-9]", name))
+        or (len(name) >= 16 and re.search("[0-9]", name))
+    )
+    return "*" + (end or "") if variable else segment
+
+
+def test_templates_equal_a_loop_over_levels(spark):
+    rng = random.Random(12)
+    names = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    urls = [("u", f"/user/{rng.choice(names)}/{rng.choice(names)}") for _ in range(3000)]
+    urls += [("s", "/" + "/".join(rng.choice(names[:w]) for w in (3, 300, 2, 300)[: rng.randrange(1, 5)]) + rng.choice(["", "/"]))
+             for _ in range(1500)]
+    urls += [("few", f"/{x}/{rng.randrange(99)}.html") for x in names[:8] for _ in range(20)] + [("", ""), ("u", "/")]
+    df = spark.createDataFrame([(i, h, p, None) for i, (h, p) in enumerate(urls)], "page_id int, host string, path string, blocks boolean")
+    got = {urls[r["page_id"]]: tuple(r["template"]) for r in url_filters.templates(df).collect()}
+    assert got == brute_templates(urls)
+    assert {t for (h, _), t in got.items() if h == "u" and len(t) == 3} == {("user", "*", "*")}
+
+
+def test_thousands_of_siblings_meet_as_few_sums(spark):
+    """Branches with labels of a very wide host: the two kinds are told apart, in little time."""
+    rows = [(i, "h", f"/p{i}/x.html", i % 3 == 0) for i in range(6000)]
+    df = spark.createDataFrame([r for r in rows for _ in range(2)], "page_id bigint, host string, path string, blocks boolean")
+    found = df.withColumn("template", F.split(F.substr("path", F.lit(2)), "/"))
+    judged = {r["template"][0]: (r["branch"][0], r["rejected"]) for r in url_filters.judge_templates(found).collect()}
+    assert len(judged) == 6000
+    assert all(rejected == (int(p[1:]) % 3 == 0) and branch.startswith("{p") for p, (branch, rejected) in judged.items())
+
+
 def test_deep_paths_keep_their_distinctions(spark):
     deep = "/a/b/c/d/e/f/g/h/"
     rows = [(i, "h", deep + ("ads" if i % 2 else "news") + "/page.html", None if i < 4 else i % 2 == 1) for i in range(60)]
@@ -265,6 +325,21 @@ def test_labelled_findings_are_learned_from(spark):
     assert clean[399] == "alpha beta [SECRET] gamma" and clean[0] == rows[0][1]
 
 
+def test_starts_of_many_parts(spark):
+    """Places add up for any number of parts, and a dump of some ten thousand candidates ends."""
+    rng = random.Random(1)
+    for size in (1, 2, 255, 256, 257, 1000):
+        lengths = [rng.randrange(9) for _ in range(size)]
+        row = spark.createDataFrame([(lengths,)], "x array<int>").select(secret_scans.running_starts(F.col("x")).alias("s"))
+        assert row.first()["s"] == [sum(lengths[:i]) for i in range(size)]
+    text = "\n".join(f"key{i} = {rng.getrandbits(64):016x}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "dump")], "doc_id int, text string, source string")
+    began = time.time()
+    found = secret_scans.candidates(docs).select("start", "value").collect()
+    assert time.time() - began < 60 and len(found) == 20_000
+    assert all(text[r["start"] : r["start"] + len(r["value"])] == r["value"] for r in found)
+
+
 def test_secrets_edges(spark):
     docs = spark.createDataFrame([(1, "nothing here", "a", "b"), (2, None, None, None)], "doc_id bigint, text string, row string, spans string")
     assert secret_scans.scan_secrets(docs, path=None).collect() == []
