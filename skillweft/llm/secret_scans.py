@@ -126,6 +126,26 @@ def rule_label() -> Column:
     return F.when(secret, 1).when(other, 0)
 
 
+def running_starts(lengths: Column, block: int = 256) -> Column:
+    """What the lengths before each one add up to, block by block: an array grows by copies, so short ones are grown."""
+
+    def grow(values: Column, start: Column) -> Column:
+        return F.aggregate(
+            values, F.array(start.cast("bigint")), lambda seen, n: F.array_append(seen, F.element_at(seen, -1) + n)
+        )
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(block)),
+        lambda at: F.slice(lengths, at + 1, F.lit(block)),
+    )
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, n: a + n))
+    starts = F.transform(
+        F.arrays_zip(blocks.alias("b"), grow(sums, F.lit(0)).alias("s")),
+        lambda x: F.slice(grow(x["b"], x["s"]), F.lit(1), F.size(x["b"])),
+    )
+    return F.flatten(F.filter(starts, lambda x: x.isNotNull()))
+
+
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """``doc_id``, ``text_key``, ``start`` (code points before it), ``value`` and the features."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
@@ -134,11 +154,7 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "path", F.split(marked, _MARK).alias("parts"))
     rows = rows.filter(F.size("parts") > 1)
     # every second part is a candidate; parts' lengths add up to its place
-    ends = F.aggregate(
-        "parts", F.array(F.lit(0).cast("bigint")),
-        lambda seen, part: F.array_append(seen, F.element_at(seen, -1) + F.char_length(part)),
-    )
-    rows = rows.withColumn("starts", ends)
+    rows = rows.withColumn("starts", running_starts(F.transform("parts", F.char_length)))
     each = F.transform(
         F.sequence(F.lit(1), F.size("parts") - 1, F.lit(2)),
         lambda i: F.struct(
