@@ -1,6 +1,6 @@
 """SQL counterparts, for DuckDB over the same tables."""
 
-from skillweft.llm.licenses import template_bigrams
+from skillweft.llm.licenses import ALIGNED, template_bigrams, template_places
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -126,6 +126,10 @@ def _license_rows() -> str:
     )
 
 
+def _license_places() -> str:
+    return ", ".join(f"('{name}', {q}, '{bigram}', {length})" for name, q, bigram, length in template_places())
+
+
 LICENSES = rf"""
 WITH t(license, size, bigram) AS (VALUES {_license_rows()}
 ), c AS (
@@ -144,13 +148,31 @@ WITH t(license, size, bigram) AS (VALUES {_license_rows()}
   SELECT doc_id, unit, list_distinct(CASE WHEN len(l) > 1
     THEN list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]) ELSE l END) AS g FROM l
 ), m AS (
-  SELECT doc_id, unit, license, 2.0::DOUBLE * count(*) / (n + size) AS dice
+  SELECT doc_id, unit, license, size, 2.0::DOUBLE * count(*) / (n + size) AS dice
   FROM (SELECT doc_id, unit, len(g) AS n, unnest(g) AS bigram FROM n) JOIN t USING (bigram)
   GROUP BY doc_id, unit, license, n, size
+), place(license, q, bigram, length) AS (VALUES {_license_places()}
+), own AS (
+  SELECT license, list(DISTINCT bigram) AS own FROM t GROUP BY license
+), whole AS (
+  SELECT doc_id, hash(clean) AS text_no, regexp_split_to_array(trim(replace(clean, chr(10), ' ')), ' +') AS l FROM c
+), seed AS (
+  SELECT doc_id, text_no, i, l[i] || ' ' || l[i + 1] AS bigram
+  FROM (SELECT DISTINCT doc_id, text_no, l, unnest(range(1, len(l))) AS i FROM whole WHERE len(l) > 1)
+), start AS (
+  SELECT doc_id, text_no, license, length, i - q AS s FROM seed JOIN place USING (bigram)
+  GROUP BY ALL HAVING count(*) * {ALIGNED} >= length - 1
+), win AS (
+  SELECT DISTINCT s.doc_id, license, s, s.text_no, own, list_distinct(list_transform(range(greatest(s, 1), least(s + length - 1, len(l))),
+    lambda i: l[i] || ' ' || l[i + 1])) AS g
+  FROM start s JOIN whole w ON s.text_no = w.text_no AND s.doc_id IS NOT DISTINCT FROM w.doc_id JOIN own USING (license)
+), every AS (
+  SELECT doc_id, license, size, dice FROM m
+  UNION ALL SELECT doc_id, license, len(own), 2.0::DOUBLE * len(list_intersect(g, own)) / (len(g) + len(own)) FROM win
 ), f AS (
-  SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice,
+  SELECT doc_id, arg_min(license, (-dice, -size, license)) AS license, max(dice) AS dice,
     string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
-  FROM m WHERE dice >= 0.8 GROUP BY doc_id
+  FROM every WHERE dice >= 0.8 GROUP BY doc_id
 )
 SELECT doc_id, license, dice, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN f USING (doc_id)
 """

@@ -444,16 +444,51 @@ def test_license_bounds_keep_the_threshold_itself(spark):
     want = {}
     for i, line in enumerate(lines):
         words = re.sub("[^a-z0-9]+", " ", line.lower()).split()
-        own = {f"{a} {b}" for a, b in zip(words, words[1:])} or set(words)
-        found = {name: 2.0 * len(own & t) / (len(own) + len(t)) for name, t in licenses.template_bigrams().items()}
-        want[i] = sorted((name, dice) for name, dice in found.items() if dice >= 0.8)
-    got = {i: [] for i in want}
+        want[i] = sorted({*brute_dice(words), *brute_windows(words)})
+    got = {i: set() for i in want}
     for r in licenses.match_units(docs_of(spark, list(enumerate(lines)))).collect():
-        got[r["doc_id"]].append((r["license"], r["dice"]))
+        got[r["doc_id"]].add((r["license"], r["dice"]))
     assert all(want[i] for i in range(4))
     assert {i: sorted(found) for i, found in got.items()} == want
 
 
+def brute_dice(words, names=None):
+    """(template, dice) of the templates that the words reach."""
+    own = {f"{a} {b}" for a, b in zip(words, words[1:])} or set(words)
+    found = {name: 2.0 * len(own & t) / (len(own) + len(t)) for name, t in licenses.template_bigrams().items()}
+    return [(name, dice) for name, dice in found.items() if dice >= 0.8 and (names is None or name in names)]
+
+
+def brute_windows(words):
+    """The same for windows of a template's length in which a quarter of its bigrams stand in place."""
+    out = []
+    for name, text in licenses.TEMPLATES:
+        template = licenses.template_words(text)
+        for start in range(-len(template), len(words)):
+            aligned = sum(
+                0 <= start + q and words[start + q : start + q + 2] == template[q : q + 2] for q in range(len(template) - 1)
+            )
+            if aligned and 4 * aligned >= len(template) - 1:
+                out += brute_dice(words[max(0, start) : start + len(template)], [name])
+    return out
+
+
+def test_notices_inside_other_text_are_found(spark):
+    gpl, clause = dict(licenses.TEMPLATES)["GPL-3.0-header"], dict(licenses.TEMPLATES)["BSD-2-Clause-clause"]
+    wrapped = "\n".join("# " + " ".join(gpl.split()[i : i + 9]) for i in range(0, len(gpl.split()), 9))
+    texts = {
+        1: ("This short library is released under the MIT License.", "MIT"),
+        2: ("Copyright 2024 Acme. All rights reserved.", "all-rights-reserved"),
+        3: (clause + ":\n\n1. Redistributions of source code must retain the above copyright notice.", "BSD-2-Clause-clause"),
+        4: ("import os\n" + wrapped + "\nprint(os.name)\n" + "x = 1\n" * 50, "GPL-3.0-header"),
+        5: ("He said " + "word " * 3000 + gpl.replace("software", "programme") + " word" * 3000, "GPL-3.0-header"),
+        6: ("The rights of all are reserved under the law of the land, version two of the software.", None),
+    }
+    docs = docs_of(spark, [(i, t) for i, (t, _) in texts.items()] + [(6, texts[6][0])])
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs).collect()}
+    assert got == {i: name for i, (_, name) in texts.items()}
+
+
 @pytest.mark.parametrize("build", [
     ngram_join.similarity_classes, ngram_join.keep_one_per_group, substring_dedup.remove_repeats,
     fingerprints.compare_with_edits, licenses.scan_licenses, lambda d: packing.pack(d, tokenizer()[0]),
