@@ -23,6 +23,10 @@ Steps:
    filter compares how many n-grams the two sets have in each of eight hash ranges: the
    differences add up to a lower bound of the symmetric difference.
 5. Each remaining pair is verified once on its real words.
+6. Every link lies inside a component.  Where links are counted, the classes of a component
+   are dealt into blocks of ``_LINK_ROWS``; two blocks meet in a task, which compares them as
+   matrices of n-gram hashes and gives one number per class, never a row per pair.  With
+   ``all_links=False``, where only components are asked for, this step is left out.
 
 Lengths and thresholds are whole numbers, so no pair is lost to rounding.  N-grams are
 named by 64-bit hashes when candidates are searched and classes are formed (128 bits
@@ -55,7 +59,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _BLOCKS = 16  # the counters travel in so many rows
 _RANGES = 8  # of the suffix filter
 _CENTRE_ROWS = 200  # rows compared with one copy of a centre
-_BLOCK_ROWS = 500  # rows of an n-gram in a block of pairs inside components
+_BLOCK_ROWS = 500  # rows of an n-gram in a block
+_LINK_ROWS = 200  # classes of a component in a block
+_LINK_TOKENS = 50_000  # n-grams of two blocks that are compared at once
 _SENT_ROWS = 1_000_000  # at most so many rows of four numbers are broadcast
 
 
@@ -244,34 +250,118 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return sorted_rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _met_pairs(rows: DataFrame, keys: list[str], percent: int, within: bool) -> DataFrame:
-    """Pairs (a, b) that share the keys and pass the filters; of one component only, or of different ones.
+def _apart_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix n-gram and pass the filters.
 
-    ``rows`` has the keys, ``doc``, ``n``, ``pos`` and ``component``.  A key with many rows is dealt
+    ``rows`` has ``token``, ``doc``, ``n``, ``pos`` and ``component``.  A token with many rows is dealt
     into blocks that meet two by two.
     """
-    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
-        *keys, F.ceil(F.col("rows") / F.lit(_BLOCK_ROWS)).alias("salts")
+    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
+        "token", F.ceil(F.col("rows") / F.lit(_BLOCK_ROWS)).alias("salts")
     )
-    rows = rows.join(stored(held, "ngram-held"), keys).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")))
+    rows = rows.join(stored(held, "ngram-held"), "token").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")))
     # a row meets every salt: as the lower one on the left, as the higher one on the right
     others = F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)
     columns = ("doc", "n", "pos", "component")
     left = rows.select(
-        *keys, F.col("salt").alias("low"), F.explode(F.filter(others, lambda o: o >= F.col("salt"))).alias("high"),
+        "token", F.col("salt").alias("low"), F.explode(F.filter(others, lambda o: o >= F.col("salt"))).alias("high"),
         *[F.col(c).alias(f"l_{c}") for c in columns],
     )
     right = rows.select(
-        *keys, F.explode(F.filter(others, lambda o: o <= F.col("salt"))).alias("low"), F.col("salt").alias("high"),
+        "token", F.explode(F.filter(others, lambda o: o <= F.col("salt"))).alias("low"), F.col("salt").alias("high"),
         *[F.col(c).alias(f"r_{c}") for c in columns],
     )
-    met = left.join(right, [*keys, "low", "high"])
-    alike = F.col("l_component") == F.col("r_component")
+    met = left.join(right, ["token", "low", "high"])
     met = met.filter((F.col("low") < F.col("high")) | (F.col("l_doc") < F.col("r_doc"))).filter(
-        (alike if within else ~alike) & _passes("l_", "r_", percent))
+        (F.col("l_component") != F.col("r_component")) & _passes("l_", "r_", percent))
     return met.select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
 
 
+def block_links(left: list[list[np.ndarray]], right: list[list[np.ndarray]], percent: int) -> np.ndarray:
+    """Which entries link; an entry is the sorted n-gram hashes of one or more texts, any of which may link."""
+    flat = [*((0, i, t) for i, own in enumerate(left) for t in own), *((1, i, t) for i, own in enumerate(right) for t in own)]
+    side = np.array([f[0] for f in flat])
+    owner = np.array([f[1] for f in flat])
+    sizes = np.array([len(f[2]) for f in flat])
+    tokens, number, often = np.unique(np.concatenate([f[2] for f in flat]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(flat)), sizes)
+    shared = often[number] > 1  # the others meet nobody
+    place = np.cumsum(often > 1) - 1
+    row, number = row[shared], place[number[shared]]
+    lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    both = np.zeros((len(lefts), len(rights)), np.int64)
+    at = np.zeros(len(flat), np.int64)
+    at[lefts], at[rights] = np.arange(len(lefts)), np.arange(len(rights))
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, _LINK_TOKENS):
+        a, b = np.searchsorted(number, [low, low + _LINK_TOKENS])
+        masks = [np.zeros((n, _LINK_TOKENS), np.float32) for n in (len(lefts), len(rights))]
+        for which in (0, 1):
+            mine = side[row[a:b]] == which
+            masks[which][at[row[a:b][mine]], number[a:b][mine] - low] = 1
+        both += np.rint(masks[0] @ masks[1].T).astype(np.int64)
+    union = sizes[lefts][:, None] + sizes[rights][None, :] - both
+    linked = np.zeros((len(left), len(right)), bool)
+    i, j = np.nonzero((both > 0) & (100 * both >= percent * union))
+    linked[owner[lefts][i], owner[rights][j]] = True
+    return linked
+
+
+def _degrees(components_of: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``rep`` and ``n_links`` of all classes in a component: (node, component)."""
+    sizes = components_of.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    placed = components_of.join(sizes, "component")
+    two = placed.filter("members = 2").select(F.col("node").alias("rep"), F.lit(1).cast("bigint").alias("n_links"))
+    many = placed.filter("members > 2").withColumn("blocks", F.ceil(F.col("members") / F.lit(_LINK_ROWS)))
+    salt = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    wanted = many.select(
+        F.col("node").alias("id"), "component", salt.alias("salt"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"),
+    ).select("id", "component", "salt", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"))
+    if wanted.count() <= _SENT_ROWS:  # else the texts are shuffled to their rows
+        wanted = F.broadcast(wanted)
+    keys = ["component", "low", "high"]
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select(*keys, "salt", "id", "text")
+
+    def links(key, entries) -> list[tuple[int, int]]:
+        ids = sorted(entries)
+        low = [i for i in ids if entries[i][0] == key[1]]
+        high = [i for i in ids if entries[i][0] == key[2]]
+        if not low or not high:
+            return []
+        linked = block_links([entries[i][1] for i in low], [entries[i][1] for i in high], percent)
+        if key[1] == key[2]:
+            np.fill_diagonal(linked, False)
+            return list(zip(low, linked.sum(axis=1).tolist()))
+        return [*zip(low, linked.sum(axis=1).tolist()), *zip(high, linked.sum(axis=0).tolist())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, entries = None, {}
+
+        def out(found):
+            found = [f for f in found if f[1]]
+            columns = list(zip(*found)) if found else [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "n_links"])
+
+        for batch in batches:
+            component, low, high, salts, ids = (batch.column(i).to_pylist() for i in range(5))
+            for i, text in enumerate(batch.column(5)):
+                if (component[i], low[i], high[i]) != key:
+                    if entries:
+                        yield out(links(key, entries))
+                    key, entries = (component[i], low[i], high[i]), {}
+                found = ngram_hashes(words_of(text.as_py()), size)
+                if len(found):
+                    entries.setdefault(ids[i], (salts[i], []))[1].append(found)
+        if entries:
+            yield out(links(key, entries))
+
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    counted = sorted_rows.mapInArrow(run, "rep bigint, n_links bigint").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    return two.unionByName(counted)
+
+
 def similarity_classes(
     docs: DataFrame, words: int = 5, percent: int = 80, counter_bits: int = 22, all_links: bool = True
 ) -> DataFrame:
@@ -321,7 +411,7 @@ def similarity_classes(
     open_rows = placed.join(split, "token", "left_semi").filter("doc <> c_doc").select(
         "token", "doc", "n", "pos", "component"
     )
-    rest = _met_pairs(open_rows, ["token"], percent, within=False)
+    rest = _apart_pairs(open_rows, percent)
     rest = rest.join(  # verified already
         first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
     )
@@ -342,15 +432,7 @@ def similarity_classes(
             "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
             F.coalesce("component", "rep", "doc_id").alias("component_id"),
         )
-    # pairs inside the components of the first links; the others are in ``rest``
-    compared = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    own = placed.withColumn("group", F.col("component"))
-    inside = _met_pairs(own, ["token", "group"], percent, within=True).join(compared, ["a", "b"], "left_anti")
-    inside = stored(_suffix_filter(inside, classes, percent), "ngram-pairs")
-    within = stored(_verify(inside, docs, words, percent).distinct(), "ngram-links")
-    degree = links.union(more).union(within).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(
-        F.count(F.lit(1)).alias("n_links")
-    )
+    degree = stored(_degrees(final.select("node", "component"), docs, words, percent), "ngram-degrees")
     about = (
         classes.select("digest", "rep")
         .join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")

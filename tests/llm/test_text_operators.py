@@ -96,6 +96,8 @@ def test_ngram_join_chain_and_rows_without_centre(spark):
 @pytest.mark.parametrize("block_rows,sent_rows", [(500, 1_000_000), (7, 0)])
 def test_ngram_links_are_all_counted(spark, monkeypatch, block_rows, sent_rows):
     monkeypatch.setattr(ngram_join, "_BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngram_join, "_LINK_ROWS", block_rows)
+    monkeypatch.setattr(ngram_join, "_LINK_TOKENS", 30 * block_rows)
     monkeypatch.setattr(ngram_join, "_SENT_ROWS", sent_rows)
     rng = random.Random(8)
     words = [f"t{i}" for i in range(120)]
