@@ -76,13 +76,79 @@ def guessed_slugs(t):
     return names(t).select("c_custkey", F.explode(cf.guessed_slugs(F.col("name"))).alias("slug"))
 
 
-@query("slug_checks", with_roles("""
-    SELECT id, company, company_url, length(company) > 0 AND company <> 'N/A' AND contains(company_url, '/customer-')
-             AS contains_name,
-           company <> '' AND company <> 'N/A' AND contains(company_url, '/customer-') AS fits_name
-    FROM jobs WHERE company IS NOT NULL AND company_url IS NOT NULL""", "jobs"))
+# companies, addresses and page texts that take every branch of the checks: full, partly and wrongly named ones, legal
+# forms alone, several parts, brackets, regions, blanks and pages that were not found
+_FIRMS = """SELECT p_partkey AS id, w1 || ' ' || w2 AS both,
+        CASE WHEN p_partkey % 53 = 0 THEN NULL ELSE CASE p_partkey % 7 WHEN 0 THEN 'PT ' || w1 || ' ' || w2 || ' Tbk'
+            WHEN 1 THEN w1 || ' ' || w2 || ' ' || w3 WHEN 2 THEN w1 || ' ' || w2 || ' Indonesia'
+            WHEN 3 THEN w1 || ' ' || w2 || ' | ' || w3 || ' Group' WHEN 4 THEN 'PT Tbk' WHEN 5 THEN ''
+            ELSE w1 || '-' || w2 || ' (' || w3 || ' AG)' END END AS company,
+        CASE WHEN p_partkey % 59 = 0 THEN NULL ELSE 'https://www.linkedin.com/company/' || CASE p_partkey // 7 % 6
+            WHEN 0 THEN w1 || '-' || w2 WHEN 1 THEN w1 || '_' || w3 WHEN 2 THEN w2 WHEN 3 THEN 'other-firm'
+            WHEN 4 THEN w1 || '-' || w2 || '-indonesia' ELSE '' END || '/' END AS company_url,
+        CASE p_partkey // 42 % 6 WHEN 0 THEN 'Welcome to ' || upper(w1) || ' ' || w2 || ' ' || w3
+            WHEN 1 THEN w1 || ' and others in Indonesia' WHEN 2 THEN w1 || ' ' || w2 WHEN 3 THEN w1 || ' ' || w2 || ': page not found'
+            WHEN 4 THEN '' ELSE 'another firm' END AS page
+    FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, lower(p_type) AS w3 FROM part)"""
+
+
+def firms(t):
+    """The rows of ``_FIRMS``."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    w1, w2, w3 = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2)), F.lower("p_type")
+
+    def one_of(number, *options):
+        return F.get(F.array(*(o if not isinstance(o, str) else F.lit(o) for o in options)), (number % len(options)).cast("int"))
+
+    def text(*parts):
+        return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+    company = one_of(
+        key, text("PT ", name, " Tbk"), text(name, " ", w3), text(name, " Indonesia"), text(name, " | ", w3, " Group"), "PT Tbk", "",
+        text(w1, "-", w2, " (", w3, " AG)"))
+    slug = one_of(F.floor(key / 7), text(w1, "-", w2), text(w1, "_", w3), w2, "other-firm", text(w1, "-", w2, "-indonesia"), "")
+    page = one_of(
+        F.floor(key / 42), text("Welcome to ", F.upper(w1), " ", w2, " ", w3), text(w1, " and others in Indonesia"), name,
+        text(name, ": page not found"), "", "another firm")
+    return t.table("part").select(
+        key.alias("id"), F.when(key % 53 != 0, company).alias("company"),
+        F.when(key % 59 != 0, text(d.COMPANY_URL_PREFIX, slug, "/")).alias("company_url"), page.alias("page"))
+
+
+def _in(words):
+    return "(" + ", ".join(map(q.lit, words)) + ")"
+
+
+def _telling(name):
+    return (f"list_filter(string_split_regex(lower({name}), '[^a-z0-9]+'), lambda w: length(w) > 1 "
+            f"AND w NOT IN {_in([*d.CORPORATE_SUFFIXES, *d.IGNORED_NAME_WORDS])})")
+
+
+_REGIONS = "[" + ", ".join(map(q.lit, d.REGIONAL_WORDS)) + "]"
+# behind the last '/company/'; an address without a slug leaves '/company'
+_SLUG = "lower(string_split(rtrim(regexp_extract(company_url, 'linkedin.com([^?#;]*)', 1), '/'), '/company/')[-1])"
+_ALL_BUT_ONE = "hits >= greatest(1, n - 1)"
+
+
+@query("slug_checks", rf"""
+    WITH firm AS ({_FIRMS}), c AS (SELECT *, {_SLUG} AS slug FROM firm WHERE company IS NOT NULL AND company_url IS NOT NULL),
+    loose AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: contains(translate(slug, '-_', '  '), w))) AS hits
+        FROM (SELECT *, list_filter(string_split(lower(company), ' '), lambda w: length(w) > 1
+                  AND w NOT IN {_in(d.SHORT_CORPORATE_SUFFIXES)}) AS ws FROM c)),
+    form AS (SELECT id, slug, v, {_telling('v')} AS ws FROM (SELECT id, slug, unnest(list_concat([company],
+            string_split_regex(company, '\s*[|/]\s*'), regexp_extract_all(company, '\(([^\)]+)\)', 1),
+            [regexp_replace(company, '\([^\)]*\)', ' ', 'g'), replace(company, '-', ' ')],
+            regexp_extract_all(company, '\b[A-Z]{{2,8}}\b'))) AS v FROM c) WHERE trim(v) <> ''),
+    fit AS (SELECT id, bool_or(n > 0 AND CASE WHEN len(list_filter({_REGIONS}, lambda r: contains(lower(v), r))) > 0
+            THEN hits >= n ELSE {_ALL_BUT_ONE} END) AS fits
+        FROM (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: list_contains(string_split_regex(slug, '[^a-z0-9]+'), w))) AS hits
+              FROM form) GROUP BY id),
+    lead AS (SELECT id, string_split_regex(slug, '[^a-z0-9]+') AS sw, {_telling("string_split_regex(company, '[ ]*[|/][ ]*')[1]")} AS first FROM c)
+    SELECT id, company, company_url, slug <> '' AND company <> '' AND (n = 0 OR {_ALL_BUT_ONE}) AS contains_name,
+           slug <> '' AND coalesce(fits, false) AND (len(first) = 0 OR list_has_any(sw, first)) AS fits_name
+    FROM loose JOIN lead USING (id) LEFT JOIN fit USING (id)""")
 def slug_checks(t):
-    rows = t.jobs.filter(F.col("company").isNotNull() & F.col("company_url").isNotNull())
+    rows = firms(t).filter(F.col("company").isNotNull() & F.col("company_url").isNotNull())
     return rows.select(
         "id", "company", "company_url",
         cf.slug_contains_name(F.col("company_url"), F.col("company")).alias("contains_name"),
@@ -90,21 +156,24 @@ def slug_checks(t):
     )
 
 
-@query("name_checks", with_roles("""
-    SELECT id, company IN ('', 'N/A') OR id % 2 = 0 AS in_text, company NOT IN ('', 'N/A') AND id % 2 = 0 AS in_title,
-           company NOT IN ('', 'N/A') AND id % 2 = 0 AND company_url <> ''
-             AND NOT contains(company, '404') AS fits_page
-    FROM jobs WHERE company IS NOT NULL AND company_url IS NOT NULL""", "jobs"))
+@query("name_checks", rf"""
+    WITH firm AS ({_FIRMS}), c AS (SELECT *, lower(page) AS p, translate({_SLUG}, '-_/', '   ') AS slug,
+            list_filter(regexp_extract_all(lower(company), '[a-z]{{3,}}'), lambda w: w NOT IN {_in(d.NAME_STOPWORDS)}) AS short,
+            list_filter(regexp_extract_all(lower(company), '[a-z]{{4,}}'), lambda w: w NOT IN {_in(d.TITLE_STOPWORDS)}) AS long,
+            {_telling('company')} AS ws, list_filter({_REGIONS}, lambda r: contains(lower(company), r)) AS regions
+        FROM firm WHERE company IS NOT NULL AND company_url IS NOT NULL)
+    SELECT id, len(short) = 0 OR len(list_filter(short, lambda w: contains(p, w))) >= least(2, len(short)) AS in_text,
+           len(long) > 0 AND len(list_filter(long, lambda w: NOT contains(p, w))) = 0 AS in_title,
+           p <> '' AND NOT contains(p, 'page not found') AND NOT contains(p, '404') AND slug <> '' AND n > 0
+             AND CASE WHEN len(regions) > 0 THEN hits >= n AND len(list_filter(regions, lambda r: contains(p, r) OR contains(slug, r))) > 0
+                 ELSE {_ALL_BUT_ONE} END AS fits_page
+    FROM (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: contains(p, w) OR contains(slug, w))) AS hits FROM c)""")
 def name_checks(t):
-    """Page texts that name the company for every second job and its city for the others."""
-    rows = t.jobs.filter(F.col("company").isNotNull() & F.col("company_url").isNotNull())
-    text = F.concat(F.lit("Welcome to "), F.when(F.col("id") % 2 == 0, F.col("company")).otherwise(F.lower("city")))
-    url = F.replace(F.col("company_url"), F.lit("customer-"), F.lit("x-"))
-    fits = cf.page_fits_name(F.regexp_replace(url, r"x-\d+", "x"), F.col("company"), text)
+    rows = firms(t).filter(F.col("company").isNotNull() & F.col("company_url").isNotNull())
+    page, company = F.col("page"), F.col("company")
     return rows.select(
-        "id", cf.name_in_text(F.col("company"), text).alias("in_text"),
-        cf.title_names_company(text, F.col("company")).alias("in_title"),
-        (fits & present("company", "N/A")).alias("fits_page"),
+        "id", cf.name_in_text(company, page).alias("in_text"), cf.title_names_company(page, company).alias("in_title"),
+        cf.page_fits_name(F.col("company_url"), company, page).alias("fits_page"),
     )
 
 
