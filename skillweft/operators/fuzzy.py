@@ -15,6 +15,7 @@ be the one that was cut, so both directions run.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,6 +27,7 @@ from skillweft.operators.containment import pieces
 
 _BITS = 62
 AGREE = 3  # pieces that a pair must share before it is scored
+HEAVY = 500  # texts that hold a piece before it is dealt into blocks
 
 
 def edit_limit(length: Column, threshold: int) -> Column:
@@ -112,6 +114,31 @@ def rare_pieces(cut: DataFrame, frequency: DataFrame) -> DataFrame:
     return each.select("text", "piece", "times", F.greatest(whole - F.col("lost"), F.lit(1)).alias("agree"))
 
 
+def length_band(length: Column, threshold: int) -> Column:
+    """Number of a band of lengths: texts whose whole ratio reaches the threshold lie at most one band apart."""
+    ratio = (200 - threshold) / threshold
+    return F.floor(F.log(F.greatest(length, F.lit(1))) / F.lit(math.log(ratio) + 1e-6)).cast("int")
+
+
+def deal_heavy(
+    keys: DataFrame, held: DataFrame, frequency: DataFrame, threshold: int, plain: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt`` and ``band``, alike for all rows of a rare piece.
+
+    A text of a heavy piece stands in one block; a key meets all of them, in the bands it can reach.
+    """
+    heavy = frequency.filter(F.col("n") > HEAVY).select("piece", F.ceil(F.col("n") / F.lit(HEAVY)).alias("salts"))
+    blocks, zero = F.coalesce("salts", F.lit(1)), F.lit(0)
+    banded = F.col("salts").isNotNull() if plain and threshold > 0 else F.lit(False)
+    dealt = held.join(heavy, "piece", "left").withColumns({
+        "salt": F.pmod(F.xxhash64("other"), blocks), "band": F.when(banded, length_band(F.length("other"), threshold)).otherwise(zero),
+    }).drop("salts")
+    own = length_band(F.length("text"), threshold)
+    reached = F.when(banded, F.array(own - 1, own, own + 1)).otherwise(F.array(zero))
+    asking = keys.join(heavy, "piece", "left").withColumn("salt", F.explode(F.sequence(zero.cast("bigint"), blocks - 1)))
+    return asking.withColumn("band", F.explode(reached)).drop("salts"), dealt
+
+
 def _one_direction(source: DataFrame, target: DataFrame, threshold: int, plain: bool = False) -> DataFrame:
     held = target.select("text").distinct().select(
         F.col("text").alias("other"), *_mask_columns(pieces(F.col("text"), (1,)), "other_letters"),
@@ -123,9 +150,10 @@ def _one_direction(source: DataFrame, target: DataFrame, threshold: int, plain:
     frequency = held.select("piece").join(wanted, "piece", "left_semi").groupBy("piece").agg(
         F.count(F.lit(1)).alias("n")
     )
-    keys = rare_pieces(exploded, frequency).join(cut.drop("pieces"), "text")
+    keys, held = deal_heavy(
+        rare_pieces(exploded, frequency).join(cut.drop("pieces"), "text"), held, frequency, threshold, plain)
     # bit counts before any scoring: no more pieces may be missing than edits are allowed
-    near = keys.join(held, "piece").filter(
+    near = keys.join(held, ["piece", "salt", "band"]).filter(
         (_missing("letters", "other_letters") <= F.col("gone"))
         & (_missing("pairs", "other_pairs") <= F.col("lost"))
         & (_missing("shifted", "other_pairs") <= F.col("lost"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skillweft.functions import similarity as sim
 from skillweft.operators import fuzzy
@@ -62,6 +63,55 @@ def test_candidates_lose_nothing(spark):
     assert len(got) < 0.7 * len(raw) * len(known)
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_dealing_heavy_pieces_changes_no_candidate(spark, monkeypatch, plain):
+    rng = random.Random(11)
+    pool = [w + " data" for w in words(rng, 300)]
+    a = spark.createDataFrame([(x,) for x in pool[:200]], "text string")
+    b = spark.createDataFrame([(x,) for x in pool[100:]], "text string")
+    found = []
+    for heavy in (10**6, 4):
+        monkeypatch.setattr(fuzzy, "HEAVY", heavy)
+        found.append({(r.a, r.b) for r in fuzzy.candidates(a, b, 85, plain).collect()})
+    score = (lambda x, y: sim.token_sort_ratio(x, y)) if plain else (lambda x, y: sim.skill_score(x, y, 85))
+    need = {(x, y) for x in pool[:200] for y in pool[100:] if score(x, y) >= 85 and (not plain or slow_ratio(x, y) >= 85)}
+    assert found[0] == found[1] and need <= found[1] and len(need) > 100
+
+
+def slow_ratio(a, b):
+    return 200 * slow_lcs(a, b) / (len(a) + len(b))
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_a_frequent_piece_fills_no_key(spark, monkeypatch, plain):
+    """Every text holds one piece; no key of the join gathers more than about ``HEAVY`` texts."""
+    monkeypatch.setattr(fuzzy, "HEAVY", 50)
+    rng = random.Random(13)
+    texts = [f"{'x' * rng.randrange(1, 60)}{i}" for i in range(2000)]
+    held = spark.createDataFrame([(t, "dat") for t in texts] + [("alone", "rar")], "other string, piece string")
+    keys = spark.createDataFrame([("xxxx data", "dat"), ("rare", "rar")], "text string, piece string")
+    frequency = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    asking, dealt = fuzzy.deal_heavy(keys, held, frequency, 80, plain)
+    most = dealt.groupBy("piece", "salt", "band").count().agg(F.max("count")).first()[0]
+    assert most < 2 * 50 and dealt.count() == 2001
+    met = asking.join(dealt, ["piece", "salt", "band"]).select("text", "other").collect()
+    reach = {t for t in texts if 200 * min(len(t), 9) >= 80 * (len(t) + 9)} if plain else set(texts)
+    assert len(met) == len(set(met)) and reach <= {r.other for r in met if r.text == "xxxx data"}
+    assert [r.other for r in met if r.text == "rare"] == ["alone"]
+    if plain:
+        assert len(met) < 0.7 * len(texts)
+
+
+@pytest.mark.parametrize("threshold", [60, 80, 85, 95])
+def test_similar_lengths_lie_in_neighbouring_bands(spark, threshold):
+    lengths = spark.range(0, 400).select(F.col("id").alias("n"), fuzzy.length_band(F.col("id"), threshold).alias("band"))
+    band = {r.n: r.band for r in lengths.collect()}
+    for a in range(1, 400):
+        for b in range(a, 400):
+            if 200 * a >= threshold * (a + b):
+                assert band[b] - band[a] <= 1
+
+
 def test_repeated_word_is_found(spark):
     a = spark.createDataFrame([("aa aa aa aa",)], "text string")
     b = spark.createDataFrame([("aa aa aa aab",)], "text string")
