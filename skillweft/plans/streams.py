@@ -195,7 +195,8 @@ def run_chain(t, arrived, known, path, checkpoint):
     named = t.job_skills.groupBy("job_id").agg(F.min("skill_id").alias("id")).join(t.skills.select("id", "name"), "id")
     skills = F.from_json(F.to_json(F.struct(F.array("name").alias("tech_stack"))), SKILL_LISTS)
     replies = named.join(t.postings.select(F.col("id").alias("job_id"), "link"), "job_id").select(
-        "link", skills.alias("skills"), F.concat(F.lit("We use "), "name", F.lit(" here")).alias("job_description")
+        "link", skills.alias("skills"), F.concat(F.lit("We use "), "name", F.when(F.col("job_id") % 10 == 0, "").otherwise(
+            " here and in every other team")).alias("job_description")  # every tenth is too short
     )
     sizes = t.companies.filter(F.col("employee_size").isNotNull()).select(
         F.coalesce("company", F.lit("")).alias("company"), F.lit(None).cast("string").alias("company_url"), "employee_size"
@@ -215,7 +216,7 @@ _CHAIN = dict(
         WHERE {q.any_in('lower(title_clean)', d.ROLE_TERMS)} AND NOT {q.any_in('lower(title_clean)', d.ROLE_EXCLUSIONS)}""",
     items=f"""SELECT f.link AS job_id, 'tech_stack' AS skill_type, 0 AS place, s.name AS skill, {q.normalize_skill('s.name')} AS norm
         FROM fresh f JOIN (SELECT job_id, min(skill_id) AS skill_id FROM job_skills GROUP BY job_id) n ON n.job_id = f.id
-        JOIN skills s ON s.id = n.skill_id""",
+        JOIN skills s ON s.id = n.skill_id WHERE f.id % 10 <> 0""",
     asked_items="""SELECT job_id, skill_type, place, coalesce((SELECT v FROM fixes WHERE k = lower(trim(i.skill))),
             (SELECT canonical FROM idx WHERE idx.norm = i.norm AND category = i.skill_type),
             (SELECT arg_min(canonical, r) FROM idx WHERE idx.norm = i.norm), i.skill) AS skill FROM items i""",

@@ -13,6 +13,10 @@ from skillweft.session import cut_lineage
 from skillweft.streaming.feeds import batch_writer, chain, read_before, run_available
 
 
+#: Letters that a description needs to be worth an extraction.
+MINIMUM_DESCRIPTION = 30
+
+
 def run_ingest_chain(
     pages: DataFrame, keywords: DataFrame, sizes: DataFrame, replies: DataFrame, known: DataFrame,
     variants: DataFrame, path: str, checkpoint: str, today: Column,
@@ -43,7 +47,9 @@ def run_ingest_chain(
         return jobs
 
     def extract(jobs: DataFrame, batch: int) -> DataFrame:
-        answered = jobs.select("link").join(replies, "link").withColumnRenamed("link", "job_id")
+        # a job with less to read stays in the queue
+        worth = replies.filter(F.length("job_description") >= MINIMUM_DESCRIPTION)
+        answered = jobs.select("link").join(worth, "link").withColumnRenamed("link", "job_id")
         before = read_before(spark, f"{path}/skills", skill_rows, batch).drop("batch")
         found = resolve_replies(answered, known.select(*columns).unionByName(before), variants)
         batch_writer(f"{path}/skills")(found["new_skills"].select(*columns), batch)
