@@ -294,9 +294,11 @@ def block_links(left: list[list[np.ndarray]], right: list[list[np.ndarray]], per
     at[lefts], at[rights] = np.arange(len(lefts)), np.arange(len(rights))
     order = np.argsort(number, kind="stable")
     row, number = row[order], number[order]
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, _LINK_TOKENS):
-        a, b = np.searchsorted(number, [low, low + _LINK_TOKENS])
-        masks = [np.zeros((n, _LINK_TOKENS), np.float32) for n in (len(lefts), len(rights))]
+    end = int(number[-1]) + 1 if len(number) else 0
+    for low in range(0, end, _LINK_TOKENS):
+        width = min(_LINK_TOKENS, end - low)
+        a, b = np.searchsorted(number, [low, low + width])
+        masks = [np.zeros((n, width), np.float32) for n in (len(lefts), len(rights))]
         for which in (0, 1):
             mine = side[row[a:b]] == which
             masks[which][at[row[a:b][mine]], number[a:b][mine] - low] = 1
@@ -311,7 +313,7 @@ def block_links(left: list[list[np.ndarray]], right: list[list[np.ndarray]], per
 def _degrees(components_of: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``rep`` and ``n_links`` of all classes in a component: (node, component)."""
     sizes = components_of.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    placed = components_of.join(sizes, "component")
+    placed = stored(components_of.join(sizes, "component"), "ngram-members")
     two = placed.filter("members = 2").select(F.col("node").alias("rep"), F.lit(1).cast("bigint").alias("n_links"))
     many = placed.filter("members > 2").withColumn("blocks", F.ceil(F.col("members") / F.lit(_LINK_ROWS)))
     salt = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -411,7 +413,7 @@ def similarity_classes(
     open_rows = placed.join(split, "token", "left_semi").filter("doc <> c_doc").select(
         "token", "doc", "n", "pos", "component"
     )
-    rest = _apart_pairs(open_rows, percent)
+    rest = _apart_pairs(stored(open_rows, "ngram-open"), percent)
     rest = rest.join(  # verified already
         first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
     )
