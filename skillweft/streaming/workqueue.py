@@ -4,7 +4,7 @@ Jobs are handed out with an attempt number.  Results come back as a feed of thei
 which the queue reads beside the jobs: a failed job is handed out again with the next
 number, a claim without a result returns when its lease is over, and a result of any
 attempt that went well ends the job.  What is known of a job is keyed state, so a
-micro-batch touches the jobs that arrive, answer or time out in it and no others.
+micro-batch touches the buckets of jobs that arrive, answer or time out in it and no others.
 
 ``path/taken`` lists what was handed out and ``path/done`` the results, each under its
 batch number; a repeated batch replaces its own rows.
@@ -15,13 +15,14 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skillweft.streaming.feeds import batch_writer, current_rows, fold_batches, run_available, unfolded_batches
-from skillweft.streaming.keyed import keep_state, set_timer
+from skillweft.streaming.keyed import keep_buckets, stack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,35 +36,53 @@ def hand_out(events: DataFrame, payload: list[str], lease_ms: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     columns = ["id", *payload]
 
-    def step(key, frames, state):
-        known = state.get if state.exists else None  # (*payload, attempt, done)
-        job, attempt, done = (known[:-2], *known[-2:]) if known else (None, 0, False)
-        hand, now = False, 0
-        if state.hasTimedOut:
-            hand, now = True, state.getCurrentWatermarkMs()
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                now = max(now, int(row.at.timestamp() * 1000))
-                if pd.isna(row.ok):
-                    if job is None and not done:
-                        job, hand = tuple(None if pd.isna(x) else x for x in (getattr(row, c) for c in payload)), True
-                elif row.ok:
-                    done = True
-                elif row.attempt == attempt:
-                    hand = True
-        if done:  # what is kept of a finished job is that it is finished
-            state.update((*[None] * len(payload), attempt, True))
-        elif job is not None:
-            attempt += hand
-            state.update((*job, attempt, False))
-            if not set_timer(state, now + lease_ms):
-                set_timer(state, state.getCurrentWatermarkMs() + 1)
-            if hand:
-                yield pd.DataFrame([(key[0], *job, attempt)], columns=[*columns, "attempt"])
+    def step(rows, kept, watermark):
+        def due(now):
+            return np.maximum(now + lease_ms, watermark + 1)
+
+        n = len(kept)
+        # one number per key; those that are kept come first
+        codes, _ = pd.factorize(stack(kept["id"], rows["id"]), use_na_sentinel=False)
+        size = codes.max() + 1 if len(codes) else 0
+        number = codes[n:]
+        attempt, done = np.zeros(size, "int64"), np.zeros(size, bool)
+        attempt[:n], done[:n] = kept["attempt"], kept["done"]
+        seen, hand = np.zeros(size, bool), np.zeros(size, bool)
+        seen[number] = True
+        now = np.where(seen, 0, watermark)
+        if len(rows):
+            np.maximum.at(now, number, rows["at"].astype("datetime64[ms]").astype("int64").to_numpy())
+        asked = rows["ok"].isna().to_numpy()
+        good = ~asked & (rows["ok"] == True).to_numpy()  # noqa: E712
+        done[number[good]] = True
+        bad = ~asked & ~good
+        bad[bad] = rows["attempt"].to_numpy()[bad].astype("int64") == attempt[number[bad]]
+        hand[number[bad]] = True
+        first = rows[asked].assign(_n=number[asked]).drop_duplicates("_n")
+        first = first[first["_n"] >= n]
+        hand[first["_n"]] = True
+        timers = np.zeros(size, "int64")
+        timers[:n] = kept["due"]
+        hand[:n] |= ~seen[:n] & (timers[:n] < watermark)  # leases that are over
+        hand &= ~done
+        timers = np.where(seen | hand, due(now), timers)
+        # a good result may come without its job: only that it went well is kept
+        early = rows[good].assign(_n=number[good]).drop_duplicates("_n")
+        early = early[(early["_n"] >= n) & ~early["_n"].isin(first["_n"])].drop(columns=payload)
+        jobs = stack(*(f.reindex(columns=["_n", *columns]) for f in (kept.assign(_n=np.arange(n)), first, early)))
+        at = jobs.pop("_n").to_numpy().astype("int64")
+        attempt = attempt + hand
+        jobs = jobs.assign(attempt=attempt[at], done=done[at], due=timers[at])
+        handed = jobs.loc[hand[at], [*columns, "attempt"]]
+        # what is kept of a finished job is that it is finished
+        jobs[payload] = jobs[payload].astype(object).where(~jobs["done"], None)
+        open_ones = timers[at][~done[at]]
+        return handed, jobs, open_ones.min() if len(open_ones) else None
 
     shape = "".join(f"{c} {kinds[c]}, " for c in payload)
-    return keep_state(
-        events, ["id"], step, f"id {kinds['id']}, {shape}attempt int", f"{shape}attempt int, done boolean", "EventTimeTimeout"
+    return keep_buckets(
+        events, "id", step, f"id {kinds['id']}, {shape}attempt int",
+        f"id {kinds['id']}, {shape}attempt int, done boolean, due bigint", timers=True,
     )
 
 
