@@ -167,7 +167,8 @@ def stream_skill_counts(t):
         return rows.select("job_id", F.lit(version).alias("version"), F.lit(name).alias("change"),
                            *[F.col(c).alias(c) if c in columns else empty.alias(c) for c, empty in none.items()])
 
-    jobs = t.postings.select(F.col("id").alias("job_id"), "posted_date")
+    # every part of the feed has the same types
+    jobs = t.postings.select(F.col("id").alias("job_id"), F.col("posted_date").cast("date").alias("posted_date"))
     links = change(typed, "link", skill_id=True, skill_type=True)
     early = (F.col("job_id") + F.col("skill_id")) % 2 == 0
     again = jobs.filter(F.col("job_id") % 13 == 0)

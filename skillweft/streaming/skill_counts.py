@@ -8,24 +8,25 @@ count over the tables as they are now.
 from __future__ import annotations
 
 import sys
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skillweft.streaming.feeds import batch_writer, current_rows, fold_batches, run_available, unfolded_batches
-from skillweft.streaming.keyed import keep_state
+from skillweft.streaming.keyed import keep_buckets, stack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEYS = ["month_start", "skill_type"]
 
 
-def _counted(alive: bool, day: int | None, links: dict[int, str]) -> Counter:
-    """What one job adds to the totals."""
-    return Counter((day, kind) for kind in links.values()) if alive and day is not None else Counter()
+def _counted(days: pd.Series, links: pd.DataFrame) -> pd.Series:
+    """Number of links by month and skill type; ``days`` has the month of every job."""
+    day = links["job_id"].map(days)
+    return links.assign(day=day)[day.notna()].groupby(["day", "skill_type"], dropna=False).size()
 
 
 def differences(changes: DataFrame) -> DataFrame:
@@ -37,42 +38,39 @@ def differences(changes: DataFrame) -> DataFrame:
     version, over micro-batches in the order of arrival.  A link counts once however often it comes; jobs without a
     date and links without a job count nowhere.  After a delete the job is unknown again.
     """
+    linked = F.col("change").isin("link", "unlink")
     rows = changes.filter(F.col("job_id").isNotNull()).select(
-        "job_id", F.col("version").cast("bigint").alias("version"), "change",
+        "job_id", F.coalesce(F.col("version").cast("bigint"), F.lit(2 ** 63 - 1)).alias("version"), "change",
         F.unix_date(F.trunc("posted_date", "month")).cast("bigint").alias("day"),
-        F.col("skill_id").cast("bigint").alias("skill_id"), "skill_type",
+        F.coalesce(F.col("skill_id").cast("bigint"), F.when(
+            linked, F.raise_error(F.lit("a link needs a skill_id")).cast("bigint")).otherwise(0)).alias("skill_id"),
+        "skill_type",
     )
-
-    def step(key, frames, state):
-        alive, day, links = False, None, {}
-        if state.exists:
-            alive, day, ids, kinds = state.get
-            links = dict(zip(ids, kinds))
-        before = _counted(alive, day, links)
-        for row in pd.concat(list(frames)).sort_values("version", kind="stable").itertuples(index=False):
-            if row.change == "job":
-                alive, day = True, None if pd.isna(row.day) else int(row.day)
-            elif row.change == "link":
-                links[int(row.skill_id)] = row.skill_type
-            elif row.change == "unlink":
-                links.pop(int(row.skill_id), None)
-            elif row.change == "clear":
-                links = {}
-            elif row.change == "delete":
-                alive, day, links = False, None, {}
-        if alive or links:
-            state.update((alive, day, list(links), list(links.values())))
-        elif state.exists:
-            state.remove()
-        after = _counted(alive, day, links)
-        after.subtract(before)
-        changed = [(month, kind, n) for (month, kind), n in after.items() if n]
-        if changed:
-            yield pd.DataFrame(changed, columns=["day", "skill_type", "cnt"])
-
-    signed = keep_state(
-        rows, ["job_id"], step, "day bigint, skill_type string, cnt bigint",
-        "alive boolean, day bigint, ids array<bigint>, kinds array<string>",
+    columns = ["job_id", "change", "day", "skill_id", "skill_type"]
+
+    def step(rows, kept, _):
+        # what is kept stands for the changes that lead to it
+        every = stack(kept, rows.sort_values("version", kind="stable")[columns])
+        every["at"] = np.arange(len(every))
+        wiped = every[every["change"].isin(["clear", "delete"])].groupby("job_id")["at"].max()
+        links = every[every["change"].isin(["link", "unlink"])]
+        if len(wiped):
+            links = links[~(links["at"] < links["job_id"].map(wiped))]
+        links = links.drop_duplicates(["job_id", "skill_id"], keep="last")
+        links = links[links["change"] == "link"]
+        jobs = every[every["change"].isin(["job", "delete"])].drop_duplicates("job_id", keep="last")
+        jobs = jobs[jobs["change"] == "job"]
+        was = kept[kept["change"] == "job"]
+        before = _counted(was.set_index("job_id")["day"], kept[kept["change"] == "link"])
+        after = _counted(jobs.set_index("job_id")["day"], links)
+        changed = after.sub(before, fill_value=0)
+        changed = changed[changed != 0].rename("cnt").reset_index()
+        return changed.astype({"day": "int64", "cnt": "int64"}), stack(jobs, links)[columns]
+
+    kind = changes.schema["job_id"].dataType.simpleString()
+    signed = keep_buckets(
+        rows, "job_id", step, "day bigint, skill_type string, cnt bigint",
+        f"job_id {kind}, change string, day bigint, skill_id bigint, skill_type string",
     )
     return signed.select(F.date_from_unix_date(F.col("day").cast("int")).alias("month_start"), "skill_type", "cnt")
 

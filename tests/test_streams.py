@@ -240,3 +240,44 @@ def test_chain_keeps_skill_ids_over_batches(spark, tmp_path):
     for file in (tmp_path / "checkpoint" / "commits").glob("*2*"):
         file.unlink()  # as if the driver was lost before the batch was committed
     assert run() == (first, batches)
+
+
+def test_keys_are_stepped_in_buckets(spark, tmp_path):
+    """The number of steps is that of the buckets, not of the keys; null keys have their own."""
+    from skillweft.streaming.keyed import keep_buckets, stack
+
+    feed, path, checkpoint = (str(tmp_path / x) for x in ("feed", "table", "checkpoint"))
+
+    def step(rows, kept, _):
+        import pandas as pd
+
+        every = stack(kept, rows)
+        return pd.DataFrame({"steps": [1], "held": [len(every)]}), every
+
+    for part in range(2):
+        keys = F.when(F.col("id") % 10 != 0, F.col("id") + 2 ** 60)
+        spark.range(part * 500, part * 500 + 500).select(keys.alias("key")).write.mode("append").parquet(feed)
+        arrived = feeds.read_feed(spark, feed)
+        feeds.run_available(
+            keep_buckets(arrived, "key", step, "steps bigint, held bigint", "key bigint", buckets=2),
+            checkpoint, feeds.batch_writer(path))
+    by_batch = spark.read.parquet(path).groupBy("batch").agg(F.sum("steps"), F.sum("held")).orderBy("batch").collect()
+    assert [tuple(r)[1:] for r in by_batch] == [(3, 500), (3, 1000)]
+
+
+def test_skill_counts_take_orders_with_a_time_of_day(spark, tmp_path):
+    """The dates of orders may be stored as timestamps; all parts of the feed have one type."""
+    from skillweft.plans.streams import stream_skill_counts
+    from skillweft.roles import Roles
+
+    folder = str(tmp_path)
+    spark.range(1, 10).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+        F.lit("1-URGENT").alias("o_orderpriority"), F.lit("2020-01-15 10:00:00").cast("timestamp_ntz").alias("o_orderdate"),
+    ).write.parquet(f"{folder}/orders.parquet")
+    spark.range(1, 10).select(F.col("id").alias("l_orderkey"), F.lit(4).cast("bigint").alias("l_partkey")).write.parquet(
+        f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(4, "red widget", "PROMO")], "p_partkey bigint, p_name string, p_type string").write.parquet(
+        f"{folder}/part.parquet")
+    found = stream_skill_counts(Roles(spark, folder)).collect()
+    assert [(str(r.month_start), r.skill_type, r.cnt) for r in found] == [("2020-01-01", "technical_skill", 9)]
