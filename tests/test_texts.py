@@ -157,3 +157,29 @@ def test_wide_rows_are_read_in_place_where_there_are_splits_enough(spark, tmp_pa
         finally:
             spark.conf.set(key, before)
         assert ("Exchange" in plan) == moved
+
+
+def test_numbers_meet_on_long_pieces(spark):
+    """Phrases of digits share short pieces with most texts; each is compared with few."""
+    from skillweft.operators import containment as ct
+
+    texts = spark.range(2000).select(F.format_string("firm %09d", "id").alias("text"))
+    phrases = spark.range(0, 4000, 40).select(F.format_string("%09d", "id").alias("phrase"))
+    keys = ct._own_pieces(F.col("phrase"))
+    pairs = ct._anchored(texts, ct.pieces(F.col("text"), (8,)), phrases, keys)
+    assert pairs.count() < 1000
+    found = {(r.text, r.phrase) for r in ct.contained_phrases(texts, phrases).collect()}
+    assert found == {(f"firm {i:09d}", f"{i:09d}") for i in range(0, 2000, 40)}
+
+
+def test_long_and_short_words_are_found_in_either_way(spark, monkeypatch):
+    from skillweft.operators import containment as ct
+
+    texts = ["a data engineer of machine learning", "extraordinarily-long-word-here x", "b"]
+    phrases = ["engineer data", "extraordinarily-long-word", "a", "b", "machine zz", "x extra", "\u4e16"]
+    want = {(t, p) for t in texts for p in phrases if all(w in t for w in p.split())}
+    for few in (ct.FEW, 0):
+        monkeypatch.setattr(ct, "FEW", few)
+        found = ct.contained_words(spark.createDataFrame([(t,) for t in texts], "text string"),
+                                   spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+        assert {(r.text, r.phrase) for r in found.collect()} == want
