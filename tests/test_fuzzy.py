@@ -152,3 +152,31 @@ def test_best_known_scores(spark):
             assert got[text].known_id == scores.index(max(scores))
         elif max(scores) < 85 and text in got:
             assert got[text].score == 100.0  # shared synonym
+
+
+def test_texts_with_a_full_score_are_not_compared_letter_by_letter(spark, monkeypatch):
+    rng = random.Random(17)
+    pool = words(rng, 260)
+    raw = pool[:150] + ["xqxqxqz", "data  model", "model data", "q"]
+    known = pool[120:] + ["xqxqxqy", "model big data", "data"]
+    a = spark.createDataFrame([(x,) for x in raw], "text string")
+    b = spark.createDataFrame([(i // 2, k) for i, k in enumerate(known)], "id int, text string")  # two names an id
+    asked, plain = [], fuzzy.candidates
+    monkeypatch.setattr(fuzzy, "candidates", lambda left, right, *more: asked.append(
+        {r.text for r in left.select("text").collect()}) or plain(left, right, *more))
+    got = {r.text: r for r in fuzzy.best_known(a, b, 85).collect()}
+    full = set()
+    for text in raw:
+        scores = [(sim.skill_score(text, k, 85), -(i // 2)) for i, k in enumerate(known)]
+        if text in known:
+            assert got[text].known_text == text
+        elif max(scores)[0] == 100:
+            full.add(text)
+            if not any(text == k for k in known) and got[text].score == 100 and got[text].known_id != -max(scores)[1]:
+                assert spark.createDataFrame([(text,)], "t string").select(fuzzy.synonym(F.col("t"))).first()[0]
+        elif text in got:
+            assert got[text].score == 100 or (got[text].score, -got[text].known_id) == max(scores)
+        else:
+            assert max(scores)[0] < 85
+    assert len(full) > 30 and len(asked) == 1 and not full & asked[0]
+    assert "xqxqxqz" in asked[0] and got["xqxqxqz"].known_text == "xqxqxqy"
