@@ -8,8 +8,10 @@ Python, as Arrow-batched functions around the standard HTML parser.
 from __future__ import annotations
 
 import json
+import re
 import sys
-from collections import Counter
+from collections import defaultdict
+from html import unescape as decoded
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -33,6 +35,17 @@ _ENTITIES = [("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), (
              ("&nbsp;", " "), ("&amp;", "&")]
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
+# markup that every HTML parser reads alike: plain start tags, end tags, simple comments and the document type
+_NAME = "[a-zA-Z][a-zA-Z0-9-]*"
+_VALUE = '[^"<>&]*(?:&(?:amp|lt|gt|quot|nbsp|#39);[^"<>&]*)*'
+_ATTRIBUTES = re.compile(rf'[ \t\n]+({_NAME})="({_VALUE})"')
+_TOKEN = re.compile(
+    rf'([^<]*)<(?:/([a-zA-Z][a-zA-Z0-9]*)|([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+{_NAME}="{_VALUE}")*) ?'
+    r'|!--[^<>-]*--|!(?i:doctype)[^<>]*)>'
+)
+# elements whose content is not markup
+_RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext", "svg", "math"}
+
 _FIRST = lambda items: F.get(F.filter(items, lambda x: x.isNotNull()), F.lit(0))
 
 
@@ -232,14 +245,16 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self._clear()
+
+    def _clear(self):
         self.elements: list[dict] = []
         self.texts: list[str] = []
         self.open: list[dict] = []
-        self.depth: Counter[str] = Counter()
+        self.depth: defaultdict[str, int] = defaultdict(int)
 
     def handle_starttag(self, tag, attrs):
-        values = {k: v or "" for k, v in attrs}
-        node = {"tag": tag, "attrs": values, "class": values.get("class", "").split(),
+        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs} if attrs else {},
                 "first": len(self.texts), "place": len(self.elements)}
         self.elements.append(node)
         if tag in _VOID:
@@ -263,9 +278,36 @@ class _Page(HTMLParser):
         if not self.depth["script"] and not self.depth["style"]:
             self.texts.append(data)
 
+    def _read_plain(self, html: str) -> bool:
+        """Read a page of plain markup alone; False, with some of it read, for any other."""
+        at = 0
+        for token in _TOKEN.finditer(html):
+            if token.start() != at:
+                return False
+            at = token.end()
+            data, ends, starts, attributes = token.groups()
+            if data:
+                self.handle_data(decoded(data))
+            if ends:
+                self.handle_endtag(ends.lower())
+            elif starts:
+                tag = starts.lower()
+                if tag in _RAW:
+                    return False
+                found = _ATTRIBUTES.findall(attributes) if attributes else ()
+                self.handle_starttag(tag, [(k.lower(), decoded(v)) for k, v in found])
+        rest = html[at:]
+        if "<" in rest or "&" in rest:
+            return False
+        if rest:
+            self.handle_data(rest)
+        return True
+
     def read(self, html: str) -> "_Page":
-        self.feed(html)
-        self.close()
+        if not self._read_plain(html):
+            self._clear()
+            self.feed(html)
+            self.close()
         for node in self.open:
             self._end(node)
         return self
@@ -282,7 +324,7 @@ class _Page(HTMLParser):
 
 def _first_node(nodes, tag, css=None, **attrs):
     for node in nodes:
-        if node["tag"] == tag and not (css and css not in node["class"]) \
+        if node["tag"] == tag and not (css and css not in node["attrs"].get("class", "").split()) \
                 and all(node["attrs"].get(k) == v for k, v in attrs.items()):
             return node
     return None

@@ -1,11 +1,15 @@
 """Company names, addresses and pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from skillweft.functions import companies as cf
 from skillweft.functions import html as ht
 from skillweft.operators import companies as co
+from skillweft.plans import companies as plans
+from skillweft.roles import Roles
 
 SITE = "https://www.linkedin.com/company/"
 
@@ -135,3 +139,23 @@ def test_audit(spark):
     verified = spark.createDataFrame([("Known", "11-50"), ("Same", "501-1,000")], "company string, size string")
     got = {r.company: r.reason for r in co.suspicious_sizes(jobs, verified).collect()}
     assert got == {"Acme Corp": "too_large", "Tiny": "too_small", "Known": "verified"}
+
+
+def test_plain_pages_are_read_like_any_other():
+    """The short way through a page of plain markup finds the elements and texts that the parser finds."""
+
+    class Parsed(ht._Page):
+        def _read_plain(self, html):
+            return False
+
+    plain = ['<li class="a b">', "</li>", "<a href=\"/x?a=1&amp;b=2\" >", "</a>", "<br>", " text ", "a &amp; b", "a & b", "<!-- c -->",
+             "<!doctype html>", '<P CLASS="X" class="y">', "</P>", '<img src="x">', "\n", '<h3\n  x-y="&#39;">', "</h3>", "\u00e9"]
+    other = ["<br/>", "<!-- a > b -->", "<script>", "</script>", "if (a<b)", "<p", "<p a=1>", "<p a='x'>", "</ p>", "<", "> >", "<3",
+             "<title>", "</title>", "<x:y>", "&#65", "&#65;", "<![CDATA[x]]>", "<?p?>", "<input disabled>"]
+    rng, short = random.Random(3), 0
+    for n in range(4000):
+        page = "".join(rng.choices(plain if n % 2 else plain + other, k=rng.randint(1, 12)))
+        got, want = ht._Page().read(page), Parsed().read(page)
+        assert (got.elements, got.texts) == (want.elements, want.texts), page
+        short += ht._Page()._read_plain(page)
+    assert short > 1500
