@@ -20,7 +20,7 @@ NAMES = """SELECT c_custkey, 'PT ' || replace(c_name, '#', ' ') || ' (' || c_mkt
 
 
 def names(t):
-    return t.table("customer").select("c_custkey", F.concat(
+    return t.texts("customer").select("c_custkey", F.concat(
         F.lit("PT "), F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")), F.lit(" ("), "c_mktsegment", F.lit(") | "),
         "c_mktsegment", F.lit("-Works Tbk"),
     ).alias("name"))

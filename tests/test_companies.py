@@ -159,3 +159,12 @@ def test_plain_pages_are_read_like_any_other():
         assert (got.elements, got.texts) == (want.elements, want.texts), page
         short += ht._Page()._read_plain(page)
     assert short > 1500
+
+
+def test_names_of_a_file_with_one_split_are_worked_on_by_every_core(spark, tmp_path):
+    spark.range(200).select(
+        F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), "id").alias("c_name"), F.lit("FOOD").alias("c_mktsegment")
+    ).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    slugs = plans.slug_candidates(Roles(spark, str(tmp_path)))
+    assert slugs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert slugs.filter("c_custkey = 7 and slug = 'customer-7-food'").count() == 1
