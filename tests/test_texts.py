@@ -183,3 +183,22 @@ def test_long_and_short_words_are_found_in_either_way(spark, monkeypatch):
         found = ct.contained_words(spark.createDataFrame([(t,) for t in texts], "text string"),
                                    spark.createDataFrame([(p,) for p in phrases], "phrase string"))
         assert {(r.text, r.phrase) for r in found.collect()} == want
+
+
+def test_list_expressions_are_worked_out_once(spark):
+    """No lambda holds the expression of a whole list or text, which it would work out for every entry."""
+    row = spark.createDataFrame(
+        [(["Team Work", "sql", "SQL", "", "rust"], "We use SQL, and Team-Work.")], "skills array<string>, source string")
+    kept = lambda items: sk.dedup_keep_first(F.filter(items, lambda s: ~sk.looks_soft(s)))
+    lists = F.struct(F.col("skills").alias("tech_stack"), kept(F.col("skills")).alias("technical_skill"), F.col("skills").alias("soft_skill"))
+    both = row.select(sk.keep_grounded(lists, F.col("source")).alias("s"))
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("source#") <= 3 and plan.count("RLIKE \\\\Q") <= 1
+    got = both.first().s
+    assert got.tech_stack == ["Team Work", "sql", "SQL"] and got.technical_skill == ["sql"]
+
+
+def test_reply_of_nulls_and_broken_replies(spark):
+    replies = ['```json\nx {"tech_stack": ["a", null], "soft_skill": null} y```', "{broken", None, "no object", "{}"]
+    got = apply(spark, replies, rp.parse_reply)
+    assert [None if g is None else tuple(g) for g in got] == [(["a", None], [], []), None, None, None, ([], [], [])]
