@@ -160,12 +160,15 @@ def match_details(requests: DataFrame, wanted: DataFrame, norms: DataFrame) -> D
     A request gets at most three lists of ``per_type`` skills.
     """
     weights = wanted.groupBy("target_id").agg(F.sum("demand").alias("weight"))
-    listed = wanted.join(weights, "target_id").select(
-        "target_id", "norm", "name", "demand",
+    lists = wanted.join(weights, "target_id").groupBy("target_id").agg(F.collect_list(F.struct(
+        "norm", "name", "demand",
         percent(F.col("demand"), F.col("total_jobs")).alias("demand_pct"),
         percent(F.col("demand"), F.col("weight")).alias("contribution"),
-    )
-    have = norms.withColumn("has", F.lit(True))
-    return requests.join(listed, "target_id").join(have, ["request_id", "norm"], "left").withColumn(
-        "matched", F.coalesce("has", F.lit(False))
-    ).drop("has")
+    )).alias("listed"))
+    # requests meet their skills before the lists are spread out, so no listed row is shuffled
+    asked = requests.select("request_id", "target_id").distinct()
+    have = norms.join(asked, "request_id").join(wanted.select("target_id", "norm"), ["target_id", "norm"], "left_semi").groupBy(
+        "request_id", "target_id").agg(F.collect_set("norm").alias("has"))
+    rows = requests.join(have, ["request_id", "target_id"], "left").join(lists, "target_id")
+    return rows.withColumn("l", F.explode("listed")).drop("listed").select(
+        *[c for c in requests.columns], "l.*", F.coalesce(F.array_contains("has", F.col("l.norm")), F.lit(False)).alias("matched"))

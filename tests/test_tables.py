@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skillweft.operators import fuzzy, lookups, ordering, rewrite, trends
 from skillweft.operators import resolve as rs
 from skillweft.operators.facets import Facets, date_predicate, filter_rows
-from skillweft.operators.matcher import match_scores
+from skillweft.operators.matcher import match_details, match_scores
 from skillweft.operators.titles import match_keyword
 from skillweft.sources import readers, writers
 
@@ -219,3 +219,18 @@ def test_csv_export(spark, tmp_path):
     writers.export_csv(df.coalesce(1), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert sorted(text.split()) == ["a,", 'b,"x,y"', "k,v"]
+
+
+def test_details_shuffle_no_listed_row(spark):
+    requests = spark.createDataFrame([(1, 10), (1, 10), (2, 10), (3, 11), (4, 12), (None, 10), (5, None)], "request_id int, target_id int")
+    wanted = spark.createDataFrame(
+        [(10, 8, "sql", "SQL", 4), (10, 8, "rust", "Rust", 2), (11, 3, "sql", "Sql", 0)],
+        "target_id int, total_jobs int, norm string, name string, demand long")
+    norms = spark.createDataFrame([(1, "sql"), (2, "java"), (3, "rust"), (None, "sql"), (9, "sql"), (1, None)], "request_id int, norm string")
+    got = match_details(requests, wanted, norms)
+    assert got.columns == ["request_id", "target_id", "norm", "name", "demand", "demand_pct", "contribution", "matched"]
+    ten = lambda i, hit: [(i, 10, "sql", "SQL", 4, 50.0, 66.7, hit), (i, 10, "rust", "Rust", 2, 25.0, 33.3, False)]
+    want = ten(1, True) * 2 + ten(2, False) + ten(None, False) + [(3, 11, "sql", "Sql", 0, 0.0, 0.0, False)]
+    assert rows(got) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()  # the lists are spread out behind all joins
+    assert plan.index("explode(listed") < plan.index("Join")
