@@ -254,8 +254,10 @@ class _Page(HTMLParser):
         self.depth: defaultdict[str, int] = defaultdict(int)
 
     def handle_starttag(self, tag, attrs):
-        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs} if attrs else {},
-                "first": len(self.texts), "place": len(self.elements)}
+        self._start(tag, {k: v or "" for k, v in attrs})
+
+    def _start(self, tag, values):
+        node = {"tag": tag, "attrs": values, "first": len(self.texts), "place": len(self.elements)}
         self.elements.append(node)
         if tag in _VOID:
             self._end(node)
@@ -287,7 +289,7 @@ class _Page(HTMLParser):
             at = token.end()
             data, ends, starts, attributes = token.groups()
             if data:
-                self.handle_data(decoded(data))
+                self.texts.append(decoded(data) if "&" in data else data)
             if ends:
                 self.handle_endtag(ends.lower())
             elif starts:
@@ -295,7 +297,7 @@ class _Page(HTMLParser):
                 if tag in _RAW:
                     return False
                 found = _ATTRIBUTES.findall(attributes) if attributes else ()
-                self.handle_starttag(tag, [(k.lower(), decoded(v)) for k, v in found])
+                self._start(tag, {k.lower(): decoded(v) if "&" in v else v for k, v in found})
         rest = html[at:]
         if "<" in rest or "&" in rest:
             return False

@@ -25,7 +25,8 @@ def postings_from_cards(found: DataFrame, keywords: DataFrame, today: Column) ->
     rows = found.withColumn("link", job_url(F.col("href"))).filter(F.col("link").isNotNull()).filter(
         F.col("title") != ""
     ).withColumn("job_title", clean_title(F.col("title")))
-    wanted = rows.filter(is_target_role(F.col("job_title")))
+    # pages are parsed and titles cleaned once: the wanted rows are far smaller than the pages and feed several joins
+    wanted = cut_lineage(rows.filter(is_target_role(F.col("job_title"))).drop("href", "title"))
     matched = match_keyword(wanted, keywords, "job_title")
     return matched.select(
         "link", "job_title", F.coalesce("matched_id", "keyword_id").alias("keyword_id"),
@@ -37,8 +38,7 @@ def postings_from_cards(found: DataFrame, keywords: DataFrame, today: Column) ->
 
 def new_postings(pages: DataFrame, jobs: DataFrame, keywords: DataFrame, today: Column) -> DataFrame:
     """Rows to append: the first card per link that is not stored yet."""
-    # pages are parsed once: the cards are far smaller than the pages and feed several joins
-    rows = postings_from_cards(cut_lineage(cards(pages)), keywords, today)
+    rows = postings_from_cards(cards(pages), keywords, today)
     return append_absent(jobs, rows, "link", F.struct("page_id", "pos")).drop("page_id", "pos")
 
 

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def append_absent(table: DataFrame, incoming: DataFrame, key: str, order: Column | None = None) -> DataFrame:
     """New rows whose key is neither in the table nor earlier among the new rows."""
+    # stored keys go first: the rows that are left lie by key already when the first one is picked
+    new = incoming.join(table.select(key), key, "left_anti").select(*incoming.columns)
     if order is None:
-        first = incoming.dropDuplicates([key])
-    else:
-        whole = F.min_by(F.struct(*incoming.columns), order).alias("r")
-        first = incoming.groupBy(F.col(key).alias("_k")).agg(whole).select("r.*")
-    return first.join(table.select(key), key, "left_anti").select(*incoming.columns)
+        return new.dropDuplicates([key])
+    whole = F.min_by(F.struct(*incoming.columns), order).alias("r")
+    return new.groupBy(F.col(key).alias("_k")).agg(whole).select("r.*")
 
 
 def seed(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skillweft.dictionaries import TITLE_REASON_EXCLUDED, TITLE_REASON_REJECTED
 from skillweft.functions.titles import clean_title, is_excluded
-from skillweft.operators.containment import contained_words
+from skillweft.operators.containment import FEW, contained_words
 from skillweft.session import cut_lineage
 
 
@@ -25,6 +25,9 @@ def match_keyword(titles: DataFrame, keywords: DataFrame, title: str = "job_titl
         ).alias("hit"))
         .select("text", F.col("hit.id").alias("matched_id"), F.col("hit.keyword").alias("matched_keyword"))
     )
+    best = cut_lineage(best)
+    if best.count() <= FEW:  # few distinct titles are sent to the rows, which then need no shuffle by title
+        best = F.broadcast(best)
     return titles.join(best, F.lower(F.col(title)) == F.col("text"), "left").drop("text")
 
 

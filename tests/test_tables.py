@@ -234,3 +234,13 @@ def test_details_shuffle_no_listed_row(spark):
     assert rows(got) == sorted(want, key=repr)
     plan = got._jdf.queryExecution().optimizedPlan().toString()  # the lists are spread out behind all joins
     assert plan.index("explode(listed") < plan.index("Join")
+
+
+def test_stored_keys_go_before_the_first_row_is_picked(spark):
+    old = spark.createDataFrame([("a",), (None,)], "k string")
+    new = spark.createDataFrame([("a", 5), ("b", 3), ("b", 2), (None, 7), (None, 6)], "k string, n int")
+    added = rewrite.append_absent(old, new, "k", F.col("n"))
+    assert rows(added) == [("b", 2), (None, 6)]
+    assert rows(rewrite.append_absent(old, new, "k").select("k")) == [("b",), (None,)]
+    plan = added._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")
