@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from skillweft.dictionaries import SKILL_ALIASES
 from skillweft.functions import replies as rp
 from skillweft.functions import sizes as sz
 from skillweft.functions import skills as sk
@@ -202,3 +203,29 @@ def test_reply_of_nulls_and_broken_replies(spark):
     replies = ['```json\nx {"tech_stack": ["a", null], "soft_skill": null} y```', "{broken", None, "no object", "{}"]
     got = apply(spark, replies, rp.parse_reply)
     assert [None if g is None else tuple(g) for g in got] == [(["a", None], [], []), None, None, None, ([], [], [])]
+
+
+def test_entries_are_grounded_like_a_search_of_the_text(spark):
+    """Single words are looked up among the text's words, all other entries by their letters."""
+    rng, letters = random.Random(4), ["a", "b", "ml", "1", "é", "+", ".", "-", " ", " ", "'", "K"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(150)] + [None, "", "Machine-Learning js"]
+    skills = ["".join(rng.choices(letters, k=rng.randint(0, 5))) for _ in range(60)] + [None, "machine learning", "javascript", "ml k1 K"]
+
+    def light(s):
+        return re.sub(r"\s+", " ", s.lower().replace("-", " ")).strip(" ")
+
+    def token(text, word):
+        return word != "" and re.search(rf"(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])", text) is not None
+
+    def wanted(skill, text):
+        key, text, words = light(skill), light(text or ""), [w for w in light(skill).split(" ") if len(w) >= 3]
+        short = dict(SKILL_ALIASES).get(key, [])
+        return key != "" and (token(text, key) or any(token(text, a) for a in short)
+                              or bool(words) and sum(token(text, w) for w in words) >= 0.6 * len(words))
+
+    rows = spark.createDataFrame([(t, skills) for t in texts], "t string, s array<string>")
+    lists = F.struct(F.col("s").alias("tech_stack"), F.col("s").alias("technical_skill"), F.col("s").alias("soft_skill"))
+    for row in rows.select("t", sk.keep_grounded(lists, F.col("t")).alias("k")).collect():
+        assert row.k.tech_stack == row.k.technical_skill == [s for s in skills if s is not None and wanted(s, row.t)], row.t
+    plan = rows.select(sk.keep_grounded(lists, F.col("t")).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\A[a-z0-9]+\z" in plan  # no pattern is built for a single word
