@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skillweft.functions.similarity import skill_score
 from skillweft.operators import resolve as rs
@@ -81,3 +82,28 @@ def test_near_spellings_of_one_batch_become_one_skill(spark):
     assert sorted(stored.values()) == sorted(set(want.values())) and len(set(want.values())) < len(order) / 2
     links = {(r.job_id, stored[r.skill_id]) for r in found["links"].collect() if r.skill_id != 3}
     assert links == {(job, want[norms[name]]) for job, name in enumerate(names) if name in norms}
+
+
+def test_shared_inputs_of_a_resolution_are_read_once(spark):
+    """The dictionary and the known skills feed many joins; their rows are worked out a single time."""
+    reads = {name: spark.sparkContext.accumulator(0) for name in ("variants", "known")}
+
+    def counted(rows, name):
+        count = reads[name]
+
+        def read(text):
+            count.add(1)
+            return text
+
+        return rows.withColumn(rows.columns[1], F.udf(read, "string")(F.col(rows.columns[1])))
+
+    variants = counted(spark.createDataFrame([("tech_stack", "Python", "python", 0)], VARIANTS), "variants")
+    known = counted(spark.createDataFrame(
+        [(3, "Python", "python", "tech_stack")], "id bigint, name string, normalized_name string, skill_type string"), "known")
+    replies = spark.createDataFrame(
+        [(1, {"tech_stack": ["pytohn", "Python", "Rust"], "technical_skill": [], "soft_skill": []}, "pytohn, python and rust")],
+        "job_id bigint, skills struct<tech_stack:array<string>,technical_skill:array<string>,soft_skill:array<string>>, job_description string")
+    found = rs.resolve_replies(replies, known, variants)
+    assert found["links"].count() == 3 - (found["matches"].filter("skill = 'pytohn' and matched_id = 3").count())
+    assert [r.tech_stack for r in found["lists"].collect()] == ["Python, Rust, pytohn"]
+    assert {name: count.value for name, count in reads.items()} == {"variants": 1, "known": 1}
