@@ -15,8 +15,10 @@ from html import unescape as decoded
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from skillweft.dictionaries import (
@@ -237,10 +239,10 @@ def field_size(html: Column) -> Column:
 
 
 class _Page(HTMLParser):
-    """Elements in the order of their start tags, read in one pass.
+    """Elements in the order of their start tags, read in one pass; an element is its place among them.
 
-    Visible texts stand once in ``texts``; an element knows which of them, and which of
-    the elements behind it, lie inside.
+    Visible texts stand once in ``texts``; of an element it is known which of them
+    (``first`` to ``last``), and which of the elements behind it (up to ``inside``), lie inside.
     """
 
     def __init__(self):
@@ -248,33 +250,39 @@ class _Page(HTMLParser):
         self._clear()
 
     def _clear(self):
-        self.elements: list[dict] = []
+        self.tags: list[str] = []
+        self.given: list[str | dict] = []  # attributes, as text until they are asked for
+        self.first: list[int] = []
+        self.last: list[int] = []
+        self.inside: list[int] = []
         self.texts: list[str] = []
-        self.open: list[dict] = []
+        self.open: list[int] = []
         self.depth: defaultdict[str, int] = defaultdict(int)
 
     def handle_starttag(self, tag, attrs):
         self._start(tag, {k: v or "" for k, v in attrs})
 
-    def _start(self, tag, values):
-        node = {"tag": tag, "attrs": values, "first": len(self.texts), "place": len(self.elements)}
-        self.elements.append(node)
-        if tag in _VOID:
-            self._end(node)
-        else:
+    def _start(self, tag, given):
+        node, at = len(self.tags), len(self.texts)
+        self.tags.append(tag)
+        self.given.append(given)
+        self.first.append(at)
+        self.last.append(at)
+        self.inside.append(node + 1)
+        if tag not in _VOID:
             self.open.append(node)
             self.depth[tag] += 1
 
-    def _end(self, node):
-        node["last"], node["inside"] = len(self.texts), len(self.elements)
-
     def handle_endtag(self, tag):
-        while self.depth[tag]:
+        depth = self.depth
+        if not depth[tag]:
+            return
+        at, behind, name = len(self.texts), len(self.tags), None
+        while name != tag:
             node = self.open.pop()
-            self.depth[node["tag"]] -= 1
-            self._end(node)
-            if node["tag"] == tag:
-                break
+            name = self.tags[node]
+            depth[name] -= 1
+            self.last[node], self.inside[node] = at, behind
 
     def handle_data(self, data):
         if not self.depth["script"] and not self.depth["style"]:
@@ -282,27 +290,40 @@ class _Page(HTMLParser):
 
     def _read_plain(self, html: str) -> bool:
         """Read a page of plain markup alone; False, with some of it read, for any other."""
-        at = 0
-        for token in _TOKEN.finditer(html):
-            if token.start() != at:
-                return False
-            at = token.end()
-            data, ends, starts, attributes = token.groups()
+        parts = _TOKEN.split(html)  # what stands between tokens, then the four groups of a token, and so on
+        rest = parts.pop()
+        if any(parts[::5]) or "<" in rest or "&" in rest:
+            return False
+        # ``_start`` and ``handle_endtag`` once more in place: calls would cost as much as the work
+        texts, tags, given, opened, depth = self.texts, self.tags, self.given, self.open, self.depth
+        first, last, inside = self.first, self.last, self.inside
+        for data, ends, starts, attributes in zip(parts[1::5], parts[2::5], parts[3::5], parts[4::5], strict=True):
             if data:
-                self.texts.append(decoded(data) if "&" in data else data)
-            if ends:
-                self.handle_endtag(ends.lower())
-            elif starts:
+                texts.append(decoded(data) if "&" in data else data)
+            if starts:
                 tag = starts.lower()
                 if tag in _RAW:
                     return False
-                found = _ATTRIBUTES.findall(attributes) if attributes else ()
-                self._start(tag, {k.lower(): decoded(v) if "&" in v else v for k, v in found})
-        rest = html[at:]
-        if "<" in rest or "&" in rest:
-            return False
+                at = len(texts)
+                if tag not in _VOID:
+                    opened.append(len(tags))
+                    depth[tag] += 1
+                tags.append(tag)
+                given.append(attributes)
+                first.append(at)
+                last.append(at)
+                inside.append(len(tags))
+            elif ends:
+                tag = ends.lower()
+                if depth[tag]:
+                    at, behind, name = len(texts), len(tags), None
+                    while name != tag:
+                        node = opened.pop()
+                        name = tags[node]
+                        depth[name] -= 1
+                        last[node], inside[node] = at, behind
         if rest:
-            self.handle_data(rest)
+            texts.append(rest)
         return True
 
     def read(self, html: str) -> "_Page":
@@ -311,43 +332,62 @@ class _Page(HTMLParser):
             self.feed(html)
             self.close()
         for node in self.open:
-            self._end(node)
+            self.last[node], self.inside[node] = len(self.texts), len(self.tags)
         return self
 
-    def parts(self, node) -> list[str]:
-        return self.texts[node["first"]:node["last"]]
+    @property
+    def elements(self) -> list[dict]:
+        return [{"tag": tag, "attrs": self.attributes(n), "first": self.first[n], "place": n, "last": self.last[n],
+                 "inside": self.inside[n]} for n, tag in enumerate(self.tags)]
 
-    def text(self, node) -> str | None:
-        return None if node is None else "".join(self.parts(node)).strip()
+    def attributes(self, node: int) -> dict[str, str]:
+        given = self.given[node]
+        if isinstance(given, str):
+            found = _ATTRIBUTES.findall(given)
+            given = self.given[node] = {k.lower(): decoded(v) if "&" in v else v for k, v in found}
+        return given
 
-    def inside(self, node) -> list[dict]:
-        return self.elements[node["place"] + 1:node["inside"]]
+    def parts(self, node: int) -> list[str]:
+        return self.texts[self.first[node]:self.last[node]]
 
+    def text(self, node: int | None) -> str | None:
+        return None if node is None else "".join(self.parts(node)).strip()
 
-def _first_node(nodes, tag, css=None, **attrs):
-    for node in nodes:
-        if node["tag"] == tag and not (css and css not in node["attrs"].get("class", "").split()) \
-                and all(node["attrs"].get(k) == v for k, v in attrs.items()):
-            return node
-    return None
+    def find(self, tag: str, css: str | None = None, inside: int | None = None, **attrs) -> int | None:
+        """First element of that kind, of the page or of those inside an element."""
+        at, stop = (0, len(self.tags)) if inside is None else (inside + 1, self.inside[inside])
+        while True:
+            try:
+                at = self.tags.index(tag, at, stop)
+            except ValueError:
+                return None
+            given = self.given[at]
+            # an entity stands for no letter of a class name: a text without the name needs no reading
+            if not (css and isinstance(given, str) and css not in given):
+                known = self.attributes(at)
+                if not (css and css not in known.get("class", "").split()) \
+                        and all(known.get(k) == v for k, v in attrs.items()):
+                    return at
+            at += 1
 
 
 def _cards(html: str) -> list[dict]:
     if not html:
         return []
     page, found = _Page().read(html), []
-    for card in (n for n in page.elements if n["tag"] == "li"):
-        own = page.inside(card)
-        link = _first_node(own, *CARD_LINK)
+    for card, tag in enumerate(page.tags):
+        if tag != "li":
+            continue
+        link = page.find(*CARD_LINK, inside=card)
         if link is None:
             continue
-        date = _first_node(own, "time")
+        date = page.find("time", inside=card)
         found.append({
-            "href": link["attrs"].get("href", ""),
-            "title": page.text(_first_node(own, *CARD_TITLE)),
-            "company": page.text(_first_node(own, *CARD_COMPANY)),
-            "location": page.text(_first_node(own, *CARD_LOCATION)),
-            "date": None if date is None else date["attrs"].get("datetime", ""),
+            "href": page.attributes(link).get("href", ""),
+            "title": page.text(page.find(*CARD_TITLE, inside=card)),
+            "company": page.text(page.find(*CARD_COMPANY, inside=card)),
+            "location": page.text(page.find(*CARD_LOCATION, inside=card)),
+            "date": None if date is None else page.attributes(date).get("datetime", ""),
         })
     return found
 
@@ -357,27 +397,27 @@ def _description(html: str) -> str:
         return ""
     page = _Page().read(html)
     lines = lambda node: "\n".join(s for s in (t.strip() for t in page.parts(node)) if s)
-    options = [
-        _first_node(page.elements, tag, css, **({"id": name} if name else {}))
-        for tag, css, name in DESCRIPTION_ELEMENTS
-    ]
+    options = [page.find(tag, css, **({"id": name} if name else {})) for tag, css, name in DESCRIPTION_ELEMENTS]
     for node in options:
         if node is not None and len(lines(node)) > DESCRIPTION_MINIMUM:
             return lines(node)
-    main = _first_node(page.elements, "main")
+    main = page.find("main")
     return lines(main) if main is not None else ""
 
 
 _CARD = StructType([StructField(n, StringType()) for n in ("href", "title", "company", "location", "date")])
 
 
-def _read_cards(pages: pd.Series) -> pd.Series:
-    return pages.map(_cards)
+_CARDS = to_arrow_type(ArrayType(_CARD))
+
+
+def _read_cards(pages: pa.Array) -> pa.Array:
+    return pa.array(map(_cards, pages.to_pylist()), type=_CARDS)
 
 
 def _read_descriptions(pages: pd.Series) -> pd.Series:
     return pages.map(_description)
 
 
-posting_cards = F.pandas_udf(_read_cards, ArrayType(_CARD))
+posting_cards = F.arrow_udf(_read_cards, ArrayType(_CARD))
 posting_description = F.pandas_udf(_read_descriptions, StringType())

@@ -168,3 +168,22 @@ def test_names_of_a_file_with_one_split_are_worked_on_by_every_core(spark, tmp_p
     slugs = plans.slug_candidates(Roles(spark, str(tmp_path)))
     assert slugs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert slugs.filter("c_custkey = 7 and slug = 'customer-7-food'").count() == 1
+
+
+def test_only_attributes_that_cards_need_are_read(monkeypatch):
+    """A page's tags keep their attributes as text until one is asked for."""
+    read, pattern = [], ht._ATTRIBUTES
+
+    class Counted:
+        def findall(self, text):
+            read.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(ht, "_ATTRIBUTES", Counted())
+    other = '<div class="nav"><a class="x" href="/y">z</a><span id="s">t</span></div>' * 20
+    card = ('<li class="c"><div class="b"><a class="q base-card__full-link" href="/jobs/view/1?a=1&amp;b=2">o</a>'
+            '<h3 CLASS="base-search-card__title"> T &amp; U </h3><h4 class="base-search-card__subtitle"><a href="/c">C</a></h4>'
+            '<span class="other">x</span><span class="job-search-card__location"> P</span><time datetime="2024-01-02">n</time></div></li>')
+    assert ht._cards(other + "<ul>" + card + "</ul>" + other) == [
+        {"href": "/jobs/view/1?a=1&b=2", "title": "T & U", "company": "C", "location": "P", "date": "2024-01-02"}]
+    assert len(read) == 5
