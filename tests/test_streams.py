@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from skillweft.streaming import cache, feeds, skill_counts, workqueue
@@ -281,3 +282,55 @@ def test_skill_counts_take_orders_with_a_time_of_day(spark, tmp_path):
         f"{folder}/part.parquet")
     found = stream_skill_counts(Roles(spark, folder)).collect()
     assert [(str(r.month_start), r.skill_type, r.cnt) for r in found] == [("2020-01-01", "technical_skill", 9)]
+
+
+def test_a_step_of_skill_counts_holds_few_jobs(spark, tmp_path):
+    """Jobs and links lie in many buckets, and the state stores share one bounded memory."""
+    jobs = spark.range(3000).select(F.col("id").alias("job_id"), F.lit(0).alias("version"))
+    links = jobs.select("*", F.lit("link").alias("change"), F.lit(None).cast("date").alias("posted_date"),
+                        (F.col("job_id") % 7).alias("skill_id"), F.lit("soft_skill").alias("skill_type"))
+    dated = jobs.select("*", F.lit("job").alias("change"), F.lit(dt.date(2024, 1, 9)).alias("posted_date"),
+                        F.lit(None).cast("bigint").alias("skill_id"), F.lit(None).cast("string").alias("skill_type"))
+    feed, table = str(tmp_path / "in"), str(tmp_path / "t")
+    links.union(dated).write.parquet(feed)
+    query = skill_counts.run_skill_counts(feeds.read_feed(spark, feed), table, str(tmp_path / "c"))
+    assert query.lastProgress.stateOperators[0].numRowsTotal > 1500
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
+    assert [tuple(r) for r in skill_counts.skill_totals(spark, table).collect()] == [(dt.date(2024, 1, 1), "soft_skill", 3000)]
+
+
+def test_skill_totals_with_nulls_and_text_keys(spark, tmp_path):
+    """Null types are a type, unknown changes and null jobs count nowhere, a null version comes last."""
+    day, later = dt.date(2024, 1, 9), dt.date(2024, 5, 2)
+    parts = [
+        [("a", 1, "job", day, None, None), ("a", 2, "link", None, 1, None), ("a", 3, "link", None, 2, "x"),
+         ("b", 1, "link", None, 1, "x"), (None, 1, "job", day, None, None), (None, 1, "link", None, 1, "x"),
+         ("c", 1, "job", None, None, None), ("c", 1, "link", None, 1, "x"), ("a", 9, "other", later, None, "x")],
+        [("a", None, "job", later, None, None), ("a", 5, "job", day, None, None), ("a", 6, "link", None, 2, "y"),
+         ("b", 1, "job", day, None, None), ("b", 2, None, later, None, None), ("c", 2, "job", later, None, None)],
+        [("b", 2, "clear", None, None, None), ("b", 3, "link", None, 4, None), ("c", 1, "unlink", None, 1, None)],
+    ]
+    totals = []
+    for rows in parts:
+        df = spark.createDataFrame(rows, "job_id string, version int, change string, posted_date date, skill_id int, skill_type string")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        skill_counts.run_skill_counts(feeds.read_feed(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"))
+        found = skill_counts.skill_totals(spark, str(tmp_path / "t")).collect()
+        totals.append({(r.month_start.month, r.skill_type): r.cnt for r in found})
+    assert totals == [{(1, None): 1, (1, "x"): 1}, {(5, None): 1, (5, "y"): 1, (1, "x"): 1, (5, "x"): 1},
+                      {(5, None): 1, (5, "y"): 1, (1, None): 1}]
+
+
+def test_a_checkpoint_keeps_its_number_of_buckets(spark, tmp_path):
+    from skillweft.streaming.keyed import keep_buckets, stack
+
+    feed, path, checkpoint = (str(tmp_path / x) for x in ("feed", "table", "checkpoint"))
+    step = lambda rows, kept, _: (rows, stack(kept, rows))
+    for buckets in (2, 3):
+        spark.range(50).select(F.col("id").alias("key")).write.mode("append").parquet(feed)
+        stream = keep_buckets(feeds.read_feed(spark, feed), "key", step, "key bigint", "key bigint", buckets=buckets)
+        if buckets == 2:
+            feeds.run_available(stream, checkpoint, feeds.batch_writer(path))
+            continue
+        with pytest.raises(Exception, match="in 2 buckets, not 3"):
+            feeds.run_available(stream, checkpoint, feeds.batch_writer(path))
